@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
+from . import bpe, chunking, packing, simhash, tokenfile, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10, scale=1024)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -27,9 +32,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = tokenfile.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return tokenfile.digests(tokenfile.read(spark, path))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """Each operator's query over its whole table."""
-    return {f.__name__: f for f in (op2_byte_bpe, op3_simhash, op7_packing)}
+    return {f.__name__: f for f in (op1_topk, op2_byte_bpe, op3_simhash, op7_packing, op9_tokenfile, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
