@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunking, packing, simhash, tokenfile, topk
+from . import bpe, chunking, packing, simhash, tokenfile, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    examples = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out")
+    return toxicity.score(docs, examples).select("doc_id", held_out, "score", "predicted", "evidence")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -43,7 +50,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each operator's query over its whole table."""
-    return {f.__name__: f for f in (op1_topk, op2_byte_bpe, op3_simhash, op7_packing, op9_tokenfile, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_topk, op2_byte_bpe, op3_simhash, op6_toxicity, op7_packing, op9_tokenfile, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
