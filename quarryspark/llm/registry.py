@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunking, packing, simhash, tokenfile, topk, toxicity
+from . import bpe, chunking, langid, packing, quality, simhash, tokenfile, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "perplexity", "accepted")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     examples = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
@@ -39,6 +44,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    codes = langid.fit(docs.filter(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), codes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, _ = tokenfile.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return tokenfile.digests(tokenfile.read(spark, path))
@@ -50,7 +62,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each operator's query over its whole table."""
-    return {f.__name__: f for f in (op1_topk, op2_byte_bpe, op3_simhash, op6_toxicity, op7_packing, op9_tokenfile, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_topk, op2_byte_bpe, op3_simhash, op5_quality, op6_toxicity, op7_packing, op8_langid, op9_tokenfile, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
