@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunking, langid, packing, quality, simhash, tokenfile, topk, toxicity
+from . import bpe, chunking, html, langid, packing, quality, simhash, tokenfile, topk, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "lang", "perplexity", "accepted")
@@ -62,7 +66,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each operator's query over its whole table."""
-    return {f.__name__: f for f in (op1_topk, op2_byte_bpe, op3_simhash, op5_quality, op6_toxicity, op7_packing, op8_langid, op9_tokenfile, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_topk, op2_byte_bpe, op3_simhash, op4_html, op5_quality, op6_toxicity, op7_packing, op8_langid, op9_tokenfile, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
