@@ -7,28 +7,41 @@ differ in the key's free bits alone. They are not paired with each other: each g
 the allowed distance in those bits, close ones share a centre, and a centre links its members to the least of them after
 a check of their Hamming distance. A group of copies thus gives links in proportion to its size.
 
+similar_groups() serves a similarity of word shingle sets instead (0.8, say), where 64 bits differ in too many places to share
+a block. There a text's shingles are dealt by hash into classes of 3 to 6, each class has a 64-bit fingerprint of its own, and
+these are the blocks of a long fingerprint: texts that differ in few places have several classes without a difference. Texts
+meet on equal blocks, each key's members are compared with its least one, those that fail with the least of what is left, and so
+on, by the Hamming distance of fixed-length fingerprints of 16 classes, whose share of differing bits is the angle that a
+similarity gives.
+
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows get the same component. An empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import drop_path, text_batches, written
 from .graph import components
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BITS = 64
 #: Blocks that a key is made of.
 KEY_BLOCKS = 3
+#: Shingles of a class at least (twice as many at most), and the classes of a text whose fingerprints are keys.
+CLASS_SHINGLES, CLASS_KEYS = 3, 32
+#: Classes, as a power of two, of the fingerprints whose distance is taken.
+WIDE_LEVEL = 4
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str, size: int, seed: int = 42) -> list[int]:
@@ -103,3 +116,92 @@ def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named, _ = written(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "simhash-components")
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def long_fingerprint(hashes: list[int]) -> tuple[int, list[int], list[tuple[int, int]]]:
+    """(hash of the shingle set, fingerprints of 2**WIDE_LEVEL classes, (class number, fingerprint) keys) of a text."""
+    own = np.unique(np.array(hashes, np.uint64))
+    n = len(own)
+    whole = xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), 42)
+    if not n:
+        return whole, [0] * (1 << WIDE_LEVEL), [(0, 0)]
+    mixed = own * SPREAD
+    order = np.argsort(mixed)
+    own, mixed = own[order], mixed[order]  # the classes of every level are now runs
+    bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    total = np.zeros((n + 1, BITS), np.int32)
+    np.cumsum(bits, axis=0, out=total[1:])
+
+    def of(level: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.searchsorted(mixed >> np.uint64(64 - level), np.arange(classes + 1, dtype=np.uint64)) if level else np.array([0, n])
+        size = np.diff(edges)
+        most = (total[edges[1:]] - total[edges[:-1]]) * 2 > size[:, None]
+        return np.packbits(most, axis=1, bitorder="little").view("<u8").ravel(), size
+
+    wide, _ = of(WIDE_LEVEL, 1 << WIDE_LEVEL)
+    level = max(0, int(math.log2(n / CLASS_SHINGLES))) if n >= CLASS_SHINGLES else 0
+    levels, full = {level}, n / (CLASS_SHINGLES << level)
+    if full > 1.75:
+        levels.add(level + 1)  # a similar text of a little more shingles has that level
+    if full < 1.125 and level:
+        levels.add(level - 1)
+    keys = []
+    for x in sorted(levels):
+        fp, size = of(x, min(1 << x, CLASS_KEYS))
+        keys += [(x * CLASS_KEYS + i, f) for i, (f, k) in enumerate(zip(fp.tolist(), size.tolist(), strict=True)) if k]
+    return whole, wide.tolist(), keys
+
+
+def differing_share(similarity: float) -> float:
+    """The share of differing fingerprint bits that sets of a Jaccard similarity and of equal size give."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, component_id) by links between texts whose shingle sets are that similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, text_col):
+            rows = [long_fingerprint(shingle_hashes(t, shingle)) for t in texts]
+            whole, wide = (pa.array(np.array([r[k] for r in rows], np.uint64).ravel().view(np.int64)) for k in (0, 1))
+            ends = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
+            keys = pa.StructArray.from_arrays([pa.array(np.array([k for r in rows for k, _ in r[2]], np.int32)), pa.array(np.array([f for r in rows for _, f in r[2]], np.uint64).view(np.int64))], ["number", "fp"])
+            wides = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) << WIDE_LEVEL).astype(np.int32)), wide)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys)], [id_col, "whole", "wide", "keys"])
+
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)[id_col]
+    marked, _ = written(docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>"), "similar")
+    texts, _ = written(marked.groupBy("whole").agg(F.min(id_col).alias("least"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "similar-texts")
+    wide = texts.select("whole", "wide")
+    most = differing_share(similarity) * (BITS << WIDE_LEVEL)
+    left = texts.select("whole", F.explode("keys").alias("key")).select("key.number", "key.fp", "whole")
+    path, links_found = None, None
+    while True:
+        lead = left.groupBy("number", "fp").agg(F.min("whole").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        met, met_path = written(left.join(lead, ["number", "fp"]).filter("whole <> lead"), "similar-met")
+        if path:
+            drop_path(spark, path)
+        pairs = met.select("whole", "lead").distinct().join(wide, "whole").join(wide.select(F.col("whole").alias("lead"), F.col("wide").alias("other")), "lead")
+        apart = F.aggregate(F.zip_with("wide", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+        good, _ = written(pairs.filter(apart <= most).select("whole", "lead"), "similar-links")
+        links_found = good if links_found is None else links_found.union(good)
+        left, path = written(met.join(good, ["whole", "lead"], "left_anti").select("number", "fp", "whole"), "similar-left")
+        drop_path(spark, met_path)
+        if left.isEmpty():
+            break
+    linked = components(links_found.select(F.col("whole").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "whole")
+    rooted = texts.select("whole", "least").join(linked, "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "least")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named, _ = written(rooted.select("whole", "root").join(ids, "root").select("whole", "component_id"), "similar-components")
+    return marked.select(id_col, "whole").join(named, "whole").select(id_col, "component_id")
+
+
+def keep_one(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The document of the smallest id of each group (id_col, component_id), one row of it; rows without an id all stay."""
+    kept = grouped.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
+    columns = docs.columns
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*columns)))
+    one = named.withColumn("_row", first).filter("_row = 1").select(*columns)
+    return one.unionByName(docs.filter(F.col(id_col).isNull()))
