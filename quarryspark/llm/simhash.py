@@ -89,9 +89,9 @@ def _signed(x: int) -> int:
 
 
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """Links (a, b) between distinct fingerprints fp that connect all pairs of at most distance (1 or 2) differing bits."""
-    if distance not in (1, 2):
-        raise ValueError("distance is 1 or 2")
+    """Links (a, b) between distinct fingerprints fp that connect all pairs of at most distance (2) differing bits."""
+    if distance != 2:
+        raise ValueError("centres one bit away serve a distance of 2 alone")
     n = distance + KEY_BLOCKS
     edge = [round(i * BITS / n) for i in range(n + 1)]
     block = [sum(1 << b for b in range(edge[i], edge[i + 1])) for i in range(n)]
