@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ MIX = np.random.Generator(np.random.PCG64(20240301)).integers(0, 1 << 63, 256, n
 ODD = np.uint64(0xD1342543DE82EF95)
 INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 RECORD = 6
+#: Packed texts that are opened at a time.
+UNPACK_ROWS = 500
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -145,8 +148,8 @@ def _compare(texts: list[str], after: list[str]) -> list[list]:
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint each text and its edited text, whose last third is replaced by the next document's beginning.
 
-    The next document is the one with the next smaller id; after the last comes the first. Texts are dealt over ranges of ids
-    once; a range works on its own neighbours, and the few pairs that lie across two ranges are joined afterwards.
+    The next document is the one with the next smaller id; after the last comes the first. Packed texts are dealt over ranges
+    of ids once; a range works on its own neighbours, and the few pairs that lie across two ranges are joined afterwards.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
@@ -155,13 +158,21 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     within, first, last = 0, 1, 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def opened() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, UNPACK_ROWS):
+                    some = batch.slice(at, UNPACK_ROWS)
+                    yield pa.RecordBatch.from_arrays([some.column(id_col), pa.array([unpack(z).decode("utf-8", "surrogatepass") for z in some.column("_packed").to_pylist()], pa.string())], [id_col, "text"])
+
         part, held_id, held, begun = TaskContext.get().partitionId(), None, "", False
         names, id_type = [id_col, *VALUES, "_place", "_part", "_text"], None
 
         def edge(i: pa.Array, place: int, text: str) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([i, *(pa.nulls(1, t) for t in arrow), pa.array([place], pa.int32()), pa.array([part], pa.int32()), pa.array([text], pa.string())], names)
 
-        for batch, texts in text_batches(batches, text_col):
+        for batch, texts in text_batches(opened()):
             ids = batch.column(id_col)
             id_type = ids.type
             if not begun:
@@ -181,8 +192,14 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             texts, after = (batch.column(c).to_pylist() for c in ("_text", "_after"))
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(v, t) for v, t in zip(_compare(texts, after), arrow, strict=True))], [id_col, *VALUES])
 
-    order = [F.col(id_col).desc(), F.xxhash64(text_col)]
-    dealt = docs.select(id_col, text_col).repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch, texts in text_batches(batches, text_col):
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_tie"), pa.array([squeeze(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], [id_col, "_tie", "_packed"])
+
+    order = [F.col(id_col).desc(), F.col("_tie")]
+    packed = docs.select(id_col, F.xxhash64(text_col).alias("_tie"), text_col).mapInArrow(pack, f"{id_col} {kind}, _tie bigint, _packed binary")
+    dealt = packed.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
     held, _ = written(dealt.mapInArrow(run, f"{id_col} {kind}, {types}, _place int, _part int, _text string"), "edits")
     parts = sorted(r["_part"] for r in held.filter(F.col("_place") == first).select("_part").collect())  # one row a range
     follows = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]], strict=True)), "_part int, _next int")
