@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import scalars  # noqa: F401  importing registers the operators
+from .operators import aggregate, resolve, scalars, search  # noqa: F401  importing registers the operators
 from .plans.register import QUERIES, SQL
 
 

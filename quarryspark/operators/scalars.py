@@ -59,10 +59,10 @@ def p5_cases_by_keyword(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("filename", "date", F.substring("parties", 1, 100).alias("snippet")).orderBy(F.desc("date"), "filename").limit(200)
 
 
-@operator(J + "SELECT filename, case_no FROM j WHERE case_no = 'sc appeal 5 97' OR (lower(case_no) = lower('sc appeal 5 97') AND NOT EXISTS (SELECT 1 FROM j WHERE case_no = 'sc appeal 5 97'))")
+@operator(J + "SELECT filename, case_no FROM j WHERE case_no = 'sc appeal 2 97' OR (lower(case_no) = lower('sc appeal 2 97') AND NOT EXISTS (SELECT 1 FROM j WHERE case_no = 'sc appeal 2 97'))")
 def p6_nocase_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Equal case numbers; if there are none, those equal but for case."""
-    wanted = "sc appeal 5 97"
+    wanted = "sc appeal 2 97"
     near = judgements(spark, sf).filter(F.collate("case_no", "UTF8_LCASE") == F.collate(F.lit(wanted), "UTF8_LCASE")).select("filename", "case_no", (F.col("case_no") == wanted).alias("exact"))
     best = near.agg(F.coalesce(F.bool_or("exact"), F.lit(False)).alias("any"))
     return near.crossJoin(F.broadcast(best)).filter(F.col("exact") | ~F.col("any")).select("filename", "case_no")  # best has one row
