@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import aggregate, resolve, scalars, search  # noqa: F401  importing registers the operators
+from .operators import aggregate, dedupe, resolve, scalars, search  # noqa: F401  importing registers the operators
 from .plans.register import QUERIES, SQL
 from .sources import listing  # noqa: F401
+from .streaming import jobs  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
