@@ -70,9 +70,9 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return roots
 
 
-def twins(docs: DataFrame, block: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def twins(docs: DataFrame, block: Column, id_col: str = "doc_id", text_col: str = "text", autojunk: bool = True) -> DataFrame:
     """(id, cluster): documents of equal or nearly equal content within a block under one digest."""
-    roots = connected(verdicts(docs, block, id_col, text_col))
+    roots = connected(verdicts(docs, block, id_col, text_col, autojunk))
     own = docs.select(id_col, F.md5(text_col).alias("digest"))
     return own.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select(id_col, F.coalesce("root", "digest").alias("cluster"))
 

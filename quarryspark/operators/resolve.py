@@ -22,8 +22,12 @@ def j1_chunks_of_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pieces(c: Column, sizes: list[int]) -> Column:
     """All substrings of the given sizes."""
-    every = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(0)), F.lit(1)), lambda i, n=n: F.substr(c, i, F.lit(n))) for n in sizes]
-    kept = [F.when(F.length(c) >= n, x).otherwise(F.array().cast("array<string>")) for n, x in zip(sizes, every, strict=True)]
+
+    def of(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
+        return F.when(F.length(c) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    kept = [of(n) for n in sizes]
     return F.array_distinct(F.flatten(F.array(*kept)))
 
 
