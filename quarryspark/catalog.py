@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import aggregate, analysis, dedupe, extract, resolve, scalars, search  # noqa: F401  importing registers the operators
 from .plans.register import QUERIES, SQL
-from .sources import listing  # noqa: F401
+from .sources import files, listing  # noqa: F401
 from .streaming import jobs  # noqa: F401
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.register import operator
+from ..sources.shipping import shared_dir
 from ..sources.tables import JUDGEMENTS, is_empty, judgements, table
 
 #: Characters of normalised text that are compared, the least that can be, and the ratio that makes texts the same.
@@ -79,7 +80,7 @@ def twins(docs: DataFrame, block: Column, id_col: str = "doc_id", text_col: str
 
 def _checkpoints(spark: SparkSession) -> None:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir("/tmp/quarryspark-checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def language_block() -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.register import operator
+from ..sources.shipping import shared_dir
 from ..sources.tables import table
 
 
@@ -26,8 +27,7 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def drain(df: DataFrame, mode: str, keep: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run a stream over all that is there, and return what its sink then holds."""
     name = f"s_{uuid.uuid4().hex}"
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/quarryspark-checkpoints"
-    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/{name}")
+    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(df.sparkSession)}/{name}")
     query = (writer.foreachBatch(keep) if keep else writer.format("memory").queryName(name)).start()
     query.awaitTermination()
     return df.sparkSession.table(name) if not keep else None
