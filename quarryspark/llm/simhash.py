@@ -10,8 +10,7 @@ a check of their Hamming distance. A group of copies thus gives links in proport
 similar_groups() serves a similarity of word shingle sets instead (0.8, say), where 64 bits differ in too many places to share
 a block. There a text's shingles are dealt by hash into classes of 3 to 6, each class has a 64-bit fingerprint of its own, and
 these are the blocks of a long fingerprint: texts that differ in few places have several classes without a difference. Texts
-meet on equal blocks, each key's members are compared with its least one, those that fail with the least of what is left, and so
-on, by the Hamming distance of fixed-length fingerprints of 16 classes, whose share of differing bits is the angle that a
+meet on equal blocks; a key's members are compared with its least and greatest one, those that fail in further rounds, by the Hamming distance of fixed-length fingerprints of 16 classes, whose share of differing bits is the angle that a
 similarity gives.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows get the same component. An empty
@@ -22,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +40,8 @@ KEY_BLOCKS = 3
 CLASS_SHINGLES, CLASS_KEYS = 3, 32
 #: Classes, as a power of two, of the fingerprints whose distance is taken.
 WIDE_LEVEL = 4
+#: Keys that are taken together, turn by turn, and the rounds of a turn.
+RUNS, ROUNDS = (1, 2, 3, 4, 6, 8), 2
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,6 +158,48 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def _runs(texts: DataFrame, size: int) -> DataFrame:
+    """(number, fp, whole): every run of size keys of a text as one key; all its keys if it has fewer."""
+    n = F.least(F.lit(size), F.size("keys"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("keys") - n + 1), lambda i: F.struct(F.element_at("keys", i)["number"].alias("number"), F.xxhash64(F.slice("keys", i, n)).alias("fp")))
+    return texts.select("whole", F.explode(runs).alias("key")).select("key.number", "key.fp", "whole")
+
+
+def _found(texts: DataFrame, most: float) -> DataFrame:
+    """Links (whole, lead) between texts (whole, wide, keys) that share a key and differ in at most so many wide bits.
+
+    A key's members are compared with its least and its greatest one. Those that neither links go on: ROUNDS times with the same
+    keys, then with runs of ever more keys in place of single ones, which unlike texts that share a passage don't share, and
+    with the longest runs until none is left. No key is dropped for its size, and no two members of a key are paired but by these.
+    """
+    spark = texts.sparkSession
+    wide = texts.select("whole", "wide")
+    apart = F.aggregate(F.zip_with("wide", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    links_found, paths = None, []
+    left = _runs(texts, 1)
+    for turn in count():
+        size = RUNS[min(turn // ROUNDS, len(RUNS) - 1)]
+        if turn and turn % ROUNDS == 0 and turn // ROUNDS < len(RUNS):
+            left = _runs(texts.join(left.select("whole").distinct(), "whole", "left_semi"), size)
+        lead = left.groupBy("number", "fp").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low <> high")
+        met, met_path = written(left.join(lead, ["number", "fp"]), "similar-met")
+        pairs = met.select("whole", F.explode(F.array("low", "high")).alias("lead")).filter("whole <> lead").distinct()
+        judged = pairs.join(wide, "whole").join(wide.select(F.col("whole").alias("lead"), F.col("wide").alias("other")), "lead")
+        good, _ = written(judged.filter(apart <= most).select("whole", "lead"), "similar-links")
+        links_found = good if links_found is None else links_found.union(good)
+        rest = met.filter("whole <> low AND whole <> high")
+        for side in ("low", "high"):
+            rest = rest.join(good.select("whole", F.col("lead").alias(side)), ["whole", side], "left_anti")
+        left, path = written(rest.select("number", "fp", "whole"), "similar-left")
+        paths += [met_path, path]
+        if left.isEmpty():
+            break
+        for old in paths[:-1]:
+            drop_path(spark, old)
+        paths = paths[-1:]
+    return links_found
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) by links between texts whose shingle sets are that similar."""
 
@@ -169,27 +212,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
             wides = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) << WIDE_LEVEL).astype(np.int32)), wide)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys)], [id_col, "whole", "wide", "keys"])
 
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     marked, _ = written(docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>"), "similar")
     texts, _ = written(marked.groupBy("whole").agg(F.min(id_col).alias("least"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "similar-texts")
-    wide = texts.select("whole", "wide")
-    most = differing_share(similarity) * (BITS << WIDE_LEVEL)
-    left = texts.select("whole", F.explode("keys").alias("key")).select("key.number", "key.fp", "whole")
-    path, links_found = None, None
-    while True:
-        lead = left.groupBy("number", "fp").agg(F.min("whole").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        met, met_path = written(left.join(lead, ["number", "fp"]).filter("whole <> lead"), "similar-met")
-        if path:
-            drop_path(spark, path)
-        pairs = met.select("whole", "lead").distinct().join(wide, "whole").join(wide.select(F.col("whole").alias("lead"), F.col("wide").alias("other")), "lead")
-        apart = F.aggregate(F.zip_with("wide", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-        good, _ = written(pairs.filter(apart <= most).select("whole", "lead"), "similar-links")
-        links_found = good if links_found is None else links_found.union(good)
-        left, path = written(met.join(good, ["whole", "lead"], "left_anti").select("number", "fp", "whole"), "similar-left")
-        drop_path(spark, met_path)
-        if left.isEmpty():
-            break
+    links_found = _found(texts, differing_share(similarity) * (BITS << WIDE_LEVEL))
     linked = components(links_found.select(F.col("whole").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "whole")
     rooted = texts.select("whole", "least").join(linked, "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "least")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
