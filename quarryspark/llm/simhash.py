@@ -10,8 +10,9 @@ a check of their Hamming distance. A group of copies thus gives links in proport
 similar_groups() serves a similarity of word shingle sets instead (0.8, say), where 64 bits differ in too many places to share
 a block. There a text's shingles are dealt by hash into classes of 3 to 6, each class has a 64-bit fingerprint of its own, and
 these are the blocks of a long fingerprint: texts that differ in few places have several classes without a difference. Texts
-meet on equal blocks; a key's members are compared with its least and greatest one, those that fail in further rounds, by the Hamming distance of fixed-length fingerprints of 16 classes, whose share of differing bits is the angle that a
-similarity gives.
+meet on equal blocks; the members of a key of few are all compared, those of other keys with its least and greatest one, those that fail in further rounds. The
+Hamming distance of fixed-length fingerprints of 16 classes only sorts out pairs that are far off: its limit lies SIGMAS standard
+deviations above what the similarity gives. The shingle sets of the pairs that are left decide, by their Jaccard similarity.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows get the same component. An empty
 table gives an empty result.
@@ -40,6 +41,10 @@ KEY_BLOCKS = 3
 CLASS_SHINGLES, CLASS_KEYS = 3, 32
 #: Classes, as a power of two, of the fingerprints whose distance is taken.
 WIDE_LEVEL = 4
+#: Standard deviations by which the distance of a pair may exceed what is expected at the similarity.
+SIGMAS = 6
+#: Members of a key that are all compared with each other at most.
+SMALL = 8
 #: Keys that are taken together, turn by turn, and the rounds of a turn.
 RUNS, ROUNDS = (1, 2, 3, 4, 6, 8), 2
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +124,7 @@ def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def long_fingerprint(hashes: list[int]) -> tuple[int, list[int], list[tuple[int, int]]]:
+def long_fingerprint(hashes: list[int] | np.ndarray) -> tuple[int, list[int], list[tuple[int, int]]]:
     """(hash of the shingle set, fingerprints of 2**WIDE_LEVEL classes, (class number, fingerprint) keys) of a text."""
     own = np.unique(np.array(hashes, np.uint64))
     n = len(own)
@@ -158,6 +163,20 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def distance_limit(similarity: float) -> float:
+    """Differing wide bits that a pair of the similarity hardly ever exceeds."""
+    n, p = BITS << WIDE_LEVEL, differing_share(similarity)
+    return n * p + SIGMAS * math.sqrt(n * p * (1 - p))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (whole, lead) whose shingle sets (whole, shingles) have the Jaccard similarity."""
+    own, other = sets.select("whole", F.col("shingles").alias("own")), sets.select(F.col("whole").alias("lead"), F.col("shingles").alias("other"))
+    common = F.size(F.array_intersect("own", "other"))
+    either = F.size("own") + F.size("other") - common
+    return pairs.join(own, "whole").join(other, "lead").filter(common / either >= similarity).select("whole", "lead")
+
+
 def _runs(texts: DataFrame, size: int) -> DataFrame:
     """(number, fp, whole): every run of size keys of a text as one key; all its keys if it has fewer."""
     n = F.least(F.lit(size), F.size("keys"))
@@ -165,33 +184,36 @@ def _runs(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("whole", F.explode(runs).alias("key")).select("key.number", "key.fp", "whole")
 
 
-def _found(texts: DataFrame, most: float) -> DataFrame:
-    """Links (whole, lead) between texts (whole, wide, keys) that share a key and differ in at most so many wide bits.
+def _found(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (whole, lead) between texts (whole, n, wide, keys) that share a key and whose sets (whole, shingles) are that similar.
 
-    A key's members are compared with its least and its greatest one. Those that neither links go on: ROUNDS times with the same
-    keys, then with runs of ever more keys in place of single ones, which unlike texts that share a passage don't share, and
-    with the longest runs until none is left. No key is dropped for its size, and no two members of a key are paired but by these.
+    All members of a key of at most SMALL texts are compared. Those of a larger one are compared with its least and its greatest
+    one. Those that neither links go on: ROUNDS times with the same keys, then with runs of ever more keys in place of single
+    ones, which unlike texts that share a passage don't share, and with the longest runs until none is left. No key is dropped
+    for its size.
     """
     spark = texts.sparkSession
-    wide = texts.select("whole", "wide")
+    wide, most = texts.select("whole", "n", "wide"), distance_limit(similarity)
+    sized = F.least("n", "m") >= F.greatest("n", "m") * (similarity - 1e-9)
     apart = F.aggregate(F.zip_with("wide", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    links_found, paths = None, []
+    held, links_found, paths = None, None, []
     left = _runs(texts, 1)
     for turn in count():
         size = RUNS[min(turn // ROUNDS, len(RUNS) - 1)]
         if turn and turn % ROUNDS == 0 and turn // ROUNDS < len(RUNS):
             left = _runs(texts.join(left.select("whole").distinct(), "whole", "left_semi"), size)
-        lead = left.groupBy("number", "fp").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low <> high")
-        met, met_path = written(left.join(lead, ["number", "fp"]), "similar-met")
-        pairs = met.select("whole", F.explode(F.array("low", "high")).alias("lead")).filter("whole <> lead").distinct()
-        judged = pairs.join(wide, "whole").join(wide.select(F.col("whole").alias("lead"), F.col("wide").alias("other")), "lead")
-        good, _ = written(judged.filter(apart <= most).select("whole", "lead"), "similar-links")
+        met, met_path = written(_met(left), "similar-met")
+        judged = _pairs(met).join(wide, "whole").join(wide.select(F.col("whole").alias("lead"), F.col("n").alias("m"), F.col("wide").alias("other")), "lead")
+        near, near_path = written(judged.filter(sized & (apart <= most)).select("whole", "lead"), "similar-near")
+        wanted = near.select("whole").union(near.select("lead")).distinct()
+        wanted, wanted_path = written(wanted if held is None else wanted.join(held.select("whole"), "whole", "left_anti"), "similar-wanted")
+        if held is None or not wanted.isEmpty():
+            more, _ = written(sets.join(F.broadcast(wanted), "whole", "left_semi").dropDuplicates(["whole"]), "similar-sets")
+            held = more if held is None else held.union(more)
+        good, _ = written(_alike(near, held, similarity), "similar-links")
         links_found = good if links_found is None else links_found.union(good)
-        rest = met.filter("whole <> low AND whole <> high")
-        for side in ("low", "high"):
-            rest = rest.join(good.select("whole", F.col("lead").alias(side)), ["whole", side], "left_anti")
-        left, path = written(rest.select("number", "fp", "whole"), "similar-left")
-        paths += [met_path, path]
+        left, path = written(_rest(met, good), "similar-left")
+        paths += [met_path, near_path, wanted_path, path]
         if left.isEmpty():
             break
         for old in paths[:-1]:
@@ -200,22 +222,47 @@ def _found(texts: DataFrame, most: float) -> DataFrame:
     return links_found
 
 
+def _met(left: DataFrame) -> DataFrame:
+    """(number, fp, whole, low, high, n): the members of keys that several texts share."""
+    lead = left.groupBy("number", "fp").agg(F.min("whole").alias("low"), F.max("whole").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    return left.join(lead, ["number", "fp"])
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs (whole, lead), whole > lead: all of a key of at most SMALL members, else those with its least and greatest one."""
+    large = met.filter(F.col("n") > SMALL).select("whole", F.explode(F.array("low", "high")).alias("lead")).filter("whole <> lead")
+    few = met.filter(F.col("n") <= SMALL).groupBy("number", "fp").agg(F.array_sort(F.collect_set("whole")).alias("all"))
+    small = few.select("all", F.posexplode("all").alias("k", "whole")).select("whole", F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("lead"))
+    return large.select(F.greatest("whole", "lead").alias("whole"), F.least("whole", "lead").alias("lead")).union(small).distinct()
+
+
+def _rest(met: DataFrame, good: DataFrame) -> DataFrame:
+    """(number, fp, whole): the members of larger keys that are no lead and that no link joins to one."""
+    rest = met.filter(F.col("n") > SMALL).filter("whole <> low AND whole <> high")
+    rest = rest.join(good.select("whole", F.col("lead").alias("low")), ["whole", "low"], "left_anti")
+    rest = rest.join(good.select(F.col("lead").alias("whole"), F.col("whole").alias("high")), ["whole", "high"], "left_anti")
+    return rest.select("number", "fp", "whole")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) by links between texts whose shingle sets are that similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, text_col):
-            rows = [long_fingerprint(shingle_hashes(t, shingle)) for t in texts]
+            sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in texts]
+            rows = [long_fingerprint(x) for x in sets]
             whole, wide = (pa.array(np.array([r[k] for r in rows], np.uint64).ravel().view(np.int64)) for k in (0, 1))
             ends = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
             keys = pa.StructArray.from_arrays([pa.array(np.array([k for r in rows for k, _ in r[2]], np.int32)), pa.array(np.array([f for r in rows for _, f in r[2]], np.uint64).view(np.int64))], ["number", "fp"])
             wides = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) << WIDE_LEVEL).astype(np.int32)), wide)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys)], [id_col, "whole", "wide", "keys"])
+            shingles = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys), shingles], [id_col, "whole", "wide", "keys", "shingles"])
 
     kind = dict(docs.dtypes)[id_col]
-    marked, _ = written(docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>"), "similar")
-    texts, _ = written(marked.groupBy("whole").agg(F.min(id_col).alias("least"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "similar-texts")
-    links_found = _found(texts, differing_share(similarity) * (BITS << WIDE_LEVEL))
+    marked, _ = written(docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>, shingles array<bigint>"), "similar")
+    sets = marked.select("whole", "shingles")
+    texts, _ = written(marked.groupBy("whole").agg(F.min(id_col).alias("least"), F.any_value(F.size("shingles")).alias("n"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "similar-texts")
+    links_found = _found(texts, sets, similarity)
     linked = components(links_found.select(F.col("whole").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "whole")
     rooted = texts.select("whole", "least").join(linked, "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "least")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
