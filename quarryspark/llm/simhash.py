@@ -13,6 +13,8 @@ these are the blocks of a long fingerprint: texts that differ in few places have
 meet on equal blocks; the members of a key of few are all compared, those of other keys with its least and greatest one, those that fail in further rounds. The
 Hamming distance of fixed-length fingerprints of 16 classes only sorts out pairs that are far off: its limit lies SIGMAS standard
 deviations above what the similarity gives. The shingle sets of the pairs that are left decide, by their Jaccard similarity.
+Texts of few shingles have few classes, so they also meet on single shingles: of those of a text in the order of rarity, the
+first ones, so many that two similar texts must share one of them.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows get the same component. An empty
 table gives an empty result.
@@ -43,8 +45,10 @@ CLASS_SHINGLES, CLASS_KEYS = 3, 32
 WIDE_LEVEL = 4
 #: Standard deviations by which the distance of a pair may exceed what is expected at the similarity.
 SIGMAS = 6
-#: Members of a key that are all compared with each other at most.
-SMALL = 8
+#: Members of a key that are all compared with each other at most; of a short text's key.
+SMALL, SMALL_SHORT = 8, 32
+#: Shingles up to which a text is short.
+SHORT = 64
 #: Keys that are taken together, turn by turn, and the rounds of a turn.
 RUNS, ROUNDS = (1, 2, 3, 4, 6, 8), 2
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -184,6 +188,35 @@ def _runs(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("whole", F.explode(runs).alias("key")).select("key.number", "key.fp", "whole")
 
 
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(number, fp, whole): the rarest shingles of each set (whole, shingles); sets of that similarity share one at least."""
+    each = sets.select("whole", F.size("shingles").alias("n"), F.explode("shingles").alias("fp"))
+    ranked = each.join(each.groupBy("fp").agg(F.count("*").alias("texts")), "fp").groupBy("whole").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("texts", "fp"))).alias("all"))
+    first = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
+    return ranked.select(F.lit(-1).alias("number"), F.explode(F.transform(first, lambda x: x["fp"])).alias("fp"), "whole")
+
+
+def _short_found(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (whole, lead) between short texts, by their sets (whole, shingles).
+
+    All members of a key of at most SMALL_SHORT texts are compared. Those of a larger one go on until they are linked to one of its leads
+    or none is left.
+    """
+    spark = sets.sparkSession
+    links_found, path = None, None
+    left = _prefixes(sets, similarity)
+    while True:
+        met, met_path = written(_met(left), "short-met")
+        good, _ = written(_alike(_pairs(met, SMALL_SHORT), sets, similarity), "short-links")
+        links_found = good if links_found is None else links_found.union(good)
+        old, (left, path) = path, written(_rest(met, good, SMALL_SHORT), "short-left")
+        for x in (met_path, old):
+            if x:
+                drop_path(spark, x)
+        if left.isEmpty():
+            return links_found
+
+
 def _found(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (whole, lead) between texts (whole, n, wide, keys) that share a key and whose sets (whole, shingles) are that similar.
 
@@ -203,7 +236,7 @@ def _found(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         if turn and turn % ROUNDS == 0 and turn // ROUNDS < len(RUNS):
             left = _runs(texts.join(left.select("whole").distinct(), "whole", "left_semi"), size)
         met, met_path = written(_met(left), "similar-met")
-        judged = _pairs(met).join(wide, "whole").join(wide.select(F.col("whole").alias("lead"), F.col("n").alias("m"), F.col("wide").alias("other")), "lead")
+        judged = _pairs(met, SMALL).join(wide, "whole").join(wide.select(F.col("whole").alias("lead"), F.col("n").alias("m"), F.col("wide").alias("other")), "lead")
         near, near_path = written(judged.filter(sized & (apart <= most)).select("whole", "lead"), "similar-near")
         wanted = near.select("whole").union(near.select("lead")).distinct()
         wanted, wanted_path = written(wanted if held is None else wanted.join(held.select("whole"), "whole", "left_anti"), "similar-wanted")
@@ -212,7 +245,7 @@ def _found(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             held = more if held is None else held.union(more)
         good, _ = written(_alike(near, held, similarity), "similar-links")
         links_found = good if links_found is None else links_found.union(good)
-        left, path = written(_rest(met, good), "similar-left")
+        left, path = written(_rest(met, good, SMALL), "similar-left")
         paths += [met_path, near_path, wanted_path, path]
         if left.isEmpty():
             break
@@ -228,17 +261,17 @@ def _met(left: DataFrame) -> DataFrame:
     return left.join(lead, ["number", "fp"])
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Pairs (whole, lead), whole > lead: all of a key of at most SMALL members, else those with its least and greatest one."""
-    large = met.filter(F.col("n") > SMALL).select("whole", F.explode(F.array("low", "high")).alias("lead")).filter("whole <> lead")
-    few = met.filter(F.col("n") <= SMALL).groupBy("number", "fp").agg(F.array_sort(F.collect_set("whole")).alias("all"))
+def _pairs(met: DataFrame, most: int) -> DataFrame:
+    """Pairs (whole, lead), whole > lead: all of a key of so many members at most, else those with its least and greatest one."""
+    large = met.filter(F.col("n") > most).select("whole", F.explode(F.array("low", "high")).alias("lead")).filter("whole <> lead")
+    few = met.filter(F.col("n") <= most).groupBy("number", "fp").agg(F.array_sort(F.collect_set("whole")).alias("all"))
     small = few.select("all", F.posexplode("all").alias("k", "whole")).select("whole", F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("lead"))
     return large.select(F.greatest("whole", "lead").alias("whole"), F.least("whole", "lead").alias("lead")).union(small).distinct()
 
 
-def _rest(met: DataFrame, good: DataFrame) -> DataFrame:
+def _rest(met: DataFrame, good: DataFrame, most: int) -> DataFrame:
     """(number, fp, whole): the members of larger keys that are no lead and that no link joins to one."""
-    rest = met.filter(F.col("n") > SMALL).filter("whole <> low AND whole <> high")
+    rest = met.filter(F.col("n") > most).filter("whole <> low AND whole <> high")
     rest = rest.join(good.select("whole", F.col("lead").alias("low")), ["whole", "low"], "left_anti")
     rest = rest.join(good.select(F.col("lead").alias("whole"), F.col("whole").alias("high")), ["whole", "high"], "left_anti")
     return rest.select("number", "fp", "whole")
@@ -255,14 +288,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
             ends = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
             keys = pa.StructArray.from_arrays([pa.array(np.array([k for r in rows for k, _ in r[2]], np.int32)), pa.array(np.array([f for r in rows for _, f in r[2]], np.uint64).view(np.int64))], ["number", "fp"])
             wides = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) << WIDE_LEVEL).astype(np.int32)), wide)
+            few, sizes = pa.array([x.view(np.int64) if 0 < len(x) <= SHORT else None for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32())
             shingles = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys), shingles], [id_col, "whole", "wide", "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys), shingles, few, sizes], [id_col, "whole", "wide", "keys", "shingles", "few", "n"])
 
     kind = dict(docs.dtypes)[id_col]
-    marked, _ = written(docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>, shingles array<bigint>"), "similar")
+    marked, _ = written(docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>, shingles array<bigint>, few array<bigint>, n int"), "similar")
     sets = marked.select("whole", "shingles")
-    texts, _ = written(marked.groupBy("whole").agg(F.min(id_col).alias("least"), F.any_value(F.size("shingles")).alias("n"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "similar-texts")
-    links_found = _found(texts, sets, similarity)
+    texts, _ = written(marked.groupBy("whole").agg(F.min(id_col).alias("least"), F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "similar-texts")
+    short, _ = written(marked.filter("few IS NOT NULL").select("whole", F.col("few").alias("shingles")).dropDuplicates(["whole"]), "similar-short")
+    links_found = _found(texts, sets, similarity).union(_short_found(short, similarity))
     linked = components(links_found.select(F.col("whole").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "whole")
     rooted = texts.select("whole", "least").join(linked, "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "least")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -183,6 +183,22 @@ def test_similar_groups_decide_by_the_shingle_sets(spark):
     assert [found[b] for _, b in unlike] == [b for _, b in unlike]
 
 
+def test_similar_groups_find_short_texts(spark):
+    ship(spark)
+    rnd = random.Random(5)
+    opening = "all of them begin with these nine common words"
+    rows = []
+    for k in range(40):
+        for n in (8, 9, 14, 24, 44):  # shingles 4 to 40, and a quarter more
+            own = opening.split() * (n > 20) + ["".join(rnd.choices("abcdefghij", k=7)) for _ in range(n + n)]
+            rows += [(len(rows), " ".join(own[:n])), (len(rows) + 1, " ".join(own[: n + (n - 4) // 4]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    alike = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    found = dict(simhash.similar_groups(df).collect())
+    assert len(alike) == 200 and all(found[a] == found[b] for a, b in alike) and len(set(found.values())) == 200
+
+
 def test_packing(spark, docs, edges):
     from tokenizers import Tokenizer
 
