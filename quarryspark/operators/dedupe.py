@@ -58,17 +58,21 @@ def verdicts(docs: DataFrame, block: Column, id_col: str = "doc_id", text_col: s
     return pairs.select("a", "b", "x", "y").mapInPandas(run, "a string, b string, similarity double").filter(F.col("similarity") >= SAME)
 
 
-def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root) of every node of edges (a, b): least labels spread until none changes."""
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges (a, b): least labels spread until none changes.
+
+    After each step a label is replaced by the label of the node it names, so that labels cross a long chain in few steps.
+    """
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
     roots = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    for _ in range(rounds):
+    while True:
         pulled = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
         step = roots.join(pulled, roots["node"] == pulled["a"], "left").select("node", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved")).checkpoint()
-        roots = step.select("node", "root")
         if not step.filter("moved").limit(1).count():
-            break
-    return roots
+            both.unpersist()
+            return step.select("node", "root")
+        named = step.select(F.col("node").alias("name"), F.col("root").alias("least"))
+        roots = step.join(named, step["root"] == named["name"]).select("node", F.col("least").alias("root")).checkpoint()
 
 
 def twins(docs: DataFrame, block: Column, id_col: str = "doc_id", text_col: str = "text", autojunk: bool = True) -> DataFrame:

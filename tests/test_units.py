@@ -182,6 +182,12 @@ def test_twins_chain_and_strangers(spark):
     assert got[1] == got[2] == got[3] and len({got[1], got[4], got[5], got[6]}) == 4
 
 
+def test_connected_crosses_long_chains(spark):
+    chain = [(i, i + 1) for i in range(1, 131)] + [(200 - i, 201 - i) for i in range(0, 3)] + [(500, 500)]
+    got = {r["node"]: r["root"] for r in dedupe.connected(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 1 for i in range(1, 132)}, **{i: 198 for i in range(198, 202)}, 500: 500}
+
+
 def test_upsert_fills_missing_texts(spark):
     old = spark.createDataFrame([(1, "a", "x", 0), (2, "b", "y", 0)], "k int, v string, w string, seq int")
     new = spark.createDataFrame([(2, "c", 1), (3, "d", 1)], "k int, v string, seq int")
