@@ -172,7 +172,7 @@ def x13_parsed_names(spark: SparkSession, sf: str) -> DataFrame:
 @operator()
 def q8_tiers(spark: SparkSession, sf: str) -> DataFrame:
     """The tiers of every conversation turn as a query."""
-    asked = table(spark, sf, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.left("text", F.lit(80)).alias("text"))
+    asked = table(spark, sf, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
     return table_function(asked, "id string, pos int, tier string, groups int, star boolean", ["id", "text"], lambda t: [(i, x.name, len(x.groups), x.star) for i, x in enumerate(tiers(t, Vocabulary()))])
 
 

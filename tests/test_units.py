@@ -182,6 +182,16 @@ def test_twins_chain_and_strangers(spark):
     assert got[1] == got[2] == got[3] and len({got[1], got[4], got[5], got[6]}) == 4
 
 
+def test_every_turn_is_planned_whole(spark):
+    from quarryspark import catalog
+
+    sf = "/root/testdata/sf0.001"
+    turns = [r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect() if r["text"] is not None]
+    assert any(len(r["text"]) > 80 for r in turns)
+    want = {(f"{r['conv_id']}/{r['turn']}", i, x.name, len(x.groups), x.star) for r in turns for i, x in enumerate(tiers(r["text"], Vocabulary()))}
+    assert {tuple(r) for r in catalog.queries()["q8_tiers"](spark, sf).collect()} == want
+
+
 def test_connected_crosses_long_chains(spark):
     chain = [(i, i + 1) for i in range(1, 131)] + [(200 - i, 201 - i) for i in range(0, 3)] + [(500, 500)]
     got = {r["node"]: r["root"] for r in dedupe.connected(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
