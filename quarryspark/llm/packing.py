@@ -12,6 +12,8 @@ empty result. Pieces of one length are dealt over buckets before they are ranked
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from .bpe import Codec, codec
 from .common import bucketed, shuffle_parts, text_batches, written
 
 #: Pieces that one ranking bucket holds on average.
@@ -31,14 +33,36 @@ GRID = 16
 SWEEPS = 40
 
 
-def cut(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file, which are matched inside texts before these are cut into words."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+        raise ValueError("added tokens that take blanks or whole words alone aren't served")
+    return {x["content"]: x["id"] for x in added}
+
+
+def encoded(own: Codec, texts: list[str], added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """As own.encode(texts), with the ids of added tokens where texts have these."""
+    if not any(x in t for x in added for t in texts):
+        return own.encode(texts)
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+    parts = [split(t) for t in texts]  # text, token, text, ...
+    ids, ends = own.encode([x for p in parts for x in p[::2]])
+    last = np.cumsum([len(p[::2]) for p in parts]) - 1
+    tokens = np.array([added[x] for p in parts for x in p[1::2]], np.uint32)
+    after = np.delete(np.arange(len(ends)), last)  # parts that a token follows
+    return np.insert(ids, ends[after], tokens), ends[last] + np.cumsum([len(p[1::2]) for p in parts])
+
+
+def cut(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """Pieces of each document's ids: (id_col, start, length, ids_crc32, doc_tokens)."""
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = codec(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch, texts in text_batches(batches, text_col):
-            ids, until = own.encode(texts)
+            ids, until = encoded(own, texts, added or {})
             raw, ends = memoryview(ids.astype("<u4").tobytes()), until.tolist()
             rows: list[list[int]] = [[], [], [], [], []]
             for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
@@ -151,6 +175,6 @@ def pack(pieces: DataFrame, window: int = 1024, id_col: str = "doc_id") -> DataF
     return placed.select(*(ranked[c] for c in pieces.columns), (F.col("_base") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """Cut the documents' ids and pack the pieces: one row for each piece."""
-    return pack(cut(docs, vocabulary, window, end_id, id_col, text_col), window, id_col)
+    return pack(cut(docs, vocabulary, window, end_id, id_col, text_col, added), window, id_col)

@@ -221,6 +221,23 @@ def test_packing(spark, docs, edges):
     assert packing.pack_documents(edges.limit(0), ENGLISH).count() == 0
 
 
+def test_packing_matches_added_tokens(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    own, mark = Tokenizer.from_file(P.path("byte_bpe_50k.json")), "<|endoftext|>"
+    rows = list(enumerate([f"a {mark} b", f"{mark}{mark}", f"one  {mark}", f"{mark} two {mark}'s 12{mark}x", "none at all", "", "<|endof" + mark + "text|>", f"word {mark} " * 900]))
+    ship(spark)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(registry, "table", lambda *_: df)
+    known = {i: [*own.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
+    assert known[0] == [64, 220, 50256, 275, 0]
+    pieces = registry.op7_packing(spark, SF).collect()
+    assert {p["doc_id"] for p in pieces} == set(known)
+    for p in pieces:
+        ids = known[p["doc_id"]]
+        assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(np.array(ids[p["start"] : p["start"] + p["length"]], "<u4").tobytes())
+
+
 def test_packing_plan_uses_up_the_histogram():
     rnd = np.random.default_rng(4)
     histogram = np.bincount(rnd.integers(1, 1025, 20_000), minlength=1025)
