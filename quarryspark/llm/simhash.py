@@ -16,8 +16,9 @@ deviations above what the similarity gives. The shingle sets of the pairs that a
 Texts of few shingles have few classes, so they also meet on single shingles: of those of a text in the order of rarity, the
 first ones, so many that two similar texts must share one of them.
 
-Null and empty texts have fingerprint zero and are linked like any other. Repeated rows get the same component. An empty
-table gives an empty result.
+Null and empty texts have fingerprint zero and are linked like any other. Repeated rows get the same component. A very long
+text is hashed in a batch of its own; its shingle set is a row as long as the text. Other columns are neither read nor kept by
+groups(); without_near_duplicates() keeps them, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, text_batches, written
+from .common import drop_path, join_spread, shield, text_batches, written
 from .graph import components
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -120,12 +121,17 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
 def groups(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp, component_id): component_id is the smallest id whose fingerprint can be reached over links."""
     marked, _ = written(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    fps, _ = written(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
+    fps, _ = written(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "simhash-distinct")
     linked = components(links(fps, distance)).withColumnRenamed("node", "fp")
-    rooted = fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named, _ = written(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "simhash-components")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    rooted, _ = written(fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "simhash-rooted")
+    named, _ = written(_named(rooted, "fp"), "simhash-components")
+    return join_spread(marked, named, "fp", marked.count()).select(id_col, "fp", "component_id")
+
+
+def _named(rooted: DataFrame, node: str) -> DataFrame:
+    """(node, component_id, n) of rows (node, root, least, n): component_id is the smallest least under the root."""
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_members"))
+    return join_spread(rooted.select(node, "root", "n"), ids, "root", rooted.count(), "_members").select(node, "component_id", "n")
 
 
 def long_fingerprint(hashes: list[int] | np.ndarray) -> tuple[int, list[int], list[tuple[int, int]]]:
@@ -277,8 +283,11 @@ def _rest(met: DataFrame, good: DataFrame, most: int) -> DataFrame:
     return rest.select("number", "fp", "whole")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, component_id) by links between texts whose shingle sets are that similar."""
+def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id_col, _tie, whole), _tie being a hash of the text, and (whole, root, least, n) of the distinct shingle sets.
+
+    least has the smallest id of a set's rows, a row without one coming last, and the smallest hash of these.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, text_col):
@@ -288,28 +297,40 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
             ends = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
             keys = pa.StructArray.from_arrays([pa.array(np.array([k for r in rows for k, _ in r[2]], np.int32)), pa.array(np.array([f for r in rows for _, f in r[2]], np.uint64).view(np.int64))], ["number", "fp"])
             wides = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) << WIDE_LEVEL).astype(np.int32)), wide)
-            few, sizes = pa.array([x.view(np.int64) if 0 < len(x) <= SHORT else None for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32())
             shingles = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys), shingles, few, sizes], [id_col, "whole", "wide", "keys", "shingles", "few", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_tie"), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys), shingles, pa.array([len(x) for x in sets], pa.int32())], [id_col, "_tie", "whole", "wide", "keys", "shingles", "n"])
 
     kind = dict(docs.dtypes)[id_col]
-    marked, _ = written(docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>, shingles array<bigint>, few array<bigint>, n int"), "similar")
+    tied = docs.select(id_col, F.xxhash64(text_col).alias("_tie"), text_col)
+    marked, _ = written(tied.mapInArrow(run, f"{id_col} {kind}, _tie bigint, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>, shingles array<bigint>, n int"), "similar")
     sets = marked.select("whole", "shingles")
-    texts, _ = written(marked.groupBy("whole").agg(F.min(id_col).alias("least"), F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "similar-texts")
-    short, _ = written(marked.filter("few IS NOT NULL").select("whole", F.col("few").alias("shingles")).dropDuplicates(["whole"]), "similar-short")
+    least = F.min(F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col), F.col("_tie"))).alias("least")
+    texts, _ = written(marked.groupBy("whole").agg(least, F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "similar-texts")
+    short, _ = written(marked.filter((F.col("n") > 0) & (F.col("n") <= SHORT)).select("whole", "shingles").dropDuplicates(["whole"]), "similar-short")
     links_found = _found(texts, sets, similarity).union(_short_found(short, similarity))
     linked = components(links_found.select(F.col("whole").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "whole")
-    rooted = texts.select("whole", "least").join(linked, "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "least")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named, _ = written(rooted.select("whole", "root").join(ids, "root").select("whole", "component_id"), "similar-components")
-    return marked.select(id_col, "whole").join(named, "whole").select(id_col, "component_id")
-
-
-def keep_one(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The document of the smallest id of each group (id_col, component_id), one row of it; rows without an id all stay."""
-    kept = grouped.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
-    columns = docs.columns
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*columns)))
-    one = named.withColumn("_row", first).filter("_row = 1").select(*columns)
-    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+    rooted = texts.select("whole", "least", F.col("rows").alias("n")).join(linked, "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "least", "n")
+    return marked.select(id_col, "_tie", "whole"), written(rooted, "similar-rooted")[0]
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, component_id), a row for each document, by links between texts whose shingle sets are that similar."""
+    marked, rooted = _similar(docs, shingle, similarity, id_col, text_col)
+    named, _ = written(_named(rooted.withColumn("least", F.col("least")[id_col]), "whole"), "similar-components")
+    return join_spread(marked.select(id_col, "whole"), named, "whole", marked.count()).select(id_col, "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of similar texts: that of the smallest id, a row without id only if the group has no other.
+
+    Rows under one id with unlike texts are of different groups, so each stays. Of rows that repeat id and text, one stays. docs'
+    columns come back as they were, whatever their names.
+    """
+    held, restore = shield(docs, id_col, text_col)
+    _, rooted = _similar(held, shingle, similarity, id_col, text_col)
+    kept, _ = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least")[id_col].alias("_id"), F.col("least._tie").alias("_kept")), "similar-kept")
+    plain = [c for c, t in held.dtypes if "map<" not in t and "variant" not in t]
+    own = held.withColumn("_tie", F.xxhash64(text_col))
+    first = F.row_number().over(Window.partitionBy(id_col, "_tie").orderBy(F.xxhash64(*plain)))  # repeats end before the shuffle
+    one = own.withColumn("_row", first).filter("_row = 1").drop("_row")
+    return restore(one.join(kept, (one[id_col].eqNullSafe(kept["_id"])) & (one["_tie"] == kept["_kept"]), "left_semi"))
