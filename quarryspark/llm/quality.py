@@ -7,10 +7,12 @@ joins sharded by context, which give interpolated modified Kneser-Ney probabilit
 language's model is compared to quantiles of the trusted documents of its language and length class; documents beyond the
 upper quantile by a margin, or below the lower one, are rejected.
 
-The table of probabilities has ALPHABET**3 entries for each of at most LANGUAGES languages, whatever the corpus' size, and is
-broadcast. A language without a model of its own, or null, uses that of all languages. Null and empty texts have perplexity 1
-and are rejected. Labels that are null or missing are no trust; without trusted text nothing is rejected but empty texts.
-Repeated rows get equal results.
+A table of probabilities has ALPHABET**3 entries for each of at most MODELS languages, whatever the corpus' size, and is
+broadcast; with more languages there is a pass for each MODELS of them. A language without trusted text, or null, uses the model
+of all languages. Null and empty texts have perplexity 1 and are rejected. Labels that are null or missing are no trust; without
+trusted text nothing is rejected but empty texts. Repeated rows get equal results, and a very long text is scored in a batch of
+its own. Columns of docs of any name come back as they were, but for score()'s perplexity and accepted, which it replaces. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import shield, text_batches, written
 
 ALPHABET = 44
-#: Languages with a model of their own: those of the most trusted text.
-LANGUAGES = 64
+#: Languages whose models are held at once; more are worked off in turns.
+MODELS = 64
 #: Quantiles of trusted documents' cross-entropies (bits a symbol), and the margins beyond them.
 UPPER, LOWER, MARGIN = 0.995, 0.002, 0.12
 #: Trusted documents that a length class of a language needs for quantiles of its own.
@@ -143,11 +145,9 @@ class Model:
         return out
 
 
-def train(trusted: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """The model of trusted texts: bits of each trigram by interpolated modified Kneser-Ney."""
-    tri, _ = written(count_trigrams(trusted, text_col, lang_col), "trigrams")
-    sizes = {r["lang"]: r["n"] for r in tri.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = [POOL, *sorted(sorted((x for x in sizes if x != POOL), key=lambda x: (-sizes[x], x))[:LANGUAGES])]
+def train(tri: DataFrame, part: list[str]) -> Model:
+    """The model of all languages and of the part's, from trigram counts: bits of each by interpolated modified Kneser-Ney."""
+    langs = [POOL, *part]
     tri = tri.filter(F.col("lang").isin(langs))
     bi = tri.groupBy("lang", "b", "c").agg(F.count("*").alias("n"))  # continuations
     uni = bi.groupBy("lang", "c").agg(F.count("*").alias("n"))
@@ -192,20 +192,46 @@ def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") ->
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with perplexity, and accepted (boolean)."""
-    added = ["perplexity", "accepted", "entropy", "_class", "_lang", "high", "low"]
-    docs = docs.drop(*(c for c in docs.columns if c in added))
-    trusted = trusted_rows(docs.select(id_col, text_col, lang_col), labels, id_col)
-    model = train(trusted, text_col, lang_col)
-    known = set(model.langs)
-    own = F.when(F.col(lang_col).isin(sorted(known - {POOL})), F.col(lang_col)).otherwise(F.lit(POOL))
-    seen = _with_entropy(trusted, model, text_col, lang_col).filter(F.length(text_col) > 0)
-    seen, _ = written(seen.select(own.alias("lang"), length_class(text_col).alias("class"), "entropy"), "trusted-entropies")
-    grades = seen.withColumn("lang", F.explode(F.array_distinct(F.array("lang", F.lit(POOL))))).withColumn("class", F.explode(F.array("class", F.lit(-1))))
-    limits = grades.groupBy("lang", "class").agg(F.count("*").alias("n"), F.percentile_approx("entropy", F.array(F.lit(LOWER), F.lit(UPPER)), 10_000).alias("q")).filter((F.col("n") >= LEAST_TRUSTED) | ((F.col("class") == -1) & (F.col("lang") == POOL))).collect()  # a few rows a language
-    held = {(r["lang"], r["class"]): (r["q"][0] - MARGIN, r["q"][1] + MARGIN) for r in limits}
-    bounds = docs.sparkSession.createDataFrame([(lang, c, *next((held[k] for k in ((lang, c), (lang, -1), (POOL, c), (POOL, -1)) if k in held), (-math.inf, math.inf))) for lang in known for c in range(3, 17)], "_lang string, _class int, low double, high double")
-    marked = _with_entropy(docs, model, text_col, lang_col).withColumns({"_lang": own, "_class": length_class(text_col)})
-    judged = marked.join(F.broadcast(bounds), ["_lang", "_class"])
-    accepted = (F.coalesce(F.length(text_col), F.lit(0)) > 0) & (F.col("entropy") <= F.col("high")) & (F.col("entropy") >= F.col("low"))
-    return judged.select(*docs.columns, F.pow(F.lit(2.0), "entropy").alias("perplexity"), accepted.alias("accepted"))
+    """docs with perplexity, and accepted (boolean); columns of these two names are replaced, all others stay as they are."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("perplexity", "accepted")))
+    held, restore = shield(docs, id_col, text_col, lang_col)
+    judged = _judged(held, labels, id_col, text_col, lang_col)
+    both = [F.pow(F.lit(2.0), "entropy").alias("perplexity"), F.col("_accepted").alias("accepted")]
+    own = restore(held).schema  # names and order of docs
+    return judged.select(*(F.col(h).alias(c) for h, c in zip(held.columns, own.names, strict=True)), *both)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that are accepted, with docs' columns as they were, whatever their names."""
+    held, restore = shield(docs, id_col, text_col, lang_col)
+    return restore(_judged(held, labels, id_col, text_col, lang_col).filter("_accepted"))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """docs with entropy and _accepted. Languages are taken MODELS at a time, so the table that a worker holds is bounded."""
+    trusted, _ = written(trusted_rows(docs.select(id_col, text_col, lang_col), labels, id_col).select(text_col, F.col(lang_col).cast("string").alias(lang_col)), "trusted")
+    tri, _ = written(count_trigrams(trusted, text_col, lang_col), "trigrams")
+    langs = sorted(r["lang"] for r in tri.select("lang").distinct().collect() if r["lang"] != POOL)  # names alone
+    parts = [langs[at : at + MODELS] for at in range(0, len(langs), MODELS)] or [[]]
+    models = [train(tri, part) for part in parts]  # ALPHABET**3 numbers a language on the driver
+
+    def turns(rows: DataFrame) -> DataFrame:
+        """rows with entropy, _lang and _class; the first turn takes the languages without a model, too."""
+        out = None
+        for part, model in zip(parts, models, strict=True):
+            lang = F.col(lang_col).cast("string")
+            own = F.when(lang.isin(part), lang).otherwise(F.lit(POOL)) if part else F.lit(POOL)
+            mine = F.coalesce(lang.isin(part), F.lit(False)) if out is not None else ~F.coalesce(lang.isin(langs[MODELS:]), F.lit(False))
+            marked = _with_entropy(rows if len(parts) == 1 else rows.filter(mine), model, text_col, lang_col)
+            marked = marked.withColumns({"_lang": own, "_class": length_class(text_col)})
+            out = marked if out is None else out.unionByName(marked)
+        return out
+
+    seen, _ = written(turns(trusted).filter(F.length(text_col) > 0).select("_lang", "_class", "entropy"), "trusted-entropies")
+    grades = seen.withColumn("_lang", F.explode(F.array_distinct(F.array("_lang", F.lit(POOL))))).withColumn("_class", F.explode(F.array("_class", F.lit(-1))))
+    limits = grades.groupBy("_lang", "_class").agg(F.count("*").alias("n"), F.percentile_approx("entropy", F.array(F.lit(LOWER), F.lit(UPPER)), 10_000).alias("q")).filter((F.col("n") >= LEAST_TRUSTED) | ((F.col("_class") == -1) & (F.col("_lang") == POOL))).collect()  # a few rows a language
+    held = {(r["_lang"], r["_class"]): (r["q"][0] - MARGIN, r["q"][1] + MARGIN) for r in limits}
+    bounds = docs.sparkSession.createDataFrame([(x, c, *next((held[k] for k in ((x, c), (x, -1), (POOL, c), (POOL, -1)) if k in held), (-math.inf, math.inf))) for x in [POOL, *langs] for c in range(3, 17)], "_lang string, _class int, low double, high double")
+    judged = turns(docs).join(F.broadcast(bounds), ["_lang", "_class"])  # a few rows a language
+    good = (F.coalesce(F.length(text_col), F.lit(0)) > 0) & (F.col("entropy") <= F.col("high")) & (F.col("entropy") >= F.col("low"))
+    return judged.withColumn("_accepted", good).drop("_lang", "_class", "low", "high")
