@@ -9,7 +9,8 @@ a block's cosines, and blocks are scanned from the highest bound on until it fal
 vote with weights that fall with distance; the votes' share is calibrated, without decreasing, on each example's own
 neighbours, with the labels' shares among all labelled rows.
 
-A label that is null or missing teaches nothing. Texts without a chosen term, null and empty ones among them, get the share
+A label that is null or missing teaches nothing; an id with two labels is toxic, and one with several texts gives one example, the
+text that sorts first. A very long text is worked on whole, in a batch of its own. An empty table gives an empty result. Texts without a chosen term, null and empty ones among them, get the share
 of toxic examples of that kind. Without examples of both labels every score is the share of toxic ones (0 if none are known).
 Repeated rows get equal scores; of equal cosines the example with the smaller id comes first.
 """
@@ -27,17 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import shield, text_batches, written
 
 #: Labelled rows of each label that are examples.
 EXAMPLES = 2048
-#: Terms that are kept, and the lengths of the word beginnings among them.
-TERMS, BEGINNINGS = 4096, (4, 5, 6, 7, 8)
+#: Lengths of the word beginnings among the terms.
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: A term tells the labels apart if its chi-square statistic reaches this.
 APART = 30.0
 NEIGHBOURS, BLOCK = 15, 32
+#: Blocks that give a text its first cosines, and texts that meet the blocks together.
+FIRST, STEP = 2, 256
 #: Word forms whose terms a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 #: The term of all words.
 ALL = "*"
@@ -82,29 +85,25 @@ class Vocabulary:
 class Examples:
     """Labelled examples in a block-max inverted index."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], labels: list[int], counts: list[dict[int, int]], shares: tuple[float, float]):
+    def __init__(self, terms: list[str], idf: np.ndarray, ids: list, labels: list[int], counts: list[dict[int, int]], shares: tuple[float, float]):
         self.terms, self.idf = terms, idf
-        vectors = [self.weights(c) for c in counts]
-        order = sorted(range(len(ids)), key=lambda i: (min(vectors[i], key=lambda t: (-vectors[i][t], t), default=-1), ids[i]))  # alike ones share blocks
-        self.ids = [ids[i] for i in order]
-        self.labels = [labels[i] for i in order]
-        self.vectors = [vectors[i] for i in order]
-        self.blocks = -(-len(ids) // BLOCK)
-        self.most = np.zeros((len(terms), self.blocks))
-        self.columns: list[dict[int, int]] = []
-        self.dense: list[np.ndarray] = []
-        for b in range(self.blocks):
-            part = self.vectors[b * BLOCK : (b + 1) * BLOCK]
-            column = {t: j for j, t in enumerate(sorted({t for v in part for t in v}))}
-            dense = np.zeros((len(part), len(column)))
-            for i, v in enumerate(part):
-                for t, w in v.items():
-                    dense[i, column[t]] = w
-                    self.most[t, b] = max(self.most[t, b], w)
+        order = sorted(range(len(ids)), key=lambda i: ids[i])  # equal cosines: the smaller id first
+        self.ids, self.labels = [ids[i] for i in order], np.array([labels[i] for i in order], np.int64)
+        self.vectors = [self.weights(counts[i]) for i in order]
+        alike = sorted(range(len(ids)), key=lambda i: (min(self.vectors[i], key=lambda t: (-self.vectors[i][t], t), default=-1), i))
+        self.members = [np.array(alike[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
+        self.most = np.zeros((len(terms), len(self.members)))
+        self.columns: list[np.ndarray] = []  # the terms of a block
+        self.dense: list[np.ndarray] = []  # their weights, a row a term
+        for b, members in enumerate(self.members):
+            column = np.array(sorted({t for i in members for t in self.vectors[i]}), np.int64)
+            dense = self.matrix([self.vectors[i] for i in members])[:, column].T
+            if len(column):
+                self.most[column, b] = dense.max(1)
             self.columns.append(column)
-            self.dense.append(dense)
-        self.plain: tuple[float, list[int]] | None = None
-        self.class_weight = tuple(s / max(1, labels.count(y)) for y, s in enumerate(shares))
+            self.dense.append(np.ascontiguousarray(dense))
+        self.plain: tuple[float, list] | None = None
+        self.class_weight = np.array([s / max(1, int((self.labels == y).sum())) for y, s in enumerate(shares)])
         self.calibrate()
 
     def weights(self, counts: dict[int, int]) -> dict[int, float]:
@@ -113,46 +112,63 @@ class Examples:
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: float(w / norm) for t, w in raw.items()} if norm else {}
 
-    def nearest(self, query: dict[int, float], k: int, but: int = -1) -> list[tuple[float, int]]:
-        """The k greatest cosines above zero, as (-cosine, example), equal ones by id."""
-        if not query:
-            return []
-        at = np.fromiter(query, np.int64, len(query))
-        bound = np.fromiter(query.values(), np.float64, len(query)) @ self.most[at]
-        found: list[tuple[float, int]] = []
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            column = self.columns[b]
-            pairs = [(column[t], w) for t, w in query.items() if t in column]
-            score = self.dense[b][:, [j for j, _ in pairs]] @ np.array([w for _, w in pairs])
-            first = b * BLOCK
-            found += [(-round(x, 12), first + i) for i, x in enumerate(score.tolist()) if x > 0 and x >= least - 1e-12 and first + i != but]
-            if len(found) > k:
-                found.sort(key=lambda x: (x[0], self.ids[x[1]]))
-                del found[k:]
-            if len(found) == k:
-                least = -max(found)[0]
-        return sorted(found, key=lambda x: (x[0], self.ids[x[1]]))
+    def matrix(self, vectors: list[dict[int, float]]) -> np.ndarray:
+        """The vectors as dense rows."""
+        out = np.zeros((len(vectors), len(self.terms)))
+        sizes = [len(v) for v in vectors]
+        out[np.repeat(np.arange(len(vectors)), sizes), [t for v in vectors for t in v]] = [w for v in vectors for w in v.values()]
+        return out
+
+    def nearest(self, queries: list[dict[int, float]], k: int, but: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the k greatest cosines above zero, as (cosine, example), equal ones by id.
+
+        The blocks of the best bounds give each query a k-th cosine; after them only blocks whose bound reaches it are scanned.
+        """
+        dense = self.matrix(queries)
+        bound, n, blocks = dense @ self.most, len(queries), len(self.members)
+        scores = np.zeros((n, len(self.ids)))
+        if not blocks:
+            return [[] for _ in queries]
+
+        def scan(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                rows = np.flatnonzero(wanted[:, b])
+                scores[rows[:, None], self.members[b]] = np.round(dense[rows[:, None], self.columns[b]] @ self.dense[b], 12)
+            if but is not None:
+                scores[np.arange(n), but] = 0
+
+        first = np.zeros((n, blocks), bool)
+        first[np.arange(n)[:, None], np.argpartition(-bound, min(FIRST, blocks) - 1, 1)[:, :FIRST]] = True
+        scan(first & (bound > 0))
+        at = max(0, len(self.ids) - k)
+        floor = np.maximum(np.partition(scores, at, 1)[:, at], 0)
+        scan(~first & (bound > 0) & (bound >= floor[:, None] - 1e-9))
+        floor = np.partition(scores, at, 1)[:, at]
+        out = []
+        for row, least in zip(scores, floor, strict=True):
+            found = np.flatnonzero((row >= least) & (row > 0))
+            found = found[np.argsort(-row[found], kind="stable")[:k]]
+            out.append(list(zip(row[found].tolist(), found.tolist(), strict=True)))
+        return out
 
     def votes(self, found: list[tuple[float, int]]) -> float:
         """The toxic share of the neighbours' weights."""
-        weight = [self.class_weight[self.labels[i]] / (1.02 + s) for s, i in found]
-        return sum(w for w, (_, i) in zip(weight, found, strict=True) if self.labels[i]) / sum(weight)
+        score, at = np.array([s for s, _ in found]), [i for _, i in found]
+        weight = self.class_weight[self.labels[at]] / (1.02 - score)
+        return float(weight @ self.labels[at] / weight.sum())
 
     def calibrate(self) -> None:
         """Fit the share of toxic examples as a function of votes that doesn't decrease (pool adjacent violators)."""
         points, empty = [], [0.0, 0.0]
-        for i, v in enumerate(self.vectors):
-            found = self.nearest(v, NEIGHBOURS, i)
+        others = [x for at in range(0, len(self.ids), STEP) for x in self.nearest(self.vectors[at : at + STEP], NEIGHBOURS, list(range(at, min(at + STEP, len(self.ids)))))]
+        for i, found in enumerate(others):
             weight = self.class_weight[self.labels[i]]
             if found:
                 points.append((self.votes(found), weight * self.labels[i], weight))
             else:
                 empty[self.labels[i]] += weight
         total = sum(self.class_weight[y] for y in self.labels) or 1.0
-        prior = sum(self.class_weight[1] for y in self.labels if y) / total
+        prior = self.class_weight[1] * int(self.labels.sum()) / total
         soft = 0.5 * min((w for w in self.class_weight if w), default=1.0)
         self.empty = (empty[1] + soft * prior) / (sum(empty) + soft)
         pools: list[list[float]] = []  # [lowest votes, toxic weight, weight]
@@ -170,18 +186,24 @@ class Examples:
         self.steps = np.array([p[0] for p in pools])
         self.values = np.array([(y + soft * prior) / (w + soft) for _, y, w in pools])
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """Score between 0 and 1, and the ids of the nearest examples."""
-        if len(counts) == 1 and self.plain:  # the term of all words alone: one direction
-            return self.plain
-        found = self.nearest(self.weights(counts), NEIGHBOURS)
-        if not found or not len(self.steps):
-            return self.empty, []
-        at = max(0, int(np.searchsorted(self.steps, self.votes(found), "right")) - 1)
-        out = float(np.clip(self.values[at], 0.0, 1.0)), [self.ids[i] for _, i in found[:5]]
-        if len(counts) == 1:
-            self.plain = out
-        return out
+    def score(self, texts: list[dict[int, int]]) -> list[tuple[float, list]]:
+        """Score between 0 and 1, and the ids of the nearest examples, of each text's term counts. Equal counts are worked on once."""
+        known: dict[tuple, tuple[float, list] | None] = {}
+        keys = [tuple(c.items()) if len(c) > 1 else (len(c),) for c in texts]  # the term of all words alone: one direction
+        fresh = []
+        for key, counts in zip(keys, texts, strict=True):
+            if key not in known:
+                known[key] = None
+                fresh.append((key, self.weights(counts)))
+        for at in range(0, len(fresh), STEP):
+            part = fresh[at : at + STEP]
+            for (key, _), found in zip(part, self.nearest([v for _, v in part], NEIGHBOURS), strict=True):
+                if not found or not len(self.steps):
+                    known[key] = self.empty, []
+                    continue
+                step = max(0, int(np.searchsorted(self.steps, self.votes(found), "right")) - 1)
+                known[key] = float(np.clip(self.values[step], 0.0, 1.0)), [self.ids[i] for _, i in found[:5]]
+        return [known[k] for k in keys]
 
 
 def _chosen(sample: DataFrame, text_col: str) -> list[str]:
@@ -205,8 +227,8 @@ def _chosen(sample: DataFrame, text_col: str) -> list[str]:
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     hit = a + b
     chi = (n0 + n1) * (a * (n1 - b) - b * (n0 - a)) ** 2 / (n0 * n1 * hit * F.greatest(F.lit(n0 + n1) - hit, F.lit(0.5)))
-    ranked = tables.withColumn("chi", chi).filter(F.col("chi") >= APART).orderBy(F.desc("chi"), "term").limit(TERMS - 1)
-    return sorted({ALL, *(r["term"] for r in ranked.select("term").collect())})
+    chosen = tables.withColumn("chi", chi).filter(F.col("chi") >= APART)  # a bounded sample's terms
+    return sorted({ALL, *(r["term"] for r in chosen.select("term").collect())})
 
 
 @lru_cache(2)
@@ -217,12 +239,14 @@ def _vocabulary(terms: tuple[str, ...]) -> Vocabulary:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Examples:
     """Learn from the labels (id_col, toxic 0 or 1) of docs. Ids and texts alone are read of docs."""
     known = labels.select(id_col, F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull())
+    known = known.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(EXAMPLES) for y in (0, 1)]
     rows = {r[id_col]: r["toxic"] for p in picked for r in p.collect()}  # at most 2 * EXAMPLES
     spark = docs.sparkSession
     chosen = spark.createDataFrame(list(rows.items()), labels.select(id_col).withColumn("toxic", F.lit(0)).schema)
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    labelled = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    sample, _ = written(labelled.groupBy(id_col).agg(F.min(F.struct("toxic", text_col)).alias("_one")).select(id_col, "_one.*"), "toxicity-sample")  # an id is one example
     terms = tuple(_chosen(sample, text_col))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,21 +272,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, examples: Examples, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1), predicted (1 from threshold on) and evidence (ids of the nearest examples)."""
-    held = docs.sparkSession.sparkContext.broadcast(examples)  # at most 2 * EXAMPLES vectors over TERMS terms
+    """docs with score (0 to 1), predicted (1 from threshold on) and evidence (ids of the nearest examples).
+
+    Columns of docs of these three names are replaced; all others stay as they are.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    held = docs.sparkSession.sparkContext.broadcast(examples)  # at most 2 * EXAMPLES sparse vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         vocabulary = _vocabulary(tuple(own.terms))
         for batch, texts in text_batches(batches, text_col):
-            found = [own.score(vocabulary.counts(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= threshold) for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))], [*batch.schema.names, "score", "predicted", "evidence"])
+            found = own.score([vocabulary.counts(t) for t in texts])
+            ids = pa.array([e for _, e in found], pa.list_(batch.column(id_col).type))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= threshold) for s, _ in found], pa.int32()), ids], [*batch.schema.names, "score", "predicted", "evidence"])
 
-    clean = docs.drop("score", "predicted", "evidence")
-    schema = clean.withColumns({"score": F.lit(0.0), "predicted": F.lit(0), "evidence": F.array(F.lit(0).cast("bigint"))}).schema
+    clean = docs.drop(*(c for c in docs.columns if c.lower() in ("score", "predicted", "evidence")))
+    schema = clean.withColumns({"score": F.lit(0.0), "predicted": F.lit(0), "evidence": F.array(F.lit(None).cast(kind))}).schema
     return clean.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, examples: Examples, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted to be toxic, with docs' columns as they were, whatever their names."""
+    held, restore = shield(docs, id_col, text_col)
+    return restore(score(held, examples, threshold, id_col, text_col).filter("predicted = 0"))
+
+
 def learnable(labels: DataFrame, remainder: int = 1, of: int = 3, id_col: str = "doc_id") -> DataFrame:
     """Labels of rows that are not held out."""
     return labels.filter(F.crc32(F.col(id_col).cast("string").cast("binary")) % of != remainder)
