@@ -7,7 +7,9 @@ words and noise of many kinds and the truth known for each block, so that traini
 
 Scripts, styles, comments, forms' controls and the head hold no blocks. Character references are decoded, white space inside a
 block becomes one space, and main blocks are joined in page order by two line feeds. Null and empty pages give an empty text;
-so do pages without main blocks. A page without any tag is one block. Repeated rows get equal results.
+so do pages without main blocks. A page without any tag is one block. Repeated rows and ties (equal paths take the label "other") get
+equal results. A very long or deep page is scanned in linear time. Columns text and n_chars of the input are replaced; others
+stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html as references
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,13 +31,16 @@ from .common import text_batches
 #: Elements whose tags bound blocks.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements whose content is no text of the page.
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas select textarea button audio video map datalist noembed noframes".split())
+HIDDEN = frozenset("script style noscript template head title iframe object canvas select textarea audio video datalist noembed noframes".split())
 #: Those whose content has no tags.
 RAW = frozenset("script style title textarea noscript iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag; a quoted value may hold ">". An unclosed quote is an ordinary character.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>""")
+CLOSE = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Paths of ancestors whose weights a worker remembers.
 PATHS = 50_000
@@ -54,12 +60,32 @@ HINTS = {
 HINT_OF = {w: g for g, ws in HINTS.items() for w in ws.split()}
 
 
+class Path:
+    """What the ancestors of a block say, from the root on. Its size doesn't grow with the depth."""
+
+    __slots__ = ("hints", "key", "last", "marks", "near", "own", "tags")
+
+    def __init__(self, tag: str, own: frozenset, up: Path | None):
+        self.own, self.last = own, tag
+        self.tags = up.tags | {tag} if up else frozenset({tag})
+        self.hints = up.hints | own if up else own
+        self.near = own | (up.own if up else frozenset())
+        told = ([tag] if tag in LANDMARKS else []) + sorted(own)
+        self.marks = (*(up.marks if up else ()), *told)[-2:]
+        self.key = (self.tags, self.hints, self.last, self.near, self.marks)
+
+
+#: Tags that say what a part of a page is.
+LANDMARKS = frozenset("article main nav header footer aside form section dialog figure button".split())
+NOWHERE = (frozenset(), frozenset(), "", frozenset(), ())
+
+
 class Block:
-    """A leaf block: its text, its ancestors from the root on as (tag, hints), and its characters inside links."""
+    """A leaf block: its text, what its ancestors say (Path.key), and its characters inside links."""
 
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("linked", "path", "text")
 
-    def __init__(self, text: str, path: list[tuple[str, frozenset]], linked: int):
+    def __init__(self, text: str, path: tuple, linked: int):
         self.text, self.path, self.linked = text, path, linked
 
 
@@ -77,40 +103,46 @@ def _hints(attributes: str) -> frozenset:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page, in order."""
+    """The leaf blocks of a page, in order. Time is linear in the page's length, however deep it nests."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    stack: list[tuple[str, Path | None]] = []  # open elements, each with the path of the block elements down to it
+    opened: Counter = Counter()
     parts: list[str] = []
-    state = [0, 0, 0]  # characters in links, open links, depth of hidden elements
+    linked = hidden = 0
     size = len(page)
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, [x for x in stack if x[0] in BLOCKS], min(state[0], len(text))))
+                path = stack[-1][1] if stack else None
+                out.append(Block(text, path.key if path else NOWHERE, min(linked, len(text))))
             parts.clear()
-        state[0] = 0
+        linked = 0
 
     def pop(to: int) -> None:
+        nonlocal hidden
         for tag, _ in stack[to:]:
-            state[1] -= tag == "a"
-            state[2] -= tag in HIDDEN
+            opened[tag] -= 1
+            hidden -= tag in HIDDEN
         del stack[to:]
 
-    def open_at(tags: frozenset | set, stop: frozenset | set = frozenset()) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in stop:
-                break
+    def open_at(tags: tuple[str, ...] | frozenset, stop: tuple[str, ...] | frozenset = ()) -> int:
+        if any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in tags:
+                    return i
+                if stack[i][0] in stop:
+                    break
         return -1
 
     def add(text: str) -> None:
-        if not state[2]:
+        nonlocal linked
+        if not hidden:
             parts.append(text)
-            if state[1]:
-                state[0] += len(text.strip())
+            if opened["a"]:
+                linked += len(text.strip())
 
     at = 0
     while at < size:
@@ -134,54 +166,52 @@ def blocks(page: str) -> list[Block]:
             add("<")
             at = lt + 1
             continue
-        end = page.find(">", name.end())
-        if end < 0:
+        rest = REST.match(page, name.end())
+        if not rest:
             break
-        tag, attributes, at = name[0].lower(), page[name.end() : end], end + 1
+        tag, attributes, at = name[0].lower(), rest[0][:-1], rest.end()
         if closing:
             if tag in BLOCKS:
                 flush()
-            i = open_at({tag}, frozenset() if tag in BLOCKS else frozenset({"td", "th", "table", "body"}))
+            i = open_at((tag,), () if tag in BLOCKS else ("td", "th", "table", "body"))
             if i >= 0:
                 pop(i)
             continue
         if tag in BLOCKS:
             flush()
-            if (i := open_at({"p", *HEADINGS}, BLOCKS - {"p"} - HEADINGS)) >= 0:
+            if (i := open_at(PARAGRAPHS, BLOCKS - PARAGRAPHS)) >= 0:
                 pop(i)  # a block ends an open paragraph, with what is open in it
-            if tag == "li" and (i := open_at({"li"}, {"ul", "ol", "menu"})) >= 0:
-                pop(i)
-            elif tag in ("dt", "dd") and (i := open_at({"dt", "dd"}, {"dl"})) >= 0:
-                pop(i)
-            elif tag in ("td", "th") and (i := open_at({"td", "th"}, {"tr", "table"})) >= 0:
-                pop(i)
-            elif tag == "tr" and (i := open_at({"tr"}, {"table"})) >= 0:
-                pop(i)
+            for sisters, parents in ENDS.get(tag, ()):
+                if (i := open_at(sisters, parents)) >= 0:
+                    pop(i)
         if tag in ("br", "hr", "img", "input"):
             add(" ")
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
-            found = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            found = CLOSE[tag].search(page, at)
             close = page.find(">", found.start()) if found else -1
             at = close + 1 if close >= 0 else size
             continue
-        stack.append((tag, _hints(attributes) if attributes else frozenset()))
-        state[1] += tag == "a"
-        state[2] += tag in HIDDEN
+        up = stack[-1][1] if stack else None
+        stack.append((tag, Path(tag, _hints(attributes) if attributes else frozenset(), up) if tag in BLOCKS or tag == "button" else up))
+        opened[tag] += 1
+        hidden += tag in HIDDEN
     flush()
     return out
 
 
-def path_features(path: tuple[tuple[str, frozenset], ...]) -> list[str]:
+PARAGRAPHS = frozenset({"p", *HEADINGS})
+#: What the begin of an element ends: (elements, inside of these).
+ENDS = {"li": [(("li",), ("ul", "ol", "menu"))], "dt": [(("dt", "dd"), ("dl",))], "dd": [(("dt", "dd"), ("dl",))], "td": [(("td", "th"), ("tr", "table"))], "th": [(("td", "th"), ("tr", "table"))], "tr": [(("tr",), ("table",))]}
+
+
+def path_features(path: tuple) -> list[str]:
     """Features of a block's ancestors."""
-    tags = [t for t, _ in path]
-    hints = [h for _, h in path]
-    f = ["bias", *(f"in:{t}" for t in set(tags)), *(f"hint:{h}" for h in frozenset().union(*hints))]
-    if tags:
-        f.append(f"last:{tags[-1]}")
-        f += [f"near:{h}" for h in (hints[-1] | (hints[-2] if len(hints) > 1 else frozenset()))]
-    marks = [x for t, h in path for x in ([t] if t in ("article", "main", "nav", "header", "footer", "aside", "form", "section", "dialog", "figure") else []) + sorted(h)]
+    tags, hints, last, near, marks = path
+    f = ["bias", *(f"in:{t}" for t in tags), *(f"hint:{h}" for h in hints), *(f"near:{h}" for h in near)]
+    if last:
+        f.append(f"last:{last}")
     f.append(f"inner:{marks[-1]}" if marks else "inner:none")
     if len(marks) > 1:
         f.append(f"inner2:{marks[-2]}>{marks[-1]}")
@@ -199,20 +229,23 @@ def text_features(b: Block, i: int, n: int, longest: int) -> list[str]:
         PLACES[4 * i // n],
         "long" if 2 * size >= longest else "short",
     ]
-    if "©" in b.text or "(c)" in b.text.lower():
-        f.append("copyright")
+    if RIGHTS.search(b.text):
+        f.append("copyright inside" if b.path[0] & {"article", "main"} else "copyright")
     if i == 0:
         f.append("first")
+    if n <= 3:
+        f.append("of few")
     return f
 
 
+RIGHTS = re.compile(r"©|\(c\)|copyright|all rights reserved", re.I)
 SIZES, PLACES = [f"size:{k}" for k in range(9)], [f"place:{k}" for k in range(4)]
 
 
 def features(page: list[Block]) -> list[list[str]]:
     """Features of each block."""
     longest = max((len(b.text) for b in page), default=1)
-    return [path_features(tuple(b.path)) + text_features(b, i, len(page), longest) for i, b in enumerate(page)]
+    return [path_features(b.path) + text_features(b, i, len(page), longest) for i, b in enumerate(page)]
 
 
 MAIN, OTHER = 1, 0
@@ -251,14 +284,40 @@ def training_pages(n: int = 260, seed: int = 5) -> list[tuple[str, list[int]]]:
         if kind == "notice":
             return f"<div{attr('cookie-notice', 'newsletter', 'consent', 'popup', 'alert', 'notice', 'cookie-banner')}><p>{paragraph()}</p></div>", 1
         if kind == "form":
-            return f"<form{rnd.choice(('', attr('search', 'login', 'contact-form')))}><label>{words(2)}</label><input name=q><p>{sentence()}</p><button>{words(1)}</button></form>", 2
+            return f"<form{rnd.choice(('', attr('search', 'login', 'contact-form')))}><label>{words(2)}</label><input name=q><p>{sentence()}</p><button>{words(1)}</button></form>", 3
         if kind == "comment":
             return f"<{(t := rnd.choice(('section', 'div')))}{attr('comments', 'comment-list', 'disqus', 'replies')}><h3>{words(1)}</h3>{''.join(f'<div{attr(chr(99) + chr(111) + "mment", "reply")}><p>{paragraph()}</p></div>' for _ in range(k))}</{t}>", k + 1
         if kind == "footer":
             return rnd.choice(("<footer>{}</footer>", f"<div{attr('footer', 'site-footer', 'copyright')}>{{}}</div>", "<footer><p>{}</p></footer>")).format(f"{rnd.choice(('&copy; ', '© ', ''))}{words(3)} {rnd.choice(('&middot; ', ''))}{paragraph()}"), 1
         return rnd.choice((f"<header><div{attr('logo', 'brand')}>{words(2)}</div><p>{words(4)}</p></header>", f"<div{attr('masthead', 'header', 'topbar')}><div>{words(2)}</div><p>{words(4)}</p></div>")), 2
 
-    pages = []
+    def row(cells: list[str], style: str = "") -> str:
+        return f"<tr{style}>" + "".join(f"<td{rnd.choice(('', ' valign=top', ' width=120'))}>{c}</td>" for c in cells) + "</tr>"
+
+    def rights() -> str:
+        return f"{rnd.choice(('&copy;', '©', 'Copyright', '(c)', 'Copyright &copy;'))} {rnd.randint(1995, 2030)} {words(2).title()}{rnd.choice(('', '. All rights reserved.', ', all rights reserved'))}"
+
+    def old_page() -> tuple[str, list[int]]:
+        """A page of layout tables or bare blocks, without names that tell anything."""
+        k, m = rnd.randint(2, 7), rnd.randint(1, 6)
+        menu = [f'<a href="{words(1)}.htm">{words(rnd.randint(1, 2)).title()}</a>' for _ in range(k)]
+        if rnd.random() < 0.3:
+            menu = [words(rnd.randint(1, 2)).title() for _ in range(k)]
+        main = [f"<p>{paragraph()} {sentence()} {sentence()}</p>" for _ in range(m)]
+        truth = [MAIN] * m
+        if rnd.random() < 0.8:
+            main.insert(0, f"<h{(h := rnd.randint(1, 3))}>{words(rnd.randint(1, 6)).capitalize()}</h{h}>")
+            truth.append(MAIN)
+        end = [rights()] if rnd.random() < 0.8 else []
+        if rnd.random() < 0.5:
+            side = rnd.random() < 0.5
+            body = "<table>" + ("" if side else row(menu)) + "<tr>" + ("<td>" + "".join(f"<p>{x}</p>" for x in menu) + "</td>" if side else "") + f"<td>{''.join(main)}</td></tr>" + "".join(row([x]) for x in end) + "</table>"
+        else:
+            shape = rnd.choice(("div", "p", "li"))
+            body = "".join(f"<{shape}>{x}</{shape}>" for x in menu) + "".join(main) + rnd.choice(("<hr>", "")) + "".join(f"<p>{x}</p>" for x in end)
+        return f"<html><body>{body}</body></html>", [OTHER] * k + truth + [OTHER] * len(end)
+
+    pages = [old_page() for _ in range(n // 4)]
     for _ in range(n):
         body: list[str] = []
         truth: list[int] = []
@@ -283,6 +342,8 @@ def training_pages(n: int = 260, seed: int = 5) -> list[tuple[str, list[int]]]:
                 put("<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(k)) + "</ul>", MAIN, k)
             elif r < 0.23:
                 put(f"<blockquote><p>{paragraph()}</p></blockquote>", MAIN)
+            elif r < 0.25:
+                put(f"<p>{rnd.choice(('', '<b>'))}{rights()}", MAIN)
             elif r < 0.28:
                 put(f"<pre>{words(6)}\n{words(4)}</pre>", MAIN)
             elif r < 0.33:
@@ -302,6 +363,8 @@ def training_pages(n: int = 260, seed: int = 5) -> list[tuple[str, list[int]]]:
             put(*(lambda x: (x[0], OTHER, x[1]))(noise(kind)))
         pages.append((f"<!DOCTYPE html><html><head><title>{words(3)}</title><script>var a=1;</script></head><body>{''.join(body)}</body></html>", truth))
     for _ in range(12):
+        pages.append((f"<p>{words(rnd.randint(1, 3))} <a href=x>{words(rnd.randint(1, 2))}</a>", [MAIN]))
+        pages.append((f"<p>{sentence()}</p><p>{words(rnd.randint(1, 4))}", [MAIN, MAIN]))
         pages.append((paragraph(), [MAIN]))
         pages.append((f"<p>{paragraph()}</p><p>{paragraph()}</p>", [MAIN, MAIN]))
     return pages
@@ -327,7 +390,7 @@ class Field:
         a = b = 0.0
         longest = max((len(x.text) for x in page), default=1)
         for i, block in enumerate(page):
-            path = tuple(block.path)
+            path = block.path
             own = known.get(path)
             if own is None:
                 own = known[path] = self.sums(path_features(path))
