@@ -7,7 +7,9 @@ packs what is left greedily, again on counts. The plan is a bounded table of slo
 among the pieces of its length, so no piece is moved by the driver.
 
 Null texts count as empty: their one piece is the end id. Repeated rows are pieces of their own. An empty table gives an
-empty result. Pieces of one length are dealt over buckets before they are ranked, so a frequent length is no hot key.
+empty result. Pieces of one length are dealt over buckets by their place in the table of pieces before they are ranked, so
+neither a frequent length nor a repeated or null id is a hot key. A very long text is encoded in a batch of its own. Of docs, id and
+text alone are read, so columns of any other name do no harm.
 """
 
 from __future__ import annotations
@@ -149,7 +151,8 @@ def plan(histogram: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]
 def pack(pieces: DataFrame, window: int = 1024, id_col: str = "doc_id") -> DataFrame:
     """Place each piece (id_col, start, length, ...) in a sequence: adds sequence_id and offset."""
     spark = pieces.sparkSession
-    pieces, _ = written(pieces, "packing-pieces")
+    columns = pieces.columns
+    pieces, _ = written(pieces.withColumn("_spread", F.monotonically_increasing_id()), "packing-pieces")
     counted = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row a length
     histogram = np.zeros(window + 1, np.int64)
     for length, n in counted.items():
@@ -164,15 +167,14 @@ def pack(pieces: DataFrame, window: int = 1024, id_col: str = "doc_id") -> DataF
         base += many
     table = spark.createDataFrame(slots, "length bigint, _from bigint, _to bigint, _base bigint, offset bigint")
     buckets = max(shuffle_parts(spark), int(histogram.sum()) // BUCKET_ROWS)
-    dealt = bucketed(pieces, id_col, "start", buckets=buckets)
+    dealt = bucketed(pieces, "_spread", buckets=buckets)
     cells = dealt.groupBy("_bucket", "length").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     cells = cells.select("_bucket", "length", F.coalesce(before, F.lit(0)).alias("_before"))
-    order = [id_col, "start", "doc_tokens", "ids_crc32"]
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket", "length").orderBy(*order)) - 1)
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket", "length").orderBy("_spread")) - 1)
     ranked = ranked.join(cells, ["_bucket", "length"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (ranked["_rank"] >= table["_from"]) & (ranked["_rank"] < table["_to"]))
-    return placed.select(*(ranked[c] for c in pieces.columns), (F.col("_base") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
+    return placed.select(*(ranked[c] for c in columns), (F.col("_base") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added: dict[str, int] | None = None) -> DataFrame:
