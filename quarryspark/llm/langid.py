@@ -8,7 +8,9 @@ narrow lead over the second one marks the text as ambiguous.
 
 Counts come from all rows that may be learned from, whole texts. A text that is null or has no letter is `und`, score 0; so is
 every text where nothing was learned. With one learned language every other text is of that language. Rows with a null
-language teach nothing. Repeated rows get equal results; equal losses go to the language that sorts first.
+language teach nothing. Repeated rows get equal results; equal losses go to the language that sorts first. Very long texts are worked
+off in chunks of CHUNK code points. Columns lang_pred, score and ambiguous of the input are replaced; others stay. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import drop_path, text_batches, written
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -35,6 +37,10 @@ STEEP = 6.0
 #: Leads below this share of the mean loss are ambiguous.
 AMBIGUOUS = 0.15
 UNKNOWN = "und"
+#: Code points, and losses of texts by languages and bits, that are held at once.
+CHUNK, LOSSES = 200_000, 4_000_000
+#: Codewords of up to this many languages are the best of several draws.
+DRAWN = 512
 
 
 @lru_cache(1)
@@ -103,10 +109,10 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
         columns = [[1] + [1 if k >> i & 1 else -1 for i in range(n - 1)] for k in range((1 << (n - 1)) - 1)]
         return np.array(columns, np.float64).T
     random, bits, best = np.random.Generator(np.random.PCG64(seed)), max(15, math.ceil(8 * math.log2(n))), None
-    for _ in range(60):
+    for _ in range(60 if n <= DRAWN else 1):
         m = random.choice([-1.0, 1.0], (n, bits))
         m[0, np.abs(m.sum(0)) == n] *= -1
-        apart = ((bits - m @ m.T) / 2 + np.eye(n) * bits).min()
+        apart = ((bits - m @ m.T) / 2 + np.eye(n) * bits).min() if n <= DRAWN else 0
         if best is None or apart > best[0]:
             best = apart, m
     return best[1]
@@ -115,30 +121,27 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
 class Codes:
     """Codewords, bit classifiers and bit weights of the learned languages."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        self.langs, self.words = langs, codewords(len(langs))
-        p = (counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * BUCKETS)
-        positive = self.words.T > 0
-        self.odds = np.stack([np.log(p[x].mean(0)) - np.log(p[~x].mean(0)) for x in positive], 1).astype(np.float32) if self.words.shape[1] else np.zeros((BUCKETS, 0), np.float32)
-        own = (p @ self.odds) * self.words if len(langs) else np.zeros((0, 0))  # each language's mean margin on its own profile
-        self.scale = np.maximum(np.abs(own).mean(0), 1e-6) if own.size else np.ones(self.words.shape[1])
-        weight = np.maximum(own.min(0), 1e-3 * self.scale) if own.size else np.ones(self.words.shape[1])
-        self.weight = weight / weight.sum() if weight.size else weight
+    def __init__(self, langs: list[str], words: np.ndarray, odds: np.ndarray, scale: np.ndarray, weight: np.ndarray):
+        self.langs, self.words, self.odds = langs, words, odds.astype(np.float32)
+        self.scale, self.weight = scale, weight / weight.sum() if weight.size else weight
 
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean margins of each text's bits, and whether it has a letter."""
+        """Mean margins of each text's bits, and whether it has a letter. Works on CHUNK code points at a time."""
         buckets, counts, sizes, letters = grams(texts)
         out = np.zeros((len(texts), self.odds.shape[1]))
-        full = sizes > 0
-        if full.any() and out.shape[1]:
-            starts = (np.cumsum(sizes) - sizes)[full]
-            total = self.odds[buckets[0]]
+        if not out.shape[1]:
+            return out, letters
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        for at in range(0, len(owner), CHUNK):
+            part = slice(at, at + CHUNK)
+            total = self.odds[buckets[0, part]]
             for row in buckets[1:]:
-                total += self.odds[row]
-            total[~counts] = 0
-            n = np.add.reduceat(counts, starts, dtype=np.int64) * ORDERS
-            out[full] = np.add.reduceat(total, starts, axis=0, dtype=np.float64) / np.maximum(n, 1)[:, None]
-        return out, letters
+                total += self.odds[row[part]]
+            total[~counts[part]] = 0
+            starts = np.flatnonzero(np.diff(owner[part], prepend=-1))
+            out[owner[part][starts]] += np.add.reduceat(total, starts, axis=0, dtype=np.float64)
+        n = np.bincount(owner[counts], minlength=len(texts)) * ORDERS
+        return out / np.maximum(n, 1)[:, None], letters
 
     def decode(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and ambiguity of each text."""
@@ -146,23 +149,50 @@ class Codes:
         n, m = len(texts), len(self.langs)
         if not m:
             return [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
-        loss = (np.logaddexp(0, -STEEP * (bits / self.scale)[:, None, :] * self.words) * self.weight).sum(2)
+        step = max(1, LOSSES // max(1, m * self.words.shape[1]))
+        parts = [(np.logaddexp(0, -STEEP * (bits[at : at + step] / self.scale)[:, None, :] * self.words) * self.weight).sum(2) for at in range(0, n, step)]
+        loss = np.concatenate(parts) if parts else np.zeros((0, m))
         best = loss.argmin(1)
         chance = np.exp(-2 * (loss - loss.min(1, keepdims=True)))
         score = 1 / chance.sum(1)
-        two = np.sort(loss, 1)
-        narrow = two[:, 1] - two[:, 0] < AMBIGUOUS * two.mean(1) if m > 1 else np.zeros(n, bool)
+        two = np.partition(loss, 1, 1) if m > 1 else loss
+        narrow = two[:, 1] - two[:, 0] < AMBIGUOUS * loss.mean(1) if m > 1 else np.zeros(n, bool)
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], np.where(letters, score, 0.0), narrow & letters
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Codes:
-    """Learn from all rows of docs that have a language."""
-    rows = count_grams(docs, text_col, lang_col).toPandas()  # at most BUCKETS rows a language
-    langs = sorted(rows["lang"].unique())
-    number = {x: i for i, x in enumerate(langs)}
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[rows["lang"].map(number).to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy()
-    return Codes(langs, counts)
+    """Learn from all rows of docs that have a language.
+
+    Counts stay in Spark: the driver gets the languages' names, BUCKETS rows of one weight a bit, and one row of means and minima
+    over the languages, so what it holds doesn't grow with a profile for each language.
+    """
+    spark = docs.sparkSession
+    counts, path = written(count_grams(docs, text_col, lang_col), "grams")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").collect()  # one row a language
+    langs = [r["lang"] for r in totals]
+    words = codewords(len(langs))
+    n_bits = words.shape[1]
+    if not n_bits:
+        return Codes(langs, words, np.zeros((BUCKETS, 0)), np.ones(0), np.ones(0))
+    mass = np.array([r["total"] + SMOOTH * BUCKETS for r in totals])
+    coded = F.broadcast(spark.createDataFrame([(x, float(m), w) for x, m, w in zip(langs, mass, words.tolist(), strict=True)], "lang string, mass double, word array<double>"))  # a codeword a language
+    own = counts.join(coded, "lang").withColumn("p", F.col("n") / F.col("mass"))
+    sides = own.groupBy("bucket").agg(F.sum("p").alias("all"), *(F.sum(F.when(F.col("word")[b] > 0, F.col("p")).otherwise(0.0)).alias(f"b{b}") for b in range(n_bits))).toPandas()  # BUCKETS rows at most
+    floor = SMOOTH / mass
+    plus, every = np.zeros((BUCKETS, n_bits)), np.zeros(BUCKETS)
+    at = sides["bucket"].to_numpy(np.int64)
+    plus[at], every[at] = sides[[f"b{b}" for b in range(n_bits)]].to_numpy(), sides["all"].to_numpy()
+    positive = words > 0
+    minus = every[:, None] - plus
+    odds = np.log((plus + floor @ positive) / positive.sum(0)) - np.log((np.maximum(minus, 0) + floor @ ~positive) / (~positive).sum(0))
+    weights = F.broadcast(spark.createDataFrame([(i, x) for i, x in enumerate(odds.tolist())], "bucket int, odds array<double>"))
+    rest = odds.sum(0)  # every bucket's share of the smoothing
+    margin = [(F.sum(F.col("p") * F.col("odds")[b]) + F.lit(SMOOTH * float(rest[b])) / F.first("mass")) * F.first(F.col("word")[b]) for b in range(n_bits)]
+    profiles = own.join(weights, "bucket").groupBy("lang").agg(*(x.alias(f"m{b}") for b, x in enumerate(margin)))
+    row = profiles.agg(*(F.avg(F.abs(f"m{b}")).alias(f"a{b}") for b in range(n_bits)), *(F.min(f"m{b}").alias(f"l{b}") for b in range(n_bits))).first()
+    drop_path(spark, path)
+    scale = np.maximum([row[f"a{b}"] for b in range(n_bits)], 1e-6)
+    return Codes(langs, words, odds, scale, np.maximum([row[f"l{b}"] for b in range(n_bits)], 1e-3 * scale))
 
 
 def predict(docs: DataFrame, codes: Codes, text_col: str = "text") -> DataFrame:
