@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, text_batches, written
+from .common import STEP_CHARS, shuffle_parts, text_batches, written
 
 LEAST, NORMAL, MOST = 16, 32, 128
 #: Bytes that a gear hash sees; not over LEAST, so that no text's boundaries depend on what lies before it.
@@ -69,10 +69,14 @@ _powers = np.ones((2, 1), np.uint64)
 
 
 def _power(n: int) -> np.ndarray:
+    """Powers of ODD and of its inverse; a worker keeps those that an ordinary step needs."""
     global _powers
-    if _powers.shape[1] < n:
-        _powers = np.stack([np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x)]), dtype=np.uint64) for x in (ODD, INVERSE)])
-    return _powers
+    if _powers.shape[1] >= n:
+        return _powers
+    made = np.stack([np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x)]), dtype=np.uint64) for x in (ODD, INVERSE)])
+    if n <= 2 * STEP_CHARS:
+        _powers = made
+    return made
 
 
 def chunk_sets(texts: list[bytes]) -> list[dict[int, int]]:
@@ -195,10 +199,10 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch, texts in text_batches(batches, text_col):
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_tie"), pa.array([squeeze(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], [id_col, "_tie", "_packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_tie"), batch.column("_spread"), pa.array([squeeze(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], [id_col, "_tie", "_spread", "_packed"])
 
-    order = [F.col(id_col).desc(), F.col("_tie")]
-    packed = docs.select(id_col, F.xxhash64(text_col).alias("_tie"), text_col).mapInArrow(pack, f"{id_col} {kind}, _tie bigint, _packed binary")
+    order = [F.col(id_col).desc(), F.col("_tie"), F.col("_spread")]  # the last one deals repeated rows over ranges
+    packed = docs.select(id_col, F.xxhash64(text_col).alias("_tie"), F.monotonically_increasing_id().alias("_spread"), text_col).mapInArrow(pack, f"{id_col} {kind}, _tie bigint, _spread bigint, _packed binary")
     dealt = packed.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
     held, _ = written(dealt.mapInArrow(run, f"{id_col} {kind}, {types}, _place int, _part int, _text string"), "edits")
     parts = sorted(r["_part"] for r in held.filter(F.col("_place") == first).select("_part").collect())  # one row a range
