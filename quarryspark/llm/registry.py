@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,21 +57,17 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, _ = tokenfile.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return tokenfile.digests(tokenfile.read(spark, path))
+    path, layout = tokenfile.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return tokenfile.digests(spark, path, layout)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.compare_edits(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Query]:
     """Each operator's query over its whole table."""
-    return {f.__name__: f for f in (op1_topk, op2_byte_bpe, op3_simhash, op4_html, op5_quality, op6_toxicity, op7_packing, op8_langid, op9_tokenfile, op10_fingerprints, pipeline)}
+    return {f.__name__: f for f in (op1_topk, op2_byte_bpe, op3_simhash, op4_html, op5_quality, op6_toxicity, op7_packing, op8_langid, op9_tokenfile, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

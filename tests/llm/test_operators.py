@@ -159,7 +159,7 @@ def test_similar_groups_keep_one_of_each_group(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, component_id string")
     found = simhash.similar_groups(df)
     assert found.count() == len(rows)
-    kept = simhash.keep_one(df, found)
+    kept = simhash.without_near_duplicates(df)
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [min(i for i, x in group.items() if x == g) for g in range(12)] and ids.count(None) == 1
@@ -260,36 +260,73 @@ def test_feistel_is_a_permutation():
     assert tokenfile.Feistel(1000, 5).slots(np.arange(9)).tolist() != tokenfile.Feistel(1000, 6).slots(np.arange(9)).tolist()
 
 
-def test_token_files(spark, docs, edges):
-    own = reference(ENGLISH)
-    for df in (docs, edges):
-        path, n = tokenfile.write_tokens(df, ENGLISH, stride=256)
-        blocks = tokenfile.read(spark, path)
-        rows = tokenfile.digests(blocks, 256).collect()
-        known = {i: [*own.encode_ordinary(t), 0] for i, t in texts(df).items()}
-        assert sorted(r["slot"] for r in rows) == list(range(n))
-        for r in rows:
-            ids = known[r["doc_id"]][256 * r["number"] :][: r["length"]]
-            assert len(ids) == r["length"] and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
-        whole = b"".join(r["payload"] for r in blocks.orderBy("block").collect())
-        assert len(whole) == n * 256 * 2
-        later = tokenfile.read(spark, path, n // 2).orderBy("block").collect()
-        assert later[0]["first_slot"] <= n // 2 and whole.endswith(b"".join(r["payload"] for r in later))
-    assert tokenfile.write_tokens(edges.limit(0), ENGLISH)[1] == 0
+@pytest.mark.parametrize("changed", [False, True])
+def test_token_files(spark, docs, edges, monkeypatch, changed):
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if changed:  # other splits after the packs are written, as with lost or added executors
+        first = tokenfile.written
 
+        def written(*args):
+            out = first(*args)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+            return out
 
-def test_topk(spark):
+        monkeypatch.setattr(tokenfile, "written", written)
+    own = reference(ENGLISH)
+    try:
+        for df in (docs, edges):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+            path, layout = tokenfile.write_tokens(df, ENGLISH, stride=256)
+            known = {i: [*own.encode_ordinary(t), 0] for i, t in texts(df).items()}
+            grid = {r["slot"]: np.frombuffer(r["ids"], "<u2") for r in tokenfile.read(spark, path, layout).collect()}
+            assert sorted(grid) == list(range(layout.total))
+            filled = np.zeros((layout.total, 256), int)
+            pieces = spark.read.parquet(f"{path}/index").collect()
+            for r in pieces:
+                a = r["offset"]
+                assert grid[r["slot"]][a : a + r["length"]].tolist() == known[r["doc_id"]][r["start"] :][: r["length"]]
+                filled[r["slot"], a : a + r["length"]] += 1
+            assert filled.max() == 1 and sum(r["length"] for r in pieces) == sum(len(known[r["doc_id"]]) for r in df.collect())
+            assert (filled.min(1) == 0).sum() <= df.rdd.getNumPartitions()  # only a stream's last sequence is padded
+            rows = {r["slot"]: r for r in tokenfile.digests(spark, path, layout).collect()}
+            assert {s: r["ids_crc32"] for s, r in rows.items()} == {s: zlib.crc32(x.astype("<u4").tobytes()) for s, x in grid.items()}
+            middle = layout.total // 2
+            assert sorted(r["slot"] for r in tokenfile.read(spark, path, layout, middle).collect()) == list(range(middle, layout.total))
+            files = sorted(f.getPath().toString() for f in tokenfile._files(spark, f"{path}/shards"))
+            for slot in (0, middle, layout.total - 1):
+                shard, at = layout.locate(slot)
+                with open(files[shard].removeprefix("file:"), "rb") as f:
+                    f.seek(at)
+                    raw = f.read(layout.record)
+                assert int.from_bytes(raw[:8], "little") == slot and raw[8:-1] == grid[slot].tobytes()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    path, layout = tokenfile.write_tokens(edges.limit(0), ENGLISH)
+    assert layout.total == 0 and tokenfile.digests(spark, path, layout).count() == 0
+
+
+@pytest.mark.parametrize(("block", "group", "waves"), [(8192, 2048, topk.WAVES), (16, 3, (1, 2, 3))])
+def test_topk(spark, monkeypatch, block, group, waves):
     ship(spark)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+    monkeypatch.setattr(topk, "QUERY_ROWS", group)
+    monkeypatch.setattr(topk, "WAVES", waves)
     rnd = np.random.default_rng(2)
     rows = [(i, rnd.normal(size=8).round(2).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[0][1]) for i in range(30)]  # ties
-    odd = [(500, None), (501, [1.0, None] * 4), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (504, [1.0, 2.0]), (505, []), (None, rows[1][1]), (506, [1e300] * 8), (0, rows[0][1])]
+    odd = [(500, None), (501, [1.0, None] * 4), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (504, [1.0, 2.0]), (505, []), (None, rows[1][1]), (0, rows[0][1])]
+    rows += [(550, [3e6, -2e6, 0.25, 1.0, 2.0, 3.0, 4.0, 5.0]), (506, [1e300] * 8), (600, [-1e300] * 8)]  # components of more than 31 bits after scaling
     df = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id bigint, embedding array<double>, score int")
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(df, df.filter("vec_id % 50 = 0")).collect()}
     whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows + [(504, [1.0, 2.0])]}
+    limit = (1 << 63) - 1
+
+    def product(a, b):
+        return max(-limit - 1, min(limit, sum(x * y for x, y in zip(a, b))))
+
     want = {}
     for q in (i for i in whole if i % 50 == 0):
-        found = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:11]
+        found = sorted((-product(whole[q], v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:11]
         want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(found[:10])}
     # a repeated row of id 0 is a candidate for others, too
     zero = {q for q, _ in want if any(want[q, k][0] == 0 for k in range(1, 11) if (q, k) in want)}
@@ -364,17 +401,46 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] for r in toxic) >= 0.6 * len(toxic)
 
 
-def test_block_max_search_is_exact():
+def test_neighbours_votes_and_scores_equal_brute_force():
     rnd = random.Random(8)
     terms = [toxicity.ALL, *"abcdefghij"]
     counts = [{0: rnd.randint(5, 90)} | {t: rnd.randint(1, 5) for t in rnd.sample(range(1, 11), rnd.randint(0, 4))} for _ in range(300)]
-    examples = toxicity.Examples(terms, np.array([1.0] + [2.0 + k / 3 for k in range(10)]), list(range(300)), [int(1 in c) for c in counts], counts, (900, 100))
+    labels = [int(1 in c) for c in counts]
+    examples = toxicity.Examples(terms, np.array([1.0] + [2.0 + k / 3 for k in range(10)]), list(range(300)), labels, counts, (900, 100))
+
+    def brute(q, but=None):
+        found = sorted((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), i) for i, v in enumerate(examples.vectors) if i != but)
+        return [(-s, i) for s, i in found[:15] if s < 0]
+
+    def votes(found):
+        weight = [(900 / labels.count(0), 100 / labels.count(1))[labels[i]] / (1.02 - s) for s, i in found]
+        return sum(w for w, (_, i) in zip(weight, found) if labels[i]) / sum(weight)
+
     for c in counts[:60]:
         q = examples.weights(c)
-        brute = sorted((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 9), examples.ids[i]) for i, v in enumerate(examples.vectors))[:15]
-        got = [(round(s, 9), examples.ids[i]) for s, i in examples.nearest(q, 15)]
-        assert [s for s, _ in got] == pytest.approx([s for s, _ in brute], abs=1e-8)
-    assert 0 <= examples.score({})[0] <= 1
+        got = examples.nearest([q], 15)[0]
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in brute(q)], abs=1e-9)
+        assert examples.votes(got) == pytest.approx(votes(got))
+        score, evidence = examples.score([c])[0]
+        step = max(0, sum(x <= votes(got) + 1e-12 for x in examples.steps) - 1)
+        assert score == pytest.approx(min(1, max(0, examples.values[step]))) and evidence == [i for _, i in got[:5]]
+    # isotonic values: non-decreasing, and their weighted mean is the weighted share of toxic examples, up to the prior's weight
+    assert (np.diff(examples.values) >= -1e-12).all() and (np.diff(examples.steps) > 0).all()
+    pairs = [(votes(brute(v, i)), labels[i]) for i, v in enumerate(examples.vectors)]
+    low, high = ([y for x, y in pairs if (x < 0.2) == side] for side in (True, False))
+    assert sum(low) / max(1, len(low)) < sum(high) / max(1, len(high))
+    assert 0 <= examples.score([{}])[0][0] <= 1
+
+
+def test_toxicity_of_other_ids_and_clashing_labels(spark, docs):
+    df = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).withColumn("score", F.lit("mine"))
+    labels = table(spark, SF, "labels").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    examples = toxicity.fit(df, labels.unionByName(labels.withColumn("toxic", F.lit(0))))  # each id twice; toxic counts
+    assert sum(examples.labels) == table(spark, SF, "labels").filter("toxic = 1").join(docs, "doc_id").count()
+    out = toxicity.score(df, examples)
+    assert dict(out.dtypes)["evidence"] == "array<string>" and out.count() == docs.count()
+    kept = toxicity.accepted(df, examples)
+    assert kept.columns == df.columns and {r["score"] for r in kept.collect()} == {"mine"}
 
 
 def test_toxicity_edges(spark, edges):
@@ -393,11 +459,42 @@ def test_quality_separates_noise(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.4 * len(bad)
 
 
-def test_kneser_ney_probabilities_add_up(spark, docs):
-    model = quality.train(docs)
-    p = np.exp2(-model.bits.astype(float)).reshape(-1, quality.ALPHABET)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+def test_kneser_ney_equals_a_plain_computation(spark, docs):
+    rows = docs.select("text", "lang").collect()
+    n, langs = quality.ALPHABET, sorted({r["lang"] for r in rows})
+    model = quality.train(quality.count_trigrams(docs), langs)
+    p = np.exp2(-model.bits.astype(float)).reshape(len(langs) + 1, -1, n)
+    assert np.allclose(p.sum(2), 1, atol=1e-4)
     assert model.entropies(["", "the"], [None, "xx"])[0] == 0
+    for lang in langs[:2]:
+        counts = np.zeros((n, n, n))
+        for r in rows:
+            if r["lang"] == lang and r["text"]:
+                np.add.at(counts.reshape(-1), quality.codes([r["text"]])[0], 1)
+        lower = np.full(n, 1.0 / n)
+        for c in ((counts.sum(0) > 0).sum(0)[None], (counts > 0).sum(0), counts.reshape(n * n, n)):
+            k = [float((c == x).sum()) for x in (1, 2, 3, 4)]
+            y = k[0] / max(k[0] + 2 * k[1], 1)
+            d = [max(0.05 * x, min(x - 0.05, x - (x + 1) * y * k[x] / max(k[x - 1], 1))) for x in (1, 2, 3)]
+            if c.shape[0] == 1:
+                c = (counts > 0).sum(0).astype(bool).sum(0)[None].astype(float)
+            taken = np.where(c == 0, 0, np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
+            total = c.sum(1, keepdims=True)
+            own = np.divide(c - taken, total, out=np.zeros_like(taken), where=total > 0)
+            back = np.where(total > 0, taken.sum(1, keepdims=True) / np.maximum(total, 1), 1)
+            low = np.tile(lower, (n, 1)) if lower.ndim == 2 and c.shape[0] == n * n else lower
+            lower = own + back * low
+            lower = lower[0] if lower.shape[0] == 1 else lower
+        own = p[model.langs[lang]]
+        assert np.allclose(own, lower, atol=1e-4)
+
+
+def test_quality_in_turns_and_by_a_shuffle(spark, monkeypatch, docs):
+    labels = table(spark, SF, "labels")
+    want = sorted(map(tuple, quality.score(docs, labels).select("doc_id", "perplexity", "accepted").collect()))
+    monkeypatch.setattr(quality, "MODELS", 1)
+    monkeypatch.setattr(quality, "BROADCAST_IDS", -1)
+    assert sorted(map(tuple, quality.score(docs, labels).select("doc_id", "perplexity", "accepted").collect())) == want
 
 
 def test_quality_edges(spark, edges):
@@ -415,6 +512,40 @@ def test_language_of_held_out_rows(spark, docs):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_bit_classifiers_equal_a_plain_computation(spark, docs):
+    codes = langid.fit(docs)
+    counts = np.zeros((len(codes.langs), langid.BUCKETS))
+    for r in langid.count_grams(docs).collect():
+        counts[codes.langs.index(r["lang"]), r["bucket"]] = r["n"]
+    p = (counts + langid.SMOOTH) / (counts.sum(1, keepdims=True) + langid.SMOOTH * langid.BUCKETS)
+    odds = np.stack([np.log(p[x].mean(0)) - np.log(p[~x].mean(0)) for x in codes.words.T > 0], 1)
+    own = (p @ odds) * codes.words
+    scale = np.abs(own).mean(0)
+    weight = np.maximum(own.min(0), 1e-3 * scale)
+    assert np.allclose(codes.odds, odds, atol=1e-4) and np.allclose(codes.scale, scale) and np.allclose(codes.weight, weight / weight.sum())
+    sample = [t for t in list(texts(docs).values())[:40] if t]
+    buckets, seen, sizes, _ = langid.grams(sample)
+    for k, (a, b) in enumerate(zip(np.cumsum(sizes) - sizes, np.cumsum(sizes))):
+        mean = sum(codes.odds[buckets[o, a:b][seen[a:b]]].sum(0, dtype=float) for o in range(3)) / (3 * seen[a:b].sum())
+        loss = (np.log1p(np.exp(-langid.STEEP * mean / codes.scale * codes.words)) * codes.weight).sum(1)
+        assert codes.decode([sample[k]])[0] == [codes.langs[int(loss.argmin())]]
+
+
+def test_many_languages_and_long_texts_in_chunks(spark, monkeypatch):
+    rnd = random.Random(6)
+    ship(spark)
+    letters = [[chr(0x4E00 + 40 * k + j) for j in range(12)] for k in range(40)]
+    rows = [(i, f"l{i % 40:02d}", " ".join("".join(rnd.choices(letters[i % 40], k=4)) for _ in range(30))) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    codes = langid.fit(df)
+    want = codes.decode([t for *_, t in rows])
+    assert want[0] == [x for _, x, _ in rows]
+    monkeypatch.setattr(langid, "CHUNK", 37)
+    monkeypatch.setattr(langid, "LOSSES", 10)
+    again = codes.decode([t for *_, t in rows])
+    assert again[0] == want[0] and np.allclose(again[1], want[1])
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 6, 20, 100):
         m = langid.codewords(n)
@@ -445,6 +576,50 @@ def test_main_text():
         assert isinstance(html.main_text(odd, field), str)
 
 
+def test_odd_tags_and_deep_pages():
+    field = html.trained()
+    assert html.main_text('<p>See <a title="a > b" href="x">link</a>', field) == "See link"
+    assert html.main_text('<p data-x="1>0">Second', field) == "Second"
+    assert html.main_text("<p title=don't>It's third</p>", field) == "It's third"
+    assert html.main_text("<article><p>Let <math><mi>x</mi></math> be. <button>Copy</button> <svg><text>now</text></svg></p></article>", field) == "Let x be. Copy now"
+    import time
+
+    begun = time.perf_counter()
+    html.main_text("<div>a" * 16_000, field)
+    html.main_text("<i>" * 16_000 + "<div>x</b></div>" * 16_000, field)
+    assert time.perf_counter() - begun < 8
+
+
+#: Pages written by hand, apart from the generator, with the main text a reader would mark.
+HAND = [
+    ("""<html><body bgcolor=white><table width=100%><tr><td><a href=/>Home</a></td><td><a href=/n>News</a></td><td><a href=/c>Contact</a></td></tr>
+     <tr><td colspan=3><h1>The bridge reopens</h1><p>After two years of repairs the old bridge was opened again on Monday, and the first carts crossed it at dawn.</p>
+     <p>The mayor said that the cost had been lower than feared, and thanked all who had worked through the winter.</p></td></tr><tr><td>Copyright 2020 Foo</td></tr></table></body></html>""",
+     ["The bridge reopens", "After two years of repairs the old bridge was opened again on Monday, and the first carts crossed it at dawn.", "The mayor said that the cost had been lower than feared, and thanked all who had worked through the winter."]),
+    ("""<div id="page"><div class="top-menu"><ul><li><a href=1>Start</a></li><li><a href=2>Archive</a></li></ul></div><div class="entry"><h2>On sourdough</h2>
+     <p>Feed the starter twice a day, and keep it in a warm place until it doubles.</p><p>Then fold the dough every half hour.</p></div>
+     <div class="sidebar"><h3>Recent posts</h3><ul><li><a href=3>Rye</a></li></ul></div><div class="footer">All rights reserved.</div></div>""",
+     ["On sourdough", "Feed the starter twice a day, and keep it in a warm place until it doubles.", "Then fold the dough every half hour."]),
+    ("""<body><header><nav><a href=/>Docs</a> <a href=/api>API</a></nav></header><main><h1>Install</h1><p>Unpack the archive into a folder of your choice.</p>
+     <pre>tar xf tool.tar
+cd tool</pre><p>Run the script, and follow its questions.</p></main><aside><p>Need help? Ask us.</p></aside><footer><p>&copy; 2021 Tool makers</p></footer></body>""",
+     ["Install", "Unpack the archive into a folder of your choice.", "tar xf tool.tar cd tool", "Run the script, and follow its questions."]),
+    ("""<body><div class="cookie-banner"><p>We use cookies to improve this site.</p><button>Accept</button></div><article><h1>A quiet harbour</h1>
+     <p>Boats lay still in the evening light while gulls picked over the nets that had been left to dry.</p><aside class="promo">Subscribe for more stories</aside>
+     <p>By night the water was black, and nobody spoke.</p></article><section class="comments"><h3>2 comments</h3><div class="comment"><p>Lovely.</p></div></section></body>""",
+     ["A quiet harbour", "Boats lay still in the evening light while gulls picked over the nets that had been left to dry.", "By night the water was black, and nobody spoke."]),
+]
+
+
+def test_field_on_pages_written_by_hand():
+    field, right, total = html.trained(), 0, 0
+    for page, want in HAND:
+        got = html.main_text(page, field).split("\n\n")
+        right += len(set(got) & set(want))
+        total += len(set(got) | set(want))
+    assert right >= 0.9 * total
+
+
 def test_field_on_held_out_pages():
     field, right, total = html.trained(), 0, 0
     for page, truth in html.training_pages(60, 77):
@@ -473,6 +648,82 @@ def test_html_query(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("size", [5, 12, 30, 60, 200, 1000])
+def test_near_duplicates_equal_brute_force(spark, size):
+    """Pairs of many similarities: none at 0.8 or more is lost, none below is linked."""
+    ship(spark)
+    rnd = random.Random(size)
+    rows = []
+    for k in range(60):
+        base = ["".join(rnd.choices("abcdefghij", k=7)) for _ in range(size + 4)]
+        other = list(base)
+        for at in rnd.sample(range(len(base)), min(len(base), rnd.randint(0, max(1, size // 20)))):
+            other[at] = "".join(rnd.choices("klmnop", k=7))
+        other += ["".join(rnd.choices("qrstuv", k=7)) for _ in range(rnd.randint(0, size // 3))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    found = dict(simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    for k in range(60):
+        assert (found[2 * k + 1] == 2 * k) == (jaccard(sets[2 * k], sets[2 * k + 1]) >= 0.8)
+        assert found[2 * k] == 2 * k
+
+
+def test_near_duplicates_of_real_documents_equal_brute_force(spark, docs):
+    known = texts(docs)
+    sets = {i: set(simhash.shingle_hashes(t, 5)) for i, t in known.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if (sets[a] or sets[b]) and jaccard(sets[a], sets[b]) >= 0.8 or not sets[a] and not sets[b]:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert dict(simhash.similar_groups(docs).collect()) == {i: find(i) for i in root}
+    assert sorted(r["doc_id"] for r in simhash.without_near_duplicates(docs).collect()) == sorted({find(i) for i in root})
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    ship(spark)
+    rows = [(1, "one two three four five six"), (1, "quite another text under the same id"), (2, "one two three four five six"), (1, "one two three four five six"), (None, "quite another text under the same id"), (None, "a text that has no id at all"), (3, ""), (4, None)]
+    kept = simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([rows[0], rows[1], rows[5], rows[6]], kept.schema).collect()))
+
+
+CLASHING = {c: f"mine-{k}" for k, c in enumerate(["low", "high", "entropy", "accepted", "perplexity", "score", "predicted", "evidence", "_row", "_tie", "_lang", "_class", "whole", "n", "_own_3", "component_id"])}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_pipeline_stages_on_edge_cases(spark, docs, kind):
+    """Nulls, empty and long texts, repeats, an empty table, and columns of any name: each stage keeps rows as they are or drops them."""
+    import corpus_pipeline
+
+    ship(spark)
+    extra = [F.lit(v).alias(c) for c, v in CLASHING.items()]
+    odd = spark.createDataFrame([(i, t) for i, t in EDGES], "doc_id bigint, text string")
+    rows = docs.select(*docs.columns).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10_000_000), allowMissingColumns=True)
+    df = rows.withColumn("doc_id", F.col("doc_id").cast(kind)).select(*docs.columns, *extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        whole = [tuple(r) for r in df.collect()]
+        kept = stage(spark, df, SF)
+        assert kept.columns == df.columns and dict(kept.dtypes) == dict(df.dtypes), name
+        assert stage(spark, df.limit(0), SF).count() == 0, name
+        out = [tuple(r) for r in kept.collect()]
+        assert set(out) <= set(whole) and 0 < len(out) <= len(whole), name
+        if name == "toxicity":
+            assert {r for r in whole if not r[1]} <= set(out)
+    for pieces in (corpus_pipeline.STAGES[-1][1](spark, df, SF), corpus_pipeline.STAGES[-1][1](spark, df.limit(0), SF)):
+        assert pieces.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        pieces.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
