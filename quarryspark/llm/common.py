@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Characters that one vectorised step works on at most (a single longer text is a step of its own).
 STEP_CHARS = 1_000_000
 #: Rows and bytes of an Arrow batch, where the session has Spark's defaults.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 #: A key is hot if it holds this share of all rows; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
 
