@@ -24,7 +24,7 @@ groups(); without_near_duplicates() keeps them, whatever their names. An empty t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, count
 
 import numpy as np
@@ -52,6 +52,8 @@ SMALL, SMALL_SHORT = 8, 32
 SHORT = 64
 #: Keys that are taken together, turn by turn, and the rounds of a turn.
 RUNS, ROUNDS = (1, 2, 3, 4, 6, 8), 2
+#: Rows that are broadcast at most.
+BROADCAST_ROWS = 100_000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -223,9 +225,15 @@ def _short_found(sets: DataFrame, similarity: float) -> DataFrame:
             return links_found
 
 
-def _found(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (whole, lead) between texts (whole, n, wide, keys) that share a key and whose sets (whole, shingles) are that similar.
+def _some(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the wanted ones; these are broadcast up to a checked number, else a shuffle joins them."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, key, "left_semi")
 
+
+def _found(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Links (whole, lead) between texts (whole, n, wide, keys) that share a key and whose shingle sets are that similar.
+
+    sets_of gives the sets (whole, shingles) of some texts (whole); only texts with a near candidate are asked for, once.
     All members of a key of at most SMALL texts are compared. Those of a larger one are compared with its least and its greatest
     one. Those that neither links go on: ROUNDS times with the same keys, then with runs of ever more keys in place of single
     ones, which unlike texts that share a passage don't share, and with the longest runs until none is left. No key is dropped
@@ -235,29 +243,33 @@ def _found(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     wide, most = texts.select("whole", "n", "wide"), distance_limit(similarity)
     sized = F.least("n", "m") >= F.greatest("n", "m") * (similarity - 1e-9)
     apart = F.aggregate(F.zip_with("wide", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    held, links_found, paths = None, None, []
+    held, links_found, paths, set_paths = None, None, [], []
     left = _runs(texts, 1)
     for turn in count():
         size = RUNS[min(turn // ROUNDS, len(RUNS) - 1)]
         if turn and turn % ROUNDS == 0 and turn // ROUNDS < len(RUNS):
-            left = _runs(texts.join(left.select("whole").distinct(), "whole", "left_semi"), size)
+            left = _runs(_some(texts, left.select("whole").distinct(), "whole"), size)
         met, met_path = written(_met(left), "similar-met")
         judged = _pairs(met, SMALL).join(wide, "whole").join(wide.select(F.col("whole").alias("lead"), F.col("n").alias("m"), F.col("wide").alias("other")), "lead")
         near, near_path = written(judged.filter(sized & (apart <= most)).select("whole", "lead"), "similar-near")
-        wanted = near.select("whole").union(near.select("lead")).distinct()
-        wanted, wanted_path = written(wanted if held is None else wanted.join(held.select("whole"), "whole", "left_anti"), "similar-wanted")
-        if held is None or not wanted.isEmpty():
-            more, _ = written(sets.join(F.broadcast(wanted), "whole", "left_semi").dropDuplicates(["whole"]), "similar-sets")
+        due, due_path = written(near.select("whole").union(near.select("lead")).distinct(), "similar-due")
+        fresh, fresh_path = written(due if held is None else due.join(held.select("whole"), "whole", "left_anti"), "similar-wanted")
+        paths += [met_path, near_path, due_path, fresh_path]
+        if held is None or not fresh.isEmpty():
+            more, path = written(sets_of(fresh), "similar-sets")
+            set_paths.append(path)
             held = more if held is None else held.union(more)
-        good, _ = written(_alike(near, held, similarity), "similar-links")
+        good, _ = written(_alike(near, _some(held, due, "whole"), similarity), "similar-links")
         links_found = good if links_found is None else links_found.union(good)
         left, path = written(_rest(met, good, SMALL), "similar-left")
-        paths += [met_path, near_path, wanted_path, path]
+        paths.append(path)
         if left.isEmpty():
             break
         for old in paths[:-1]:
             drop_path(spark, old)
         paths = paths[-1:]
+    for old in paths + set_paths:
+        drop_path(spark, old)
     return links_found
 
 
@@ -297,17 +309,29 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
             ends = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
             keys = pa.StructArray.from_arrays([pa.array(np.array([k for r in rows for k, _ in r[2]], np.int32)), pa.array(np.array([f for r in rows for _, f in r[2]], np.uint64).view(np.int64))], ["number", "fp"])
             wides = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) << WIDE_LEVEL).astype(np.int32)), wide)
+            few = pa.array([x.view(np.int64) if 0 < len(x) <= SHORT else None for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_tie"), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys), few, pa.array([len(x) for x in sets], pa.int32())], [id_col, "_tie", "whole", "wide", "keys", "shingles", "n"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches, text_col):
+            sets = [np.unique(np.array(shingle_hashes(t, shingle), np.uint64)) for t in texts]
             shingles = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_tie"), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys), shingles, pa.array([len(x) for x in sets], pa.int32())], [id_col, "_tie", "whole", "wide", "keys", "shingles", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("whole"), shingles], ["whole", "shingles"])
 
     kind = dict(docs.dtypes)[id_col]
     tied = docs.select(id_col, F.xxhash64(text_col).alias("_tie"), text_col)
     marked, _ = written(tied.mapInArrow(run, f"{id_col} {kind}, _tie bigint, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>, shingles array<bigint>, n int"), "similar")
-    sets = marked.select("whole", "shingles")
     least = F.min(F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col), F.col("_tie"))).alias("least")
     texts, _ = written(marked.groupBy("whole").agg(least, F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "similar-texts")
-    short, _ = written(marked.filter((F.col("n") > 0) & (F.col("n") <= SHORT)).select("whole", "shingles").dropDuplicates(["whole"]), "similar-short")
-    links_found = _found(texts, sets, similarity).union(_short_found(short, similarity))
+    short, _ = written(marked.filter("shingles IS NOT NULL").select("whole", "shingles").dropDuplicates(["whole"]), "similar-short")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The shingle sets of some texts, from one row of each: most texts have no near candidate, so their sets are never stored."""
+        one, _ = written(_some(texts, wanted, "whole").select("whole", F.col("least")[id_col].alias("_id"), F.col("least._tie").alias("_own")), "similar-rows")
+        met = tied.join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else one, tied[id_col].eqNullSafe(one["_id"]) & (tied["_tie"] == one["_own"]))
+        return met.select("whole", text_col).mapInArrow(again, "whole bigint, shingles array<bigint>").dropDuplicates(["whole"])
+
+    links_found = _found(texts, sets_of, similarity).union(_short_found(short, similarity))
     linked = components(links_found.select(F.col("whole").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "whole")
     rooted = texts.select("whole", "least", F.col("rows").alias("n")).join(linked, "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "least", "n")
     return marked.select(id_col, "_tie", "whole"), written(rooted, "similar-rooted")[0]
