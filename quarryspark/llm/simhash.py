@@ -243,16 +243,29 @@ def _found(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
     wide, most = texts.select("whole", "n", "wide"), distance_limit(similarity)
     sized = F.least("n", "m") >= F.greatest("n", "m") * (similarity - 1e-9)
     apart = F.aggregate(F.zip_with("wide", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """The pairs (whole, lead) of like size and near wide fingerprints."""
+        other = wide.select(F.col("whole").alias("lead"), F.col("n").alias("m"), F.col("wide").alias("other"))
+        return pairs.join(wide, "whole").join(other, "lead").filter(sized & (apart <= most)).select("whole", "lead")
+
     held, links_found, paths, set_paths = None, None, [], []
     left = _runs(texts, 1)
     for turn in count():
         size = RUNS[min(turn // ROUNDS, len(RUNS) - 1)]
         if turn and turn % ROUNDS == 0 and turn // ROUNDS < len(RUNS):
             left = _runs(_some(texts, left.select("whole").distinct(), "whole"), size)
+        if not turn % ROUNDS:  # most of a large group's members are linked to one lead here, so few pairs are left for the keys
+            shared, shared_path = written(_met(left), "similar-shared")
+            first, first_path = written(judged(_usual_lead(shared, SMALL)), "similar-first")
+            many, many_path = written(sets_of(_texts_of(first)), "similar-first-sets")
+            known, _ = written(_alike(first, many, similarity), "similar-links")
+            links_found = known if links_found is None else links_found.union(known)
+            left = shared.select("number", "fp", "whole").join(known.select("whole", F.col("lead").alias("label")), "whole", "left")
+            paths += [shared_path, first_path, many_path]
         met, met_path = written(_met(left), "similar-met")
-        judged = _pairs(met, SMALL).join(wide, "whole").join(wide.select(F.col("whole").alias("lead"), F.col("n").alias("m"), F.col("wide").alias("other")), "lead")
-        near, near_path = written(judged.filter(sized & (apart <= most)).select("whole", "lead"), "similar-near")
-        due, due_path = written(near.select("whole").union(near.select("lead")).distinct(), "similar-due")
+        near, near_path = written(judged(_pairs(met, SMALL)), "similar-near")
+        due, due_path = written(_texts_of(near), "similar-due")
         fresh, fresh_path = written(due if held is None else due.join(held.select("whole"), "whole", "left_anti"), "similar-wanted")
         paths += [met_path, near_path, due_path, fresh_path]
         if held is None or not fresh.isEmpty():
@@ -273,26 +286,43 @@ def _found(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
     return links_found
 
 
+def _texts_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select("whole").union(pairs.select(F.col("lead").alias("whole"))).distinct()
+
+
 def _met(left: DataFrame) -> DataFrame:
-    """(number, fp, whole, low, high, n): the members of keys that several texts share."""
-    lead = left.groupBy("number", "fp").agg(F.min("whole").alias("low"), F.max("whole").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    return left.join(lead, ["number", "fp"])
+    """(number, fp, whole, label, low, high, low_label, high_label, n): the members of keys that texts of several labels share.
+
+    A text's label is the text that a link is known to, or itself.
+    """
+    label = F.coalesce("label", "whole") if "label" in left.columns else F.col("whole")
+    own = left.select("number", "fp", "whole", label.alias("label"))
+    ends = own.groupBy("number", "fp").agg(F.min(F.struct("whole", "label")).alias("least"), F.max(F.struct("whole", "label")).alias("most"), F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+    lead = ends.filter("a <> b").select("number", "fp", F.col("least.whole").alias("low"), F.col("least.label").alias("low_label"), F.col("most.whole").alias("high"), F.col("most.label").alias("high_label"), "n")
+    return own.join(lead, ["number", "fp"])
+
+
+def _usual_lead(met: DataFrame, most: int) -> DataFrame:
+    """(whole, lead): for each text in keys of more than so many members the one that is the least of most of them."""
+    seen = met.filter((F.col("n") > most) & (F.col("whole") != F.col("low"))).groupBy("whole", "low").agg(F.count("*").alias("keys"))
+    return seen.groupBy("whole").agg(F.max(F.struct("keys", "low")).alias("best")).select("whole", F.col("best.low").alias("lead"))
 
 
 def _pairs(met: DataFrame, most: int) -> DataFrame:
-    """Pairs (whole, lead), whole > lead: all of a key of so many members at most, else those with its least and greatest one."""
-    large = met.filter(F.col("n") > most).select("whole", F.explode(F.array("low", "high")).alias("lead")).filter("whole <> lead")
-    few = met.filter(F.col("n") <= most).groupBy("number", "fp").agg(F.array_sort(F.collect_set("whole")).alias("all"))
-    small = few.select("all", F.posexplode("all").alias("k", "whole")).select("whole", F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("lead"))
-    return large.select(F.greatest("whole", "lead").alias("whole"), F.least("whole", "lead").alias("lead")).union(small).distinct()
+    """Pairs (whole, lead), whole > lead, of unequal labels: all of a key of so many members at most, else those with its least and greatest one."""
+    ends = F.array(F.struct(F.col("low").alias("lead"), F.col("low_label").alias("mark")), F.struct(F.col("high").alias("lead"), F.col("high_label").alias("mark")))
+    large = met.filter(F.col("n") > most).select("whole", "label", F.explode(ends).alias("end")).select("whole", "label", "end.lead", "end.mark").filter("whole <> lead AND label <> mark")
+    few = met.filter(F.col("n") <= most).groupBy("number", "fp").agg(F.array_sort(F.collect_set(F.struct("whole", "label"))).alias("all"))
+    small = few.select("all", F.posexplode("all").alias("k", "one")).select("one", F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("end")).filter("one.label <> end.label")
+    return large.select(F.greatest("whole", "lead").alias("whole"), F.least("whole", "lead").alias("lead")).union(small.select("one.whole", F.col("end.whole").alias("lead"))).distinct()
 
 
 def _rest(met: DataFrame, good: DataFrame, most: int) -> DataFrame:
-    """(number, fp, whole): the members of larger keys that are no lead and that no link joins to one."""
-    rest = met.filter(F.col("n") > most).filter("whole <> low AND whole <> high")
+    """(number, fp, whole, label): the members of larger keys that are no lead and that nothing links to one."""
+    rest = met.filter(F.col("n") > most).filter("whole <> low AND whole <> high AND label <> low_label AND label <> high_label")
     rest = rest.join(good.select("whole", F.col("lead").alias("low")), ["whole", "low"], "left_anti")
     rest = rest.join(good.select(F.col("lead").alias("whole"), F.col("whole").alias("high")), ["whole", "high"], "left_anti")
-    return rest.select("number", "fp", "whole")
+    return rest.select("number", "fp", "whole", "label")
 
 
 def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
