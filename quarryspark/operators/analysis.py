@@ -9,29 +9,51 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions import text as T
 from ..plans.query import Vocabulary, tiers
 from ..plans.register import operator
 from ..sources.tables import JUDGEMENTS, judgements, table
-from .extract import parse_name, table_function
+from .extract import table_function
 
 J = f"WITH {JUDGEMENTS}"
 
 
+#: What marks a bracket as a reference to a file or a note. Fixed values.
+REFERENCE_MARKS = ["/", "|", "Notes", ".pdf", ".txt", ".docx"]
+
+
 def tidy_synthesis(c: Column) -> Column:
-    """A synthesis without note references, with headings in bold and blank lines kept."""
-    for pattern, to in (
-        (r"\(?as per \[.*?\]\)?", ""),
-        (r"\[[^\]]*?(?:/|\||Notes|\.pdf|\.txt|\.docx)[^\]]*?\]", ""),
-        (r"\[\s*\]", ""),
-        (r"[ \t]+", " "),
-        (r"(?m)^\s*#{1,6}\s+(.+?)\s*$", "**$1**"),
-        (r"(?<=\S)\s+#{1,6}\s+", " "),
-        (r"\n{3,}", "\n\n"),
-        (r" +([.,;:?!])", "$1"),
-    ):
-        c = F.regexp_replace(c, pattern, to)
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """A synthesis without references to notes, with headings in bold and one blank line between paragraphs at most."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(\[[^\]]*\]|\[?[^\[]+|\[)"), 1)  # brackets, and what lies between them
+
+    def is_bracket(x: Column) -> Column:
+        return x.startswith("[") & x.endswith("]")
+
+    def told(x: Column) -> Column:
+        """Whether 'as per' leads to the next piece."""
+        return F.coalesce(F.rtrim(x).endswith("as per"), F.lit(False))
+
+    def piece(x: Column, i: Column) -> Column:
+        before, after = F.try_element_at(pieces, i), F.try_element_at(pieces, i + 2)
+        led = F.when(i > 0, told(before)).otherwise(F.lit(False)) & is_bracket(x)
+        dull = F.trim(F.substr(x, F.lit(2), F.length(x) - 2)) == ""
+        for mark in REFERENCE_MARKS:
+            dull = dull | x.contains(mark)
+        text = F.when(told(x) & F.coalesce(is_bracket(after), F.lit(False)), F.regexp_replace(x, r"\(?as per\s*$", "")).otherwise(x)
+        closing = F.when(i > 1, told(F.try_element_at(pieces, i - 1)) & is_bracket(before)).otherwise(F.lit(False))
+        text = F.when(closing & text.startswith(")"), F.substr(text, F.lit(2))).otherwise(text)
+        return F.when(is_bracket(x), F.when(led | dull, "").otherwise(x)).otherwise(text)
+
+    def line(x: Column) -> Column:
+        words = F.filter(F.split(F.trim(x), r"[ \t]+"), lambda w: w != "")
+        marked = F.get(words, F.lit(0)).rlike("^#{1,6}$")
+        plain = F.array_join(F.filter(words, lambda w: ~w.rlike("^#{1,6}$")), " ")
+        return F.regexp_replace(F.when(F.coalesce(marked, F.lit(False)) & (plain != ""), F.concat(F.lit("**"), plain, F.lit("**"))).otherwise(plain), " +([.,;:?!])", "$1")
+
+    lines = F.transform(F.split(F.array_join(F.transform(pieces, piece), ""), "\n"), line)
+    kept = F.filter(lines, lambda x, i: (x != "") | (F.coalesce(F.get(lines, i - 1), F.lit("")) != ""))
+    return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
 
 
 @operator("SELECT event_id, '**Heading ' || event_type || '**' || chr(10) || 'A point about ' || event_type || '. More.' AS tidy FROM events")
@@ -165,8 +187,13 @@ def x12_italic_citations(spark: SparkSession, sf: str) -> DataFrame:
 @operator()
 def x13_parsed_names(spark: SparkSession, sf: str) -> DataFrame:
     """Given names and surname of each judge named."""
-    names = judgements(spark, sf).select("seq", F.explode(F.split("judges", "; ")).alias("name"))
-    return table_function(names, "seq bigint, givens array<string>, surname string", ["seq", "name"], lambda n: [parse_name(n)] if parse_name(n) else [])
+    named = judgements(spark, sf).select("seq", F.explode(F.split("judges", "; ")).alias("name"))
+
+    def parsed(name: str) -> list[tuple]:
+        p = names.Person.read(name)
+        return [(list(p.givens), " ".join(filter(None, [p.particle, p.family])))] if p else []
+
+    return table_function(named, "seq bigint, givens array<string>, surname string", ["seq", "name"], parsed)
 
 
 @operator()
@@ -193,12 +220,19 @@ def i8_collision_rename(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(first, "name").select("doc_id", F.when(F.col("doc_id") == F.col("first"), F.col("name")).otherwise(F.concat("name", F.lit(" ["), tag, F.lit("]"))).alias("renamed"))
 
 
-@operator("WITH old AS (SELECT doc_id, lang FROM documents), new AS (SELECT doc_id, 'new' AS lang FROM labels), m AS (SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new) SELECT lang, count(*) AS rows FROM m GROUP BY lang")
+def replaced(index: DataFrame, rows: DataFrame, changed: DataFrame, key: str) -> DataFrame:
+    """An index whose rows of the changed keys are deleted, and the new rows inserted; a changed key without new rows is gone."""
+    return index.join(changed.select(key).distinct(), key, "left_anti").unionByName(rows.join(changed.select(key).distinct(), key, "left_semi"))
+
+
+@operator("WITH w AS (SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS para, unnest(string_split(text, chr(10))) AS text FROM documents), c AS (SELECT doc_id, quality FROM labels), m AS (SELECT doc_id, para, text FROM w WHERE doc_id NOT IN (SELECT doc_id FROM c) UNION ALL SELECT doc_id, para, 'new ' || text FROM w JOIN c USING (doc_id) WHERE quality = 1) SELECT doc_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS size, md5(min(text)) AS least FROM m GROUP BY doc_id")
 def k5_replace_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """An index brought up to date: rows of changed documents deleted, then inserted."""
-    old, new = table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id", F.lit("new").alias("lang"))
-    whole = old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
-    return whole.groupBy("lang").agg(F.count("*").alias("rows"))
+    """A chunk index brought up to date: chunks of relabelled documents are deleted, those of good ones inserted anew."""
+    d, c = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", "quality")
+    index = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("para"), "text")
+    new = index.join(c.filter("quality = 1").select("doc_id"), "doc_id", "left_semi").withColumn("text", F.concat(F.lit("new "), "text"))
+    whole = replaced(index, new, c, "doc_id")
+    return whole.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("size"), F.md5(F.min("text")).alias("least"))
 
 
 @operator("SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, -CAST(label AS DOUBLE) + vec_id / 1e6 AS score FROM embeddings) ORDER BY score DESC, vec_id LIMIT 10")

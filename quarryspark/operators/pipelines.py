@@ -8,11 +8,12 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions import text as T
 from ..plans.query import STOPWORDS, Vocabulary, metadata_variants, units
 from ..plans.register import operator
 from ..sources.tables import JUDGEMENTS, STATUTES, judgements, statutes, table
-from .extract import group_names, judge_name, paragraphs, parse_parties, table_function
+from .extract import group_names, paragraphs, table_function
 from .resolve import resolve_citations
 
 J = f"WITH {JUDGEMENTS}"
@@ -54,7 +55,7 @@ def x6_judge_lines(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     name = F.translate(F.regexp_replace("s_name", "[^A-Za-z0-9]", " "), "0123456789", "abcdefghij")
     raw = F.when(k % 4 == 0, F.concat(F.lit("1. Hon. Justice "), name)).when(k % 4 == 1, F.concat(name, F.lit(", P.C., J."))).when(k % 4 == 2, F.concat(name, F.lit(", J. I agree"))).otherwise(name)
-    return table_function(table(spark, sf, "supplier").select(k.alias("id"), raw.alias("raw")), "id bigint, name string", ["id", "raw"], lambda r: [(judge_name(r),)])
+    return table_function(table(spark, sf, "supplier").select(k.alias("id"), raw.alias("raw")), "id bigint, name string", ["id", "raw"], lambda r: [(names.judge(r),)])
 
 
 @operator()
@@ -62,7 +63,7 @@ def x10_roles(spark: SparkSession, sf: str) -> DataFrame:
     """Roles of compound form: repeats collapse, the last one decides on the side."""
     k = F.col("c_custkey")
     raw = F.concat(F.translate("c_name", "#0123456789", " abcdefghij"), F.when(k % 2 == 0, F.lit(" Defendant-Respondent-Respondent")).otherwise(F.lit(" Plaintiff - Appellant")))
-    return table_function(table(spark, sf, "customer").select(k.alias("id"), raw.alias("raw")), "id bigint, name string, role string, side string", ["id", "raw"], parse_parties)
+    return table_function(table(spark, sf, "customer").select(k.alias("id"), raw.alias("raw")), "id bigint, name string, role string, side string", ["id", "raw"], names.parties)
 
 
 STOP = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
@@ -114,9 +115,9 @@ def expanded(asked: DataFrame, expand: Callable[[str], list[str]], id_col: str,
     return table_function(asked, f"{id_col} bigint, text string", [id_col, text_col], partial(rows, expand=expand))
 
 
-@operator("SELECT item_id, left(text, 60) || ', ' || upper(left(text, 4)) AS text FROM benchmark")
+@operator("SELECT item_id, text || ', ' || upper(left(text, 4)) AS text FROM benchmark")
 def q10_expansion_hook(spark: SparkSession, sf: str) -> DataFrame:
-    asked = table(spark, sf, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("q"))
+    asked = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
     return expanded(asked, lambda t: [t[:4].upper()], "item_id", "q")
 
 
@@ -187,10 +188,10 @@ def with_retries(work: Callable[[str], str], tries: int = 3) -> Callable[[str],
 def _checked(text: str) -> str:
     if not text.strip():
         raise ValueError("empty")
-    return text[:20].lower()
+    return text.lower()
 
 
-@operator("SELECT doc_id, lower(left(text, 20)) AS result, CAST(NULL AS VARCHAR) AS error FROM documents")
+@operator("SELECT doc_id, lower(text) AS result, CAST(NULL AS VARCHAR) AS error FROM documents")
 def i9_batch_extractor(spark: SparkSession, sf: str) -> DataFrame:
     """A call for each document with retries; failures are rows, too."""
     return table_function(table(spark, sf, "documents").select("doc_id", "text"), "doc_id bigint, result string, error string", ["doc_id", "text"], with_retries(_checked))

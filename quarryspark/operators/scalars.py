@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -195,7 +195,17 @@ def p20_unique_id(spark: SparkSession, sf: str) -> DataFrame:
 
 @operator(S + r"SELECT filename, title FROM s WHERE NOT regexp_matches(title, '\bAct\b.*No\.\s*[0-9]+\s+of\s+(?:18|19|20)[0-9]{2}|^No\.\s*[0-9]{3,4}/[0-9]+|^[0-9]{1,3}-[0-9]{4}_[A-Z]$')")
 def p21_reject_non_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return statutes(spark, sf).filter(~F.col("title").rlike(r"\bAct\b.*No\.\s*[0-9]+\s+of\s+(?:18|19|20)[0-9]{2}|^No\.\s*[0-9]{3,4}/[0-9]+|^[0-9]{1,3}-[0-9]{4}_[A-Z]$")).select("filename", "title")
+    return statutes(spark, sf).filter(~is_no_case(F.col("title"))).select("filename", "title")
+
+
+def is_no_case(title: Column) -> Column:
+    """Whether a title is that of an act ('... Act ... No. n of y'), a gazette ('No. n/m') or a bill ('n-y_L')."""
+    numbered = F.regexp_extract(title, r"No\.\s*[0-9]+\s+of\s+([0-9]{4})", 1).try_cast("int").between(1800, 2099)
+    act = F.array_contains(F.split(F.substring_index(title, "No.", 1), r"\W+"), "Act") & F.coalesce(numbered, F.lit(False))
+    gazette = title.startswith("No.") & F.length(F.regexp_extract(title, r"^No\.\s*([0-9]+)/[0-9]", 1)).between(3, 4)
+    number, year, letter = F.substring_index(title, "-", 1), F.substring_index(F.substring_index(title, "_", 1), "-", -1), F.substring_index(title, "_", -1)
+    bill = (title == F.concat(number, F.lit("-"), year, F.lit("_"), letter)) & number.rlike("^[0-9]{1,3}$") & year.rlike("^[0-9]{4}$") & letter.rlike("^[A-Z]$")
+    return act | gazette | bill
 
 
 @operator(J + "SELECT filename, upper(replace(regexp_replace(filename, '\\.pdf$', ''), '_', ' ')) AS case_no FROM j")
@@ -282,28 +292,52 @@ def p36_citation_field(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.trim(F.element_at(F.split(bare, r"\|"), 1)).alias("case_no"), F.when(is_number, page.cast("int")).alias("page"), F.when(is_number, para).otherwise(page).alias("para"))
 
 
-TREATMENTS = {"followed": "FOLLOWED", "applied": "FOLLOWED", "approved": "FOLLOWED", "distinguished": "DISTINGUISHED", "overruled": "OVERRULED", "considered": "CONSIDERED", "cited": "CONSIDERED", "referred": "CONSIDERED", "dissented": "NOT_FOLLOWED", "not followed": "NOT_FOLLOWED"}
+#: A precedent's treatments, with the verb forms that mean each. Fixed values.
+TREATMENTS = {"applied": ("apply", "applies"), "followed": ("follow", "follows"), "distinguished": ("distinguish", "distinguishes"), "overruled": ("overrule", "overrules"), "considered": ("consider", "considers")}
+#: What a field of an analysis has where the source says nothing. Fixed value.
+NOT_AVAILABLE = "Information not available in source text."
+
+
+def treatment(c: Column) -> Column:
+    """A word for a precedent's treatment as one of the values; anything else is NOT_AVAILABLE."""
+    word = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    known = F.create_map(*(F.lit(x) for value, forms in TREATMENTS.items() for form in (value, *forms) for x in (form, value.upper())))
+    return F.coalesce(F.try_element_at(known, word), F.lit("NOT_AVAILABLE"))
+
+
+RAW_TREATMENT = "CASE o_orderkey % 8 WHEN 0 THEN ' Applied ' WHEN 1 THEN 'FOLLOWS' WHEN 2 THEN 'distinguish' WHEN 3 THEN 'Overruled' WHEN 4 THEN 'considers' WHEN 5 THEN 'not followed' WHEN 6 THEN 'cited' END"
 
 
-@operator("SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'FOLLOWED' WHEN 'O' THEN 'DISTINGUISHED' ELSE 'NOT_AVAILABLE' END AS treatment FROM orders")
+@operator(f"SELECT id, CASE WHEN w IN ('applied', 'apply', 'applies') THEN 'APPLIED' WHEN w IN ('followed', 'follow', 'follows') THEN 'FOLLOWED' WHEN w IN ('distinguished', 'distinguish', 'distinguishes') THEN 'DISTINGUISHED' WHEN w IN ('overruled', 'overrule', 'overrules') THEN 'OVERRULED' WHEN w IN ('considered', 'consider', 'considers') THEN 'CONSIDERED' ELSE 'NOT_AVAILABLE' END AS treatment FROM (SELECT o_orderkey AS id, lower(trim({RAW_TREATMENT})) AS w FROM orders)")
 def p37_treatment(spark: SparkSession, sf: str) -> DataFrame:
     """Words for a precedent's treatment as one of six values."""
-    raw = F.when(F.col("o_orderstatus") == "F", " Applied ").when(F.col("o_orderstatus") == "O", "DISTINGUISHED").otherwise("who knows")
-    known = F.create_map(*(F.lit(x) for pair in TREATMENTS.items() for x in pair))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.coalesce(F.element_at(known, F.lower(F.trim(raw))), F.lit("NOT_AVAILABLE")).alias("treatment"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), treatment(F.expr(RAW_TREATMENT)).alias("treatment"))
 
 
-@operator(J + "SELECT filename, CAST(filled AS INTEGER) AS filled, round(filled / 5.0, 2) AS ratio, filled < 4 AS hollow FROM (SELECT filename, (date <> '')::INT + (parties <> '')::INT + (judges <> '')::INT + (report_cite <> '')::INT + (n_chunks > 0)::INT AS filled FROM j)")
+def quality(fields: list[Column]) -> dict[str, Column]:
+    """How many core fields of an analysis are filled, their share, and whether it is hollow: fewer than two."""
+    filled = sum((F.coalesce((F.trim(c) != "") & (F.trim(c) != NOT_AVAILABLE), F.lit(False)).cast("int") for c in fields), F.lit(0))
+    return {"filled": filled, "ratio": F.round(filled / float(len(fields)), 2), "hollow": filled < 2}
+
+
+#: The seven core fields of each judgment's analysis, as SQL over the view.
+CORE = ["CASE WHEN seq % 3 = 0 THEN parties ELSE '' END", "CASE WHEN seq % 5 < 2 THEN legislation ELSE '" + NOT_AVAILABLE + "' END", "report_cite", "CASE WHEN seq % 7 = 0 THEN keywords END", "CASE WHEN seq % 4 = 0 THEN date ELSE '  ' END", "CASE WHEN seq % 11 = 0 THEN judges END", "CASE WHEN seq % 6 = 0 THEN case_no END"]
+
+
+@operator(J + " SELECT filename, CAST(filled AS INTEGER) AS filled, round(filled / 7.0::DOUBLE, 2) AS ratio, filled < 2 AS hollow FROM (SELECT filename, " + " + ".join(f"CASE WHEN trim({c}) NOT IN ('', '{NOT_AVAILABLE}') THEN 1 ELSE 0 END" for c in CORE) + " AS filled FROM j)")
 def p39_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """How many core fields are filled, their share, and whether too few are."""
-    filled = sum(((F.col(c) != "").cast("int") for c in ("date", "parties", "judges", "report_cite")), F.lit(0)) + (F.col("n_chunks") > 0).cast("int")
-    return judgements(spark, sf).select("filename", filled.alias("filled"), F.round(filled / 5.0, 2).alias("ratio"), (filled < 4).alias("hollow"))
+    """The completeness of each judgment's analysis."""
+    return judgements(spark, sf).select("filename", *(c.alias(n) for n, c in quality([F.expr(c) for c in CORE]).items()))
+
+
+def doc_kind(cite: Column) -> Column:
+    """What kind of report a citation is from; without one the court's own judgment."""
+    return F.when(cite.endswith("NLR"), "NLR report").when(cite.startswith("SLR"), "SLR report").when(cite == "Digest", "Digest").otherwise("SC judgment")
 
 
-@operator(J + "SELECT filename, CASE WHEN report_cite LIKE '%NLR' THEN 'NLR' WHEN report_cite LIKE 'SLR%' THEN 'SLR' ELSE 'SC' END AS kind FROM j")
+@operator(J + " SELECT filename, CASE WHEN c LIKE '%NLR' THEN 'NLR report' WHEN c LIKE 'SLR%' THEN 'SLR report' WHEN c = 'Digest' THEN 'Digest' ELSE 'SC judgment' END AS kind FROM (SELECT filename, CASE WHEN seq % 9 = 0 THEN 'Digest' ELSE report_cite END AS c FROM j)")
 def p40_doc_kind(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col("report_cite")
-    return judgements(spark, sf).select("filename", F.when(c.endswith("NLR"), "NLR").when(c.startswith("SLR"), "SLR").otherwise("SC").alias("kind"))
+    return judgements(spark, sf).select("filename", doc_kind(F.when(F.col("seq") % 9 == 0, "Digest").otherwise(F.col("report_cite"))).alias("kind"))
 
 
 @operator("SELECT doc_id, CASE WHEN length(text) > 180 THEN substr(text, 1, 180) || '...' ELSE text END AS card FROM documents ORDER BY doc_id LIMIT 40")

@@ -7,8 +7,9 @@ a table of its own for repeated queries.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.query import STOPWORDS, Tier, Vocabulary, tiers, words
 from ..plans.register import operator
+from ..sources.shipping import materialised
 from ..sources.tables import JUDGEMENTS, LINES, judgements, table
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -38,18 +40,24 @@ def occurrences(joined: Column, phrase: str, star: bool = False) -> Column:
     return ((F.length(joined) - F.length(F.replace(joined, F.lit(s), F.lit("")))) / len(s)).cast("bigint")
 
 
-def bm25(rows: DataFrame, phrases: list[str], text_col: str = "text", star: frozenset[str] = frozenset()) -> DataFrame:
-    """rows with f0, f1, ... (occurrences of each phrase) and score: BM25, the greater the better."""
+def bm25(rows: DataFrame, phrases: list[str], text_col: str = "text", star: frozenset[str] = frozenset(), told: Callable[[Column], Column] | None = None) -> DataFrame:
+    """rows with f0, f1, ... (occurrences of each phrase) and score: BM25, the greater the better.
+
+    Each text is tokenised once, in one scan: a row of few numbers is written for each, which statistics and scores both read. told
+    gives one more column, told, from the marked text.
+    """
     kept = [c for c in rows.columns if c != text_col]
-    joined = rows.withColumn("_m", marked(F.col(text_col)))
-    seen = joined.select(*kept, F.size(F.split(F.trim("_m"), "  ")).alias("_n"), *(occurrences(F.col("_m"), p, p in star).alias(f"f{i}") for i, p in enumerate(phrases)))
+    m = F.col("_m")
+    joined = rows.select(*kept, F.explode(F.array(marked(F.col(text_col)))).alias("_m"))  # a generator is evaluated once a row
+    extra = [told(m).alias("told")] if told else []
+    seen = materialised(joined.select(*kept, F.size(F.split(F.trim(m), "  ")).alias("_n"), *(occurrences(m, p, p in star).alias(f"f{i}") for i, p in enumerate(phrases)), *extra), "hits")
     whole = seen.agg(F.count("*").alias("_rows"), F.avg("_n").alias("_mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"_d{i}") for i in range(len(phrases))))
     score = F.lit(0.0)
     for i in range(len(phrases)):
         f, d = F.col(f"f{i}"), F.col(f"_d{i}")
         idf = F.log((F.col("_rows") - d + 0.5) / (d + 0.5))
         score = score + F.when(idf <= 0, FLOOR).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.col("_mean")))
-    return seen.crossJoin(F.broadcast(whole)).select(*kept, *(f"f{i}" for i in range(len(phrases))), score.alias("score"))  # whole has one row
+    return seen.crossJoin(F.broadcast(whole)).select(*kept, *(f"f{i}" for i in range(len(phrases))), *(["told"] if told else []), score.alias("score"))  # whole has one row
 
 
 def matches(joined: Column, tier: Tier) -> Column:
@@ -73,10 +81,8 @@ def tiered_hits(rows: DataFrame, query: str, vocabulary: Vocabulary, text_col: s
     number = {"phrase": 1, "all": 2, "any": 3}
     plan = tiers(query, vocabulary)
     phrases = list(dict.fromkeys(p for t in plan for g in t.groups for p in g))
-    scored = bm25(rows.withColumn("_text", F.col(text_col)), phrases, "_text")
-    m = marked(F.col(text_col))
-    claim = F.coalesce(*(F.when(matches(m, t), number[t.name]) for t in plan))
-    found = scored.withColumn("tier", claim).filter(F.col("tier").isNotNull())
+    scored = bm25(rows, phrases, text_col, told=lambda m: F.coalesce(*(F.when(matches(m, t), number[t.name]) for t in plan)))
+    found = scored.filter(F.col("told").isNotNull()).withColumnRenamed("told", "tier")
     best = found.agg(F.min("tier").alias("_best"))
     kept = [c for c in rows.columns if c != text_col]
     return found.crossJoin(F.broadcast(best)).filter((F.col("tier") < 3) | (F.col("_best") == 3)).select(*kept, "tier", "score")  # best has one row
@@ -237,18 +243,36 @@ def r7_judge_cases(spark: SparkSession, sf: str) -> DataFrame:
   k AS (SELECT case_no, max(date) AS date, arg_max(parties, date || filename) AS parties FROM j WHERE case_no IN (FROM judge) AND case_no IN (FROM area) AND case_no IN (FROM period) GROUP BY case_no)
   SELECT case_no, date, parties FROM k ORDER BY date DESC, case_no LIMIT 200""")
 def r8_combined_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Facets intersect as semi joins; each case shows its latest row."""
-    j = judgements(spark, sf)
-    b = j.select("case_no", F.explode(F.split("judges", "; ")).alias("display"))
-    facets = [
-        b.filter(T.canonical_judge(F.col("display")) == "building").select("case_no"),
-        j.filter(F.lower("keywords").contains("high") | F.lower("keywords").contains("urgent")).select("case_no"),
-        j.filter(F.substring("date", 1, 4).between("1996", "1998")).select("case_no"),
-    ]
-    for f in facets:
-        j = j.join(f, "case_no", "left_semi")
-    shown = j.groupBy("case_no").agg(F.max("date").alias("date"), F.max_by("parties", F.concat("date", "filename")).alias("parties"))
-    return shown.orderBy(F.desc("date"), "case_no").limit(200)
+    return combined_search(judgements(spark, sf), judges=["building"], areas=["high", "urgent"], years=(1996, 1998))
+
+
+def sat(judges: Column, wanted: list[str]) -> Column:
+    """Whether one of the wanted judges (canonical names) is among the judges named. The cheap test goes first."""
+    near = F.lit(False)
+    for w in wanted:
+        near = near | T.norm_alnum(judges).contains(w)
+    return F.when(near, F.exists(F.split(judges, "; "), lambda x: T.canonical_judge(x).isin(wanted))).otherwise(F.lit(False))
+
+
+def combined_search(j: DataFrame, judges: list[str] = (), areas: list[str] = (), years: tuple[int, int] | None = None, query: DataFrame | None = None, most: int = 200) -> DataFrame:
+    """Cases that meet every facet given, each by any of its rows, newest first; a case shows its latest row.
+
+    judges are canonical names, areas are parts of keywords, query has the cases (case_no) that text or vectors found. Facets are flags of
+    one pass, grouped by case.
+    """
+    flags = []
+    if judges:
+        flags.append(sat(F.col("judges"), list(judges)))
+    if areas:
+        flags.append(reduce(lambda a, b: a | b, (F.lower("keywords").contains(x) for x in areas)))
+    if years:
+        flags.append(F.substring("date", 1, 4).between(str(years[0]), str(years[1])))
+    shown = j.groupBy("case_no").agg(F.max("date").alias("date"), F.max_by("parties", F.concat("date", "filename")).alias("parties"), *(F.bool_or(f).alias(f"_f{i}") for i, f in enumerate(flags)))
+    for i in range(len(flags)):
+        shown = shown.filter(f"_f{i}")
+    if query is not None:
+        shown = shown.join(query.select("case_no").distinct(), "case_no", "left_semi")
+    return shown.select("case_no", "date", "parties").orderBy(F.desc("date"), "case_no").limit(most)
 
 
 @operator(f"WITH {LINES}, {_bm25_sql(['onan'])}, x AS (SELECT doc_id AS id, 0 AS branch, round(-score, 6) AS key FROM z WHERE f0 > 0 ORDER BY key, id LIMIT 16), {VEC}, v AS (SELECT vec_id AS id, 1 AS branch, round(distance, 6) AS key FROM d ORDER BY key, id LIMIT 24), u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY branch) AS n FROM (FROM x UNION ALL FROM v)) SELECT id, branch, key FROM u WHERE n = 1 ORDER BY branch, key, id LIMIT 20")
@@ -359,6 +383,8 @@ def fuzzy(terms: DataFrame, asked: DataFrame, most: int = 6, least: float = 0.82
 
 @operator()
 def q6_fuzzy_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Spelling variants of every word of the lexicon."""
+    """Spelling variants of every word of the lexicon, asked for as it is and with its third letter doubled."""
     terms = lexicon(spark, sf)
-    return fuzzy(terms, terms.withColumnRenamed("term", "token")).select("token", "term", F.round("ratio", 6).alias("ratio"), "rank")
+    w = F.col("term")
+    asked = terms.select(w.alias("token")).union(terms.select(F.concat(F.left(w, F.lit(3)), F.substring(w, 3, 1), F.substr(w, F.lit(4))).alias("token"))).distinct()
+    return fuzzy(terms, asked).select("token", "term", F.round("ratio", 6).alias("ratio"), "rank")

@@ -53,14 +53,14 @@ def html_text(raw: bytes) -> str:
 
 
 def pages_of(name: str, raw: bytes, readers: dict[str, Reader], ocr: Reader | None = None) -> list[str]:
-    """A file's pages by its suffix; unknown suffixes give none."""
+    """A file's pages by its suffix; one of an unknown suffix is decoded as text."""
     suffix = name.rsplit(".", 1)[-1].lower() if "." in name else ""
     if suffix in ("txt", "md"):
         return [decoded(raw)]
     if suffix in ("html", "htm"):
         return [html_text(raw)]
     if suffix not in readers:
-        return []
+        return [decoded(raw)]
     pages = readers[suffix](raw)
     if ocr and sum(len(p.strip()) for p in pages) < OCR_BELOW:
         return ocr(raw) or pages
@@ -98,10 +98,22 @@ def s9_read_pages(spark: SparkSession, sf: str) -> DataFrame:
     return read_files(files).select("path", "page", F.length("text").cast("bigint").alias("size"), "error")
 
 
-@operator("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'latin-1' END AS encoding FROM documents WHERE lang IN ('fr', 'de')")
+@operator("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'latin-1' END AS encoding FROM documents")
 def s15_encodings(spark: SparkSession, sf: str) -> DataFrame:
     """The encoding of bytes: UTF-8 if they are valid, Latin-1 otherwise."""
-    d = table(spark, sf, "documents").filter("lang IN ('fr', 'de')")
+    d = table(spark, sf, "documents")
     text = F.concat(F.lit("é"), "text")
     raw = F.when(F.col("doc_id") % 2 == 0, F.encode(text, "UTF-8")).otherwise(F.encode(F.translate(text, "œŒ’“”–—…€ẞ", "oO'\"\"--.ES"), "ISO-8859-1"))
     return d.select("doc_id", F.when(F.is_valid_utf8(raw.cast("string")), "utf-8").otherwise("latin-1").alias("encoding"))
+
+
+@operator("SELECT page_id, i AS page, CASE i WHEN 1 THEN 'first ' || page_id ELSE url END AS text FROM (SELECT page_id, url, unnest(range(1, CASE page_id % 4 WHEN 0 THEN 3 ELSE 2 END))::INTEGER AS i FROM pages)")
+def s12_uploaded_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of uploaded bytes by their suffix: text, HTML, a format with a reader of its own, and one that nothing knows."""
+    k = F.col("page_id")
+    first = F.concat(F.lit("first "), k.cast("string"))
+    suffix = F.element_at(F.array(*map(F.lit, ("two", "txt", "html", "xyz"))), (k % 4 + 1).cast("int"))
+    content = F.when(k % 4 == 0, F.concat(first, F.lit("\f"), "url")).when(k % 4 == 2, F.concat(F.lit("<p>"), first, F.lit("</p><script>x</script>"))).otherwise(first)
+    files = table(spark, sf, "pages").select(F.concat(k.cast("string"), F.lit("."), suffix).alias("path"), F.encode(content, "UTF-8").alias("content"))
+    read = read_files(files, {"two": lambda raw: raw.decode().split("\f")})
+    return read.select(F.substring_index("path", ".", 1).cast("bigint").alias("page_id"), "page", "text")

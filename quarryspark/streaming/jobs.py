@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.register import operator
-from ..sources.shipping import shared_dir
-from ..sources.tables import table
+from ..functions import text as T
+from ..operators.extract import paragraphs
+from ..plans.register import SQL, operator
+from ..sources.shipping import fresh_path
+from ..sources.tables import STATUTES, statutes, table
 
 
 def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,23 +25,27 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf) if one_file else reader.parquet(path)
 
 
-def drain(df: DataFrame, mode: str, keep: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run a stream over all that is there, and return what its sink then holds."""
-    name = f"s_{uuid.uuid4().hex}"
-    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(df.sparkSession)}/{name}")
-    query = (writer.foreachBatch(keep) if keep else writer.format("memory").queryName(name)).start()
+def drain(df: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all that is there, and return what its sink, files in the shared folder, then holds."""
+    spark = df.sparkSession
+    path = fresh_path(spark, "stream")
+    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", fresh_path(spark, "stream-state"))
+    if mode == "append":
+        query = writer.format("parquet").start(path)
+    else:  # the whole result after each batch
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
     query.awaitTermination()
-    return df.sparkSession.table(name) if not keep else None
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @operator("SELECT event_type AS stage, count(*) AS count FROM events GROUP BY event_type")
-def i2_funnel_stream(spark: SparkSession, sf: str) -> DataFrame:
+def k3_funnel_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Funnel counts kept up by a stream."""
     return drain(stream(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("count")), "complete")
 
 
 @operator("SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
-def i3_daily_stream(spark: SparkSession, sf: str) -> DataFrame:
+def a8_daily_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Events a day and type under a watermark that lets late rows in."""
     e = stream(spark, sf, "events").withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "90 days")
     counted = e.groupBy(F.window("t", "1 day"), "event_type").agg(F.count("*").alias("n"))
@@ -67,9 +72,63 @@ def i11_throttle_stream(spark: SparkSession, sf: str) -> DataFrame:
     return drain(judged, "append")
 
 
-@operator("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def build(files: DataFrame, ledger: DataFrame, force: bool = False, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(states, chunks) of files (key, label, text) by an index builder that resumes.
+
+    Files of the ledger (key) are skipped unless forced; a file without text has failed and stops no other; the others are cut into
+    paragraphs. states: (key, label, state, chunks), from which the ledger is written after the chunks; chunks: (key, label, para, text).
+    """
+    queue = files.orderBy("key").limit(limit) if limit else files
+    known = queue.join(ledger.select("key", F.lit(True).alias("_known")).distinct(), "key", "left")
+    state = F.when(F.col("_known") & F.lit(not force), "skipped").when(F.trim(F.coalesce("text", F.lit(""))) == "", "failed").otherwise("done")
+    cut = known.withColumn("state", state).withColumn("_paras", F.when(F.col("state") == "done", paragraphs(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    chunks = cut.select("key", "label", F.posexplode("_paras").alias("pos", "text")).select("key", "label", (F.col("pos") + 1).alias("para"), "text")
+    return cut.select("key", "label", "state", F.size("_paras").alias("chunks")), chunks
+
+
+PARAGRAPHS_SQL = SQL["x1_paragraphs"].replace("SELECT d.doc_id, CAST", "SELECT d.doc_id, any_value(d.lang) AS lang, any_value(d.source) AS source, any_value(d.text) AS text, CAST")
+STATE_SQL = "CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'skipped' WHEN trim(text) = '' THEN 'failed' ELSE 'done' END"
+
+
+@operator(f"WITH p AS ({PARAGRAPHS_SQL}) SELECT doc_id AS key, label, state, CASE WHEN state = 'done' THEN paragraphs ELSE 0 END AS chunks FROM (SELECT doc_id, lang || ' / ' || source || ' / ' || doc_id || '.txt' AS label, paragraphs, {STATE_SQL} AS state FROM p)")
+def i2_build_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes under 'subject / category / file' into chunks, with a ledger that lets a run resume."""
+    label = F.concat_ws(" / ", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), label.alias("label"), "text")
+    return build(files, table(spark, sf, "labels").select(F.col("doc_id").alias("key")))[0]
+
+
+@operator(rf"WITH {STATUTES}, p AS ({PARAGRAPHS_SQL}), l AS (SELECT filename, seq, CASE WHEN act <> '' AND year <> '' THEN t || ', No. ' || act || ' of ' || year WHEN year <> '' AND NOT contains(t, year) THEN t || ' (' || year || ')' ELSE t END AS label FROM (SELECT filename, seq, act_no AS act, year, regexp_replace(trim(regexp_replace(title, '\s+', ' ', 'g')), '[.,]+$', '') AS t FROM s)), u AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY filename) AS n FROM l) SELECT filename AS key, CASE WHEN n = 1 THEN label WHEN n = 2 THEN label || ' [' || seq || ']' ELSE label || ' [' || seq || '-' || n || ']' END AS label, state, CASE WHEN state = 'done' THEN paragraphs ELSE 0 END AS chunks FROM (SELECT u.*, paragraphs, {STATE_SQL} AS state FROM u JOIN p ON doc_id = seq)")
+def i3_build_statutes(spark: SparkSession, sf: str) -> DataFrame:
+    """Statutes under unique labels into chunks, with a ledger that lets a run resume."""
+    s = statutes(spark, sf).withColumn("own", T.statute_label(F.col("title"), F.col("act_no"), F.col("year")))
+    n, tag = F.row_number().over(Window.partitionBy("own").orderBy("filename")), F.col("seq").cast("string")
+    s = s.withColumn("n", n)
+    label = F.when(F.col("n") == 1, F.col("own")).when(F.col("n") == 2, F.concat("own", F.lit(" ["), tag, F.lit("]"))).otherwise(F.concat("own", F.lit(" ["), tag, F.lit("-"), F.col("n").cast("string"), F.lit("]")))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text")
+    files = s.select(F.col("filename").alias("key"), "seq", label.alias("label")).join(d, "seq").drop("seq")
+    ledger = table(spark, sf, "labels").select(F.concat(F.lit("act-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("key"))
+    return build(files, ledger)[0]
+
+
+@operator(f"WITH p AS ({PARAGRAPHS_SQL}) SELECT doc_id, source, paragraphs AS chunks FROM p WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND trim(text) <> ''")
 def i1_incremental_index(spark: SparkSession, sf: str) -> DataFrame:
-    """New rows of a stream that the ledger doesn't have, batch by batch, chunks before ledger."""
-    ledger = table(spark, sf, "labels").select("doc_id")
-    fresh = stream(spark, sf, "documents").select("doc_id", "source").join(ledger, "doc_id", "left_anti")
-    return drain(fresh, "append")
+    """New documents of a stream into an index, batch by batch: first their chunks are written, then the ledger names them.
+
+    A document whose chunks were written and whose ledger row was lost is done again; its batch overwrites its own folder, so no
+    chunk is there twice. The result is what index and ledger hold at the end.
+    """
+    ledger = table(spark, sf, "labels").select(F.col("doc_id").alias("key"))
+    chunk_path, ledger_path = fresh_path(spark, "chunks"), fresh_path(spark, "ledger")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        states, chunks = build(batch.select(F.col("doc_id").alias("key"), F.col("source").alias("label"), "text"), ledger)
+        chunks.write.mode("overwrite").parquet(f"{chunk_path}/batch={number}")
+        states.filter("state = 'done'").write.mode("overwrite").parquet(f"{ledger_path}/batch={number}")
+
+    query = stream(spark, sf, "documents").writeStream.trigger(availableNow=True).option("checkpointLocation", fresh_path(spark, "index-state")).foreachBatch(keep).start()
+    query.awaitTermination()
+    done = spark.read.schema("key bigint, label string, state string, chunks int, batch int").parquet(ledger_path)
+    chunks = spark.read.schema("key bigint, label string, para int, text string, batch int").parquet(chunk_path)
+    held = chunks.groupBy("key").agg(F.count("*").cast("int").alias("chunks"))
+    return done.select("key", F.col("label").alias("source")).join(held, "key").select(F.col("key").alias("doc_id"), "source", "chunks")
