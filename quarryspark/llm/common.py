@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 STEP_CHARS = 1_000_000
 #: Rows and bytes of an Arrow batch, where the session has Spark's defaults.
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+#: Row groups of intermediate tables: what a writer and a reader hold at once.
+ROW_GROUP_BYTES = 32 << 20
 #: A key is hot if it holds this share of all rows; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
 
@@ -78,7 +80,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     """Write df as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -31,7 +31,7 @@ from .common import drop_path, fresh_path, shuffle_parts, text_batches, written
 
 ROUNDS = 6
 #: Sequences of a pack, and bytes of a shard that more shards are made for.
-PACK_ROWS, SHARD_BYTES = 64, 256 << 20
+PACK_ROWS, SHARD_BYTES = 8, 256 << 20
 HEAD, TAIL = 8, 1
 
 
