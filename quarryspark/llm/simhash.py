@@ -30,7 +30,7 @@ from itertools import combinations, count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_path, join_spread, shield, text_batches, written
@@ -136,13 +136,13 @@ def _named(rooted: DataFrame, node: str) -> DataFrame:
     return join_spread(rooted.select(node, "root", "n"), ids, "root", rooted.count(), "_members").select(node, "component_id", "n")
 
 
-def long_fingerprint(hashes: list[int] | np.ndarray) -> tuple[int, list[int], list[tuple[int, int]]]:
-    """(hash of the shingle set, fingerprints of 2**WIDE_LEVEL classes, (class number, fingerprint) keys) of a text."""
+def long_fingerprint(hashes: list[int] | np.ndarray) -> tuple[int, list[int], list[tuple[int, int]], int]:
+    """(hash of the shingle set, fingerprints of 2**WIDE_LEVEL classes, (class number, fingerprint) keys, fingerprint of all) of a text."""
     own = np.unique(np.array(hashes, np.uint64))
     n = len(own)
     whole = xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), 42)
     if not n:
-        return whole, [0] * (1 << WIDE_LEVEL), [(0, 0)]
+        return whole, [0] * (1 << WIDE_LEVEL), [(0, 0)], 0
     mixed = own * SPREAD
     order = np.argsort(mixed)
     own, mixed = own[order], mixed[order]  # the classes of every level are now runs
@@ -167,7 +167,7 @@ def long_fingerprint(hashes: list[int] | np.ndarray) -> tuple[int, list[int], li
     for x in sorted(levels):
         fp, size = of(x, min(1 << x, CLASS_KEYS))
         keys += [(x * CLASS_KEYS + i, f) for i, (f, k) in enumerate(zip(fp.tolist(), size.tolist(), strict=True)) if k]
-    return whole, wide.tolist(), keys
+    return whole, wide.tolist(), keys, int(of(0, 1)[0][0])
 
 
 def differing_share(similarity: float) -> float:
@@ -175,9 +175,9 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def distance_limit(similarity: float) -> float:
-    """Differing wide bits that a pair of the similarity hardly ever exceeds."""
-    n, p = BITS << WIDE_LEVEL, differing_share(similarity)
+def distance_limit(similarity: float, n: int = BITS << WIDE_LEVEL) -> float:
+    """Differing bits of n that a pair of the similarity hardly ever exceeds."""
+    p = differing_share(similarity)
     return n * p + SIGMAS * math.sqrt(n * p * (1 - p))
 
 
@@ -190,18 +190,18 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _runs(texts: DataFrame, size: int) -> DataFrame:
-    """(number, fp, whole): every run of size keys of a text as one key; all its keys if it has fewer."""
+    """(number, fp, whole, size, hint): every run of size keys of a text as one key; all its keys if it has fewer."""
     n = F.least(F.lit(size), F.size("keys"))
     runs = F.transform(F.sequence(F.lit(1), F.size("keys") - n + 1), lambda i: F.struct(F.element_at("keys", i)["number"].alias("number"), F.xxhash64(F.slice("keys", i, n)).alias("fp")))
-    return texts.select("whole", F.explode(runs).alias("key")).select("key.number", "key.fp", "whole")
+    return texts.select("whole", F.col("n").alias("size"), "hint", F.explode(runs).alias("key")).select("key.number", "key.fp", "whole", "size", "hint")
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(number, fp, whole): the rarest shingles of each set (whole, shingles); sets of that similarity share one at least."""
+    """(number, fp, whole, size, hint): the rarest shingles of each set (whole, shingles); sets of that similarity share one at least."""
     each = sets.select("whole", F.size("shingles").alias("n"), F.explode("shingles").alias("fp"))
     ranked = each.join(each.groupBy("fp").agg(F.count("*").alias("texts")), "fp").groupBy("whole").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("texts", "fp"))).alias("all"))
     first = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
-    return ranked.select(F.lit(-1).alias("number"), F.explode(F.transform(first, lambda x: x["fp"])).alias("fp"), "whole")
+    return ranked.select(F.lit(-1).alias("number"), F.explode(F.transform(first, lambda x: x["fp"])).alias("fp"), "whole", F.col("n").alias("size"), F.lit(0).cast("bigint").alias("hint"))
 
 
 def _short_found(sets: DataFrame, similarity: float) -> DataFrame:
@@ -215,7 +215,7 @@ def _short_found(sets: DataFrame, similarity: float) -> DataFrame:
     left = _prefixes(sets, similarity)
     while True:
         met, met_path = written(_met(left), "short-met")
-        good, _ = written(_alike(_pairs(met, SMALL_SHORT), sets, similarity), "short-links")
+        good, _ = written(_alike(_pairs(met, SMALL_SHORT, similarity), sets, similarity), "short-links")
         links_found = good if links_found is None else links_found.union(good)
         old, (left, path) = path, written(_rest(met, good, SMALL_SHORT), "short-left")
         for x in (met_path, old):
@@ -249,7 +249,7 @@ def _found(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
         other = wide.select(F.col("whole").alias("lead"), F.col("n").alias("m"), F.col("wide").alias("other"))
         return pairs.join(wide, "whole").join(other, "lead").filter(sized & (apart <= most)).select("whole", "lead")
 
-    held, links_found, paths, set_paths = None, None, [], []
+    held, links_found, paths, set_paths, tested = None, None, [], [], []
     left = _runs(texts, 1)
     for turn in count():
         size = RUNS[min(turn // ROUNDS, len(RUNS) - 1)]
@@ -257,24 +257,29 @@ def _found(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
             left = _runs(_some(texts, left.select("whole").distinct(), "whole"), size)
         if not turn % ROUNDS:  # most of a large group's members are linked to one lead here, so few pairs are left for the keys
             shared, shared_path = written(_met(left), "similar-shared")
-            first, first_path = written(judged(_usual_lead(shared, SMALL)), "similar-first")
+            first, first_path = written(judged(_usual_lead(shared, SMALL, similarity)), "similar-first")
             many, many_path = written(sets_of(_texts_of(first)), "similar-first-sets")
             known, _ = written(_alike(first, many, similarity), "similar-links")
             links_found = known if links_found is None else links_found.union(known)
-            left = shared.select("number", "fp", "whole").join(known.select("whole", F.col("lead").alias("label")), "whole", "left")
+            left = shared.select("number", "fp", "whole", "size", "hint").join(known.select("whole", F.col("lead").alias("label")), "whole", "left")
             paths += [shared_path, first_path, many_path]
         met, met_path = written(_met(left), "similar-met")
-        near, near_path = written(judged(_pairs(met, SMALL)), "similar-near")
+        fresh_pairs = _pairs(met, SMALL, similarity)
+        for old in tested:
+            fresh_pairs = fresh_pairs.join(old, ["whole", "lead"], "left_anti")  # what was compared once isn't again
+        near, near_path = written(judged(fresh_pairs), "similar-near")
+        tested.append(near)
         due, due_path = written(_texts_of(near), "similar-due")
         fresh, fresh_path = written(due if held is None else due.join(held.select("whole"), "whole", "left_anti"), "similar-wanted")
-        paths += [met_path, near_path, due_path, fresh_path]
+        paths += [met_path, due_path, fresh_path]
+        set_paths.append(near_path)
         if held is None or not fresh.isEmpty():
             more, path = written(sets_of(fresh), "similar-sets")
             set_paths.append(path)
             held = more if held is None else held.union(more)
         good, _ = written(_alike(near, _some(held, due, "whole"), similarity), "similar-links")
         links_found = good if links_found is None else links_found.union(good)
-        left, path = written(_rest(met, good, SMALL), "similar-left")
+        left, path = written(_rest(met, links_found, SMALL), "similar-left")
         paths.append(path)
         if left.isEmpty():
             break
@@ -291,38 +296,47 @@ def _texts_of(pairs: DataFrame) -> DataFrame:
 
 
 def _met(left: DataFrame) -> DataFrame:
-    """(number, fp, whole, label, low, high, low_label, high_label, n): the members of keys that texts of several labels share.
+    """(number, fp, whole, label, size, hint, low, high, n): the members of keys that texts of several labels share.
 
-    A text's label is the text that a link is known to, or itself.
+    A text's label is the text that a link is known to, or itself; low and high have the same of the least and the greatest member.
     """
     label = F.coalesce("label", "whole") if "label" in left.columns else F.col("whole")
-    own = left.select("number", "fp", "whole", label.alias("label"))
-    ends = own.groupBy("number", "fp").agg(F.min(F.struct("whole", "label")).alias("least"), F.max(F.struct("whole", "label")).alias("most"), F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
-    lead = ends.filter("a <> b").select("number", "fp", F.col("least.whole").alias("low"), F.col("least.label").alias("low_label"), F.col("most.whole").alias("high"), F.col("most.label").alias("high_label"), "n")
-    return own.join(lead, ["number", "fp"])
+    own = left.select("number", "fp", "whole", label.alias("label"), "size", "hint")
+    one = F.struct("whole", "label", "size", "hint")
+    ends = own.groupBy("number", "fp").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+    return own.join(ends.filter("a <> b").drop("a", "b"), ["number", "fp"])
 
 
-def _usual_lead(met: DataFrame, most: int) -> DataFrame:
-    """(whole, lead): for each text in keys of more than so many members the one that is the least of most of them."""
-    seen = met.filter((F.col("n") > most) & (F.col("whole") != F.col("low"))).groupBy("whole", "low").agg(F.count("*").alias("keys"))
+def _likely(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two texts (whole, label, size, hint) of different labels can have the similarity, by size and the fingerprints of all shingles."""
+    sizes = F.least(a["size"], b["size"]) >= F.greatest(a["size"], b["size"]) * (similarity - 1e-9)
+    return (a["whole"] != b["whole"]) & (a["label"] != b["label"]) & sizes & (F.bit_count(a["hint"].bitwiseXOR(b["hint"])) <= distance_limit(similarity, BITS))
+
+
+def _usual_lead(met: DataFrame, most: int, similarity: float) -> DataFrame:
+    """(whole, lead): for each text in keys of more than so many members the likely one that is the least of most of them."""
+    own = F.struct("whole", "label", "size", "hint")
+    seen = met.filter((F.col("n") > most) & _likely(own, F.col("low"), similarity)).groupBy("whole", F.col("low.whole").alias("low")).agg(F.count("*").alias("keys"))
     return seen.groupBy("whole").agg(F.max(F.struct("keys", "low")).alias("best")).select("whole", F.col("best.low").alias("lead"))
 
 
-def _pairs(met: DataFrame, most: int) -> DataFrame:
-    """Pairs (whole, lead), whole > lead, of unequal labels: all of a key of so many members at most, else those with its least and greatest one."""
-    ends = F.array(F.struct(F.col("low").alias("lead"), F.col("low_label").alias("mark")), F.struct(F.col("high").alias("lead"), F.col("high_label").alias("mark")))
-    large = met.filter(F.col("n") > most).select("whole", "label", F.explode(ends).alias("end")).select("whole", "label", "end.lead", "end.mark").filter("whole <> lead AND label <> mark")
-    few = met.filter(F.col("n") <= most).groupBy("number", "fp").agg(F.array_sort(F.collect_set(F.struct("whole", "label"))).alias("all"))
-    small = few.select("all", F.posexplode("all").alias("k", "one")).select("one", F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("end")).filter("one.label <> end.label")
-    return large.select(F.greatest("whole", "lead").alias("whole"), F.least("whole", "lead").alias("lead")).union(small.select("one.whole", F.col("end.whole").alias("lead"))).distinct()
+def _pairs(met: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Likely pairs (whole, lead), whole > lead: all of a key of so many members at most, else those with its least and greatest one."""
+    own = F.struct("whole", "label", "size", "hint")
+    large = met.filter(F.col("n") > most).select(own.alias("one"), F.explode(F.array("low", "high")).alias("end"))
+    few = met.filter(F.col("n") <= most).groupBy("number", "fp").agg(F.array_sort(F.collect_set(own)).alias("all"))
+    small = few.select("all", F.posexplode("all").alias("k", "one")).select("one", F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("end"))
+    likely = large.union(small).filter(_likely(F.col("one"), F.col("end"), similarity))
+    return likely.select(F.greatest("one.whole", "end.whole").alias("whole"), F.least("one.whole", "end.whole").alias("lead")).distinct()
 
 
 def _rest(met: DataFrame, good: DataFrame, most: int) -> DataFrame:
-    """(number, fp, whole, label): the members of larger keys that are no lead and that nothing links to one."""
-    rest = met.filter(F.col("n") > most).filter("whole <> low AND whole <> high AND label <> low_label AND label <> high_label")
-    rest = rest.join(good.select("whole", F.col("lead").alias("low")), ["whole", "low"], "left_anti")
-    rest = rest.join(good.select(F.col("lead").alias("whole"), F.col("whole").alias("high")), ["whole", "high"], "left_anti")
-    return rest.select("number", "fp", "whole", "label")
+    """(number, fp, whole, label, size, hint): the members of larger keys that are no lead and that nothing links to one."""
+    ends = met.filter(F.col("n") > most).withColumns({"high_whole": F.col("high.whole"), "low_whole": F.col("low.whole")})
+    rest = ends.filter("whole <> low_whole AND whole <> high_whole AND label <> low.label AND label <> high.label")
+    rest = rest.join(good.select("whole", F.col("lead").alias("low_whole")), ["whole", "low_whole"], "left_anti")
+    rest = rest.join(good.select(F.col("lead").alias("whole"), F.col("whole").alias("high_whole")), ["whole", "high_whole"], "left_anti")
+    return rest.select("number", "fp", "whole", "label", "size", "hint")
 
 
 def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -340,7 +354,8 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
             keys = pa.StructArray.from_arrays([pa.array(np.array([k for r in rows for k, _ in r[2]], np.int32)), pa.array(np.array([f for r in rows for _, f in r[2]], np.uint64).view(np.int64))], ["number", "fp"])
             wides = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) << WIDE_LEVEL).astype(np.int32)), wide)
             few = pa.array([x.view(np.int64) if 0 < len(x) <= SHORT else None for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_tie"), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys), few, pa.array([len(x) for x in sets], pa.int32())], [id_col, "_tie", "whole", "wide", "keys", "shingles", "n"])
+            hints = pa.array(np.array([r[3] for r in rows], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_tie"), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys), few, pa.array([len(x) for x in sets], pa.int32()), hints], [id_col, "_tie", "whole", "wide", "keys", "shingles", "n", "hint"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, text_col):
@@ -350,9 +365,9 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
 
     kind = dict(docs.dtypes)[id_col]
     tied = docs.select(id_col, F.xxhash64(text_col).alias("_tie"), text_col)
-    marked, _ = written(tied.mapInArrow(run, f"{id_col} {kind}, _tie bigint, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>, shingles array<bigint>, n int"), "similar")
+    marked, _ = written(tied.mapInArrow(run, f"{id_col} {kind}, _tie bigint, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>, shingles array<bigint>, n int, hint bigint"), "similar")
     least = F.min(F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col), F.col("_tie"))).alias("least")
-    texts, _ = written(marked.groupBy("whole").agg(least, F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "similar-texts")
+    texts, _ = written(marked.groupBy("whole").agg(least, F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys"), F.any_value("hint").alias("hint")), "similar-texts")
     short, _ = written(marked.filter("shingles IS NOT NULL").select("whole", "shingles").dropDuplicates(["whole"]), "similar-short")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
