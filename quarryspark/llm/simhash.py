@@ -249,7 +249,7 @@ def _found(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
         other = wide.select(F.col("whole").alias("lead"), F.col("n").alias("m"), F.col("wide").alias("other"))
         return pairs.join(wide, "whole").join(other, "lead").filter(sized & (apart <= most)).select("whole", "lead")
 
-    held, links_found, paths, set_paths, tested = None, None, [], [], []
+    held, links_found, paths, set_paths = None, None, [], []
     left = _runs(texts, 1)
     for turn in count():
         size = RUNS[min(turn // ROUNDS, len(RUNS) - 1)]
@@ -264,22 +264,17 @@ def _found(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
             left = shared.select("number", "fp", "whole", "size", "hint").join(known.select("whole", F.col("lead").alias("label")), "whole", "left")
             paths += [shared_path, first_path, many_path]
         met, met_path = written(_met(left), "similar-met")
-        fresh_pairs = _pairs(met, SMALL, similarity)
-        for old in tested:
-            fresh_pairs = fresh_pairs.join(old, ["whole", "lead"], "left_anti")  # what was compared once isn't again
-        near, near_path = written(judged(fresh_pairs), "similar-near")
-        tested.append(near)
+        near, near_path = written(judged(_pairs(met, SMALL, similarity)), "similar-near")
         due, due_path = written(_texts_of(near), "similar-due")
         fresh, fresh_path = written(due if held is None else due.join(held.select("whole"), "whole", "left_anti"), "similar-wanted")
-        paths += [met_path, due_path, fresh_path]
-        set_paths.append(near_path)
+        paths += [met_path, near_path, due_path, fresh_path]
         if held is None or not fresh.isEmpty():
             more, path = written(sets_of(fresh), "similar-sets")
             set_paths.append(path)
             held = more if held is None else held.union(more)
         good, _ = written(_alike(near, _some(held, due, "whole"), similarity), "similar-links")
         links_found = good if links_found is None else links_found.union(good)
-        left, path = written(_rest(met, links_found, SMALL), "similar-left")
+        left, path = written(_rest(met, good, SMALL), "similar-left")
         paths.append(path)
         if left.isEmpty():
             break
