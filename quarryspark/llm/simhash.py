@@ -281,6 +281,7 @@ def _found(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similari
         for old in paths[:-1]:
             drop_path(spark, old)
         paths = paths[-1:]
+        spark._jvm.java.lang.System.gc()  # lets Spark's cleaner free this round's broadcasts and shuffles, which nothing refers to any more
     for old in paths + set_paths:
         drop_path(spark, old)
     return links_found
