@@ -1,18 +1,24 @@
-"""Document quality by a character n-gram language model of trusted text.
+"""Document quality by an n-gram language model of trusted text.
 
 Texts become symbols of a fixed alphabet: the letters a to z, upper case as one symbol, other letters in four classes, digits,
-white space, and classes of punctuation, so that shouting, symbol noise and broken layout are improbable sequences. Trigram
-counts of all trusted documents, per language and over all languages, meet the counts of their contexts and continuations in
-joins sharded by context, which give interpolated modified Kneser-Ney probabilities. A document's perplexity under its
-language's model is compared to quantiles of the trusted documents of its language and length class; documents beyond the
-upper quantile by a margin, or below the lower one, are rejected.
-
-A table of probabilities has ALPHABET**3 entries for each of at most MODELS languages, whatever the corpus' size, and is
-broadcast; with more languages there is a pass for each MODELS of them. A language without trusted text, or null, uses the model
-of all languages. Null and empty texts have perplexity 1 and are rejected. Labels that are null or missing are no trust; without
-trusted text nothing is rejected but empty texts. Repeated rows get equal results, and a very long text is scored in a batch of
-its own. Columns of docs of any name come back as they were, but for score()'s perplexity and accepted, which it replaces. An
-empty table gives an empty result.
+white space, and classes of punctuation, so that shouting, symbol noise and broken layout are improbable sequences. Two counts
+of all trusted documents, per language and over all languages, make the model, by interpolated modified Kneser-Ney throughout:
+counts of words (runs of symbols up to white space), which grow with the trusted text, and below them trigrams of symbols, which
+spell words that no trusted text has. A word's probability is the discounted share of its count, plus the weight of the
+discounts times the probability of its spelling and of the space after it. White space beyond that space is spelled.
+
+Words are counted by 64-bit hashes. A batch of documents becomes one row for each of its distinct words, with the documents that
+have it; these rows meet the counts in a join sharded by word, and then each other again by batch, which gives each document's
+perplexity. A word that most documents have is thus a row a batch, not a row a document. A trusted document's own occurrences are taken from
+the counts that it is scored with, so that trusted and other documents compare. Perplexities are compared to quantiles of the
+trusted documents of the language and length class (of the class alone, or the language alone, if these are too few); documents
+beyond the upper quantile by a margin, or below the lower one by it, are rejected.
+
+The trigrams of symbols are at most ALPHABET**3 numbers for each of at most MODELS languages, and are broadcast; with more languages
+there is a pass for each MODELS of them. A language without trusted text, or null, uses the model of all languages. Null and
+empty texts have perplexity 1 and are rejected. Labels that are null or missing are no trust; without trusted text nothing is
+rejected but empty texts. Repeated rows get equal results, and a very long text is scored in a batch of its own. Columns of docs
+of any name come back as they were, but for score()'s perplexity and accepted, which it replaces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +30,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shield, text_batches, written
@@ -40,6 +48,12 @@ LEAST_TRUSTED = 50
 POOL = ""
 #: Trusted ids up to this number are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: The symbols of a space and of other white space.
+SPACE, WHITE = 33, 34
+#: Documents of a batch at most: their numbers take two bytes.
+BATCH_DOCS = 1 << 16
+#: Multipliers of the hash of words.
+STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 @lru_cache(1)
@@ -69,10 +83,42 @@ def symbol_table() -> np.ndarray:
     return np.fromiter((of(c) for c in range(0x110000)), np.uint8, 0x110000)
 
 
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol of every code point of all texts, and the texts' lengths."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return symbol_table()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32), sizes
+
+
+def words_of(s: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first symbol, length, hash, text) of every word of texts, given as symbols and lengths."""
+    white = (s == SPACE) | (s == WHITE)
+    begin = np.ones(len(s), bool)
+    begin[1:] = white[:-1]
+    begin[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    begin &= ~white
+    at, chars = np.flatnonzero(begin), np.flatnonzero(~white)
+    if not len(at):
+        return at, at, at.astype(np.uint64), at
+    number = (np.cumsum(begin) - 1)[chars]
+    length = np.bincount(number, minlength=len(at))
+    power = np.full(int(length.max()), STEP)
+    power = np.multiply.accumulate(power)
+    value = (s[chars].astype(np.uint64) + np.uint64(1)) * SPREAD
+    value ^= value >> np.uint64(29)
+    h = np.add.reduceat(value * power[chars - at[number]], np.cumsum(length) - length) + length.astype(np.uint64)
+    h ^= h >> np.uint64(31)
+    h *= SPREAD
+    return at, length, h ^ (h >> np.uint64(32)), np.searchsorted(np.cumsum(sizes), at, "right")
+
+
+def language_key(lang: str) -> np.uint64:
+    """What sets a word of a language apart from the same word of others; Spark's xxhash64 of the language."""
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42))
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Trigram code at every code point of all texts, and the texts' lengths. Symbol 0 stands before a text."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    s = symbol_table()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+    s, sizes = symbols(texts)
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     one, two = np.zeros_like(s), np.zeros_like(s)
     one[1:] = s[:-1]
@@ -133,16 +179,19 @@ class Model:
         self.langs = {lang: i for i, lang in enumerate(langs)}
         self.bits = bits
 
-    def entropies(self, texts: list[str], langs: list[str | None]) -> np.ndarray:
-        """Bits a symbol of each text under its language's model; 0 for an empty one."""
-        code, sizes = codes(texts)
-        pool = self.langs[POOL]
-        own = np.array([self.langs.get(x, pool) if x else pool for x in langs], np.int64)
-        bits = self.bits.ravel()[code + np.repeat(own * ALPHABET**3, sizes)]
-        out, full = np.zeros(len(texts)), sizes > 0
-        if full.any():
-            out[full] = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[full], dtype=np.float64) / sizes[full]
-        return out
+    def spelled(self, s: np.ndarray, at: np.ndarray, length: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Bits of the words that begin at symbols at, each with the space before and after it, under the models numbered own."""
+        if not len(at):
+            return np.zeros(0)
+        many = length + 1
+        first = np.cumsum(many) - many
+        place = np.arange(int(many.sum())) - np.repeat(first, many)
+        here = np.repeat(at, many) + place
+        c = np.where(place < np.repeat(length, many), s[np.minimum(here, len(s) - 1)], SPACE)
+        one = np.where(place > 0, s[here - 1], SPACE)
+        two = np.where(place > 1, s[here - 2], np.where(place == 1, SPACE, 0))
+        code = (two * ALPHABET + one) * ALPHABET + c
+        return np.add.reduceat(self.bits.ravel()[code + np.repeat(own * ALPHABET**3, many)], first, dtype=np.float64)
 
 
 def train(tri: DataFrame, part: list[str]) -> Model:
@@ -168,27 +217,146 @@ def train(tri: DataFrame, part: list[str]) -> Model:
     return Model(langs, (-np.log2(p)).astype(np.float32).reshape(len(langs), -1))
 
 
-def _with_entropy(docs: DataFrame, model: Model, text_col: str, lang_col: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def count_words(trusted: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, word, n): how often the trusted texts of each language, and all of them (POOL), have each word, by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, text_col):
-            bits = held.value.entropies(texts, batch.column(lang_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], [*batch.schema.names, "entropy"])
+            by: dict[str, list[str]] = {}
+            for t, lang in zip(texts, batch.column(lang_col).to_pylist(), strict=True):
+                by.setdefault(lang or POOL, []).append(t)
+            for lang, own in by.items():
+                word, n = np.unique(words_of(*symbols(own))[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), pa.array(word.view(np.int64)), pa.array(n)], ["lang", "word", "n"])
 
-    return docs.mapInArrow(run, docs.withColumn("entropy", F.lit(0.0)).schema)
+    parts = trusted.select(F.col(lang_col).cast("string").alias(lang_col), text_col).mapInArrow(run, "lang string, word bigint, n bigint")
+    each, _ = written(parts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "trusted-words")
+    pool = each.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("lang"), "word", "n")
+    return each.filter(F.col("lang") != POOL).unionByName(pool)
 
 
-def length_class(text_col: str):
+def word_weights(counts: DataFrame) -> dict[str, tuple[float, list[float], float]]:
+    """(total, discounts of counts 1, 2 and more, weight of the spelling) of each language's counts; one row a language."""
+    of = counts.groupBy("lang").agg(F.sum("n").alias("total"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2)), F.count_if(F.col("n") > 2).alias("n3"))
+    out = {}
+    for r in of.join(F.broadcast(_discounts(counts)), "lang").collect():  # one row a language
+        d = [r["d1"], r["d2"], r["d3"]]
+        out[r["lang"]] = float(r["total"]), d, sum(x * r[f"n{k}"] for k, x in enumerate(d, 1)) / r["total"]
+    return out
+
+
+def word_bits(n: np.ndarray, spelled: np.ndarray, weights: tuple[float, list[float], float] | None) -> np.ndarray:
+    """Bits of words with counts n and the bits of their spelling."""
+    total, d, back = weights or (1.0, [0.0] * 3, 1.0)
+    own = np.where(n > 0, n - np.array([0.0, *d])[np.clip(n, 0, 3)], 0.0) / total
+    with np.errstate(divide="ignore"):
+        return -np.logaddexp2(np.log2(own), math.log2(back) - spelled)
+
+
+def _wanted(docs: DataFrame, model: Model, turn: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Rows of batches of docs (id, text, lang, _tie, _trusted).
+
+    One row of a batch has its documents, with the bits of their spelled white space; the others have a word each (its hash with the
+    language's), the bits of its spelling, and the documents' numbers and their counts, which are left out if all are 1.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, task, seen = held.value, TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for begin in range(0, whole.num_rows, BATCH_DOCS):
+                part, first, found, rest, lengths = whole.slice(begin, BATCH_DOCS), 0, [], [], []
+                for batch, texts in text_batches(iter([part]), text_col):
+                    names = [x if x in own.langs else POOL for x in (y or POOL for y in batch.column(lang_col).to_pylist())]
+                    number = np.array([own.langs[x] for x in names], np.int64)
+                    s, sizes = symbols(texts)
+                    at, length, word, text = words_of(s, sizes)
+                    white = (s == SPACE) | (s == WHITE)
+                    ends = at + length
+                    ends = ends[(ends < len(s)) & (ends < np.cumsum(sizes)[text])]
+                    white[ends[s[ends] == SPACE]] = False  # these belong to the words before them
+                    gaps = np.flatnonzero(white)
+                    of = np.searchsorted(np.cumsum(sizes), gaps, "right")
+                    rest.append(np.bincount(of, own.bits.ravel()[codes(texts)[0][gaps] + number[of] * ALPHABET**3], len(texts)).astype(float))
+                    lengths.append(sizes)
+                    keys = {x: language_key(x) for x in set(names)}
+                    word = word ^ np.array([keys[x] for x in names], np.uint64)[text]
+                    order = np.lexsort((text, word))
+                    word, text = word[order], text[order]
+                    new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (text[1:] != text[:-1])][: len(word)])
+                    k = np.diff(np.r_[new, len(word)])
+                    lead = order[new]
+                    found.append((word[new], text[new] + first, k, own.spelled(s, at[lead], length[lead], number[text[new]])))
+                    first += len(texts)
+                word, text, k, spelled = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(word, kind="stable")
+                word, text, k, spelled = word[order], text[order], k[order], spelled[order]
+                new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]][: len(word)])
+                ends = np.r_[new, len(word)]
+                docs_of, often = text.astype("<u2").tobytes(), k.astype("<u4").tobytes()
+                single = np.maximum.reduceat(k, new) == 1 if len(new) else []
+                name = (turn << 52) + (task << 26) + seen
+                seen += 1
+                n = len(new) + 1
+                listed = [pa.ListArray.from_arrays(pa.array([0] + [part.num_rows] * n, pa.int32()), x) for x in (part.column(id_col), part.column("_tie"), part.column(lang_col), part.column("_trusted"), pa.array(np.concatenate(rest)), pa.array(np.concatenate(lengths)))]
+                spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+                columns = [
+                    pa.array(np.full(n, name)),
+                    pa.array(np.r_[np.uint64(name), word[new]].view(np.int64)),
+                    pa.array(np.r_[0.0, spelled[new]].astype(np.float32)),
+                    pa.array([None, *(docs_of[2 * a : 2 * b] for a, b in spans)], pa.binary()),
+                    pa.array([None, *(None if one else often[4 * a : 4 * b] for (a, b), one in zip(spans, single, strict=True))], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([*columns, *listed], ["batch", "word", "spelled", "docs", "often", "ids", "ties", "langs", "trusted", "rest", "sizes"])
+
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(id_col, text_col, F.col(lang_col).cast("string").alias(lang_col), "_tie", "_trusted").mapInArrow(
+        run, f"batch bigint, word bigint, spelled float, docs binary, often binary, ids array<{kind}>, ties array<bigint>, langs array<string>, trusted array<boolean>, rest array<double>, sizes array<bigint>"
+    )
+
+
+def _entropies(wanted: DataFrame, counts: DataFrame, known: list[str], id_col: str, lang_col: str) -> DataFrame:
+    """(id, lang, _tie, _trusted, symbols, entropy) of the documents of _wanted's rows: bits a symbol, 0 for an empty text."""
+    weights = word_weights(counts)
+    held = counts.select(F.col("word").bitwiseXOR(F.xxhash64("lang")).alias("word"), "n")
+    met = wanted.join(held, "word", "left").drop("word")
+    kind = dict(wanted.dtypes)["ids"][6:-1]
+
+    def run(rows: pa.Table) -> pa.Table:
+        has = rows.column("docs").is_null()
+        lists = [pa.array(rows.filter(has).column(c).combine_chunks().flatten()) for c in ("ids", "ties", "langs", "trusted", "rest", "sizes")]
+        bits, sizes, trusted = lists[4].to_numpy(zero_copy_only=False).copy(), lists[5].to_numpy(zero_copy_only=False), lists[3].to_numpy(zero_copy_only=False).astype(bool)
+        words = rows.filter(rows.column("docs").is_valid())
+        docs = words.column("docs").to_pylist()
+        if docs:
+            many = np.array([len(x) // 2 for x in docs])
+            text = np.frombuffer(b"".join(docs), "<u2").astype(np.int64)
+            one = np.uint32(1).tobytes()
+            k = np.frombuffer(b"".join(x if x is not None else one * m for x, m in zip(words.column("often").to_pylist(), many.tolist(), strict=True)), "<u4").astype(np.int64)
+            n = np.repeat(words.column("n").fill_null(0).to_numpy().astype(np.int64), many)
+            spelled = np.repeat(words.column("spelled").to_numpy().astype(float), many)
+            n = np.maximum(n - np.where(trusted[text], k, 0), 0)
+            names = np.array([x if x in weights and x in own else POOL for x in (y or POOL for y in lists[2].to_pylist())], object)
+            for lang in sorted(set(names.tolist())):
+                at = np.flatnonzero((names == lang)[text])
+                bits += np.bincount(text[at], k[at] * word_bits(n[at], spelled[at], weights.get(lang)), len(bits))
+        entropy = np.divide(bits, sizes, out=np.zeros(len(bits)), where=sizes > 0)
+        return pa.table([lists[0], lists[2], lists[1], lists[3], lists[5], pa.array(entropy)], names=[id_col, lang_col, "_tie", "_trusted", "symbols", "entropy"])
+
+    own = set(known)
+    return met.groupBy("batch").applyInArrow(run, f"{id_col} {kind}, {lang_col} string, _tie bigint, _trusted boolean, symbols bigint, entropy double")
+
+
+def length_class(length: Column) -> Column:
     """Texts of up to 63, 255, 1023, ... characters."""
-    return F.greatest(F.lit(3), F.floor(F.log2(F.greatest(F.length(text_col), F.lit(1)) + F.lit(0.5)) / 2)).cast("int")
+    return F.greatest(F.lit(3), F.floor(F.log2(F.greatest(length, F.lit(1)) + F.lit(0.5)) / 2)).cast("int")
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents that labels (id_col, quality) call good."""
-    good = labels.filter(F.col("quality") == 1).select(id_col).distinct()
+def with_trust(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with _trusted: whether labels (id_col, quality) call them good."""
+    good = labels.filter(F.col("quality") == 1).select(F.col(id_col).alias("_good")).distinct()
     small = good.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(good) if small else good, id_col, "left_semi")
+    return docs.join(F.broadcast(good) if small else good, docs[id_col] == good["_good"], "left").withColumn("_trusted", F.col("_good").isNotNull()).drop("_good")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -209,29 +377,28 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """docs with entropy and _accepted. Languages are taken MODELS at a time, so the table that a worker holds is bounded."""
-    trusted, _ = written(trusted_rows(docs.select(id_col, text_col, lang_col), labels, id_col).select(text_col, F.col(lang_col).cast("string").alias(lang_col)), "trusted")
+    lang = F.col(lang_col).cast("string")
+    rows = with_trust(docs.select(id_col, text_col, lang.alias(lang_col), F.xxhash64(text_col).alias("_tie")), labels, id_col)
+    trusted, _ = written(rows.filter("_trusted").select(text_col, lang_col), "trusted")
     tri, _ = written(count_trigrams(trusted, text_col, lang_col), "trigrams")
+    counts = count_words(trusted, text_col, lang_col)
     langs = sorted(r["lang"] for r in tri.select("lang").distinct().collect() if r["lang"] != POOL)  # names alone
     parts = [langs[at : at + MODELS] for at in range(0, len(langs), MODELS)] or [[]]
-    models = [train(tri, part) for part in parts]  # ALPHABET**3 numbers a language on the driver
-
-    def turns(rows: DataFrame) -> DataFrame:
-        """rows with entropy, _lang and _class; the first turn takes the languages without a model, too."""
-        out = None
-        for part, model in zip(parts, models, strict=True):
-            lang = F.col(lang_col).cast("string")
-            own = F.when(lang.isin(part), lang).otherwise(F.lit(POOL)) if part else F.lit(POOL)
-            mine = F.coalesce(lang.isin(part), F.lit(False)) if out is not None else ~F.coalesce(lang.isin(langs[MODELS:]), F.lit(False))
-            marked = _with_entropy(rows if len(parts) == 1 else rows.filter(mine), model, text_col, lang_col)
-            marked = marked.withColumns({"_lang": own, "_class": length_class(text_col)})
-            out = marked if out is None else out.unionByName(marked)
-        return out
-
-    seen, _ = written(turns(trusted).filter(F.length(text_col) > 0).select("_lang", "_class", "entropy"), "trusted-entropies")
-    grades = seen.withColumn("_lang", F.explode(F.array_distinct(F.array("_lang", F.lit(POOL))))).withColumn("_class", F.explode(F.array("_class", F.lit(-1))))
+    wanted = None
+    for turn, part in enumerate(parts):
+        mine = F.coalesce(lang.isin(part), F.lit(False)) if turn else ~F.coalesce(lang.isin(langs[MODELS:]), F.lit(False))  # the first turn takes those without a model, too
+        some = _wanted(rows if len(parts) == 1 else rows.filter(mine), train(tri, part), turn, id_col, text_col, lang_col)  # ALPHABET**3 numbers a language on the driver
+        wanted = some if wanted is None else wanted.unionByName(some)
+    seen, _ = written(_entropies(wanted, counts, langs, id_col, lang_col), "entropies")
+    own = F.when(F.col(lang_col).isin(langs), F.col(lang_col)).otherwise(F.lit(POOL)) if langs else F.lit(POOL)
+    seen = seen.withColumns({"_lang": own, "_class": length_class(F.col("symbols"))})
+    grades = seen.filter("_trusted AND symbols > 0").withColumn("_lang", F.explode(F.array_distinct(F.array("_lang", F.lit(POOL))))).withColumn("_class", F.explode(F.array("_class", F.lit(-1))))
     limits = grades.groupBy("_lang", "_class").agg(F.count("*").alias("n"), F.percentile_approx("entropy", F.array(F.lit(LOWER), F.lit(UPPER)), 10_000).alias("q")).filter((F.col("n") >= LEAST_TRUSTED) | ((F.col("_class") == -1) & (F.col("_lang") == POOL))).collect()  # a few rows a language
     held = {(r["_lang"], r["_class"]): (r["q"][0] - MARGIN, r["q"][1] + MARGIN) for r in limits}
-    bounds = docs.sparkSession.createDataFrame([(x, c, *next((held[k] for k in ((x, c), (x, -1), (POOL, c), (POOL, -1)) if k in held), (-math.inf, math.inf))) for x in [POOL, *langs] for c in range(3, 17)], "_lang string, _class int, low double, high double")
-    judged = turns(docs).join(F.broadcast(bounds), ["_lang", "_class"])  # a few rows a language
-    good = (F.coalesce(F.length(text_col), F.lit(0)) > 0) & (F.col("entropy") <= F.col("high")) & (F.col("entropy") >= F.col("low"))
-    return judged.withColumn("_accepted", good).drop("_lang", "_class", "low", "high")
+    bounds = docs.sparkSession.createDataFrame([(x, c, *next((held[k] for k in ((x, c), (POOL, c), (x, -1), (POOL, -1)) if k in held), (-math.inf, math.inf))) for x in [POOL, *langs] for c in range(3, 17)], "_lang string, _class int, low double, high double")
+    good = (F.col("symbols") > 0) & (F.col("entropy") <= F.col("high")) & (F.col("entropy") >= F.col("low"))
+    judged = seen.join(F.broadcast(bounds), ["_lang", "_class"]).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_of"), F.col("_tie").alias("_same"), "entropy", good.alias("_accepted"))  # a few rows a language
+    once = judged.dropDuplicates(["_id", "_of", "_same"])  # repeated rows have equal results
+    tied = docs.withColumn("_tie", F.xxhash64(text_col))
+    same = tied[id_col].eqNullSafe(once["_id"]) & lang.eqNullSafe(once["_of"]) & (tied["_tie"] == once["_same"])
+    return tied.join(once, same).drop("_tie", "_id", "_of", "_same")

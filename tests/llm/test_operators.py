@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -465,7 +466,6 @@ def test_kneser_ney_equals_a_plain_computation(spark, docs):
     model = quality.train(quality.count_trigrams(docs), langs)
     p = np.exp2(-model.bits.astype(float)).reshape(len(langs) + 1, -1, n)
     assert np.allclose(p.sum(2), 1, atol=1e-4)
-    assert model.entropies(["", "the"], [None, "xx"])[0] == 0
     for lang in langs[:2]:
         counts = np.zeros((n, n, n))
         for r in rows:
@@ -489,6 +489,48 @@ def test_kneser_ney_equals_a_plain_computation(spark, docs):
         assert np.allclose(own, lower, atol=1e-4)
 
 
+def test_perplexity_equals_a_plain_computation(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "BATCH_DOCS", 7)
+    labels = table(spark, SF, "labels")
+    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
+    rows = docs.select("doc_id", "text", "lang").collect()
+    held = {r["doc_id"]: r for r in rows}
+    model = quality.train(quality.count_trigrams(docs.filter(F.col("doc_id").isin(good))), sorted({held[i]["lang"] for i in good}))
+
+    def words(text):
+        """(symbols of the words, [(place, symbol) of the white space that is spelled]) of a text."""
+        own, found, white, begin = quality.symbols([text])[0].tolist(), [], [], None
+        for i, x in enumerate([*own, quality.SPACE]):
+            if x not in (quality.SPACE, quality.WHITE):
+                begin = i if begin is None else begin
+            elif begin is not None:
+                found.append(tuple(own[begin:i]))
+                begin = None
+                white += [i] * (x == quality.WHITE)
+            elif i < len(own):
+                white.append(i)
+        return own, found, white
+
+    counts = {lang: Counter(w for i in good if held[i]["lang"] == lang for w in words(held[i]["text"])[1]) for lang in {r["lang"] for r in rows}}
+    n, size = quality.ALPHABET, quality.SPACE
+    got = {r["doc_id"]: r["perplexity"] for r in quality.score(docs, labels).collect()}
+    for r in rows:
+        known, bits = counts[r["lang"]], model.bits[model.langs[r["lang"]]].astype(float)
+        k = [sum(x == y for x in known.values()) for y in (1, 2, 3, 4)]
+        y = k[0] / (k[0] + 2 * k[1])
+        d = [0, *(max(0.05 * x, min(x - 0.05, x - (x + 1) * y * k[x] / max(k[x - 1], 1))) for x in (1, 2, 3))]
+        total, back = sum(known.values()), sum(d[min(x, 3)] for x in known.values()) / sum(known.values())
+        own, found, white = words(r["text"])
+        mine = Counter(found) if r["doc_id"] in good else Counter()
+        want = sum(bits[((own[i - 2] if i > 1 else 0) * n + (own[i - 1] if i else 0)) * n + own[i]] for i in white)
+        for w, often in Counter(found).items():
+            whole = [0, size, *w, size]
+            spelled = sum(bits[(a * n + b) * n + c] for a, b, c in zip(whole, whole[1:], whole[2:]))
+            left = known[w] - mine[w]
+            want -= often * math.log2((left - d[min(left, 3)]) / total + back * 2.0**-spelled)
+        assert math.isclose(math.log2(got[r["doc_id"]]), want / len(own), rel_tol=1e-4)
+
+
 def test_quality_in_turns_and_by_a_shuffle(spark, monkeypatch, docs):
     labels = table(spark, SF, "labels")
     want = sorted(map(tuple, quality.score(docs, labels).select("doc_id", "perplexity", "accepted").collect()))
