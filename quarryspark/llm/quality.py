@@ -7,10 +7,12 @@ counts of words (runs of symbols up to white space), which grow with the trusted
 spell words that no trusted text has. A word's probability is the discounted share of its count, plus the weight of the
 discounts times the probability of its spelling and of the space after it. White space beyond that space is spelled.
 
-Words are counted by 64-bit hashes. A batch of documents becomes one row for each of its distinct words, with the documents that
-have it; these rows meet the counts in a join sharded by word, and then each other again by batch, which gives each document's
-perplexity. A word that most documents have is thus a row a batch, not a row a document. A trusted document's own occurrences are taken from
-the counts that it is scored with, so that trusted and other documents compare. Perplexities are compared to quantiles of the
+Words are counted by 64-bit hashes, and shards of these meet the counts: a batch of documents sends each shard one packed row of
+its words there, a task reads a shard's counts and then streams the rows of the batches, and each answers with what the known words
+save against their spelling. Shards grow in number with the text, so the counts of one stay small. The answers meet again by
+batch, which gives each document's perplexity. Words that hold HOT_SHARE of a language's, at most 1 / HOT_SHARE of them, are
+broadcast instead. A trusted document's own occurrences are taken from the counts that it is scored with, so that trusted and
+other documents compare. Perplexities are compared to quantiles of the
 trusted documents of the language and length class (of the class alone, or the language alone, if these are too few); documents
 beyond the upper quantile by a margin, or below the lower one by it, are rejected.
 
@@ -31,11 +33,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shield, text_batches, written
+from .common import HOT_SHARE, shield, shuffle_parts, text_batches, written
 
 ALPHABET = 44
 #: Languages whose models are held at once; more are worked off in turns.
@@ -52,6 +55,8 @@ BROADCAST_IDS = 1_000_000
 SPACE, WHITE = 33, 34
 #: Documents of a batch at most: their numbers take two bytes.
 BATCH_DOCS = 1 << 16
+#: Characters of documents for a shard of words.
+SHARD_CHARS = 8_000_000
 #: Multipliers of the hash of words.
 STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -217,22 +222,30 @@ def train(tri: DataFrame, part: list[str]) -> Model:
     return Model(langs, (-np.log2(p)).astype(np.float32).reshape(len(langs), -1))
 
 
-def count_words(trusted: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, word, n): how often the trusted texts of each language, and all of them (POOL), have each word, by its hash."""
+def count_words(trusted: DataFrame, models: list[Model], pooled: bool, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, word, n, spelled): how often the trusted texts of each language have each word, and the bits of its spelling.
+
+    A word is a hash, with the language's. If pooled, the counts over all languages (POOL) are there as well.
+    """
+    held = trusted.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {lang: m for m in held.value[::-1] for lang in m.langs}
         for batch, texts in text_batches(batches, text_col):
             by: dict[str, list[str]] = {}
             for t, lang in zip(texts, batch.column(lang_col).to_pylist(), strict=True):
                 by.setdefault(lang or POOL, []).append(t)
             for lang, own in by.items():
-                word, n = np.unique(words_of(*symbols(own))[2], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), pa.array(word.view(np.int64)), pa.array(n)], ["lang", "word", "n"])
+                s, sizes = symbols(own)
+                at, length, word, _ = words_of(s, sizes)
+                word, lead, n = np.unique(word, return_index=True, return_counts=True)
+                at, length = at[lead], length[lead]
+                for x in (lang, POOL) if pooled and lang != POOL else (lang,):
+                    spelled = of[x].spelled(s, at, length, np.full(len(at), of[x].langs[x]))
+                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(word), pa.string()), pa.array((word ^ language_key(x)).view(np.int64)), pa.array(n), pa.array(spelled.astype(np.float32))], ["lang", "word", "n", "spelled"])
 
-    parts = trusted.select(F.col(lang_col).cast("string").alias(lang_col), text_col).mapInArrow(run, "lang string, word bigint, n bigint")
-    each, _ = written(parts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "trusted-words")
-    pool = each.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("lang"), "word", "n")
-    return each.filter(F.col("lang") != POOL).unionByName(pool)
+    parts = trusted.select(F.col(lang_col).cast("string").alias(lang_col), text_col).mapInArrow(run, "lang string, word bigint, n bigint, spelled float")
+    return written(parts.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.max("spelled").alias("spelled")), "trusted-words")[0]
 
 
 def word_weights(counts: DataFrame) -> dict[str, tuple[float, list[float], float]]:
@@ -245,106 +258,158 @@ def word_weights(counts: DataFrame) -> dict[str, tuple[float, list[float], float
     return out
 
 
-def word_bits(n: np.ndarray, spelled: np.ndarray, weights: tuple[float, list[float], float] | None) -> np.ndarray:
-    """Bits of words with counts n and the bits of their spelling."""
-    total, d, back = weights or (1.0, [0.0] * 3, 1.0)
-    own = np.where(n > 0, n - np.array([0.0, *d])[np.clip(n, 0, 3)], 0.0) / total
+def savings(n: np.ndarray, spelled: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Bits that words with counts n take less than by their spelling alone; rows of weights have total, discounts 0 to 3, weight of the spelling."""
+    own = np.where(n > 0, n - weights[np.arange(len(n)), 1 + np.clip(n, 0, 3)], 0.0) / weights[:, 0]
     with np.errstate(divide="ignore"):
-        return -np.logaddexp2(np.log2(own), math.log2(back) - spelled)
+        return np.logaddexp2(np.log2(own), np.log2(weights[:, 5]) - spelled) - (np.log2(weights[:, 5]) - spelled)
 
 
-def _wanted(docs: DataFrame, model: Model, turn: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Rows of batches of docs (id, text, lang, _tie, _trusted).
+def _saved(known: tuple[np.ndarray, ...], table: np.ndarray, word: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which words are known, bits that they save) by known (words in order, n, spelled, language); k < 0 has a trusted document's occurrences."""
+    words, n, spelled, of = known
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0)
+    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+    here = np.flatnonzero(words[at] == word)
+    at, k = at[here], k[here]
+    return here, np.abs(k) * savings(np.maximum(n[at] + np.minimum(k, 0), 0), spelled[at].astype(float), table[of[at]])
 
-    One row of a batch has its documents, with the bits of their spelled white space; the others have a word each (its hash with the
-    language's), the bits of its spelling, and the documents' numbers and their counts, which are left out if all are 1.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, each by byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns))
+
+
+def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n, out, at = len(raw) // sum(np.dtype(k).itemsize for k in kinds), [], 0
+    for k in kinds:
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).ravel())
+        at += n * size
+    return out
+
+
+LISTS = ("ids", "ties", "langs", "trusted", "bits", "sizes")
+
+
+def _schema(kind: str) -> str:
+    return f"shard int, batch bigint, word bigint, n bigint, spelled float, of int, packed binary, ids array<{kind}>, ties array<bigint>, langs array<string>, trusted array<boolean>, bits array<double>, sizes array<bigint>"
+
+
+def _wanted(docs: DataFrame, model: Model, turn: int, shards: int, hot: tuple[np.ndarray, ...], weights: dict[str, tuple[float, list[float], float]], id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Rows of batches of docs (id, text, lang, _tie, _trusted): one has the documents, with their bits by spelling and hot words, one for each shard its words."""
+    kind = dict(docs.dtypes)[id_col]
+    held = docs.sparkSession.sparkContext.broadcast((model, hot, _table(weights)))
+    back = {lang: -math.log2(w[2]) for lang, w in weights.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, task, seen = held.value, TaskContext.get().partitionId(), 0
+        (own, often, table), task, seen = held.value, TaskContext.get().partitionId(), 0
         for whole in batches:
             for begin in range(0, whole.num_rows, BATCH_DOCS):
-                part, first, found, rest, lengths = whole.slice(begin, BATCH_DOCS), 0, [], [], []
+                part, first, found, bits, lengths = whole.slice(begin, BATCH_DOCS), 0, [], [], []
                 for batch, texts in text_batches(iter([part]), text_col):
                     names = [x if x in own.langs else POOL for x in (y or POOL for y in batch.column(lang_col).to_pylist())]
-                    number = np.array([own.langs[x] for x in names], np.int64)
+                    number, spare = np.array([own.langs[x] for x in names], np.int64), np.array([back.get(x, 0.0) for x in names])
                     s, sizes = symbols(texts)
                     at, length, word, text = words_of(s, sizes)
                     white = (s == SPACE) | (s == WHITE)
                     ends = at + length
-                    ends = ends[(ends < len(s)) & (ends < np.cumsum(sizes)[text])]
+                    ends = ends[ends < np.cumsum(sizes)[text]]
                     white[ends[s[ends] == SPACE]] = False  # these belong to the words before them
                     gaps = np.flatnonzero(white)
                     of = np.searchsorted(np.cumsum(sizes), gaps, "right")
-                    rest.append(np.bincount(of, own.bits.ravel()[codes(texts)[0][gaps] + number[of] * ALPHABET**3], len(texts)).astype(float))
-                    lengths.append(sizes)
+                    plain = np.bincount(of, own.bits.ravel()[codes(texts)[0][gaps] + number[of] * ALPHABET**3], len(texts)).astype(float)
+                    plain += np.bincount(text, own.spelled(s, at, length, number[text]) + spare[text], len(texts)).astype(float)
                     keys = {x: language_key(x) for x in set(names)}
                     word = word ^ np.array([keys[x] for x in names], np.uint64)[text]
                     order = np.lexsort((text, word))
                     word, text = word[order], text[order]
                     new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (text[1:] != text[:-1])][: len(word)])
                     k = np.diff(np.r_[new, len(word)])
-                    lead = order[new]
-                    found.append((word[new], text[new] + first, k, own.spelled(s, at[lead], length[lead], number[text[new]])))
+                    word, text = word[new], text[new]
+                    k = np.where(np.array(batch.column("_trusted").to_pylist(), bool)[text], -k, k)
+                    here, less = _saved(often, table, word, k)
+                    bits.append(plain - np.bincount(text[here], less, len(texts)).astype(float))
+                    lengths.append(sizes)
+                    left = np.ones(len(word), bool)
+                    left[here] = False
+                    found.append((word[left], text[left] + first, k[left]))
                     first += len(texts)
-                word, text, k, spelled = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.argsort(word, kind="stable")
-                word, text, k, spelled = word[order], text[order], k[order], spelled[order]
-                new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]][: len(word)])
-                ends = np.r_[new, len(word)]
-                docs_of, often = text.astype("<u2").tobytes(), k.astype("<u4").tobytes()
-                single = np.maximum.reduceat(k, new) == 1 if len(new) else []
-                name = (turn << 52) + (task << 26) + seen
+                word, text, k = (np.concatenate(x) for x in zip(*found, strict=True))
+                shard = (word % np.uint64(shards)).astype(np.int64)
+                order = np.lexsort((word, shard))
+                word, text, k, shard = word[order], text[order], k[order], shard[order]
+                new = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(word)])
+                packed = [_pack(np.diff(word[a:b], prepend=np.uint64(0)), text[a:b].astype("<u2"), k[a:b].astype("<i4")) for a, b in zip(new, [*new[1:], len(word)], strict=True)]
+                name, n = (turn << 52) + (task << 26) + seen, len(new) + 1
                 seen += 1
-                n = len(new) + 1
-                listed = [pa.ListArray.from_arrays(pa.array([0] + [part.num_rows] * n, pa.int32()), x) for x in (part.column(id_col), part.column("_tie"), part.column(lang_col), part.column("_trusted"), pa.array(np.concatenate(rest)), pa.array(np.concatenate(lengths)))]
-                spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-                columns = [
-                    pa.array(np.full(n, name)),
-                    pa.array(np.r_[np.uint64(name), word[new]].view(np.int64)),
-                    pa.array(np.r_[0.0, spelled[new]].astype(np.float32)),
-                    pa.array([None, *(docs_of[2 * a : 2 * b] for a, b in spans)], pa.binary()),
-                    pa.array([None, *(None if one else often[4 * a : 4 * b] for (a, b), one in zip(spans, single, strict=True))], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays([*columns, *listed], ["batch", "word", "spelled", "docs", "often", "ids", "ties", "langs", "trusted", "rest", "sizes"])
+                listed = [pa.ListArray.from_arrays(pa.array([0] + [part.num_rows] * n, pa.int32()), x) for x in (part.column(id_col), part.column("_tie"), part.column(lang_col), part.column("_trusted"), pa.array(np.concatenate(bits)), pa.array(np.concatenate(lengths)))]
+                columns = [pa.array(np.r_[name % shards, shard[new]].astype(np.int32)), pa.array(np.full(n, name)), *(pa.nulls(n, x) for x in (pa.int64(), pa.int64(), pa.float32(), pa.int32())), pa.array([None, *packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *listed], ["shard", "batch", "word", "n", "spelled", "of", "packed", *LISTS])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col, F.col(lang_col).cast("string").alias(lang_col), "_tie", "_trusted").mapInArrow(
-        run, f"batch bigint, word bigint, spelled float, docs binary, often binary, ids array<{kind}>, ties array<bigint>, langs array<string>, trusted array<boolean>, rest array<double>, sizes array<bigint>"
-    )
+    return docs.select(id_col, text_col, F.col(lang_col).cast("string").alias(lang_col), "_tie", "_trusted").mapInArrow(run, _schema(kind))
+
+
+def _table(weights: dict[str, tuple[float, list[float], float]]) -> np.ndarray:
+    """Rows total, discounts 0 to 3, weight of the spelling, of the languages in order."""
+    return np.array([[t, 0.0, *d, b] for t, d, b in (weights[x] for x in sorted(weights))]).reshape(-1, 6)
 
 
-def _entropies(wanted: DataFrame, counts: DataFrame, known: list[str], id_col: str, lang_col: str) -> DataFrame:
+def _entropies(wanted: DataFrame, counts: DataFrame, shards: int, weights: dict[str, tuple[float, list[float], float]], id_col: str, lang_col: str) -> DataFrame:
     """(id, lang, _tie, _trusted, symbols, entropy) of the documents of _wanted's rows: bits a symbol, 0 for an empty text."""
-    weights = word_weights(counts)
-    held = counts.select(F.col("word").bitwiseXOR(F.xxhash64("lang")).alias("word"), "n")
-    met = wanted.join(held, "word", "left").drop("word")
     kind = dict(wanted.dtypes)["ids"][6:-1]
+    number = F.array_position(F.array(*map(F.lit, sorted(weights))), F.col("lang")) - 1 if weights else F.lit(0)
+    rest = F.conv(F.hex("word"), 16, 10).cast("decimal(20,0)") % shards  # the hash is unsigned
+    own = counts.select(rest.cast("int").alias("shard"), F.lit(-1).cast("bigint").alias("batch"), "word", "n", "spelled", number.cast("int").alias("of"))
+    table = _table(weights)
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, known = None, [], None
+        for rows in batches:
+            here = rows.column("shard").to_numpy()
+            counted = rows.column("batch").to_numpy() < 0
+            cuts = np.flatnonzero(np.r_[True, (here[1:] != here[:-1]) | (counted[1:] != counted[:-1])])
+            for a, b in zip(cuts, [*cuts[1:], len(here)], strict=True):
+                if here[a] != shard:
+                    shard, parts, known = here[a], [], None
+                some = rows.slice(a, b - a)
+                if counted[a]:
+                    parts.append((some.column("word").to_numpy().view(np.uint64), *(some.column(c).to_numpy() for c in ("n", "spelled", "of"))))
+                    continue
+                if known is None:
+                    known = tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 4
+                    order = np.argsort(known[0])
+                    known = tuple(x[order] for x in known)
+                out = []
+                for data in some.column("packed").to_pylist():
+                    if data is None:
+                        out.append(None)
+                        continue
+                    word, text, k = _unpack(data, "<u8", "<u2", "<i4")
+                    at, less = _saved(known, table, np.cumsum(word, dtype=np.uint64), k.astype(np.int64))
+                    total = np.bincount(text[at], less)
+                    of = np.flatnonzero(total)
+                    out.append(_pack(of.astype("<u2"), total[of].astype("<f4")) if len(of) else b"")
+                yield pa.RecordBatch.from_arrays([some.column("batch"), pa.array(out, pa.binary()), *(some.column(c) for c in LISTS)], ["batch", "packed", *LISTS])
 
     def run(rows: pa.Table) -> pa.Table:
-        has = rows.column("docs").is_null()
-        lists = [pa.array(rows.filter(has).column(c).combine_chunks().flatten()) for c in ("ids", "ties", "langs", "trusted", "rest", "sizes")]
-        bits, sizes, trusted = lists[4].to_numpy(zero_copy_only=False).copy(), lists[5].to_numpy(zero_copy_only=False), lists[3].to_numpy(zero_copy_only=False).astype(bool)
-        words = rows.filter(rows.column("docs").is_valid())
-        docs = words.column("docs").to_pylist()
-        if docs:
-            many = np.array([len(x) // 2 for x in docs])
-            text = np.frombuffer(b"".join(docs), "<u2").astype(np.int64)
-            one = np.uint32(1).tobytes()
-            k = np.frombuffer(b"".join(x if x is not None else one * m for x, m in zip(words.column("often").to_pylist(), many.tolist(), strict=True)), "<u4").astype(np.int64)
-            n = np.repeat(words.column("n").fill_null(0).to_numpy().astype(np.int64), many)
-            spelled = np.repeat(words.column("spelled").to_numpy().astype(float), many)
-            n = np.maximum(n - np.where(trusted[text], k, 0), 0)
-            names = np.array([x if x in weights and x in own else POOL for x in (y or POOL for y in lists[2].to_pylist())], object)
-            for lang in sorted(set(names.tolist())):
-                at = np.flatnonzero((names == lang)[text])
-                bits += np.bincount(text[at], k[at] * word_bits(n[at], spelled[at], weights.get(lang)), len(bits))
+        one = rows.filter(rows.column("packed").is_null())
+        ids, ties, langs, trusted, bits, sizes = (one.column(c).combine_chunks().flatten() for c in LISTS)
+        bits, sizes = bits.to_numpy().copy(), sizes.to_numpy()
+        for data in rows.column("packed").to_pylist():
+            if data:
+                of, less = _unpack(data, "<u2", "<f4")
+                bits[of] -= less
         entropy = np.divide(bits, sizes, out=np.zeros(len(bits)), where=sizes > 0)
-        return pa.table([lists[0], lists[2], lists[1], lists[3], lists[5], pa.array(entropy)], names=[id_col, lang_col, "_tie", "_trusted", "symbols", "entropy"])
+        return pa.table([ids, langs, ties, trusted, pa.array(sizes), pa.array(entropy)], names=[id_col, lang_col, "_tie", "_trusted", "symbols", "entropy"])
 
-    own = set(known)
-    return met.groupBy("batch").applyInArrow(run, f"{id_col} {kind}, {lang_col} string, _tie bigint, _trusted boolean, symbols bigint, entropy double")
+    sent = F.col("packed").isNotNull()
+    lists = [F.when(~sent, F.col(c)).alias(c) for c in LISTS]  # these are in one row of a batch alone
+    both = wanted.select("shard", "batch", "word", "n", "spelled", "of", "packed", *lists).unionByName(own, allowMissingColumns=True)
+    met = both.repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(answered, "batch bigint, packed binary" + _schema(kind).split("packed binary")[1])
+    return met.filter("packed IS NULL OR length(packed) > 0").groupBy("batch").applyInArrow(run, f"{id_col} {kind}, {lang_col} string, _tie bigint, _trusted boolean, symbols bigint, entropy double")
 
 
 def length_class(length: Column) -> Column:
@@ -381,15 +446,26 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     rows = with_trust(docs.select(id_col, text_col, lang.alias(lang_col), F.xxhash64(text_col).alias("_tie")), labels, id_col)
     trusted, _ = written(rows.filter("_trusted").select(text_col, lang_col), "trusted")
     tri, _ = written(count_trigrams(trusted, text_col, lang_col), "trigrams")
-    counts = count_words(trusted, text_col, lang_col)
     langs = sorted(r["lang"] for r in tri.select("lang").distinct().collect() if r["lang"] != POOL)  # names alone
     parts = [langs[at : at + MODELS] for at in range(0, len(langs), MODELS)] or [[]]
+    models = [train(tri, part) for part in parts]  # ALPHABET**3 numbers a language on the driver
+    foreign = ~F.coalesce(lang.isin(langs), F.lit(False))
+    size = docs.agg(F.sum(F.length(text_col)).alias("chars"), F.count_if(foreign).alias("others")).first()
+    shards = max(shuffle_parts(docs.sparkSession), (size["chars"] or 0) // SHARD_CHARS)
+    counts = count_words(trusted, models, size["others"] > 0, text_col, lang_col)
+    weights = word_weights(counts)
+    limit = F.create_map(*(F.lit(x) for k, w in weights.items() for x in (k, max(2.0, w[0] * HOT_SHARE))))[F.col("lang")] if weights else F.lit(math.inf)
+    few = counts.filter(F.col("n") >= limit).collect()  # 1 / HOT_SHARE rows a language at most
+    place = {x: i for i, x in enumerate(sorted(weights))}
     wanted = None
     for turn, part in enumerate(parts):
         mine = F.coalesce(lang.isin(part), F.lit(False)) if turn else ~F.coalesce(lang.isin(langs[MODELS:]), F.lit(False))  # the first turn takes those without a model, too
-        some = _wanted(rows if len(parts) == 1 else rows.filter(mine), train(tri, part), turn, id_col, text_col, lang_col)  # ALPHABET**3 numbers a language on the driver
+        top = sorted((r["word"] % 2**64, r["n"], r["spelled"], place[r["lang"]]) for r in few if r["lang"] in models[turn].langs)
+        hot = tuple(np.array(x, t) for x, t in zip(zip(*top, strict=True) if top else [()] * 4, (np.uint64, np.int64, float, np.int64), strict=True))
+        some = _wanted(rows if len(parts) == 1 else rows.filter(mine), models[turn], turn, shards, hot, weights, id_col, text_col, lang_col)
         wanted = some if wanted is None else wanted.unionByName(some)
-    seen, _ = written(_entropies(wanted, counts, langs, id_col, lang_col), "entropies")
+    cold = counts.filter(F.col("n") < limit)
+    seen, _ = written(_entropies(wanted, cold, shards, weights, id_col, lang_col), "entropies")
     own = F.when(F.col(lang_col).isin(langs), F.col(lang_col)).otherwise(F.lit(POOL)) if langs else F.lit(POOL)
     seen = seen.withColumns({"_lang": own, "_class": length_class(F.col("symbols"))})
     grades = seen.filter("_trusted AND symbols > 0").withColumn("_lang", F.explode(F.array_distinct(F.array("_lang", F.lit(POOL))))).withColumn("_class", F.explode(F.array("_class", F.lit(-1))))
