@@ -29,6 +29,7 @@ import math
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -342,7 +343,7 @@ def _wanted(docs: DataFrame, model: Model, turn: int, shards: int, hot: tuple[np
                 order = np.lexsort((word, shard))
                 word, text, k, shard = word[order], text[order], k[order], shard[order]
                 new = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(word)])
-                packed = [_pack(np.diff(word[a:b], prepend=np.uint64(0)), text[a:b].astype("<u2"), k[a:b].astype("<i4")) for a, b in zip(new, [*new[1:], len(word)], strict=True)]
+                packed = [_pack(np.diff(word[a:b], prepend=np.uint64(0)), text[a:b].astype("<u2"), k[a:b].astype("<i4")) for a, b in pairwise([*new, len(word)])]
                 name, n = (turn << 52) + (task << 26) + seen, len(new) + 1
                 seen += 1
                 listed = [pa.ListArray.from_arrays(pa.array([0] + [part.num_rows] * n, pa.int32()), x) for x in (part.column(id_col), part.column("_tie"), part.column(lang_col), part.column("_trusted"), pa.array(np.concatenate(bits)), pa.array(np.concatenate(lengths)))]
