@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import aggregate, analysis, dedupe, extract, pipelines, resolve, scalars, search  # noqa: F401  importing registers the operators
+from .operators import aggregate, analysis, cases, dedupe, extract, pipelines, resolve, scalars, search  # noqa: F401  importing registers the operators
 from .plans.register import QUERIES, SQL
 from .sources import files, listing  # noqa: F401
 from .streaming import jobs  # noqa: F401

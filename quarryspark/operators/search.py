@@ -1,8 +1,7 @@
 """Full-text, vector and faceted search over whole tables.
 
-A row's tokens are joined into one string with marked borders, so that a phrase is a substring and matching stays one
-vectorised expression in the scan; document frequencies and lengths are one aggregate row. An inverted index (postings) is
-a table of its own for repeated queries.
+Text searches read a stored positional index (textindex), made once of a folder's documents; the SQL twins scan the texts, as
+phrases of tokens joined with marked borders.
 """
 
 from __future__ import annotations
@@ -18,11 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.query import STOPWORDS, Tier, Vocabulary, tiers, words
 from ..plans.register import operator
-from ..sources.shipping import materialised
 from ..sources.tables import JUDGEMENTS, LINES, judgements, table
-
-K1, B, FLOOR = 1.2, 0.75, 1e-6
-
+from .textindex import Phrase, TextIndex, built
 
 def marked(c: Column) -> Column:
     """A text's tokens between border spaces."""
@@ -34,58 +30,42 @@ def needle(phrase: str, star: bool = False) -> str:
     return " " + "  ".join(words(phrase)) + ("" if star else " ")
 
 
-def occurrences(joined: Column, phrase: str, star: bool = False) -> Column:
-    """How often a phrase occurs."""
-    s = needle(phrase, star)
-    return ((F.length(joined) - F.length(F.replace(joined, F.lit(s), F.lit("")))) / len(s)).cast("bigint")
+def phrases_of(plan: list[Tier]) -> list[list[list[Phrase]]]:
+    """The phrases of each group of each tier."""
+    return [[[Phrase.of(p, t.star and i == len(t.groups) - 1) for p in g] for i, g in enumerate(t.groups)] for t in plan]
 
 
-def bm25(rows: DataFrame, phrases: list[str], text_col: str = "text", star: frozenset[str] = frozenset(), told: Callable[[Column], Column] | None = None) -> DataFrame:
-    """rows with f0, f1, ... (occurrences of each phrase) and score: BM25, the greater the better.
+def distinct(told: list[list[list[Phrase]]]) -> list[Phrase]:
+    return list(dict.fromkeys(p for t in told for g in t for p in g))
 
-    Each text is tokenised once, in one scan: a row of few numbers is written for each, which statistics and scores both read. told
-    gives one more column, told, from the marked text.
-    """
-    kept = [c for c in rows.columns if c != text_col]
-    m = F.col("_m")
-    joined = rows.select(*kept, F.explode(F.array(marked(F.col(text_col)))).alias("_m"))  # a generator is evaluated once a row
-    extra = [told(m).alias("told")] if told else []
-    seen = materialised(joined.select(*kept, F.size(F.split(F.trim(m), "  ")).alias("_n"), *(occurrences(m, p, p in star).alias(f"f{i}") for i, p in enumerate(phrases)), *extra), "hits")
-    whole = seen.agg(F.count("*").alias("_rows"), F.avg("_n").alias("_mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"_d{i}") for i in range(len(phrases))))
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        f, d = F.col(f"f{i}"), F.col(f"_d{i}")
-        idf = F.log((F.col("_rows") - d + 0.5) / (d + 0.5))
-        score = score + F.when(idf <= 0, FLOOR).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.col("_mean")))
-    return seen.crossJoin(F.broadcast(whole)).select(*kept, *(f"f{i}" for i in range(len(phrases))), *(["told"] if told else []), score.alias("score"))  # whole has one row
-
-
-def matches(joined: Column, tier: Tier) -> Column:
-    """Whether marked text satisfies a tier."""
-    out = None
-    for i, group in enumerate(tier.groups):
-        star = tier.star and i == len(tier.groups) - 1
-        hit = None
-        for p in group:
-            one = joined.contains(needle(p, star))
-            hit = one if hit is None else hit | one
-        out = hit if out is None else (out | hit if tier.any_group else out & hit)
-    return out
-
-
-def tiered_hits(rows: DataFrame, query: str, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
-    """Rows that match, with tier (1 phrase, 2 all, 3 any) and score; the first tier to claim a row wins.
-
-    The loose tier counts only where nothing stricter matched at all.
+
+def tier_phrases(plan: list[Tier]) -> tuple[list[Phrase], list[Column]]:
+    """The phrases of some tiers, and whether a row of hits() of these (f0, f1, ...) satisfies each tier."""
+    told = phrases_of(plan)
+    phrases = distinct(told)
+    at = {p: F.col(f"f{i}") > 0 for i, p in enumerate(phrases)}
+    groups = [[reduce(lambda a, b: a | b, (at[p] for p in g)) for g in t] for t in told]
+    return phrases, [reduce((lambda a, b: a | b) if t.any_group else (lambda a, b: a & b), g) for t, g in zip(plan, groups, strict=True)]
+
+
+def tiered_hits(index: TextIndex, query: str, vocabulary: Vocabulary) -> DataFrame:
+    """(id, tier, score) of documents that match: tier 1 phrase, 2 all, 3 any; the first tier to claim a document wins.
+
+    The loose tier counts only where nothing stricter matched at all. The score counts whole phrases, not prefixes.
     """
     number = {"phrase": 1, "all": 2, "any": 3}
     plan = tiers(query, vocabulary)
-    phrases = list(dict.fromkeys(p for t in plan for g in t.groups for p in g))
-    scored = bm25(rows, phrases, text_col, told=lambda m: F.coalesce(*(F.when(matches(m, t), number[t.name]) for t in plan)))
-    found = scored.filter(F.col("told").isNotNull()).withColumnRenamed("told", "tier")
+    if not plan:
+        return index.spark.createDataFrame([], "id bigint, tier int, score double")
+    phrases, met = tier_phrases(plan)
+    whole = list(dict.fromkeys(Phrase(p.words) for p in phrases))
+    every = phrases + [p for p in whole if p not in phrases]
+    scored = index.scored(every)
+    tier = F.coalesce(*(F.when(m, number[t.name]) for m, t in zip(met, plan, strict=True)))
+    score = reduce(lambda a, b: a + b, (F.col(f"s{every.index(p)}") for p in whole))
+    found = scored.select("id", tier.alias("tier"), score.alias("score")).filter(F.col("tier").isNotNull())
     best = found.agg(F.min("tier").alias("_best"))
-    kept = [c for c in rows.columns if c != text_col]
-    return found.crossJoin(F.broadcast(best)).filter((F.col("tier") < 3) | (F.col("_best") == 3)).select(*kept, "tier", "score")  # best has one row
+    return found.crossJoin(F.broadcast(best)).filter((F.col("tier") < 3) | (F.col("_best") == 3)).select("id", "tier", "score")  # best has one row
 
 
 TOK = "m AS (SELECT doc_id, lang, source, t, ' ' || array_to_string(t, '  ') || ' ' AS m FROM (SELECT doc_id, lang, source, regexp_extract_all(strip_accents(lower(text)), '([\\p{L}\\p{N}]+)', 1) AS t FROM documents))"
@@ -116,23 +96,34 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return exploded.groupBy("token", id_col).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
+def documents_index(spark: SparkSession, sf: str) -> TextIndex:
+    """The stored index of the documents; their sources own them."""
+    return built(spark, sf, "documents", lambda: table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("owner"), "text"))
+
+
 @operator(f"WITH {TOK} SELECT doc_id, {_count('of the')} AS phrase_hits, {_count('to onan', True)} AS prefix_hits FROM m WHERE contains(m, ' of  the ') OR contains(m, ' to  onan')")
 def f2_phrase_and_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", marked(F.col("text")).alias("m"))
-    out = d.select("doc_id", occurrences(F.col("m"), "of the").alias("phrase_hits"), occurrences(F.col("m"), "to onan", True).alias("prefix_hits"))
-    return out.filter((F.col("phrase_hits") > 0) | (F.col("prefix_hits") > 0))
+    found = documents_index(spark, sf).hits([Phrase.of("of the"), Phrase.of("to onan", star=True)])
+    return found.select(F.col("id").alias("doc_id"), F.col("f0").alias("phrase_hits"), F.col("f1").alias("prefix_hits"))
 
 
 @operator(f"WITH {TOK} SELECT doc_id FROM m WHERE (contains(m, ' onan ') OR contains(m, ' anat ')) AND (contains(m, ' that ') OR contains(m, ' with '))")
 def f3_boolean_groups(spark: SparkSession, sf: str) -> DataFrame:
     tier = Tier("all", (("onan", "anat"), ("that", "with")))
-    return table(spark, sf, "documents").filter(matches(marked(F.col("text")), tier)).select("doc_id")
+    phrases, met = tier_phrases([tier])
+    return documents_index(spark, sf).hits(phrases).filter(met[0]).select(F.col("id").alias("doc_id"))
 
 
 @operator(f"WITH {_bm25_sql(['onan', 'anat', 'of the'])} SELECT doc_id, round(score, 6) AS score FROM z WHERE f0 + f1 + f2 > 0")
 def f4_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    scored = bm25(table(spark, sf, "documents").select("doc_id", "text"), ["onan", "anat", "of the"])
-    return scored.filter(F.col("f0") + F.col("f1") + F.col("f2") > 0).select("doc_id", F.round("score", 6).alias("score"))
+    scored = documents_index(spark, sf).scored([Phrase.of(x) for x in ("onan", "anat", "of the")])
+    return scored.select(F.col("id").alias("doc_id"), F.round(F.col("s0") + F.col("s1") + F.col("s2"), 6).alias("score"))
+
+
+@operator(f"WITH {_bm25_sql(['onan', 'anat', 'that'])} SELECT doc_id, round(score, 6) AS score FROM z WHERE f0 + f1 + f2 > 0 ORDER BY score DESC, doc_id LIMIT 25")
+def f4_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents for some words; blocks of documents whose bound is too low are not read."""
+    return documents_index(spark, sf).top(["onan", "anat", "that"], 25).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @operator()
@@ -163,14 +154,15 @@ def snippet(text: str, terms: set[str], size: int = 12) -> str:
 
 @operator(f"WITH {TOK} SELECT lang, count(DISTINCT CASE WHEN contains(m, ' onan ') OR contains(m, ' anat ') THEN doc_id END) AS matching FROM m GROUP BY lang")
 def f8_matching_cases(spark: SparkSession, sf: str) -> DataFrame:
-    m = marked(F.col("text"))
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count_distinct(F.when(m.contains(" onan ") | m.contains(" anat "), F.col("doc_id"))).alias("matching"))
+    found = documents_index(spark, sf).hits([Phrase.of("onan"), Phrase.of("anat")]).select(F.col("id").alias("doc_id"), F.lit(1).alias("hit"))
+    d = table(spark, sf, "documents").select("doc_id", "lang").join(found, "doc_id", "left")
+    return d.groupBy("lang").agg(F.count_distinct(F.when(F.col("hit") == 1, F.col("doc_id"))).alias("matching"))
 
 
 @operator(f"WITH {_bm25_sql(['onan anat', 'onan', 'anat'])}, c AS (SELECT doc_id, source, score, CASE WHEN contains(m, ' onan  anat ') THEN 1 WHEN contains(m, ' onan ') AND contains(m, ' anat') THEN 2 WHEN contains(m, ' onan ') OR contains(m, ' anat') THEN 3 END AS tier FROM z), h AS (SELECT * FROM c WHERE tier IS NOT NULL) SELECT doc_id, tier, round(score, 6) AS score FROM h WHERE tier < 3 OR (SELECT min(tier) FROM h) = 3")
 def r1_tiered_hits(spark: SparkSession, sf: str) -> DataFrame:
-    hits = tiered_hits(table(spark, sf, "documents").select("doc_id", "text"), "onan anat", Vocabulary())
-    return hits.select("doc_id", "tier", F.round("score", 6).alias("score"))
+    hits = tiered_hits(documents_index(spark, sf), "onan anat", Vocabulary())
+    return hits.select(F.col("id").alias("doc_id"), "tier", F.round("score", 6).alias("score"))
 
 
 @operator(f"WITH {_bm25_sql(['onan anat', 'onan', 'anat'])}, c AS (SELECT doc_id, score, CASE WHEN contains(m, ' onan  anat ') THEN 1 WHEN contains(m, ' onan ') AND contains(m, ' anat') THEN 2 WHEN contains(m, ' onan ') OR contains(m, ' anat') THEN 3 END AS tier FROM z), h AS (SELECT * FROM c WHERE tier IS NOT NULL) SELECT doc_id, tier, round(score, 6) AS score FROM h WHERE tier < 3 OR (SELECT min(tier) FROM h) = 3 ORDER BY tier, round(score, 6) DESC, doc_id LIMIT 60")
@@ -278,8 +270,8 @@ def combined_search(j: DataFrame, judges: list[str] = (), areas: list[str] = (),
 @operator(f"WITH {LINES}, {_bm25_sql(['onan'])}, x AS (SELECT doc_id AS id, 0 AS branch, round(-score, 6) AS key FROM z WHERE f0 > 0 ORDER BY key, id LIMIT 16), {VEC}, v AS (SELECT vec_id AS id, 1 AS branch, round(distance, 6) AS key FROM d ORDER BY key, id LIMIT 24), u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY branch) AS n FROM (FROM x UNION ALL FROM v)) SELECT id, branch, key FROM u WHERE n = 1 ORDER BY branch, key, id LIMIT 20")
 def r9_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     """Text hits by relevance, then vector hits by distance, one row for each id."""
-    text = bm25(table(spark, sf, "documents").select("doc_id", "text"), ["onan"]).filter("f0 > 0")
-    first = text.select(F.col("doc_id").alias("id"), F.lit(0).alias("branch"), F.round(-F.col("score"), 6).alias("key")).orderBy("key", "id").limit(16)
+    text = documents_index(spark, sf).scored([Phrase.of("onan")])
+    first = text.select("id", F.lit(0).alias("branch"), F.round(-F.col("s0"), 6).alias("key")).orderBy("key", "id").limit(16)
     second = _distances(spark, sf).select(F.col("vec_id").alias("id"), F.lit(1).alias("branch"), F.round("distance", 6).alias("key")).orderBy("key", "id").limit(24)
     one = first.union(second).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("branch"))).filter("n = 1")
     return one.select("id", "branch", "key").orderBy("branch", "key", "id").limit(20)
@@ -299,7 +291,7 @@ def r12_capped_lists(spark: SparkSession, sf: str) -> DataFrame:
 @operator(f"WITH {_bm25_sql(['onan'])}, x AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS r FROM z WHERE f0 > 0 ORDER BY r LIMIT 50), {VEC}, v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(distance, 6), vec_id) AS r FROM d ORDER BY r LIMIT 50) SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (FROM x UNION ALL FROM v) GROUP BY id")
 def r13_rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Reciprocal ranks of the fifty best text and vector hits added up."""
-    text = bm25(table(spark, sf, "documents").select("doc_id", "text"), ["onan"]).filter("f0 > 0").select(F.col("doc_id").alias("id"), F.round("score", 6).alias("k"))
+    text = documents_index(spark, sf).scored([Phrase.of("onan")]).select("id", F.round("s0", 6).alias("k"))
     best = text.orderBy(F.desc("k"), "id").limit(50).withColumn("r", F.row_number().over(Window.orderBy(F.desc("k"), "id")))  # fifty rows
     near = _distances(spark, sf).select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("k")).orderBy("k", "id").limit(50)
     near = near.withColumn("r", F.row_number().over(Window.orderBy("k", "id")))  # fifty rows
