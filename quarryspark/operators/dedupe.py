@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.register import operator
-from ..sources.shipping import shared_dir
+from ..sources.shipping import materialised
 from ..sources.tables import JUDGEMENTS, is_empty, judgements, table
 
 #: Characters of normalised text that are compared, the least that can be, and the ratio that makes texts the same.
@@ -58,21 +58,42 @@ def verdicts(docs: DataFrame, block: Column, id_col: str = "doc_id", text_col: s
     return pairs.select("a", "b", "x", "y").mapInPandas(run, "a string, b string, similarity double").filter(F.col("similarity") >= SAME)
 
 
+#: A node is a hub if it holds this share of all links; there are at most 1 / HUB_SHARE of them. Rounds after which components() gives up.
+HUB_SHARE, ROUNDS = 0.001, 60
+
+
+def _least_of(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """links (a, b) with least, n of a's row in least (a, least, n): hubs meet it by broadcast, so that their links stay where they are."""
+    hub = F.col("n") >= max(2.0, total * HUB_SHARE)
+    marked = links.join(F.broadcast(least.filter(hub).select("a", F.col("least").alias("_hub"))), "a", "left")
+    found = marked.filter("_hub IS NOT NULL").select("a", "b", F.col("_hub").alias("least"))
+    return found.unionByName(marked.filter("_hub IS NULL").select("a", "b").join(least.filter(~hub).select("a", "least"), "a"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b): least labels spread until none changes.
+    """(node, root) of every node of edges (a, b): root is the least node of its component. A loop makes its node a component.
 
-    After each step a label is replaced by the label of the node it names, so that labels cross a long chain in few steps.
+    Stars are contracted: in turn, each node's greater neighbours and then all its smaller ones are linked to the least one near it, which about
+    halves distances. Each round is a written table; rounds end when one changes nothing, and more than ROUNDS are an error. Nulls link nothing.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
-    roots = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    while True:
-        pulled = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(pulled, roots["node"] == pulled["a"], "left").select("node", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved")).checkpoint()
-        if not step.filter("moved").limit(1).count():
-            both.unpersist()
-            return step.select("node", "root")
-        named = step.select(F.col("node").alias("name"), F.col("root").alias("least"))
-        roots = step.join(named, step["root"] == named["name"]).select("node", F.col("least").alias("root")).checkpoint()
+    named = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
+    held, seen = materialised(named.filter("a <> b").distinct(), "links"), None
+    for _ in range(ROUNDS):
+        n = held.count()
+        mark = (n, held.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0])
+        if mark == seen:
+            stars = held.select(F.col("a").alias("node"), F.col("b").alias("root")).union(held.select("b", "b").distinct())
+            alone = named.filter("a = b").select(F.col("a").alias("node")).distinct().join(stars.select("node"), "node", "left_anti")
+            return stars.union(alone.select("node", F.col("node").alias("root")))
+        seen = mark
+        both = held.select("a", "b").union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select("a", F.least("a", "least").alias("least"), "n")
+        large = _least_of(both.filter("b > a"), near, 2 * n).select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+        large = materialised(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+        down = large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
+        moved = _least_of(large, down, n).select(F.col("b").alias("a"), F.col("least").alias("b"))
+        held = materialised(moved.union(down.select("a", F.col("least").alias("b"))).filter("a <> b").distinct(), "links")
+    raise RuntimeError(f"components aren't settled after {ROUNDS} rounds")
 
 
 def twins(docs: DataFrame, block: Column, id_col: str = "doc_id", text_col: str = "text", autojunk: bool = True) -> DataFrame:
@@ -82,11 +103,6 @@ def twins(docs: DataFrame, block: Column, id_col: str = "doc_id", text_col: str
     return own.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select(id_col, F.coalesce("root", "digest").alias("cluster"))
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def language_block() -> Column:
     """Language, length class and first letters."""
     return F.concat_ws("|", "lang", F.floor(F.length("text") / 64).cast("string"), F.substring(T.norm_alnum(F.col("text")), 1, 12))
@@ -98,12 +114,10 @@ def d3_same_content(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts(table(spark, sf, "documents"), language_block()).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@operator("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount > 0.09), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM b UNION SELECT b.b, r.root FROM r JOIN b ON b.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node")
+@operator("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) USING KEY (node) AS (SELECT a, min(a) FROM b GROUP BY a UNION SELECT b.b, min(r.root) FROM r JOIN b ON b.a = r.node JOIN recurring.r AS own ON own.node = b.b WHERE r.root < own.root GROUP BY b.b) SELECT node, root FROM r")
 def d4_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Connected components under their least node."""
-    _checkpoints(spark)
-    l = table(spark, sf, "lineitem").filter("l_quantity >= 50 AND l_discount > 0.09")
-    return connected(l.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct())
+    """Connected components of all links under their least node."""
+    return connected(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")))
 
 
 def keeper_score() -> Column:

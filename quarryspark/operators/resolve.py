@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.register import operator
+from ..sources.shipping import materialised
 from ..sources.tables import BENCH, JUDGEMENTS, LINES, STATUTES, bench, judgements, lines, statutes, table
+from .containment import longest_contained
 
 J, S = f"WITH {JUDGEMENTS}", f"WITH {STATUTES}"
 
@@ -20,17 +22,6 @@ def j1_chunks_of_cases(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy(F.col("of").alias("source"), "lang").agg(F.count("*").alias("chunks"), F.sum("n").alias("characters"))
 
 
-def _pieces(c: Column, sizes: list[int]) -> Column:
-    """All substrings of the given sizes."""
-
-    def of(n: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
-        return F.when(F.length(c) >= n, found).otherwise(F.array().cast("array<string>"))
-
-    kept = [of(n) for n in sizes]
-    return F.array_distinct(F.flatten(F.array(*kept)))
-
-
 def resolve_citations(cited: DataFrame, cases: DataFrame, id_col: str = "id", text_col: str = "cited") -> DataFrame:
     """(id_col, case_no, step): the case that each citation names, if any.
 
@@ -58,8 +49,7 @@ def resolve_citations(cited: DataFrame, cases: DataFrame, id_col: str = "id", te
     found = one.unionByName(two).unionByName(three)
     left = asked.join(found.select(id_col), id_col, "left_anti")
     long = c.filter(F.length("norm") >= 9)
-    sizes = sorted(r[0] for r in long.select(F.length("norm")).distinct().collect())  # distinct lengths of case numbers
-    four = left.select(id_col, F.explode(_pieces(F.col("norm"), sizes) if sizes else F.array().cast("array<string>")).alias("norm")).join(long, "norm")
+    four = longest_contained(left, long, id_col).withColumnRenamed("name", "norm").join(long, "norm")
     four = four.groupBy(id_col).agg(F.min_by("case_no", F.struct(-F.length("norm"), "case_no")).alias("case_no")).withColumn("step", F.lit(4))
     return found.unionByName(four).groupBy(id_col).agg(F.min_by("case_no", "step").alias("case_no"), F.min("step").alias("step"))
 
@@ -76,9 +66,10 @@ def j2_resolve_citation(spark: SparkSession, sf: str) -> DataFrame:
 def resolve_statutes(cited: DataFrame, known: DataFrame, id_col: str = "id", text_col: str = "cited") -> DataFrame:
     """(id_col, statute, step): 1 an equal name, 2 number and year, 3 the longest name of six letters or more that is contained.
 
-    known: (statute, title, act_no, year). Names are joined by equality, contained ones on all substrings of the names' lengths.
+    known: (statute, title, short, act_no, year), short being the title's short name, derived where it is missing. Names are joined by equality, contained ones are found by an automaton over all names.
     """
-    names = known.select("statute", F.explode(F.array(T.norm_alnum(F.col("title")), T.norm_alnum(T.statute_short_name(F.col("title"))), T.norm_alnum(F.col("statute")))).alias("norm")).filter("norm <> ''")
+    known = known if "short" in known.columns else known.withColumn("short", T.statute_short_name(F.col("title")))
+    names = known.select("statute", F.explode(F.array(T.norm_alnum(F.col("title")), T.norm_alnum(F.col("short")), T.norm_alnum(F.col("statute")))).alias("norm")).filter("norm <> ''")
     names = names.groupBy("norm").agg(F.min("statute").alias("statute"))
     asked = cited.select(id_col, F.col(text_col).alias("text"), T.norm_alnum(F.col(text_col)).alias("norm")).filter("norm <> ''")
     one = asked.join(names, "norm").select(id_col, "statute", F.lit(1).alias("step"))
@@ -88,9 +79,8 @@ def resolve_statutes(cited: DataFrame, known: DataFrame, id_col: str = "id", tex
     two = asked.filter(F.col("text").rlike(pattern)).select(id_col, sign.alias("sign")).join(numbered, "sign").select(id_col, "statute", F.lit(2).alias("step"))
     found = one.unionByName(two)
     long = names.filter(F.length("norm") >= 6)
-    sizes = sorted(r[0] for r in long.select(F.length("norm")).distinct().collect())  # distinct lengths of names
     left = asked.join(found.select(id_col), id_col, "left_anti")
-    three = left.select(id_col, F.explode(_pieces(F.col("norm"), sizes) if sizes else F.array().cast("array<string>")).alias("norm")).join(long, "norm")
+    three = longest_contained(left, long, id_col).withColumnRenamed("name", "norm").join(long, "norm")
     three = three.groupBy(id_col).agg(F.min_by("statute", F.struct(-F.length("norm"), "statute")).alias("statute")).withColumn("step", F.lit(3))
     return found.unionByName(three).groupBy(id_col).agg(F.min_by("statute", "step").alias("statute"), F.min("step").alias("step"))
 
@@ -98,10 +88,11 @@ def resolve_statutes(cited: DataFrame, known: DataFrame, id_col: str = "id", tex
 @operator()
 def j3_resolve_statute(spark: SparkSession, sf: str) -> DataFrame:
     """A reference to every statute resolved."""
-    s = statutes(spark, sf)
-    known = s.select(T.statute_label(F.col("title"), F.col("act_no"), F.col("year")).alias("statute"), "title", "act_no", "year")
+    named = statutes(spark, sf).select("seq", "title", "act_no", "year", T.statute_label(F.col("title"), F.col("act_no"), F.col("year")).alias("statute"), T.statute_short_name(F.col("title")).alias("short"))
+    s = materialised(named, "statutes")  # long expressions, evaluated once
+    known = s.select("statute", "title", "short", "act_no", "year")
     k = F.col("seq")
-    cited = F.when(k % 3 == 0, F.upper("title")).when(k % 3 == 1, F.concat(F.lit("Section 9 of the "), T.statute_short_name(F.col("title")))).otherwise(F.concat(F.lit("Act No. "), F.coalesce(T.nonempty(F.col("act_no")), F.lit("1")), F.lit(" of "), "year"))
+    cited = F.when(k % 3 == 0, F.upper("title")).when(k % 3 == 1, F.concat(F.lit("Section 9 of the "), "short")).otherwise(F.concat(F.lit("Act No. "), F.coalesce(T.nonempty(F.col("act_no")), F.lit("1")), F.lit(" of "), "year"))
     return resolve_statutes(s.select("seq", cited.alias("cited")), known, "seq", "cited")
 
 

@@ -19,6 +19,8 @@ from ..plans.query import STOPWORDS, Tier, Vocabulary, tiers, words
 from ..plans.register import operator
 from ..sources.tables import JUDGEMENTS, LINES, judgements, table
 from .textindex import Phrase, TextIndex, built
+from .vectorindex import VectorIndex
+from .vectorindex import built as vector_table
 
 def marked(c: Column) -> Column:
     """A text's tokens between border spaces."""
@@ -171,35 +173,42 @@ def r2_keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     return r1_tiered_hits(spark, sf).orderBy("tier", F.desc("score"), "doc_id").limit(60)
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine, in double precision."""
-    x, y = a.cast("array<double>"), b.cast("array<double>")
-
-    def dot(p: Column, q: Column) -> Column:
-        return F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-
-    return 1 - dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
-
-
 VEC = "d AS (SELECT e.vec_id, e.label, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
 
 
-def _distances(spark: SparkSession, sf: str) -> DataFrame:
+def _vectors(spark: SparkSession, sf: str) -> tuple[VectorIndex, DataFrame]:
+    """The stored vectors, and the first of them as a query."""
     e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
-    return e.crossJoin(F.broadcast(q)).select("vec_id", "label", cosine_distance(F.col("embedding"), F.col("q")).alias("distance"))
+    index = vector_table(spark, sf, lambda: e.select(F.col("vec_id").alias("id"), F.col("label").alias("source"), F.col("embedding").alias("vector")))
+    return index, e.filter("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
+def _near(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    index, query = _vectors(spark, sf)
+    return index.nearest(query, k)
 
 
 @operator(f"WITH {VEC} SELECT vec_id, round(distance, 6) AS distance FROM d ORDER BY round(distance, 6), vec_id LIMIT 20")
 def r3_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty vectors nearest to a query vector."""
-    return _distances(spark, sf).select("vec_id", F.round("distance", 6).alias("distance")).orderBy("distance", "vec_id").limit(20)
+    index, query = _vectors(spark, sf)
+    return index.nearest(query, 20).select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance")).orderBy("distance", "vec_id").limit(20)
+
+
+@operator("WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 3) SELECT qid, vec_id, label AS source, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, q WHERE label IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], q), vec_id) <= 20")
+def r3_filtered_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty nearest vectors of several queries, from the sources that another table names."""
+    index, _ = _vectors(spark, sf)
+    queries = table(spark, sf, "embeddings").filter("vec_id % 50 = 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    sources = table(spark, sf, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("source"))
+    return index.nearest(queries, 20, sources).select("qid", F.col("id").alias("vec_id"), F.col("source").cast("int").alias("source"), F.round("distance", 6).alias("distance"))
 
 
 @operator(f"WITH {VEC} SELECT label, count(*) AS hits, round(min(distance), 6) AS best, arg_min(vec_id, round(distance, 6) * 1e9 + vec_id) AS nearest FROM d WHERE distance <= 0.65 GROUP BY label ORDER BY best, label LIMIT 15")
 def r4_semantic_cases(spark: SparkSession, sf: str) -> DataFrame:
     """Near vectors by group: hits, the best distance and whose it is. A distance of exactly 0 counts."""
-    near = _distances(spark, sf).filter("distance <= 0.65").withColumn("d", F.round("distance", 6))
+    index, query = _vectors(spark, sf)
+    near = index.within(query, 0.65).select(F.col("id").alias("vec_id"), F.col("source").cast("int").alias("label"), F.round("distance", 6).alias("d"))
     return near.groupBy("label").agg(F.count("*").alias("hits"), F.min("d").alias("best"), F.min_by("vec_id", F.struct("d", "vec_id")).alias("nearest")).orderBy("best", "label").limit(15)
 
 
@@ -272,7 +281,7 @@ def r9_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     """Text hits by relevance, then vector hits by distance, one row for each id."""
     text = documents_index(spark, sf).scored([Phrase.of("onan")])
     first = text.select("id", F.lit(0).alias("branch"), F.round(-F.col("s0"), 6).alias("key")).orderBy("key", "id").limit(16)
-    second = _distances(spark, sf).select(F.col("vec_id").alias("id"), F.lit(1).alias("branch"), F.round("distance", 6).alias("key")).orderBy("key", "id").limit(24)
+    second = _near(spark, sf, 24).select("id", F.lit(1).alias("branch"), F.round("distance", 6).alias("key")).orderBy("key", "id").limit(24)
     one = first.union(second).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("branch"))).filter("n = 1")
     return one.select("id", "branch", "key").orderBy("branch", "key", "id").limit(20)
 
@@ -293,7 +302,7 @@ def r13_rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Reciprocal ranks of the fifty best text and vector hits added up."""
     text = documents_index(spark, sf).scored([Phrase.of("onan")]).select("id", F.round("s0", 6).alias("k"))
     best = text.orderBy(F.desc("k"), "id").limit(50).withColumn("r", F.row_number().over(Window.orderBy(F.desc("k"), "id")))  # fifty rows
-    near = _distances(spark, sf).select(F.col("vec_id").alias("id"), F.round("distance", 6).alias("k")).orderBy("k", "id").limit(50)
+    near = _near(spark, sf, 50).select("id", F.round("distance", 6).alias("k")).orderBy("k", "id").limit(50)
     near = near.withColumn("r", F.row_number().over(Window.orderBy("k", "id")))  # fifty rows
     return best.select("id", "r").union(near.select("id", "r")).groupBy("id").agg(F.round(F.sum(F.lit(1.0) / (F.col("r") + 60)), 9).alias("score"))
 
