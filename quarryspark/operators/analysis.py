@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,37 +65,131 @@ def p33_tidy_synthesis(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", tidy_synthesis(raw).alias("tidy"))
 
 
-INSTRUMENT = r"([A-Z][\w'() ,]*?(?:Ordinance|Act|Code|Law|Constitution)(?:,?\s*No\.\s*[0-9]+\s*of\s*[0-9]{4})?)"
-SECTION = r"((?:[Ss]ections?|[Ss]\.)\s*[0-9A-Z]+(?:\([0-9]+\))?|Article\s+[\w()]+)"
-
-
-@operator("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'Penal Code — Section ' || p_size WHEN 1 THEN 'Evidence Act, No. ' || p_size || ' of 1995' END AS entry FROM part")
+#: Words that an instrument's name ends with, placeholders for none, and the longest entry. Fixed values.
+INSTRUMENTS = ("Ordinance", "Act", "Code", "Law", "Constitution")
+PLACEHOLDERS = frozenset(["", "n/a", "na", "none"])
+ENTRY = 90
+
+
+def _instrument(text: str) -> tuple[str, str]:
+    """The first instrument that a text names, from the first capital of its phrase on, with number and year; and what stands behind it."""
+    at = 0
+    for phrase in re.findall(r"[\w'() ,]+|[^\w'() ,]+", text):
+        begin = next((i for i, c in enumerate(phrase) if c.isascii() and c.isupper()), None)
+        if begin is not None:
+            ends = [phrase.find(w, begin + 1) + len(w) for w in INSTRUMENTS if phrase.find(w, begin + 1) > 0]
+            if ends:
+                rest = text[at + min(ends) :]
+                words = rest.replace(".", ". ").split()
+                numbered = words[:1] in (["No."], [",No."]) or words[:2] == [",", "No."]
+                words = [w for w in words if w != ","]
+                year = words[3][:4] if len(words) > 3 else ""
+                if numbered and words[1].isdigit() and words[2] == "of" and year.isdigit() and len(year) == 4:
+                    return f"{phrase[begin : min(ends)]}, No. {words[1]} of {year}", rest
+                return phrase[begin : min(ends)], rest
+        at += len(phrase)
+    return "", ""
+
+
+def _place(text: str) -> str:
+    """The first section or article that a text names, as it is written."""
+    words = text.split()
+    for i, w in enumerate(words[:-1]):
+        bare = w.strip("(,;")
+        number = words[i + 1].rstrip(".,;")
+        if bare in ("Section", "Sections", "section", "sections", "S.", "s.") and number[:1].isalnum() and (number[0].isdigit() or number[0].isupper()):
+            return f"{bare} {number}"
+        if bare == "Article" and number:
+            return f"Article {number}"
+    return ""
+
+
+def _said(entry: Any) -> str:
+    """An entry as text: of an object its first text that isn't empty, of a list its items."""
+    if isinstance(entry, dict):
+        return next((v.strip() for v in entry.values() if isinstance(v, str) and v.strip()), "")
+    return ", ".join(map(_said, entry)) if isinstance(entry, list) else "" if entry is None else str(entry).strip()
+
+
+def legislation(told: Any, precedents: list[Any]) -> tuple[list[str], list[Any]]:
+    """(instruments, precedents): each instrument once with its section; what an answer filed as a precedent though it is an instrument is moved.
+
+    Entries are texts, objects or lists; placeholders and entries that name no instrument go.
+    """
+    entries = told if isinstance(told, list) else [told]
+    kept = []
+    for p in precedents:
+        name = str(p.get("case_name", "")) if isinstance(p, dict) else str(p)
+        if _instrument(name)[0] and not names_sides(name):
+            entries = [*entries, name]
+        else:
+            kept.append(p)
+    out: dict[str, None] = {}
+    for e in entries:
+        text = " ".join(_said(e).split())
+        low = text.lower()
+        if low in PLACEHOLDERS or "not specified" in low or "not available" in low:
+            continue
+        name, _ = _instrument(text)
+        place = _place(text)
+        shown = f"{name.strip(' ,')} — {place}" if name and place else name.strip(" ,")
+        if len(shown) > ENTRY:
+            shown = f"Constitution of Sri Lanka, {place}" if place.startswith("Article") and "Constitution" in text else _instrument(name.rpartition(",")[2])[0].strip()
+        if shown:
+            out.setdefault(shown)
+    return list(out), kept
+
+
+@operator("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'Penal Code — Section ' || p_size WHEN 1 THEN 'Evidence Act, No. ' || p_size || ' of 1995' END AS entry, 1 + CAST(p_partkey % 3 <> 2 AS INTEGER) AS entries, 1 AS precedents FROM part")
 def p35_legislation(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries as an instrument with its section; placeholders are null."""
+    """Instruments that answers name, from entries of several kinds and from precedents that are none; placeholders go."""
     k, n = F.col("p_partkey"), F.col("p_size").cast("string")
-    raw = F.when(k % 3 == 0, F.concat(F.lit("under Section "), n, F.lit(" of the Penal Code"))).when(k % 3 == 1, F.concat(F.lit("see the Evidence Act, No. "), n, F.lit(" of 1995"))).otherwise("Not specified in the text")
-    bare = F.regexp_replace(raw, r"^under Section [0-9]+ of the ", "")
-    instrument, section = F.trim(F.regexp_extract(bare, INSTRUMENT, 1)), F.regexp_extract(raw, SECTION, 1)
-    entry = F.when(F.lower(raw).rlike(r"not\s+(?:specified|available)|^n/?a$|^none$") | (instrument == ""), None).when(section != "", F.concat(instrument, F.lit(" — "), section)).otherwise(instrument)
-    return table(spark, sf, "part").select(k.alias("id"), entry.alias("entry"))
-
-
-def outline(value: Any, depth: int = 0) -> list[str]:
-    """Nested values as indented lines; list items have bullets."""
-    pad = "  " * depth
-    if isinstance(value, dict):
-        lines = []
-        for k, v in value.items():
-            label = str(k).replace("_", " ").strip().title()
-            lines += [f"{pad}{label}:", *outline(v, depth + 1)] if isinstance(v, (dict, list)) else [f"{pad}{label}: {v}"]
-        return lines
-    if isinstance(value, list):
-        lines = []
-        for v in value:
-            own = outline(v, depth) if isinstance(v, (dict, list)) else [] if v is None else [str(v)]
-            lines += [f"{pad}• {own[0].lstrip()}", *own[1:]] if own else []
-        return lines
-    return [f"{pad}{value}"]
+    entry = F.when(k % 3 == 0, F.concat(F.lit("contrary to Penal Code, Section "), n)).when(k % 3 == 1, F.concat(F.lit("see the Evidence Act, No. "), n, F.lit(" of 1995"))).otherwise("Not specified in the text")
+    answer = F.to_json(F.struct(F.array(entry, entry).alias("told"), F.array(F.struct(F.lit("Perera v. Silva").alias("case_name")), F.struct(F.lit("Customs Ordinance").alias("case_name"))).alias("precedents")))
+
+    def read(text: str) -> list[tuple]:
+        held = json.loads(text)
+        found, kept = legislation(held["told"], held["precedents"])
+        return [(found[0] if len(found) > 1 else None, len(found), len(kept))]
+
+    return table_function(table(spark, sf, "part").select(k.alias("id"), answer.alias("answer")), "id bigint, entry string, entries int, precedents int", ["id", "answer"], read)
+
+
+@dataclass(frozen=True)
+class _Item:
+    """An item of a list that outline() has still to show."""
+
+    value: Any
+
+
+def outline(value: Any) -> list[str]:
+    """Nested values as lines: a key with its value or above its values, list items behind bullets; nulls in lists are left out.
+
+    The value is taken apart by a stack of (depth, key or None, item of a list?, value); a bullet takes the place before the first line of its item.
+    """
+    lines: list[str] = []
+    stack: list[tuple[int, str | None, int | None, Any]] = [(0, None, None, value)]
+    while stack:
+        depth, key, owner, v = stack.pop()
+        if owner is not None:  # the end of a list item: its first line gets the bullet
+            if len(lines) > owner:
+                lines[owner] = "  " * depth + "• " + lines[owner].lstrip()
+            continue
+        nested = isinstance(v, (dict, list))
+        if key is not None:
+            label = str(key).replace("_", " ").strip().title()
+            lines.append("  " * depth + (f"{label}:" if nested else f"{label}: {v}"))
+        elif not nested:
+            lines.append("  " * depth + str(v))
+        inner = depth + (key is not None)
+        if isinstance(v, dict):
+            stack += [(inner, k, None, x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            stack += [(inner, None, None, _Item(x)) for x in reversed(v) if x is not None]
+        if isinstance(v, _Item):
+            lines.pop()
+            stack += [(depth, None, len(lines), None), (depth, None, None, v.value)]
+    return lines
 
 
 @operator("SELECT event_id, 'K: ' || json_extract_string(props, '$.k') AS pretty FROM events")
@@ -153,25 +250,59 @@ def l6_link_cases(spark: SparkSession, sf: str) -> DataFrame:
     return judgements(spark, sf).select("seq", F.when(due, F.replace(answer, F.col("case_no"), link)).otherwise(answer).alias("linked"))
 
 
-REPORTER = re.compile(r"\b(?:N\.?L\.?R|S\.?L\.?R|A\.?C|All E\.?R|Q\.?B|K\.?B|W\.?L\.?R)\b\.?", re.I)
-VERSUS = re.compile(r"\bv(?:s|ersus)?\b\.?", re.I)
+#: Series of reports, and courts whose name before '/', '.' or a space begins a number. Fixed values.
+REPORTS = frozenset("SLR NLR CLW BARR SCC APPCAS".split())
+COURTS = frozenset("SC CA HC".split())
+#: Characters from which a citation isn't lengthened any more, and those a citation has at least. Fixed values.
+STITCHED, CITED = 180, 6
+
+
+def _letters(word: str) -> str:
+    return re.sub("[^A-Z]", "", word.upper())
+
+
+def names_report(text: str) -> bool:
+    """Whether a text names where a case is reported: a year in brackets, a volume of a series, or a court's number."""
+    words = text.split()
+    for i, w in enumerate(words):
+        for opened, closed in ("[]", "()"):
+            inside = w.partition(opened)[2].partition(closed)
+            if inside[1] and len(inside[0]) == 4 and inside[0].isdigit() and inside[0][:2] in ("19", "20"):
+                return True
+        if w.isdigit() and len(w) < 4 and any(_letters("".join(words[i + 1 : i + k])) in REPORTS for k in (2, 3, 4)):
+            return True
+        first = re.split("[/.]", w, maxsplit=1)
+        if _letters(first[0].lstrip("([")) in COURTS and (len(first) > 1 or i + 1 < len(words)):
+            return True
+    return False
+
+
+def names_sides(text: str) -> bool:
+    return any(w.strip(",;:()[]").removesuffix(".").lower() in ("v", "vs", "versus") for w in text.split())
+
+
+def _stitched(texts: Iterator[str]) -> Iterator[str]:
+    """A page's runs, each with those after it until it names a report or is long."""
+    held = ""
+    for t in texts:
+        held = f"{held} {t}".strip()
+        if names_report(held) or len(held) >= STITCHED:
+            yield held
+            held = ""
+    if held:
+        yield held
 
 
 def italic_citations(runs: list[tuple[int, str]]) -> list[tuple[int, str, str]]:
-    """(page, text, kind) of case citations in italic runs: runs of a page are joined until a report is named or they are long."""
+    """(page, text, kind) of the case citations in italic runs, each once; kind is case or reporter."""
     out: dict[str, tuple[int, str, str]] = {}
-    i = 0
-    while i < len(runs):
-        page, text = runs[i]
-        i += 1
-        while i < len(runs) and runs[i][0] == page and not REPORTER.search(text) and len(text) < 180:
-            text = f"{text} {runs[i][1]}"
-            i += 1
-        text = " ".join(text.split()).strip(" .,;:")
-        kind = "case" if VERSUS.search(text) else "reporter" if REPORTER.search(text) else ""
-        key = re.sub("[^a-z0-9]", "", text.lower())[:80]
-        if kind and len(text) >= 6 and key:
-            out.setdefault(key, (page, text, kind))
+    for page, own in groupby(runs, key=lambda r: r[0]):
+        for whole in _stitched(t for _, t in own):
+            text = " ".join(whole.split()).strip(" .,;:")
+            kind = "case" if names_sides(text) else "reporter" if names_report(text) else None
+            key = "".join(c for c in text.lower() if c.isascii() and c.isalnum())[:80]
+            if kind and key and len(text) >= CITED:
+                out.setdefault(key, (page, text, kind))
     return list(out.values())
 
 

@@ -95,10 +95,12 @@ def p10_statute_label(spark: SparkSession, sf: str) -> DataFrame:
     return statutes(spark, sf).select("filename", T.statute_label(F.col("title"), F.col("act_no"), F.col("year")).alias("label"))
 
 
-SHORT = r"trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(title, '\s+', ' ', 'g')), '(?i)^\s*chap(?:ter)?\.?\s*[0-9]+\s*[:\-–]\s*', ''), '^\s*[0-9]{1,3}\s*/\s*[0-9]{2,4}\s*[:\-–]\s*', ''), '(?i)\s+of\s+Sri\s+Lanka\s*$', ''))"
+_HEAD = "trim(split_part(t, ':', 1))"
+_NAME = f"CASE WHEN contains(t, ':') AND (starts_with(lower({_HEAD}), 'chap') OR contains({_HEAD}, '/')) THEN trim(substr(t, strpos(t, ':') + 1)) ELSE t END"
+SHORT = f"SELECT filename, CASE WHEN ends_with(lower(n), ' of sri lanka') THEN n[:-14] ELSE n END AS short_name FROM (SELECT filename, {_NAME} AS n FROM (SELECT filename, array_to_string(list_filter(string_split(title, ' '), lambda w: w <> ''), ' ') AS t FROM s))"
 
 
-@operator(S + f"SELECT filename, replace({SHORT}, '  ', ' ') AS short_name FROM s".replace("replace(trim", "replace(trim"))
+@operator(f"{S} {SHORT}")
 def p11_statute_short_name(spark: SparkSession, sf: str) -> DataFrame:
     return statutes(spark, sf).select("filename", T.statute_short_name(F.col("title")).alias("short_name"))
 
@@ -193,7 +195,12 @@ def p20_unique_id(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("filename", F.when(F.col("n") == 1, F.col("title")).when(F.col("n") == 2, F.concat("title", F.lit(" ["), "tag", F.lit("]"))).otherwise(F.concat("title", F.lit(" ["), "tag", F.lit("-"), F.col("n").cast("string"), F.lit("]"))).alias("unique_id"))
 
 
-@operator(S + r"SELECT filename, title FROM s WHERE NOT regexp_matches(title, '\bAct\b.*No\.\s*[0-9]+\s+of\s+(?:18|19|20)[0-9]{2}|^No\.\s*[0-9]{3,4}/[0-9]+|^[0-9]{1,3}-[0-9]{4}_[A-Z]$')")
+_ACT = "list_has_any(string_split(replace(split_part(title, 'No.', 1), ',', ''), ' '), ['Act']) AND contains(title, 'No.') AND coalesce(TRY_CAST(trim(split_part(split_part(title, 'No.', 2), ' of ', 2))[1:4] AS INTEGER) BETWEEN 1800 AND 2099, false)"
+_GAZETTE = "starts_with(title, 'No.') AND contains(title, '/') AND length(trim(split_part(title[4:], '/', 1))) BETWEEN 3 AND 4"
+_BILL = "length(split_part(title, '_', 2)) = 1 AND length(split_part(title, '-', 1)) <= 3 AND TRY_CAST(split_part(split_part(title, '_', 1), '-', 2) AS INTEGER) BETWEEN 1000 AND 9999"
+
+
+@operator(S + f"SELECT filename, title FROM s WHERE NOT (({_ACT}) OR ({_GAZETTE}) OR ({_BILL}))")
 def p21_reject_non_cases(spark: SparkSession, sf: str) -> DataFrame:
     return statutes(spark, sf).filter(~is_no_case(F.col("title"))).select("filename", "title")
 
@@ -240,7 +247,12 @@ def p26_party_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return judgements(spark, sf).select("filename", F.array_join(F.array_sort(T.party_tokens(F.col("parties"))), " ").alias("words"))
 
 
-@operator(J + r"SELECT filename, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(case_no, '(?i)\b(SC|CA|HC|FR|CHC|APN|APPEAL|APPLICATION|No)\b\.?', ' ', 'g'), '[0-9]{1,4}\s*[/\- ]\s*[0-9]{2,4}', ' ', 'g'), '(?i)\bv[s]?\b\.?', ' ', 'g'), '\s+', ' ', 'g')) AS terms FROM j")
+_BARE = rf"regexp_replace(case_no, '{T.SIGNATURE}', ' ', 'g')"
+_WORDS = f"regexp_extract_all({_BARE}, '[A-Za-z0-9_]+[.]?|[^A-Za-z0-9_]')"
+_KEPT = f"list_transform({_WORDS}, lambda w: CASE WHEN list_contains({T.COURT_WORDS}, upper(rtrim(w, '.'))) THEN ' ' ELSE w END)"
+
+
+@operator(J + f"SELECT filename, array_to_string(list_filter(string_split(array_to_string({_KEPT}, ''), ' '), lambda w: w <> ''), ' ') AS terms FROM j")
 def p27_citation_terms(spark: SparkSession, sf: str) -> DataFrame:
     return judgements(spark, sf).select("filename", T.citation_terms(F.col("case_no")).alias("terms"))
 

@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.register import operator
+from .shipping import materialised
 from .tables import JUDGEMENTS, judgements, table
 
 LINK = r"""(?i)<a\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*>"""
-GENERIC = r"(?i)^(?:download|click\b|view\b|read\s+more|pdf|here|open|see\b|link|english|sinhala|sinhalese|tamil)\b"
+#: First words of a link's text that say nothing of what it leads to; 'read' does so before 'more'. Fixed values.
+GENERIC = ["click", "download", "english", "here", "link", "open", "pdf", "see", "sinhala", "sinhalese", "tamil", "view"]
+
+
+def is_generic(title: Column) -> Column:
+    """Whether a link's text is too short or begins with words that say nothing."""
+    own = F.split(F.lower(F.trim(title)), "[^a-z0-9_]+")
+    return (F.length(title) < 3) | F.get(own, F.lit(0)).isin(GENERIC) | (F.array_join(F.slice(own, 1, 2), " ") == "read more")
 
 
 def links(html: Column) -> Column:
@@ -126,28 +134,51 @@ def s4_sitemap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @operator(r"""WITH a AS (SELECT page_id, CAST(unnest(range(len(h))) AS INTEGER) AS pos, unnest(h) AS href, unnest(t) AS title FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"[^>]*>([^<]*)</a>', 1) AS h, regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"[^>]*>([^<]*)</a>', 2) AS t FROM pages)),
-  c AS (SELECT *, length(trim(title)) < 3 OR regexp_matches(trim(title), '(?i)^(?:download|click\b|view\b|read\s+more|pdf|here|open|see\b|link|english|sinhala|sinhalese|tamil)\b') AS generic FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY generic, pos) AS n FROM c)
-  SELECT page_id, href, CASE WHEN generic THEN 'heading' ELSE trim(title) END AS title FROM r WHERE n = 1""")
+  c AS (SELECT *, length(trim(title)) < 3 OR list_contains({GENERIC}, regexp_extract(lower(trim(title)), '^[a-z0-9_]+')) OR starts_with(lower(trim(title)), 'read more') AS generic FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY generic, pos) AS n FROM c)
+  SELECT page_id, href, CASE WHEN generic THEN 'heading' ELSE trim(title) END AS title FROM r WHERE n = 1""".replace("{GENERIC}", str(GENERIC)))
 def s5_document_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Each address once, under its first descriptive link text, or else the page's heading."""
     pattern = r'(?i)<a\b[^>]*\bhref="([^"]*)"[^>]*>([^<]*)</a>'
     p = table(spark, sf, "pages").select("page_id", F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), 1).alias("href"), F.regexp_extract_all("html", F.lit(pattern), 2).alias("title")).alias("z"))
     a = p.select("page_id", F.posexplode("z").alias("pos", "x")).select("page_id", "pos", "x.href", F.trim("x.title").alias("title"))
-    generic = (F.length("title") < 3) | F.col("title").rlike(GENERIC)
+    generic = is_generic(F.col("title"))
     n = F.row_number().over(Window.partitionBy("page_id", "href").orderBy(generic, "pos"))
     return a.withColumns({"generic": generic, "n": n}).filter("n = 1").select("page_id", "href", F.when(F.col("generic"), "heading").otherwise(F.col("title")).alias("title"))
 
 
-@operator("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_partkey <> l_suppkey AND l_quantity > 40), w(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT b, depth + 1 FROM w JOIN e ON a = node WHERE depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY node")
+def crawl(links: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, depth, owner): breadth first over links (a, b) from start (node) until nothing new is found.
+
+    Each node is found once, at its least depth; its owner is the least node of the depth before that links to it. most: pages at most, those of
+    less depth and of lesser names first. A round joins the frontier alone with the links; what has been found is a written table, so a round's plan stays
+    small, and a lost executor repeats one round.
+    """
+    spark = links.sparkSession
+    edges = links.select("a", "b").filter("a <> b")
+    kind = dict(edges.dtypes)["b"]
+    frontier = materialised(start.select(F.col("node").cast(kind).alias("node")).filter("node IS NOT NULL").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("owner")), "crawl")
+    found, depth = frontier, 0
+    while not frontier.isEmpty() and (most is None or found.count() < most):
+        depth += 1
+        reached = edges.join(frontier.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("owner")).filter("node IS NOT NULL")
+        frontier = materialised(reached.join(found.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "owner"), "crawl")
+        found = found.unionByName(frontier)
+    return found if most is None else found.orderBy("depth", "node").limit(most)
+
+
+def crawlable(url: Column, host: str) -> Column:
+    """Whether an address is a page of a host: no query that changes anything, no file of a kind that isn't a page."""
+    path = F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
+    own = F.parse_url(url, F.lit("HOST"))
+    kind = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.coalesce((own == host) | own.endswith("." + host), F.lit(False)) & ~F.contains(url, F.lit("add-to-cart")) & ~kind.isin("jpg", "jpeg", "png", "gif", "css", "js", "zip", "pdf")
+
+
+@operator("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_partkey <> l_suppkey), w(node, depth, owner) USING KEY (node) AS (SELECT 1::BIGINT, 0, NULL::BIGINT UNION SELECT b, min(depth) + 1, min(a) FROM w JOIN e ON a = node WHERE b NOT IN (SELECT node FROM recurring.w) GROUP BY b) SELECT node, depth, owner FROM w")
 def s6_crawl(spark: SparkSession, sf: str) -> DataFrame:
-    """Breadth first over links from a first page, each node at its least depth, three steps at most."""
-    e = table(spark, sf, "lineitem").filter("l_partkey <> l_suppkey AND l_quantity > 40").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("next")).distinct()
-    seen = spark.createDataFrame([(1, 0)], "node bigint, depth int")
-    front = seen
-    for depth in range(1, 4):
-        front = front.join(e, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.union(front)
-    return seen
+    """Breadth first over all links from a first page, each node at its least depth and with the page that led to it."""
+    links = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    return crawl(links, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
 @operator(r"SELECT page_id, CASE WHEN h <> '' THEN h ELSE trim(regexp_replace(t, '(?i)\s*[-–|]\s*Example\s*$', '')) END AS title FROM (SELECT page_id, trim(regexp_extract(html, '(?is)<h[12][^>]*>([^<]*)</h[12]>', 1)) AS h, trim(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1)) AS t FROM pages)")

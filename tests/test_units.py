@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from quarryspark.functions import names
 from quarryspark.functions import text as T
-from quarryspark.operators import dedupe, extract, resolve, search
+from quarryspark.operators import analysis, dedupe, extract, resolve, search
 from quarryspark.operators.textindex import TextIndex
 from quarryspark.plans.query import Vocabulary, metadata_variants, tiers
-from quarryspark.sources.listing import archive_records, upsert
+from quarryspark.sources.listing import archive_records, crawl, crawlable, upsert
 from quarryspark.sources.shipping import fresh_path
 
 VOCABULARY = Vocabulary(
@@ -110,7 +110,7 @@ def test_bench(pages, want):
         ("1. Hon. Justice Ann Perera", "Ann Perera, J."),
         ("S. N. Silva, P.C., J.", "S. N. Silva, P.C., J."),
         ("A. Fernando, Acting Chief Justice", "A. Fernando, A.C.J."),
-        ("P E R E R A,  C. J.", "PERERA, C.J."),
+        ("P E R E R A,  C. J.", "Perera, C.J."),
         ("Silva, J. I agree", None),
         ("Ann Perera", None),
         ("Justice Perera", None),
@@ -144,6 +144,75 @@ def test_names_and_dates():
     assert one("Mr. and Mrs.") is None and one("Hon.Justice K. de Abrew and another").shown() == "K. de Abrew"
 
 
+def test_names_set_letter_by_letter():
+    assert names.judge("P E R E R A, J.") == "Perera, J."
+    assert names.judge("V Y T H IA L IN G A M, J.") == "Vythialingam, J."
+    assert names.judge("A. H. M. D. Nawaz, J.") == "A. H. M. D. Nawaz, J."
+    assert names.author("W I T H E R S, J.\nThe appellant") == "Withers, J."
+
+
+def test_author_of_several_lines():
+    assert names.author("SILVA, J.\nDIAS, J.\nThe plaintiff sued") == "Dias, J."
+    assert names.author("SILVA, J.\nDIAS, J.\n") == "Dias, J."
+    assert names.author("SILVA, J.\nDIAS, J.\nsued. Per Soza, J., later. Held by ABRAMS C.J. – yes") == "Abrams, C.J."
+    assert names.author("Permissibility. Vythialingam, J. The petitioner") == "Vythialingam, J."
+    assert names.author("the judge J. said") == ""
+
+
+@pytest.mark.parametrize("raw", ["Supreme Court", "I agree", "Justice", "The Petitioner", "Order of Silva", "", "J."])
+def test_what_is_no_person(raw):
+    assert names.Person.read(raw) is None
+
+
+def test_persons_behind_other_words():
+    assert names.Person.read("Judgment of Hon. Justice Silva").shown() == "Silva"
+    assert names.Person.read("Before: A. B. de Silva, J.").shown() == "A. B. de Silva"
+    assert names.Person.read("Sisira de Abrew and Perera, JJ").shown() == "Sisira de Abrew"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("On 12-03-1999", "1999-03-12"), ("decided 1.2.1950 and 3 May 1949", "1949-05-03"), ("decided 1.2.1950 and then 3.4.1949", "1950-02-01"), ("decided May 3, 1960. Decided on 4th June 1959", "1959-06-04"), ("June 4. 2001 x", "2001-06-04"), ("31/12/2030 1/1/1899", ""), ("5 May2001", ""), ("1 - 2 - 1999", ""), ("Decided 9 May 2001, 10 May 2002", "2001-05-09")],
+)
+def test_dates_of_texts(text, want):
+    assert extract.date_from_text(text) == want
+
+
+def test_italic_citations():
+    runs = [(1, "Silva"), (1, "v Perera"), (1, "[1992] 1 SLR 3"), (1, "inter alia"), (2, "Dias (1992)"), (2, "(1943) 45 N.L.R. 73"), (3, "obiter dicta"), (4, "SC Appeal 5/2001"), (5, "A vs. B"), (6, "silva V PERERA [1992] 1 slr 3")]
+    assert analysis.italic_citations(runs) == [(1, "Silva v Perera [1992] 1 SLR 3", "case"), (2, "Dias (1992)", "reporter"), (2, "(1943) 45 N.L.R. 73", "reporter"), (4, "SC Appeal 5/2001", "reporter"), (5, "A vs. B", "case")]
+
+
+def test_outline_of_nested_values():
+    value = {"cause_of_action": "debt", "parties": [{"name": "A", "roles": ["x", None, "y"]}, "B", []], "n": None, "deep": {"k": {"z": 1}}}
+    assert analysis.outline(value) == ["Cause Of Action: debt", "Parties:", "  • Name: A", "  Roles:", "    • x", "    • y", "  • B", "N: None", "Deep:", "  K:", "    Z: 1"]
+    assert analysis.outline(["a", {"b": 1, "c": 2}]) == ["• a", "• B: 1", "C: 2"] and analysis.outline(3) == ["3"] and analysis.outline([]) == []
+
+
+def test_legislation_of_an_answer():
+    told = [{"statute": "Not specified in the text"}, "Section 5 of the Penal Code", {"x": "", "y": "Evidence Ordinance, Section 32"}, "N/A", "the facts", ["Article 12 of the Constitution"], "Evidence Ordinance, Section 32"]
+    found, kept = analysis.legislation(told, ["Silva v. Perera", {"case_name": "Customs Ordinance, No. 17 of 1869"}, {"case_name": "The Act v. The Code"}])
+    assert found == ["Section 5 of the Penal Code — Section 5", "Evidence Ordinance — Section 32", "Article 12 of the Constitution — Article 12", "Customs Ordinance, No. 17 of 1869"]
+    assert kept == ["Silva v. Perera", {"case_name": "The Act v. The Code"}]
+    assert analysis.legislation("Penal Code", []) == (["Penal Code"], []) and analysis.legislation(None, []) == ([], [])
+
+
+def test_sounds_are_the_same_in_both_forms(spark):
+    raw = ["Rajapakshe", "Weerasinghe", "Whyte", "", "Thhaa", "Fonseka-Silva 3"]
+    got = spark.createDataFrame([(x,) for x in raw], "n string").select(extract.phonetic_key(F.col("n"))).collect()
+    assert [r[0] for r in got] == [names.sound(x) for x in raw]
+
+
+def test_crawl(spark):
+    links = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5), (5, 5), (9, 1), (2, None)], "a bigint, b bigint")
+    start = spark.createDataFrame([(1,), (None,)], "node bigint")
+    want = [(1, 0, None), (2, 1, 1), (3, 1, 1), (4, 2, 2), (5, 3, 4)]
+    assert sorted(tuple(r) for r in crawl(links, start).collect()) == want
+    assert sorted(tuple(r) for r in crawl(links, start, most=3).collect()) == want[:3]
+    urls = [("http://a.org/x/", True), ("https://b.a.org/y.html", True), ("http://ba.org/", False), ("http://a.org/x.PDF", False), ("http://a.org/?add-to-cart=1", False), ("nothing", False)]
+    assert [r[0] for r in spark.createDataFrame([u[:1] for u in urls], "u string").select(crawlable(F.col("u"), "a.org")).collect()] == [w for _, w in urls]
+
+
 @pytest.mark.parametrize(("raw", "want"), [('```json\n{"a": 1}\n```', {"a": 1}), ('<think>{"b": 2}</think>{"a": [1, 2,], }', {"a": [1, 2]}), ('{"a": {"b": "c', {"a": {"b": "c"}}), ("[1, 2]", None), ("none", None)])
 def test_repair_json(raw, want):
     assert extract.repair_json(raw) == want
