@@ -9,12 +9,14 @@ a check of their Hamming distance. A group of copies thus gives links in proport
 
 similar_groups() serves a similarity of word shingle sets instead (0.8, say), where 64 bits differ in too many places to share
 a block. There a text's shingles are dealt by hash into classes of 3 to 6, each class has a 64-bit fingerprint of its own, and
-these are the blocks of a long fingerprint: texts that differ in few places have several classes without a difference. Texts
-meet on equal blocks; the members of a key of few are all compared, those of other keys with its least and greatest one, those that fail in further rounds. The
-Hamming distance of fixed-length fingerprints of 16 classes only sorts out pairs that are far off: its limit lies SIGMAS standard
-deviations above what the similarity gives. The shingle sets of the pairs that are left decide, by their Jaccard similarity.
-Texts of few shingles have few classes, so they also meet on single shingles: of those of a text in the order of rarity, the
-first ones, so many that two similar texts must share one of them.
+these are the blocks of a long fingerprint: texts that differ in few places have several classes without a difference. Only texts that
+share a block with another, and short ones, which have few classes, go on. Of these a second join decides who meets whom without losing a pair: with a
+text's shingles in the order of rarity, two texts of the similarity share one of the first n - ceil(similarity * n) + 1 (the prefix filter), and shingles
+that one text alone has make no key. A passage that unlike texts share is not rare, so it makes no key of theirs. Members of a key of up to SMALL texts
+are paired; the Hamming distance of fixed-length fingerprints of 16 classes sorts out pairs that are far off, its limit lying SIGMAS standard
+deviations above what the similarity gives, and the exact Jaccard similarity of the shingle sets decides. Texts of larger keys are families: connected
+by these keys, cut into blocks, and compared block by block as matrix products of shingle sets, exactly; a pair of blocks leaves a spanning star of its links alone, so no
+pair of a large family is ever a row. There are no rounds: the number of jobs doesn't grow with a key's size.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows get the same component. A very long
 text is hashed in a batch of its own; its shingle set is a row as long as the text. Other columns are neither read nor kept by
@@ -25,15 +27,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from itertools import combinations, count
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, join_spread, shield, text_batches, written
+from .cells import least_roots
+from .common import join_spread, shield, text_batches, written
 from .graph import components
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -46,14 +49,16 @@ CLASS_SHINGLES, CLASS_KEYS = 3, 32
 WIDE_LEVEL = 4
 #: Standard deviations by which the distance of a pair may exceed what is expected at the similarity.
 SIGMAS = 6
-#: Members of a key that are all compared with each other at most; of a short text's key.
-SMALL, SMALL_SHORT = 8, 32
+#: Members of a key that are paired at most; those of larger keys are families.
+SMALL = 12
 #: Shingles up to which a text is short.
 SHORT = 64
-#: Keys that are taken together, turn by turn, and the rounds of a turn.
-RUNS, ROUNDS = (1, 2, 3, 4, 6, 8), 2
+#: Texts of a block of a family, and the shingles of its texts together (one text may have more).
+FAMILY_TEXTS, FAMILY_SHINGLES = 512, 400_000
+#: Shingles that a matrix product takes at once.
+PRODUCT_SHINGLES = 8192
 #: Rows that are broadcast at most.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 50_000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,13 +141,13 @@ def _named(rooted: DataFrame, node: str) -> DataFrame:
     return join_spread(rooted.select(node, "root", "n"), ids, "root", rooted.count(), "_members").select(node, "component_id", "n")
 
 
-def long_fingerprint(hashes: list[int] | np.ndarray) -> tuple[int, list[int], list[tuple[int, int]], int]:
-    """(hash of the shingle set, fingerprints of 2**WIDE_LEVEL classes, (class number, fingerprint) keys, fingerprint of all) of a text."""
+def long_fingerprint(hashes: list[int] | np.ndarray) -> tuple[int, list[int], list[tuple[int, int]]]:
+    """(hash of the shingle set, fingerprints of 2**WIDE_LEVEL classes, (class number, fingerprint) keys) of a text."""
     own = np.unique(np.array(hashes, np.uint64))
     n = len(own)
     whole = xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), 42)
     if not n:
-        return whole, [0] * (1 << WIDE_LEVEL), [(0, 0)], 0
+        return whole, [0] * (1 << WIDE_LEVEL), [(0, 0)]
     mixed = own * SPREAD
     order = np.argsort(mixed)
     own, mixed = own[order], mixed[order]  # the classes of every level are now runs
@@ -167,7 +172,7 @@ def long_fingerprint(hashes: list[int] | np.ndarray) -> tuple[int, list[int], li
     for x in sorted(levels):
         fp, size = of(x, min(1 << x, CLASS_KEYS))
         keys += [(x * CLASS_KEYS + i, f) for i, (f, k) in enumerate(zip(fp.tolist(), size.tolist(), strict=True)) if k]
-    return whole, wide.tolist(), keys, int(of(0, 1)[0][0])
+    return whole, wide.tolist(), keys
 
 
 def differing_share(similarity: float) -> float:
@@ -186,43 +191,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     own, other = sets.select("whole", F.col("shingles").alias("own")), sets.select(F.col("whole").alias("lead"), F.col("shingles").alias("other"))
     common = F.size(F.array_intersect("own", "other"))
     either = F.size("own") + F.size("other") - common
-    return pairs.join(own, "whole").join(other, "lead").filter(common / either >= similarity).select("whole", "lead")
-
-
-def _runs(texts: DataFrame, size: int) -> DataFrame:
-    """(number, fp, whole, size, hint): every run of size keys of a text as one key; all its keys if it has fewer."""
-    n = F.least(F.lit(size), F.size("keys"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("keys") - n + 1), lambda i: F.struct(F.element_at("keys", i)["number"].alias("number"), F.xxhash64(F.slice("keys", i, n)).alias("fp")))
-    return texts.select("whole", F.col("n").alias("size"), "hint", F.explode(runs).alias("key")).select("key.number", "key.fp", "whole", "size", "hint")
-
-
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(number, fp, whole, size, hint): the rarest shingles of each set (whole, shingles); sets of that similarity share one at least."""
-    each = sets.select("whole", F.size("shingles").alias("n"), F.explode("shingles").alias("fp"))
-    ranked = each.join(each.groupBy("fp").agg(F.count("*").alias("texts")), "fp").groupBy("whole").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("texts", "fp"))).alias("all"))
-    first = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
-    return ranked.select(F.lit(-1).alias("number"), F.explode(F.transform(first, lambda x: x["fp"])).alias("fp"), "whole", F.col("n").alias("size"), F.lit(0).cast("bigint").alias("hint"))
-
-
-def _short_found(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (whole, lead) between short texts, by their sets (whole, shingles).
-
-    All members of a key of at most SMALL_SHORT texts are compared. Those of a larger one go on until they are linked to one of its leads
-    or none is left.
-    """
-    spark = sets.sparkSession
-    links_found, path = None, None
-    left = _prefixes(sets, similarity)
-    while True:
-        met, met_path = written(_met(left), "short-met")
-        good, _ = written(_alike(_pairs(met, SMALL_SHORT, similarity), sets, similarity), "short-links")
-        links_found = good if links_found is None else links_found.union(good)
-        old, (left, path) = path, written(_rest(met, good, SMALL_SHORT), "short-left")
-        for x in (met_path, old):
-            if x:
-                drop_path(spark, x)
-        if left.isEmpty():
-            return links_found
+    return pairs.join(own, "whole").join(other, "lead").filter(common >= similarity * either - 1e-9 * either).select("whole", "lead")
 
 
 def _some(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -230,109 +199,100 @@ def _some(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, key, "left_semi")
 
 
-def _found(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Links (whole, lead) between texts (whole, n, wide, keys) that share a key and whose shingle sets are that similar.
+def _sharing(texts: DataFrame) -> DataFrame:
+    """(whole): the texts (whole, keys) that share a key with another."""
+    keyed, _ = written(texts.select("whole", F.explode("keys").alias("key")).select("whole", F.xxhash64("key.number", "key.fp").alias("key")), "similar-keys")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("_met", F.lit(1))
+    return join_spread(keyed, shared, "key", keyed.count()).select("whole").distinct()
 
-    sets_of gives the sets (whole, shingles) of some texts (whole); only texts with a near candidate are asked for, once.
-    All members of a key of at most SMALL texts are compared. Those of a larger one are compared with its least and its greatest
-    one. Those that neither links go on: ROUNDS times with the same keys, then with runs of ever more keys in place of single
-    ones, which unlike texts that share a passage don't share, and with the longest runs until none is left. No key is dropped
-    for its size.
-    """
-    spark = texts.sparkSession
-    wide, most = texts.select("whole", "n", "wide"), distance_limit(similarity)
-    sized = F.least("n", "m") >= F.greatest("n", "m") * (similarity - 1e-9)
-    apart = F.aggregate(F.zip_with("wide", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        """The pairs (whole, lead) of like size and near wide fingerprints."""
-        other = wide.select(F.col("whole").alias("lead"), F.col("n").alias("m"), F.col("wide").alias("other"))
-        return pairs.join(wide, "whole").join(other, "lead").filter(sized & (apart <= most)).select("whole", "lead")
-
-    held, links_found, paths, set_paths = None, None, [], []
-    left = _runs(texts, 1)
-    for turn in count():
-        size = RUNS[min(turn // ROUNDS, len(RUNS) - 1)]
-        if turn and turn % ROUNDS == 0 and turn // ROUNDS < len(RUNS):
-            left = _runs(_some(texts, left.select("whole").distinct(), "whole"), size)
-        if not turn % ROUNDS:  # most of a large group's members are linked to one lead here, so few pairs are left for the keys
-            shared, shared_path = written(_met(left), "similar-shared")
-            first, first_path = written(judged(_usual_lead(shared, SMALL, similarity)), "similar-first")
-            many, many_path = written(sets_of(_texts_of(first)), "similar-first-sets")
-            known, _ = written(_alike(first, many, similarity), "similar-links")
-            links_found = known if links_found is None else links_found.union(known)
-            left = shared.select("number", "fp", "whole", "size", "hint").join(known.select("whole", F.col("lead").alias("label")), "whole", "left")
-            paths += [shared_path, first_path, many_path]
-        met, met_path = written(_met(left), "similar-met")
-        near, near_path = written(judged(_pairs(met, SMALL, similarity)), "similar-near")
-        due, due_path = written(_texts_of(near), "similar-due")
-        fresh, fresh_path = written(due if held is None else due.join(held.select("whole"), "whole", "left_anti"), "similar-wanted")
-        paths += [met_path, near_path, due_path, fresh_path]
-        if held is None or not fresh.isEmpty():
-            more, path = written(sets_of(fresh), "similar-sets")
-            set_paths.append(path)
-            held = more if held is None else held.union(more)
-        good, _ = written(_alike(near, _some(held, due, "whole"), similarity), "similar-links")
-        links_found = good if links_found is None else links_found.union(good)
-        left, path = written(_rest(met, good, SMALL), "similar-left")
-        paths.append(path)
-        if left.isEmpty():
-            break
-        for old in paths[:-1]:
-            drop_path(spark, old)
-        paths = paths[-1:]
-        spark._jvm.java.lang.System.gc()  # lets Spark's cleaner free this round's broadcasts and shuffles, which nothing refers to any more
-    for old in paths + set_paths:
-        drop_path(spark, old)
-    return links_found
-
-
-def _texts_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select("whole").union(pairs.select(F.col("lead").alias("whole"))).distinct()
-
-
-def _met(left: DataFrame) -> DataFrame:
-    """(number, fp, whole, label, size, hint, low, high, n): the members of keys that texts of several labels share.
-
-    A text's label is the text that a link is known to, or itself; low and high have the same of the least and the greatest member.
-    """
-    label = F.coalesce("label", "whole") if "label" in left.columns else F.col("whole")
-    own = left.select("number", "fp", "whole", label.alias("label"), "size", "hint")
-    one = F.struct("whole", "label", "size", "hint")
-    ends = own.groupBy("number", "fp").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
-    return own.join(ends.filter("a <> b").drop("a", "b"), ["number", "fp"])
-
-
-def _likely(a: Column, b: Column, similarity: float) -> Column:
-    """Whether two texts (whole, label, size, hint) of different labels can have the similarity, by size and the fingerprints of all shingles."""
-    sizes = F.least(a["size"], b["size"]) >= F.greatest(a["size"], b["size"]) * (similarity - 1e-9)
-    return (a["whole"] != b["whole"]) & (a["label"] != b["label"]) & sizes & (F.bit_count(a["hint"].bitwiseXOR(b["hint"])) <= distance_limit(similarity, BITS))
-
-
-def _usual_lead(met: DataFrame, most: int, similarity: float) -> DataFrame:
-    """(whole, lead): for each text in keys of more than so many members the likely one that is the least of most of them."""
-    own = F.struct("whole", "label", "size", "hint")
-    seen = met.filter((F.col("n") > most) & _likely(own, F.col("low"), similarity)).groupBy("whole", F.col("low.whole").alias("low")).agg(F.count("*").alias("keys"))
-    return seen.groupBy("whole").agg(F.max(F.struct("keys", "low")).alias("best")).select("whole", F.col("best.low").alias("lead"))
-
-
-def _pairs(met: DataFrame, most: int, similarity: float) -> DataFrame:
-    """Likely pairs (whole, lead), whole > lead: all of a key of so many members at most, else those with its least and greatest one."""
-    own = F.struct("whole", "label", "size", "hint")
-    large = met.filter(F.col("n") > most).select(own.alias("one"), F.explode(F.array("low", "high")).alias("end"))
-    few = met.filter(F.col("n") <= most).groupBy("number", "fp").agg(F.array_sort(F.collect_set(own)).alias("all"))
-    small = few.select("all", F.posexplode("all").alias("k", "one")).select("one", F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("end"))
-    likely = large.union(small).filter(_likely(F.col("one"), F.col("end"), similarity))
-    return likely.select(F.greatest("one.whole", "end.whole").alias("whole"), F.least("one.whole", "end.whole").alias("lead")).distinct()
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(fp, whole, n): the rarest shingles of each set (whole, shingles) that another set has, too; sets of the similarity share one at least."""
+    each = sets.select("whole", F.size("shingles").alias("size"), F.explode("shingles").alias("fp"))
+    counted = each.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").withColumn("texts", F.col("n"))
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    common = join_spread(each, counted, "fp", total)
+    least = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1  # the length of the prefix; shingles of this text alone come first in it
+    ranked = common.groupBy("whole", "size").agg(F.count("*").alias("common"), F.array_sort(F.collect_list(F.struct("texts", "fp"))).alias("all"))
+    first = F.slice("all", F.lit(1), F.greatest(F.lit(0), (least - (F.col("size") - F.col("common"))).cast("int")))
+    return ranked.select(F.explode(F.transform(first, lambda x: x["fp"])).alias("fp"), "whole", F.col("size").alias("n"))
 
 
-def _rest(met: DataFrame, good: DataFrame, most: int) -> DataFrame:
-    """(number, fp, whole, label, size, hint): the members of larger keys that are no lead and that nothing links to one."""
-    ends = met.filter(F.col("n") > most).withColumns({"high_whole": F.col("high.whole"), "low_whole": F.col("low.whole")})
-    rest = ends.filter("whole <> low_whole AND whole <> high_whole AND label <> low.label AND label <> high.label")
-    rest = rest.join(good.select("whole", F.col("lead").alias("low_whole")), ["whole", "low_whole"], "left_anti")
-    rest = rest.join(good.select(F.col("lead").alias("whole"), F.col("whole").alias("high_whole")), ["whole", "high_whole"], "left_anti")
-    return rest.select("number", "fp", "whole", "label", "size", "hint")
+def _found(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Links (whole, lead) that connect the texts (whole, n, wide, keys) of the similarity. sets_of gives the sets (whole, shingles) of some texts (whole)."""
+    long = texts.filter(F.col("n") > SHORT)
+    few = texts.filter(F.col("n") <= SHORT / similarity).select("whole")  # short ones, and those that can be like a short one
+    due, _ = written(_sharing(long).union(few).distinct(), "similar-due")
+    sets, _ = written(sets_of(due), "similar-sets")
+    keys, _ = written(_prefixes(sets, similarity), "similar-prefixes")
+    sizes, _ = written(keys.groupBy("fp").agg(F.count("*").alias("n"), F.min("whole").alias("least")).filter("n > 1"), "similar-sizes")
+    some = keys.join(sizes.filter(F.col("n") <= SMALL).select("fp"), "fp").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("whole", "n"))).alias("all"))  # SMALL at most
+    paired = some.select("all", F.posexplode("all").alias("k", "one")).select("one", F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("other"))
+    sized = F.least("one.n", "other.n") >= F.greatest("one.n", "other.n") * (similarity - 1e-9)
+    pairs, _ = written(paired.filter(sized).select(F.col("one.whole").alias("whole"), F.col("other.whole").alias("lead")).distinct(), "similar-pairs")
+    wide = texts.select("whole", "wide")
+    apart = F.aggregate(F.zip_with("wide", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    near = pairs.join(wide, "whole").join(wide.select(F.col("whole").alias("lead"), F.col("wide").alias("other")), "lead").filter(apart <= distance_limit(similarity))
+    known, _ = written(_alike(near.select("whole", "lead"), sets, similarity), "similar-links")
+    large = sizes.filter(F.col("n") > SMALL)
+    total = keys.count()
+    family = components(join_spread(keys.select("fp", "whole"), large, "fp", total).select(F.col("whole").alias("a"), F.col("least").alias("b")))
+    return known.union(_within(sets.join(family.withColumnRenamed("node", "whole"), "whole"), similarity))
+
+
+def _within(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (whole, lead) that connect the like texts of each family, from members (whole, shingles, root)."""
+    members, _ = written(members, "similar-members")
+    count = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("n") / FAMILY_TEXTS), F.ceil(F.col("shingles") / FAMILY_SHINGLES)).cast("int")
+    each = join_spread(members, count.filter("n > 1").select("root", "n", parts.alias("parts")), "root", members.count())
+    placed = each.select("root", "parts", F.pmod(F.xxhash64("whole"), F.col("parts")).cast("int").alias("part"), "whole", "shingles")
+
+    def pack(table: pa.Table) -> pa.Table:
+        one = {c: table.column(c)[:1].combine_chunks() for c in ("root", "parts", "part")}
+        lists = table.column("shingles").combine_chunks()
+        return pa.table(one | {"texts": pa.array([table.column("whole").to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([np.diff(lists.offsets.to_numpy())], pa.list_(pa.int32())), "all": pa.array([lists.flatten().to_numpy().tobytes()], pa.binary())})
+
+    blocks, _ = written(placed.groupBy("root", "part").applyInArrow(pack, "root bigint, parts int, part int, texts array<bigint>, sizes array<int>, all binary"), "similar-blocks")
+    ahead = blocks.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1)))
+    met = ahead.join(blocks.select("root", F.col("part").alias("other"), F.col("texts").alias("r_texts"), F.col("sizes").alias("r_sizes"), F.col("all").alias("r_all")), ["root", "other"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                sides = [(np.array(one[p + "texts"], np.int64), np.array(one[p + "sizes"], np.int64), np.frombuffer(one[p + "all"], np.int64)) for p in ("", "r_")]
+                linked = like(sides[0][1:], sides[1][1:], similarity)
+                if one["part"] == one["other"]:
+                    np.fill_diagonal(linked, False)
+                left, right = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+                a, b = sides[0][0][left], sides[1][0][right]
+                low, high = least_roots(linked[np.ix_(left, right)], a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([low, high]))], ["whole", "lead"])
+
+    stars = met.select("part", "other", "texts", "sizes", "all", "r_texts", "r_sizes", "r_all").mapInArrow(compare, "whole bigint, lead bigint")
+    return written(stars.filter("whole <> lead").distinct(), "similar-stars")[0]
+
+
+def like(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Which sets of left and right (their sizes, their members one after the other) have the Jaccard similarity."""
+    (n, x), (m, y) = left, right
+    both, inverse, counts = np.unique(np.concatenate([x, y]), return_inverse=True, return_counts=True)
+    kept = counts > 1  # others are in one set alone
+    column = (np.cumsum(kept) - 1)[inverse]
+    inside = kept[inverse]
+    common = np.zeros((len(n), len(m)), np.float32)
+    rows, columns = np.repeat(np.arange(len(n)), n)[inside[: len(x)]], column[: len(x)][inside[: len(x)]]
+    others, theirs = np.repeat(np.arange(len(m)), m)[inside[len(x) :]], column[len(x) :][inside[len(x) :]]
+    for begin in range(0, int(kept.sum()), PRODUCT_SHINGLES):
+        width = min(PRODUCT_SHINGLES, int(kept.sum()) - begin)
+        a, b = np.zeros((len(n), width), np.float32), np.zeros((len(m), width), np.float32)
+        for into, r, c in ((a, rows, columns), (b, others, theirs)):
+            now = (c >= begin) & (c < begin + width)
+            into[r[now], c[now] - begin] = 1
+        common += a @ b.T
+    either = n[:, None] + m - common.astype(np.float64)
+    return common >= similarity * either - 1e-9 * either
 
 
 def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -350,8 +310,7 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
             keys = pa.StructArray.from_arrays([pa.array(np.array([k for r in rows for k, _ in r[2]], np.int32)), pa.array(np.array([f for r in rows for _, f in r[2]], np.uint64).view(np.int64))], ["number", "fp"])
             wides = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) << WIDE_LEVEL).astype(np.int32)), wide)
             few = pa.array([x.view(np.int64) if 0 < len(x) <= SHORT else None for x in sets], pa.list_(pa.int64()))
-            hints = pa.array(np.array([r[3] for r in rows], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_tie"), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys), few, pa.array([len(x) for x in sets], pa.int32()), hints], [id_col, "_tie", "whole", "wide", "keys", "shingles", "n", "hint"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_tie"), whole, wides, pa.ListArray.from_arrays(pa.array(ends), keys), few, pa.array([len(x) for x in sets], pa.int32())], [id_col, "_tie", "whole", "wide", "keys", "shingles", "n"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches, text_col):
@@ -361,9 +320,9 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
 
     kind = dict(docs.dtypes)[id_col]
     tied = docs.select(id_col, F.xxhash64(text_col).alias("_tie"), text_col)
-    marked, _ = written(tied.mapInArrow(run, f"{id_col} {kind}, _tie bigint, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>, shingles array<bigint>, n int, hint bigint"), "similar")
+    marked, _ = written(tied.mapInArrow(run, f"{id_col} {kind}, _tie bigint, whole bigint, wide array<bigint>, keys array<struct<number int, fp bigint>>, shingles array<bigint>, n int"), "similar")
     least = F.min(F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col), F.col("_tie"))).alias("least")
-    texts, _ = written(marked.groupBy("whole").agg(least, F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys"), F.any_value("hint").alias("hint")), "similar-texts")
+    texts, _ = written(marked.groupBy("whole").agg(least, F.count("*").alias("rows"), F.any_value("n").alias("n"), F.any_value("wide").alias("wide"), F.any_value("keys").alias("keys")), "similar-texts")
     short, _ = written(marked.filter("shingles IS NOT NULL").select("whole", "shingles").dropDuplicates(["whole"]), "similar-short")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -372,7 +331,11 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
         met = tied.join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else one, tied[id_col].eqNullSafe(one["_id"]) & (tied["_tie"] == one["_own"]))
         return met.select("whole", text_col).mapInArrow(again, "whole bigint, shingles array<bigint>").dropDuplicates(["whole"])
 
-    links_found = _found(texts, sets_of, similarity).union(_short_found(short, similarity))
+    def sets(wanted: DataFrame) -> DataFrame:
+        long = wanted.join(short.select("whole"), "whole", "left_anti")
+        return short.unionByName(sets_of(long))
+
+    links_found = _found(texts.select("whole", "n", "wide", "keys"), sets, similarity)
     linked = components(links_found.select(F.col("whole").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "whole")
     rooted = texts.select("whole", "least", F.col("rows").alias("n")).join(linked, "whole", "left").select("whole", F.coalesce("root", "whole").alias("root"), "least", "n")
     return marked.select(id_col, "_tie", "whole"), written(rooted, "similar-rooted")[0]
