@@ -14,7 +14,8 @@ batch, which gives each document's perplexity. Words that hold HOT_SHARE of a la
 broadcast instead. A trusted document's own occurrences are taken from the counts that it is scored with, so that trusted and
 other documents compare. Perplexities are compared to quantiles of the
 trusted documents of the language and length class (of the class alone, or the language alone, if these are too few); documents
-beyond the upper quantile by a margin, or below the lower one by it, are rejected.
+beyond the upper quantile by a margin, or below the lower one by it, are rejected. So are those whose perplexity by the trigrams of symbols alone
+is beyond the same quantiles of it: known words in an order or layout that trusted text doesn't have look fine by words alone.
 
 The trigrams of symbols are at most ALPHABET**3 numbers for each of at most MODELS languages, and are broadcast; with more languages
 there is a pass for each MODELS of them. A language without trusted text, or null, uses the model of all languages. Null and
@@ -292,11 +293,11 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-LISTS = ("ids", "ties", "langs", "trusted", "bits", "sizes")
+LISTS = ("ids", "ties", "langs", "trusted", "bits", "sizes", "shapes")
 
 
 def _schema(kind: str) -> str:
-    return f"shard int, batch bigint, word bigint, n bigint, spelled float, of int, packed binary, ids array<{kind}>, ties array<bigint>, langs array<string>, trusted array<boolean>, bits array<double>, sizes array<bigint>"
+    return f"shard int, batch bigint, word bigint, n bigint, spelled float, of int, packed binary, ids array<{kind}>, ties array<bigint>, langs array<string>, trusted array<boolean>, bits array<double>, sizes array<bigint>, shapes array<double>"
 
 
 def _wanted(docs: DataFrame, model: Model, turn: int, shards: int, hot: tuple[np.ndarray, ...], weights: dict[str, tuple[float, list[float], float]], id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -309,7 +310,7 @@ def _wanted(docs: DataFrame, model: Model, turn: int, shards: int, hot: tuple[np
         (own, often, table), task, seen = held.value, TaskContext.get().partitionId(), 0
         for whole in batches:
             for begin in range(0, whole.num_rows, BATCH_DOCS):
-                part, first, found, bits, lengths = whole.slice(begin, BATCH_DOCS), 0, [], [], []
+                part, first, found, bits, lengths, shapes = whole.slice(begin, BATCH_DOCS), 0, [], [], [], []
                 for batch, texts in text_batches(iter([part]), text_col):
                     names = [x if x in own.langs else POOL for x in (y or POOL for y in batch.column(lang_col).to_pylist())]
                     number, spare = np.array([own.langs[x] for x in names], np.int64), np.array([back.get(x, 0.0) for x in names])
@@ -321,7 +322,10 @@ def _wanted(docs: DataFrame, model: Model, turn: int, shards: int, hot: tuple[np
                     white[ends[s[ends] == SPACE]] = False  # these belong to the words before them
                     gaps = np.flatnonzero(white)
                     of = np.searchsorted(np.cumsum(sizes), gaps, "right")
-                    plain = np.bincount(of, own.bits.ravel()[codes(texts)[0][gaps] + number[of] * ALPHABET**3], len(texts)).astype(float)
+                    owner = np.repeat(np.arange(len(texts)), sizes)
+                    each = own.bits.ravel()[codes(texts)[0] + number[owner] * ALPHABET**3]
+                    shapes.append(np.bincount(owner, each, len(texts)).astype(float))
+                    plain = np.bincount(of, each[gaps], len(texts)).astype(float)
                     plain += np.bincount(text, own.spelled(s, at, length, number[text]) + spare[text], len(texts)).astype(float)
                     keys = {x: language_key(x) for x in set(names)}
                     word = word ^ np.array([keys[x] for x in names], np.uint64)[text]
@@ -346,7 +350,7 @@ def _wanted(docs: DataFrame, model: Model, turn: int, shards: int, hot: tuple[np
                 packed = [_pack(np.diff(word[a:b], prepend=np.uint64(0)), text[a:b].astype("<u2"), k[a:b].astype("<i4")) for a, b in pairwise([*new, len(word)])]
                 name, n = (turn << 52) + (task << 26) + seen, len(new) + 1
                 seen += 1
-                listed = [pa.ListArray.from_arrays(pa.array([0] + [part.num_rows] * n, pa.int32()), x) for x in (part.column(id_col), part.column("_tie"), part.column(lang_col), part.column("_trusted"), pa.array(np.concatenate(bits)), pa.array(np.concatenate(lengths)))]
+                listed = [pa.ListArray.from_arrays(pa.array([0] + [part.num_rows] * n, pa.int32()), x) for x in (part.column(id_col), part.column("_tie"), part.column(lang_col), part.column("_trusted"), pa.array(np.concatenate(bits)), pa.array(np.concatenate(lengths)), pa.array(np.concatenate(shapes)))]
                 columns = [pa.array(np.r_[name % shards, shard[new]].astype(np.int32)), pa.array(np.full(n, name)), *(pa.nulls(n, x) for x in (pa.int64(), pa.int64(), pa.float32(), pa.int32())), pa.array([None, *packed], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, *listed], ["shard", "batch", "word", "n", "spelled", "of", "packed", *LISTS])
 
@@ -359,7 +363,7 @@ def _table(weights: dict[str, tuple[float, list[float], float]]) -> np.ndarray:
 
 
 def _entropies(wanted: DataFrame, counts: DataFrame, shards: int, weights: dict[str, tuple[float, list[float], float]], id_col: str, lang_col: str) -> DataFrame:
-    """(id, lang, _tie, _trusted, symbols, entropy) of the documents of _wanted's rows: bits a symbol, 0 for an empty text."""
+    """(id, lang, _tie, _trusted, symbols, entropy, shape) of the documents of _wanted's rows: bits a symbol, by words and by trigrams of symbols alone, 0 for an empty text."""
     kind = dict(wanted.dtypes)["ids"][6:-1]
     number = F.array_position(F.array(*map(F.lit, sorted(weights))), F.col("lang")) - 1 if weights else F.lit(0)
     rest = F.conv(F.hex("word"), 16, 10).cast("decimal(20,0)") % shards  # the hash is unsigned
@@ -397,20 +401,20 @@ def _entropies(wanted: DataFrame, counts: DataFrame, shards: int, weights: dict[
 
     def run(rows: pa.Table) -> pa.Table:
         one = rows.filter(rows.column("packed").is_null())
-        ids, ties, langs, trusted, bits, sizes = (one.column(c).combine_chunks().flatten() for c in LISTS)
+        ids, ties, langs, trusted, bits, sizes, shapes = (one.column(c).combine_chunks().flatten() for c in LISTS)
         bits, sizes = bits.to_numpy().copy(), sizes.to_numpy()
         for data in rows.column("packed").to_pylist():
             if data:
                 of, less = _unpack(data, "<u2", "<f4")
                 bits[of] -= less
-        entropy = np.divide(bits, sizes, out=np.zeros(len(bits)), where=sizes > 0)
-        return pa.table([ids, langs, ties, trusted, pa.array(sizes), pa.array(entropy)], names=[id_col, lang_col, "_tie", "_trusted", "symbols", "entropy"])
+        entropy, shape = (np.divide(x, sizes, out=np.zeros(len(bits)), where=sizes > 0) for x in (bits, shapes.to_numpy()))
+        return pa.table([ids, langs, ties, trusted, pa.array(sizes), pa.array(entropy), pa.array(shape)], names=[id_col, lang_col, "_tie", "_trusted", "symbols", "entropy", "shape"])
 
     sent = F.col("packed").isNotNull()
     lists = [F.when(~sent, F.col(c)).alias(c) for c in LISTS]  # these are in one row of a batch alone
     both = wanted.select("shard", "batch", "word", "n", "spelled", "of", "packed", *lists).unionByName(own, allowMissingColumns=True)
     met = both.repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(answered, "batch bigint, packed binary" + _schema(kind).split("packed binary")[1])
-    return met.filter("packed IS NULL OR length(packed) > 0").groupBy("batch").applyInArrow(run, f"{id_col} {kind}, {lang_col} string, _tie bigint, _trusted boolean, symbols bigint, entropy double")
+    return met.filter("packed IS NULL OR length(packed) > 0").groupBy("batch").applyInArrow(run, f"{id_col} {kind}, {lang_col} string, _tie bigint, _trusted boolean, symbols bigint, entropy double, shape double")
 
 
 def length_class(length: Column) -> Column:
@@ -470,10 +474,10 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     own = F.when(F.col(lang_col).isin(langs), F.col(lang_col)).otherwise(F.lit(POOL)) if langs else F.lit(POOL)
     seen = seen.withColumns({"_lang": own, "_class": length_class(F.col("symbols"))})
     grades = seen.filter("_trusted AND symbols > 0").withColumn("_lang", F.explode(F.array_distinct(F.array("_lang", F.lit(POOL))))).withColumn("_class", F.explode(F.array("_class", F.lit(-1))))
-    limits = grades.groupBy("_lang", "_class").agg(F.count("*").alias("n"), F.percentile_approx("entropy", F.array(F.lit(LOWER), F.lit(UPPER)), 10_000).alias("q")).filter((F.col("n") >= LEAST_TRUSTED) | ((F.col("_class") == -1) & (F.col("_lang") == POOL))).collect()  # a few rows a language
-    held = {(r["_lang"], r["_class"]): (r["q"][0] - MARGIN, r["q"][1] + MARGIN) for r in limits}
-    bounds = docs.sparkSession.createDataFrame([(x, c, *next((held[k] for k in ((x, c), (POOL, c), (x, -1), (POOL, -1)) if k in held), (-math.inf, math.inf))) for x in [POOL, *langs] for c in range(3, 17)], "_lang string, _class int, low double, high double")
-    good = (F.col("symbols") > 0) & (F.col("entropy") <= F.col("high")) & (F.col("entropy") >= F.col("low"))
+    limits = grades.groupBy("_lang", "_class").agg(F.count("*").alias("n"), *(F.percentile_approx(x, F.array(F.lit(LOWER), F.lit(UPPER)), 10_000).alias(x) for x in ("entropy", "shape"))).filter((F.col("n") >= LEAST_TRUSTED) | ((F.col("_class") == -1) & (F.col("_lang") == POOL))).collect()  # a few rows a language
+    held = {(r["_lang"], r["_class"]): tuple(b for x in ("entropy", "shape") for b in (r[x][0] - MARGIN, r[x][1] + MARGIN)) for r in limits}
+    bounds = docs.sparkSession.createDataFrame([(x, c, *next((held[k] for k in ((x, c), (POOL, c), (x, -1), (POOL, -1)) if k in held), (-math.inf, math.inf) * 2)) for x in [POOL, *langs] for c in range(3, 17)], "_lang string, _class int, low double, high double, flat double, steep double")
+    good = (F.col("symbols") > 0) & F.col("entropy").between(F.col("low"), F.col("high")) & F.col("shape").between(F.col("flat"), F.col("steep"))
     judged = seen.join(F.broadcast(bounds), ["_lang", "_class"]).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_of"), F.col("_tie").alias("_same"), "entropy", good.alias("_accepted"))  # a few rows a language
     once = judged.dropDuplicates(["_id", "_of", "_same"])  # repeated rows have equal results
     tied = docs.withColumn("_tie", F.xxhash64(text_col))
