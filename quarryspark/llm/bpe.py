@@ -6,7 +6,9 @@ gives the state before every code point, block by block and without a loop over
 whether a piece begins there. Pieces are cut from the text and go through a bounded cache of merged pairs; ids are
 gathered by array operations, and each id's byte offset is kept, so that decoding is a gather, too.
 
-Null texts count as empty; an empty text has no ids. Equal texts have equal ids.
+Null texts count as empty; an empty text has no ids. Equal texts have equal ids, and each of several rows under one id is a row of
+the result. A very long text is a step of its own, encoded whole. Columns but id and text are neither read nor kept, so further ones may
+have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ bytes near a boundary decide on it, so that an insertion moves no later boundary
 the first one's.
 
 Null texts count as empty. An empty text has an empty fingerprint: likeness 1 to an empty one, 0 to any other, and any
-other's likeness to it is 0. Equal texts have equal fingerprints. Of rows with one id the order is that of a hash of the text.
+other's likeness to it is 0. Equal texts have equal fingerprints. Of rows with one id the order is that of a hash of the text,
+and repeated rows are each a row of the result. A very long text is cut whole, in a step of its own. Columns but id and text are neither
+read nor kept, so further ones may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     examples = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
-    held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out")  # no id: not held out
     return toxicity.score(docs, examples).select("doc_id", held_out, "score", "predicted", "evidence")
 
 
@@ -51,7 +51,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # no id: not held out
     codes = langid.fit(docs.filter(~held_out))
     return langid.predict(docs.select("doc_id", "text"), codes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 

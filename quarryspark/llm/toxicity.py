@@ -299,5 +299,5 @@ def accepted(docs: DataFrame, examples: Examples, threshold: float = 0.7, id_col
 
 
 def learnable(labels: DataFrame, remainder: int = 1, of: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """Labels of rows that are not held out."""
-    return labels.filter(F.crc32(F.col(id_col).cast("string").cast("binary")) % of != remainder)
+    """Labels of rows that are not held out; one without an id is not, though it is no document's."""
+    return labels.filter(F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % of != remainder, F.lit(True)))

@@ -777,3 +777,58 @@ def test_pipeline(spark):
         docs = kept
     pieces = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def families(rnd, kinds, copies, edits, words=120):
+    """Texts of several families: copies of a text with some words replaced."""
+    out = []
+    for k in range(kinds):
+        base = [f"k{k}w{rnd.randrange(10**6)}" for _ in range(words)]
+        for _ in range(copies):
+            own = list(base)
+            for _ in range(rnd.randrange(edits + 1)):
+                own[rnd.randrange(words)] = f"x{rnd.randrange(10**9)}"
+            out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("small", "block"), [(12, 512), (3, 16)])
+def test_families_and_crowds_equal_brute_force(spark, monkeypatch, small, block):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "FAMILY_TEXTS", block)
+    monkeypatch.setattr(simhash, "PRODUCT_SHINGLES", 64)
+    rnd = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(220))
+    held = families(rnd, 3, 40, 5) + [f"{' '.join(f'u{rnd.randrange(10**8)}' for _ in range(rnd.randrange(20, 90)))} {passage}" for _ in range(250)]
+    held += ["one two three four five six", "one two three four five six seven", "", "a"]
+    rows = list(enumerate(held))
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in held]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    found = dict(simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 0.8).collect())
+    assert found == {i: find(i) for i in range(len(rows))}
+
+
+def test_like_sets_equal_brute_force():
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(2**62), 2**62, 60)
+    make = lambda k: [np.unique(np.concatenate([rng.choice(base, rng.integers(0, 60), replace=False), rng.integers(-9, 9, rng.integers(0, 4))])) for _ in range(k)]
+    a, b = make(20), make(30)
+    got = simhash.like((np.array([len(x) for x in a]), np.concatenate(a)), (np.array([len(x) for x in b]), np.concatenate(b)), 0.5)
+    assert got.tolist() == [[len(set(x) & set(y)) >= 0.5 * len(set(x) | set(y)) - 1e-9 and True for y in b] for x in a]
+
+
+def test_quality_of_labelled_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    seen = registry.op5_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").groupBy("quality").agg(F.avg(F.col("accepted").cast("int")).alias("kept")).collect()
+    kept = {r["quality"]: r["kept"] for r in seen}
+    assert kept[1] > 0.99 and kept[0] < 0.2
