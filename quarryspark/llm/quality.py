@@ -449,7 +449,7 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     """docs with entropy and _accepted. Languages are taken MODELS at a time, so the table that a worker holds is bounded."""
     lang = F.col(lang_col).cast("string")
     rows = with_trust(docs.select(id_col, text_col, lang.alias(lang_col), F.xxhash64(text_col).alias("_tie")), labels, id_col)
-    trusted, _ = written(rows.filter("_trusted").select(text_col, lang_col), "trusted")
+    trusted = rows.filter("_trusted").select(text_col, lang_col)  # read twice; a copy of these texts would take more disk than the counts
     tri, _ = written(count_trigrams(trusted, text_col, lang_col), "trigrams")
     langs = sorted(r["lang"] for r in tri.select("lang").distinct().collect() if r["lang"] != POOL)  # names alone
     parts = [langs[at : at + MODELS] for at in range(0, len(langs), MODELS)] or [[]]
