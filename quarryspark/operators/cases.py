@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.query import Tier, Vocabulary, metadata_variants, tiers
 from ..plans.register import operator
+from ..sources.shipping import materialised
 from ..sources.tables import JUDGEMENTS, judgements, lines
 from .search import CANON, distinct, needle, phrases_of, sat, snippet, tier_phrases
 from .textindex import Phrase, TextIndex, built
@@ -43,6 +44,17 @@ def passages(spark: SparkSession, sf: str) -> TextIndex:
     return built(spark, sf, "passages", docs)
 
 
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
+def case_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The judgements as a stored table, written at first use in this application: a search reads it several times."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _kept:
+        _kept[key] = materialised(judgements(spark, sf), "cases")
+    return _kept[key]
+
+
 def metadata_hits(cases: DataFrame, variants: list[str]) -> DataFrame:
     """(case_no, shown): cases with a row that contains one of the strings in a field; shown are the parties of the newest row of the first string."""
     whole = F.concat_ws(" ", *FIELDS)
@@ -219,7 +231,7 @@ BOTH = "onan anat"
 @operator(_hits_sql(BOTH, Vocabulary()) + SHOW.replace("SELECT", " SELECT", 1))
 def r1_case_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Every case that a query of two words finds, with tier, score, hits and page."""
-    cases = judgements(spark, sf)
+    cases = case_table(spark, sf)
     found = ranked(dated(case_hits(cases, passages(spark, sf), BOTH), cases), 1 << 30)
     return found.select("case_no", "date", "tier", F.round("score", 6).alias("score"), "hits", "page")
 
@@ -227,7 +239,7 @@ def r1_case_hits(spark: SparkSession, sf: str) -> DataFrame:
 @operator(_hits_sql("onan", VOCABULARY) + SHOW.replace("SELECT", " SELECT", 1) + " LIMIT 60")
 def r2_case_search(spark: SparkSession, sf: str) -> DataFrame:
     """The sixty best cases for an acronym: those whose metadata have an expansion first, then by passages."""
-    return keyword_search(judgements(spark, sf), passages(spark, sf), "onan", VOCABULARY).select("case_no", "date", "tier", "score", "hits", "page")
+    return keyword_search(case_table(spark, sf), passages(spark, sf), "onan", VOCABULARY).select("case_no", "date", "tier", "score", "hits", "page")
 
 
 AREA = (["SC/APPEAL/1"], ["of the", "anat onan"])
@@ -238,11 +250,11 @@ L = "l AS (SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10)))
 @operator(f"WITH {JUDGEMENTS}, {L}, {AREA_SQL}, b AS (SELECT case_no, min(source) AS source, arg_min(id, source) AS id FROM a GROUP BY case_no) SELECT case_no, date, source, CAST(CASE WHEN source = 1 THEN id % 16777216 END AS INTEGER) AS page FROM b JOIN (SELECT case_no, max(date) AS date FROM j GROUP BY case_no) USING (case_no) ORDER BY date DESC, case_no LIMIT 120")
 def r5_area_by_text(spark: SparkSession, sf: str) -> DataFrame:
     """The newest cases of an area, by number and by the terms of their texts."""
-    return area_search(judgements(spark, sf), passages(spark, sf), *AREA)
+    return area_search(case_table(spark, sf), passages(spark, sf), *AREA)
 
 
 @operator(_hits_sql("onan", VOCABULARY) + f", x AS ({AREA_SQL.partition(', a AS (')[2][:-1]}), who AS (SELECT DISTINCT case_no FROM (SELECT case_no, judges, unnest(string_split(judges, '; ')) AS display FROM j) WHERE {CANON.format(c='display')} IN ('building', 'nation3') OR contains(lower(judges), 'furniture')), period AS (SELECT DISTINCT case_no FROM j WHERE date LIKE '1996%' OR (NOT regexp_matches(date, '^[0-9]{{4}}') AND CAST(list_max(list_filter(list_transform(regexp_extract_all(case_no, '((?:19|20)[0-9]{{2}})', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1950 AND 2027)) AS VARCHAR) = '1996')), shown AS (SELECT case_no, max(date) AS date, arg_max(parties[1:110], (date, filename)) AS parties FROM j GROUP BY case_no) SELECT case_no, date, parties, CAST(tier AS INTEGER) AS tier, round(score, 6) AS score, hits, page FROM claims JOIN shown USING (case_no) WHERE case_no IN (SELECT case_no FROM x) AND case_no IN (FROM who) AND case_no IN (FROM period) ORDER BY tier, round(score, 6) DESC, {DATE_KEY} DESC, case_no LIMIT 200")
 def r8_faceted_search(spark: SparkSession, sf: str) -> DataFrame:
     """Cases that meet a judge, an area, a year and a query, in the order of the query."""
-    found = faceted_search(judgements(spark, sf), passages(spark, sf), judges=(["building", "nation3"], ["furniture"]), area=AREA, year="1996", query="onan", vocabulary=VOCABULARY)
+    found = faceted_search(case_table(spark, sf), passages(spark, sf), judges=(["building", "nation3"], ["furniture"]), area=AREA, year="1996", query="onan", vocabulary=VOCABULARY)
     return found.select("case_no", "date", "parties", "tier", "score", "hits", "page")
