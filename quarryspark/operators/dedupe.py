@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.register import operator
-from ..sources.shipping import materialised
+from ..sources.library import Library
+from ..sources.shipping import fresh_path, materialised
 from ..sources.tables import JUDGEMENTS, is_empty, judgements, table
 
 #: Characters of normalised text that are compared, the least that can be, and the ratio that makes texts the same.
@@ -152,6 +154,38 @@ def d7_merge_log(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("case_no", "filename").join(k, "case_no").filter("filename <> k.filename").select("filename", F.col("k.filename").alias("keeper"), F.when(F.col("k.n_chunks") > 0, "drop chunks").otherwise("repoint chunks").alias("action"))
 
 
+def _move_sql(name: str, own: str, also: str = "") -> str:
+    """What becomes of the case numbers of a child table in a merge: new is null where the rows go."""
+    free = f"keeper_no NOT IN (SELECT case_no FROM {own}){also}"
+    moved = f"{name} AS (SELECT case_no, CASE WHEN {free} AND row_number() OVER (PARTITION BY keeper_no ORDER BY dropped) = 1 THEN keeper_no END AS new FROM m WHERE case_no IN (SELECT case_no FROM {own}))"
+    return moved
+
+
+MERGE_SQL = (
+    f"{J}, c AS (SELECT case_no, doc_id FROM documents JOIN j ON seq = doc_id), b AS (SELECT case_no, unnest(string_split(judges, '; ')) AS display FROM j),"
+    " p AS (SELECT d.filename AS dropped, d.case_no, k.case_no AS keeper_no, k.n_chunks AS keeper_chunks FROM j d JOIN j k ON k.seq = d.seq - 1 WHERE d.seq % 5 = 1),"
+    " l AS (SELECT * FROM j WHERE filename NOT IN (SELECT dropped FROM p)),"
+    " m AS (SELECT case_no, arg_min(keeper_no, dropped) AS keeper_no, arg_min(keeper_chunks, dropped) AS keeper_chunks, min(dropped) AS dropped FROM p WHERE case_no NOT IN (SELECT case_no FROM l) GROUP BY case_no),"
+    f" {_move_sql('cm', 'c', ' AND keeper_chunks <= 0')}, {_move_sql('bm', 'b')}"
+    " SELECT 'judgements' AS part, case_no, count(*) AS n FROM l GROUP BY case_no UNION ALL SELECT 'log', case_no, count(*) FROM p GROUP BY case_no"
+    " UNION ALL SELECT 'chunks', coalesce(new, c.case_no), count(*) FROM c LEFT JOIN cm ON cm.case_no = c.case_no WHERE cm.case_no IS NULL OR new IS NOT NULL GROUP BY ALL"
+    " UNION ALL SELECT 'benches', coalesce(new, b.case_no), count(*) FROM b LEFT JOIN bm ON bm.case_no = b.case_no WHERE bm.case_no IS NULL OR new IS NOT NULL GROUP BY ALL"
+)
+
+
+@operator(MERGE_SQL)
+def d7_merged_library(spark: SparkSession, sf: str) -> DataFrame:
+    """A library of cases, passages and benches in which a fifth of the documents is merged into others: rows of each table by case."""
+    j = judgements(spark, sf)
+    library = Library(spark, fresh_path(spark, "library"))
+    passages = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "doc_id").join(j.select("seq", "case_no"), "seq").select("case_no", "doc_id")
+    library.change({"judgements": j.select("filename", "case_no", "n_chunks"), "chunks": passages, "benches": j.select("case_no", F.explode(F.split("judges", "; ")).alias("display"))})
+    keeper = F.concat(F.lit("case_"), (F.col("seq") - 1).cast("string"), F.lit(".pdf"))
+    library.merge(j.filter("seq % 5 = 1").select(F.col("filename").alias("dropped"), keeper.alias("keeper")))
+    parts = [library.table(n).groupBy("case_no").count().select(F.lit(n).alias("part"), "case_no", F.col("count").alias("n")) for n in ("judgements", "chunks", "benches", "log")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @operator("SELECT doc_id FROM documents d WHERE doc_id <> (SELECT min(doc_id) FROM documents e WHERE e.text = d.text) AND source NOT IN (SELECT source FROM documents WHERE lang = 'xx')")
 def d8_dropped_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of rows that went, but for those of surviving names."""
