@@ -2,8 +2,8 @@
 
 A segment's postings have a row for each term and block of documents (an Arrow batch of the scan): document numbers, lengths, frequencies
 and positions as arrays, and the block's greatest frequency and least length, which bound what a document of it can score.
-Blocks are inverted in the scan's tasks, so what is shuffled is one row a term and block; rows are dealt by bucket and a salt of the block, so that a word that all
-documents have is no hot group. Buckets are hashes of a term's first letters, so words and prefixes of PREFIX letters or more read one
+Blocks are inverted in the scan's tasks, so what is shuffled is one packed row a term and block; rows are rebalanced by bucket: adaptive execution splits a large
+bucket into as many tasks as its bytes ask for, so that neither a word that all documents have nor a larger input makes a hot task. Buckets are hashes of a term's first letters, so words and prefixes of PREFIX letters or more read one
 folder; rows are sorted by term, so the scan skips row groups. Parquet's second version packs the arrays' numbers as differences.
 
 A change writes a segment or a table of tombstones and then a new manifest: documents are replaced by owner (a case), and a tombstone hides
@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +28,15 @@ from ..sources.shipping import fresh_path
 from ..sources.versions import Versions
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
-#: Letters that decide a term's bucket, buckets, and parts that a bucket's rows are dealt over.
-PREFIX, BUCKETS, SALT = 3, 64, 4
+#: Letters that decide a term's bucket, and buckets.
+PREFIX, BUCKETS = 3, 64
 #: Rows that are broadcast at most.
 BROADCAST_ROWS = 500_000
 #: Blocks that a ranked search looks at first.
 FIRST_BLOCKS = 16
 
-#: How rows cross the shuffle: all positions of a row in one array, and where those of each document begin; a third of the bytes of nested arrays.
-SENT = "term string, block bigint, docs array<bigint>, lens array<int>, freqs array<int>, starts array<int>, flat array<int>, n int, max_freq int, min_len int"
+#: How rows cross the shuffle: all numbers of a row packed (see _packed), a fraction of the bytes of arrays.
+SENT = "term string, block bigint, n int, max_freq int, min_len int, packed binary"
 POSTINGS = "term string, block bigint, docs array<bigint>, lens array<int>, freqs array<int>, positions array<array<int>>, n int, max_freq int, min_len int"
 
 
@@ -55,12 +56,76 @@ class Phrase:
         return [(w, self.star and i == len(self.words) - 1) for i, w in enumerate(self.words)]
 
 
-def _lists(offsets: np.ndarray, values) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+#: What stands for a null id among packed numbers, and packed bytes that are unpacked together.
+NO_ID, UNPACK = np.iinfo(np.int64).min, 4 << 20
+
+
+def _lists(counts: np.ndarray, values) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... anew for each count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Differences to the value before; where a run begins, the value itself."""
+    out = np.diff(values, prepend=values[:1])
+    out[first] = values[first]
+    return out
+
+
+def _summed(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values of _steps, from the lengths of the runs (none is empty)."""
+    total, first = np.cumsum(steps), np.cumsum(counts) - counts
+    return total - np.repeat(total[first] - steps[first], counts)
+
+
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bytes a value): seven bits a byte, the least first; all but a value's last byte are marked."""
+    values = values.astype(np.uint64)
+    sizes = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        sizes += values >= np.uint64(1 << 7 * k)
+    out, begin = np.empty(sizes.sum(), np.uint8), np.cumsum(sizes) - sizes
+    for k in range(sizes.max(initial=0)):
+        some = np.flatnonzero(sizes > k)
+        low = (values[some] >> np.uint64(7 * k)).astype(np.uint8) & 127
+        out[begin[some] + k] = low | np.where(sizes[some] > k + 1, 128, 0).astype(np.uint8)
+    return out, sizes
+
+
+def _values(data: np.ndarray) -> np.ndarray:
+    """The values of _varints' bytes."""
+    ends = np.flatnonzero(data < 128)
+    sizes = np.diff(ends, prepend=-1)
+    shifted = (data & 127).astype(np.uint64) << (7 * _within(sizes)).astype(np.uint64)
+    return np.add.reduceat(shifted, ends + 1 - sizes)
+
+
+def _packed(docs: np.ndarray, ids: np.ndarray, lens: np.ndarray, freqs: np.ndarray, steps: np.ndarray) -> pa.BinaryArray:
+    """A row's numbers as bytes: steps between its ids (with their sign in the lowest bit), lengths, frequencies, steps between positions.
+
+    docs: documents of each row; ids to freqs: a value a document; steps: those of each document's positions.
+    """
+    first = np.cumsum(docs) - docs
+    places = np.add.reduceat(freqs, first)
+    counts = 3 * docs + places
+    base, n, at = np.cumsum(counts) - counts, np.repeat(docs, docs), _within(docs)
+    values = np.empty(counts.sum(), np.uint64)
+    step = _steps(ids, first)
+    own = np.repeat(base, docs) + at
+    values[own] = ((step << 1) ^ (step >> 63)).view(np.uint64)
+    values[own + n], values[own + 2 * n] = lens, freqs
+    values[np.repeat(base + 3 * docs, places) + _within(places)] = steps
+    data, sizes = _varints(values)
+    offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(sizes, base))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting rows of each batch (id, tokens)."""
+    """Posting rows of each batch (id, tokens), packed."""
     part = TaskContext.get().partitionId() << 32
     for number, batch in enumerate(batches):
         tokens = batch.column("tokens")
@@ -70,23 +135,41 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(codes):
             continue
         doc = np.repeat(np.arange(len(lens)), lens)
-        pos = np.arange(len(codes)) - np.repeat(np.cumsum(lens) - lens, lens)
+        pos = _within(lens)
         order = np.argsort(codes, kind="stable")  # by term, then document, then position
         codes, doc, pos = codes[order], doc[order], pos[order]
         new = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])]))
         freq, code, own = np.diff(np.append(new, len(codes))), codes[new], doc[new]
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        rows = np.append(first, len(code))
-        size = np.maximum(lens, 1)[own]
-        ids = batch.column("id").take(pa.array(own))
-        begins = new - np.repeat(new[first], np.diff(rows))
-        flat = _lists(np.append(new, len(codes))[rows], pa.array(pos.astype(np.int32)))
+        docs, size = np.diff(np.append(first, len(code))), lens[own]
+        ids = batch.column("id").fill_null(NO_ID).to_numpy()[own]
         yield pa.RecordBatch.from_arrays(
-            [coded.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), part + number)), _lists(rows, ids), _lists(rows, pa.array(size.astype(np.int32))), _lists(rows, pa.array(freq.astype(np.int32))), _lists(rows, pa.array(begins.astype(np.int32))), flat, pa.array(np.diff(rows).astype(np.int32)), pa.array(np.maximum.reduceat(freq, first).astype(np.int32)), pa.array(np.minimum.reduceat(size, first).astype(np.int32))],
+            [coded.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), part + number)), pa.array(docs.astype(np.int32)), pa.array(np.maximum.reduceat(freq, first).astype(np.int32)), pa.array(np.minimum.reduceat(size, first).astype(np.int32)), _packed(docs, ids, size, freq, _steps(pos, new))],
             [c.split(" ")[0] for c in SENT.split(", ")],
         )
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of SENT and their bucket as rows of POSTINGS and their bucket, some bytes at a time."""
+    for whole in batches:
+        bounds = np.concatenate([[0], np.cumsum(pc.binary_length(whole.column("packed")).to_numpy())])
+        cuts = np.unique([*np.searchsorted(bounds, np.arange(0, bounds[-1], UNPACK)), len(whole)]).tolist()
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = whole.slice(begin, end - begin)
+            data = np.frombuffer(b"".join(rows.column("packed").to_pylist()), np.uint8)
+            docs, values = rows.column("n").to_numpy().astype(np.int64), _values(data)
+            rest = np.add.accumulate(data < 128)[bounds[begin + 1 : end + 1] - bounds[begin] - 1]  # values up to each row's end
+            base = np.concatenate([[0], rest[:-1]])
+            own, n = np.repeat(base, docs) + _within(docs), np.repeat(docs, docs)
+            step, lens, freqs = values[own], values[own + n].astype(np.int32), values[own + 2 * n].astype(np.int64)
+            ids = _summed((step >> np.uint64(1)).view(np.int64) ^ -(step & np.uint64(1)).view(np.int64), docs)
+            places = rest - base - 3 * docs
+            flat = _summed(values[np.repeat(base + 3 * docs, places) + _within(places)].astype(np.int64), freqs)
+            held = {"docs": _lists(docs, pa.array(ids, mask=ids == NO_ID)), "lens": _lists(docs, pa.array(lens)), "freqs": _lists(docs, pa.array(freqs.astype(np.int32))), "positions": _lists(docs, _lists(freqs, pa.array(flat.astype(np.int32))))}
+            names = [*(c.split(" ")[0] for c in POSTINGS.split(", ")), "bucket"]
+            yield pa.RecordBatch.from_arrays([held[c] if c in held else rows.column(c) for c in names], names)
+
+
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(F.left(term, F.lit(PREFIX))), F.lit(BUCKETS)).cast("int")
 
@@ -112,9 +195,8 @@ class TextIndex:
         path = self.versions.fresh("segment")
         kept = docs.select(F.col("id").cast("bigint").alias("id"), F.col("owner").cast("string").alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
         rows = kept.select("id", T.tokens(F.col("text")).alias("tokens")).mapInArrow(_inverted, SENT).withColumn("bucket", bucket(F.col("term")))
-        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SALT))).sortWithinPartitions("bucket", "term", "block")
-        nested = F.transform(F.arrays_zip("starts", "freqs"), lambda p: F.slice("flat", p["starts"] + 1, p["freqs"])).alias("positions")
-        stored = dealt.select("bucket", *(nested if c == "positions" else c for c in (x.split(" ")[0] for x in POSTINGS.split(", "))))
+        dealt = rows.hint("rebalance", "bucket").mapInArrow(_unpacked, POSTINGS + ", bucket int")
+        stored = dealt.sortWithinPartitions("bucket", "term", "block")
         stored.write.partitionBy("bucket").option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
         told = kept.select("id", "owner", F.greatest(F.lit(1), F.size(T.tokens(F.col("text")))).alias("len"), "text")
         told.write.option("compression", "zstd").parquet(f"{path}/docs")

@@ -5,6 +5,8 @@ import random
 import re
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,28 @@ def test_empty_index(spark):
     assert index.statistics() == (0, 0)
 
 
+def test_packed_rows_come_back(monkeypatch):
+    rng = random.Random(5)
+    for unpack in (1, 40, 1 << 20):
+        monkeypatch.setattr(textindex, "UNPACK", unpack)
+        rows = []
+        for _ in range(60):
+            n = rng.choice((1, 1, 2, 9))
+            ids = [rng.choice((rng.getrandbits(63), -rng.getrandbits(63), rng.randrange(300), textindex.NO_ID)) for _ in range(n)]
+            at = [sorted(rng.sample(range(rng.choice((9, 70_000))), rng.randint(1, 7))) for _ in ids]
+            rows.append((ids, [rng.randrange(1, 1 << 31) for _ in ids], [len(a) for a in at], at))
+        flat = lambda k: np.array([x for r in rows for x in r[k]])
+        steps = np.array([x - y for r in rows for a in r[3] for x, y in zip(a, [0, *a], strict=False)])
+        docs = np.array([len(r[0]) for r in rows])
+        packed = textindex._packed(docs, flat(0), flat(1), flat(2), steps)
+        same = pa.array(docs.astype(np.int32))
+        sent = pa.RecordBatch.from_arrays([pa.array(["t"] * len(rows)), pa.array(range(len(rows))), same, same, same, packed, same], ["term", "block", "n", "max_freq", "min_len", "packed", "bucket"])
+        back = [r for b in textindex._unpacked(iter([sent])) for r in b.to_pylist()]
+        assert [r["block"] for r in back] == list(range(len(rows)))
+        assert [(r["docs"], r["lens"], r["freqs"], r["positions"]) for r in back] == [([None if i == textindex.NO_ID else i for i in a], b, c, d) for a, b, c, d in rows]
+    assert not list(textindex._unpacked(iter([sent.slice(0, 0)])))
+
+
 def test_searches_read_their_buckets_alone(spark):
     for name in ("f2_phrase_and_prefix", "f3_boolean_groups", "f4_bm25", "f8_matching_cases", "r2_keyword_search"):
         text = plan(catalog.queries()[name](spark, SF))
