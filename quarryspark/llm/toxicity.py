@@ -12,7 +12,7 @@ neighbours, with the labels' shares among all labelled rows.
 A label that is null or missing teaches nothing; an id with two labels is toxic, and one with several texts gives one example, the
 text that sorts first. A very long text is worked on whole, in a batch of its own. An empty table gives an empty result. Texts without a chosen term, null and empty ones among them, get the share
 of toxic examples of that kind. Without examples of both labels every score is the share of toxic ones (0 if none are known).
-Repeated rows get equal scores; of equal cosines the example with the smaller id comes first.
+Repeated rows get equal scores. All examples whose cosine equals the last neighbour's vote, so ids decide the order of the evidence alone.
 """
 
 from __future__ import annotations
@@ -119,8 +119,8 @@ class Examples:
         out[np.repeat(np.arange(len(vectors)), sizes), [t for v in vectors for t in v]] = [w for v in vectors for w in v.values()]
         return out
 
-    def nearest(self, queries: list[dict[int, float]], k: int, but: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """For each query the k greatest cosines above zero, as (cosine, example), equal ones by id.
+    def nearest(self, queries: list[dict[int, float]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k greatest cosines above zero and all that equal the k-th, as (cosines, examples); equal ones by id.
 
         The blocks of the best bounds give each query a k-th cosine; after them only blocks whose bound reaches it are scanned.
         """
@@ -128,7 +128,7 @@ class Examples:
         bound, n, blocks = dense @ self.most, len(queries), len(self.members)
         scores = np.zeros((n, len(self.ids)))
         if not blocks:
-            return [[] for _ in queries]
+            return [(np.empty(0), np.empty(0, np.int64)) for _ in queries]
 
         def scan(wanted: np.ndarray) -> None:
             for b in np.flatnonzero(wanted.any(0)).tolist():
@@ -147,13 +147,12 @@ class Examples:
         out = []
         for row, least in zip(scores, floor, strict=True):
             found = np.flatnonzero((row >= least) & (row > 0))
-            found = found[np.argsort(-row[found], kind="stable")[:k]]
-            out.append(list(zip(row[found].tolist(), found.tolist(), strict=True)))
+            found = found[np.argsort(-row[found], kind="stable")]
+            out.append((row[found], found))
         return out
 
-    def votes(self, found: list[tuple[float, int]]) -> float:
+    def votes(self, score: np.ndarray, at: np.ndarray) -> float:
         """The toxic share of the neighbours' weights."""
-        score, at = np.array([s for s, _ in found]), [i for _, i in found]
         weight = self.class_weight[self.labels[at]] / (1.02 - score)
         return float(weight @ self.labels[at] / weight.sum())
 
@@ -163,8 +162,8 @@ class Examples:
         others = [x for at in range(0, len(self.ids), STEP) for x in self.nearest(self.vectors[at : at + STEP], NEIGHBOURS, list(range(at, min(at + STEP, len(self.ids)))))]
         for i, found in enumerate(others):
             weight = self.class_weight[self.labels[i]]
-            if found:
-                points.append((self.votes(found), weight * self.labels[i], weight))
+            if len(found[0]):
+                points.append((self.votes(*found), weight * self.labels[i], weight))
             else:
                 empty[self.labels[i]] += weight
         total = sum(self.class_weight[y] for y in self.labels) or 1.0
@@ -184,7 +183,8 @@ class Examples:
                 pools[-1][1] += y2
                 pools[-1][2] += w2
         self.steps = np.array([p[0] for p in pools])
-        self.values = np.array([(y + soft * prior) / (w + soft) for _, y, w in pools])
+        smooth = np.array([(y + soft * prior) / (w + soft) for _, y, w in pools])
+        self.values = np.maximum.accumulate(smooth) if len(smooth) else smooth  # smoothing moves light pools most, so it could turn two of them round
 
     def score(self, texts: list[dict[int, int]]) -> list[tuple[float, list]]:
         """Score between 0 and 1, and the ids of the nearest examples, of each text's term counts. Equal counts are worked on once."""
@@ -198,11 +198,11 @@ class Examples:
         for at in range(0, len(fresh), STEP):
             part = fresh[at : at + STEP]
             for (key, _), found in zip(part, self.nearest([v for _, v in part], NEIGHBOURS), strict=True):
-                if not found or not len(self.steps):
+                if not len(found[0]) or not len(self.steps):
                     known[key] = self.empty, []
                     continue
-                step = max(0, int(np.searchsorted(self.steps, self.votes(found), "right")) - 1)
-                known[key] = float(np.clip(self.values[step], 0.0, 1.0)), [self.ids[i] for _, i in found[:5]]
+                step = max(0, int(np.searchsorted(self.steps, self.votes(*found), "right")) - 1)
+                known[key] = float(np.clip(self.values[step], 0.0, 1.0)), [self.ids[i] for i in found[1][:5].tolist()]
         return [known[k] for k in keys]
 
 

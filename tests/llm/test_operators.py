@@ -411,7 +411,7 @@ def test_neighbours_votes_and_scores_equal_brute_force():
 
     def brute(q, but=None):
         found = sorted((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), i) for i, v in enumerate(examples.vectors) if i != but)
-        return [(-s, i) for s, i in found[:15] if s < 0]
+        return [(-s, i) for s, i in found if s < 0 and s <= found[14][0]]  # all that equal the last one
 
     def votes(found):
         weight = [(900 / labels.count(0), 100 / labels.count(1))[labels[i]] / (1.02 - s) for s, i in found]
@@ -419,9 +419,10 @@ def test_neighbours_votes_and_scores_equal_brute_force():
 
     for c in counts[:60]:
         q = examples.weights(c)
-        got = examples.nearest([q], 15)[0]
+        found = examples.nearest([q], 15)[0]
+        got = list(zip(*(x.tolist() for x in found), strict=True))
         assert [s for s, _ in got] == pytest.approx([s for s, _ in brute(q)], abs=1e-9)
-        assert examples.votes(got) == pytest.approx(votes(got))
+        assert examples.votes(*found) == pytest.approx(votes(got))
         score, evidence = examples.score([c])[0]
         step = max(0, sum(x <= votes(got) + 1e-12 for x in examples.steps) - 1)
         assert score == pytest.approx(min(1, max(0, examples.values[step]))) and evidence == [i for _, i in got[:5]]
@@ -433,6 +434,20 @@ def test_neighbours_votes_and_scores_equal_brute_force():
     assert 0 <= examples.score([{}])[0][0] <= 1
 
 
+def test_ids_have_no_part_in_a_toxicity_score():
+    rnd = random.Random(9)
+    terms = [toxicity.ALL, *"abc"]
+    counts = [{0: rnd.randint(2, 3)} | {t: 1 for t in rnd.sample((1, 2, 3), rnd.randint(0, 2))} for _ in range(200)]  # many equal cosines
+    labels = [int(1 in c and rnd.random() < 0.7) for c in counts]
+    scores = []
+    for _ in range(4):
+        ids = list(range(200))
+        rnd.shuffle(ids)
+        examples = toxicity.Examples(terms, np.array([1.0, 2.0, 2.5, 3.0]), ids, labels, counts, (900, 100))
+        scores.append([s for s, _ in examples.score(counts)])
+    assert all(s == pytest.approx(scores[0], abs=1e-9) for s in scores)
+
+
 def test_toxicity_of_other_ids_and_clashing_labels(spark, docs):
     df = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).withColumn("score", F.lit("mine"))
     labels = table(spark, SF, "labels").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
