@@ -56,8 +56,8 @@ class Phrase:
         return [(w, self.star and i == len(self.words) - 1) for i, w in enumerate(self.words)]
 
 
-#: What stands for a null id among packed numbers, and packed bytes that are unpacked together.
-NO_ID, UNPACK = np.iinfo(np.int64).min, 4 << 20
+#: What stands for a null id among packed numbers; numbers that are packed together, and packed bytes that are unpacked together.
+NO_ID, PACK, UNPACK = np.iinfo(np.int64).min, 1 << 20, 1 << 20
 
 
 def _lists(counts: np.ndarray, values) -> pa.ListArray:
@@ -125,7 +125,7 @@ def _packed(docs: np.ndarray, ids: np.ndarray, lens: np.ndarray, freqs: np.ndarr
 
 
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting rows of each batch (id, tokens), packed."""
+    """Posting rows of each batch (id, tokens), packed some terms at a time."""
     part = TaskContext.get().partitionId() << 32
     for number, batch in enumerate(batches):
         tokens = batch.column("tokens")
@@ -141,12 +141,18 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])]))
         freq, code, own = np.diff(np.append(new, len(codes))), codes[new], doc[new]
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        docs, size = np.diff(np.append(first, len(code))), lens[own]
-        ids = batch.column("id").fill_null(NO_ID).to_numpy()[own]
-        yield pa.RecordBatch.from_arrays(
-            [coded.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), part + number)), pa.array(docs.astype(np.int32)), pa.array(np.maximum.reduceat(freq, first).astype(np.int32)), pa.array(np.minimum.reduceat(size, first).astype(np.int32)), _packed(docs, ids, size, freq, _steps(pos, new))],
-            [c.split(" ")[0] for c in SENT.split(", ")],
-        )
+        ids = batch.column("id").fill_null(NO_ID).to_numpy()
+        ends = np.append(first, len(code))  # documents of each term, and their positions
+        places = np.append(new, len(codes))[ends]
+        cuts = np.unique([*np.searchsorted(places + 3 * ends, np.arange(0, places[-1] + 3 * ends[-1], PACK)), len(first)]).tolist()
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            held = slice(ends[i], ends[j])
+            docs, freqs, size, own_first = np.diff(ends[i : j + 1]), freq[held], lens[own[held]], ends[i:j] - ends[i]
+            steps = _steps(pos[places[i] : places[j]], new[held] - places[i])
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(code[first[i:j]])), pa.array(np.full(j - i, part + number)), pa.array(docs.astype(np.int32)), pa.array(np.maximum.reduceat(freqs, own_first).astype(np.int32)), pa.array(np.minimum.reduceat(size, own_first).astype(np.int32)), _packed(docs, ids[own[held]], size, freqs, steps)],
+                [c.split(" ")[0] for c in SENT.split(", ")],
+            )
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -134,6 +134,21 @@ def test_packed_rows_come_back(monkeypatch):
     assert not list(textindex._unpacked(iter([sent.slice(0, 0)])))
 
 
+def test_terms_are_packed_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(textindex, "TaskContext", type("At", (), {"get": staticmethod(lambda: type("Part", (), {"partitionId": lambda self: 3})())}))
+    rng = random.Random(6)
+    texts = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randrange(40))] for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([None if i == 7 else 100 - i for i in range(50)], pa.int64()), pa.array(texts, pa.list_(pa.string()))], ["id", "tokens"])
+    want = {t: [(None if i == 7 else 100 - i, len(x), [k for k, w in enumerate(x) if w == t]) for i, x in enumerate(texts) if t in x] for t in {w for x in texts for w in x}}
+    for pack in (1, 200, 1 << 20):
+        monkeypatch.setattr(textindex, "PACK", pack)
+        sent = [b.append_column("bucket", b.column("n")) for b in textindex._inverted(iter([batch]))]
+        assert (len(sent) > 1) == (pack < 1 << 20)
+        rows = [r for b in textindex._unpacked(iter(sent)) for r in b.to_pylist()]
+        assert {r["term"]: list(zip(r["docs"], r["lens"], r["positions"], strict=True)) for r in rows} == want and len(rows) == len(want)
+        assert all(r["freqs"] == [len(p) for p in r["positions"]] and r["n"] == len(r["docs"]) and r["max_freq"] == max(r["freqs"]) and r["min_len"] == min(r["lens"]) and r["block"] == 3 << 32 for r in rows)
+
+
 def test_searches_read_their_buckets_alone(spark):
     for name in ("f2_phrase_and_prefix", "f3_boolean_groups", "f4_bm25", "f8_matching_cases", "r2_keyword_search"):
         text = plan(catalog.queries()[name](spark, SF))
