@@ -1,14 +1,14 @@
 """Hard negatives of anchors by a two-dimensional block matrix product.
 
 Rows become whole numbers, floor(scale * x), and are dealt into blocks of ROW_BLOCK rows and into chunks of dimensions; so are anchors, in
-blocks of ANCHOR_BLOCK. A task multiplies one chunk of an anchor block with the same chunk of a row block, which gives a partial tile of
-scores; the partial tiles of a pair of blocks meet in a shuffle, are added as 8-byte whole numbers, and the tile is reduced to the
-best few rows of each anchor before anything else leaves the task. A first product meets blocks of the anchor's label and gives the
+blocks of ANCHOR_BLOCK. A task multiplies each chunk of an anchor block with the same chunk of a row block, which gives a partial tile of
+scores; the partial tiles of a pair of blocks are added as 8-byte whole numbers in the task, and the tile is reduced to the
+best few rows of each anchor before anything leaves it. A first product meets blocks of the anchor's label and gives the
 positives; a second meets the other blocks and takes the best rows of each window that a positive opens. Blocks are cut by label
 (CLASSES hash classes of labels), so the two products together are one. No pair is ever a row of a table.
 
-Blocks are numbered by row, so a label or a vector that a third of all rows share is no hot group. Partial tiles travel in 4 bytes
-a score where these hold them. Nothing is sampled, and all rows are candidates.
+Blocks are numbered by row, so a label or a vector that a third of all rows share is no hot group. What is shuffled are blocks, an anchor
+block once for each block that it meets, never tiles. Nothing is sampled, and all rows are candidates.
 
 Rows with a null id, label or vector, or with a null or non-finite component, take no part. Vectors of different lengths don't meet;
 empty ones score 0. Components of a size that 8-byte sums can't hold are multiplied as whole numbers of any size; a score beyond a long is
@@ -76,7 +76,7 @@ def _numbers(q: bytes, rows: int, wide: bool) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, places: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(block, chunk, wide, n, part, ids, labels, carried lists, the places' further columns): the chunks of each block; a block has one length and one width of numbers."""
+    """(block, wide, the places' further columns, n, parts, ids, labels, carried lists): a row a block, parts being its chunks; a block has one length and one width of numbers."""
     more = [c for c in places.columns if c not in ("dims", "wide", "class", "start", "parts")]
     placed = rows.join(F.broadcast(places), ["dims", "wide", "class"])  # at most 2 * CLASSES rows a length
     placed = placed.withColumn("block", (F.col("start") + F.pmod(F.xxhash64("_spread"), F.col("parts"))).cast("int"))
@@ -84,65 +84,39 @@ def _blocks(rows: DataFrame, places: DataFrame, carried: tuple[str, ...] = ()) -
     def run(table: pa.Table) -> pa.Table:
         n, dims, wide = table.num_rows, table.column("dims")[0].as_py(), table.column("wide")[0].as_py()
         whole = np.frombuffer(b"".join(table.column("q").to_pylist()), "<f8" if wide else "<i4").reshape(n, dims)
-        cuts = _chunks(dims)
-        told = ("id", "label", *carried)
-        first = {c: pa.array([table.column(c).to_pylist()] + [None] * (len(cuts) - 1), pa.list_(table.schema.field(c).type)) for c in told}
-        same = {c: pa.array([table.column(c)[0].as_py()] * len(cuts), table.schema.field(c).type) for c in ("block", "wide", *more)}
-        return pa.table(same | {"chunk": pa.array(range(len(cuts)), pa.int32()), "n": pa.array([n] * len(cuts), pa.int32()), "part": pa.array([whole[:, a:b].tobytes() for a, b in cuts], pa.binary())} | first).select(names)
+        told = {c: pa.array([table.column(c).to_pylist()], pa.list_(table.schema.field(c).type)) for c in ("id", "label", *carried)}
+        same = {c: pa.array([table.column(c)[0].as_py()], table.schema.field(c).type) for c in ("block", "wide", *more)}
+        return pa.table(same | {"n": pa.array([n], pa.int32()), "parts": pa.array([[whole[:, a:b].tobytes() for a, b in _chunks(dims)]], pa.list_(pa.binary()))} | told).select(names)
 
     kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
-    names = ["block", "wide", *more, "chunk", "n", "part", "id", "label", *carried]
-    types = {"block": "int", "chunk": "int", "n": "int", "part": "binary", "wide": "boolean"} | {c: kinds[c] for c in more} | {c: f"array<{kinds[c]}>" for c in ("id", "label", *carried)}
+    names = ["block", "wide", *more, "n", "parts", "id", "label", *carried]
+    types = {"block": "int", "n": "int", "parts": "array<binary>", "wide": "boolean"} | {c: kinds[c] for c in more} | {c: f"array<{kinds[c]}>" for c in ("id", "label", *carried)}
     return placed.select("block", "dims", "wide", "q", "id", "label", *more, *carried).groupBy("block").applyInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names))
 
 
-def _tile(scores: np.ndarray) -> tuple[str, bytes]:
-    if scores.dtype == object:
-        return "big", b",".join(str(x).encode() for x in scores.ravel())
-    small = not scores.size or bool(np.abs(scores).max() < 2**31)
-    return ("<i4" if small else "<i8"), scores.astype("<i4" if small else "<i8").tobytes()
-
-
-def _scores(kind: str, tile: bytes, shape: tuple[int, int]) -> np.ndarray:
-    if kind == "big":
-        out = np.empty(shape[0] * shape[1], object)
-        out[:] = [int(x) for x in tile.split(b",")] if out.size else []
-        return out.reshape(shape)
-    return np.frombuffer(tile, kind).astype(np.int64).reshape(shape)
-
-
 CARRIED = ["id", "label", "found_id", "found_score"]
 
 
 def _met(anchors: DataFrame, rows: DataFrame, targets: str, pick, schema: str) -> DataFrame:
     """The reduced tiles of each anchor block and the row blocks of its targets. pick: (scores, anchors' lists, rows' lists) -> columns."""
-    sent = anchors.select(*(F.col(c).alias(f"a_{c}") for c in ("block", "wide", "n", "part", *CARRIED)), "chunk", F.explode(targets).alias("block"))
-    both = sent.join(rows.select("block", "chunk", *(F.col(c).alias(f"r_{c}") for c in ("wide", "n", "part", "id", "label"))), ["block", "chunk"])
+    sent = anchors.select(*(F.col(c).alias(f"a_{c}") for c in ("wide", "parts", "n", *CARRIED)), F.explode(targets).alias("block"))
+    found = rows.select("block", *(F.col(c).alias(f"r_{c}") for c in ("wide", "parts", "n", "id", "label")))
+    both = sent.hint("merge").join(found, "block")  # anchor blocks are small and are sent to many blocks, so their size before that says nothing
     lists = [f"a_{c}" for c in CARRIED] + ["r_id", "r_label"]
-    kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one = {c: batch.column(c)[i].as_py() for c in ("a_n", "a_wide", "a_part", "r_n", "r_wide", "r_part")}
-                kind, tile = _tile(products(_numbers(one["a_part"], one["a_n"], one["a_wide"]), _numbers(one["r_part"], one["r_n"], one["r_wide"])))
-                keys = [batch.column(c).slice(i, 1) for c in ("a_block", "block", "a_n", "r_n")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array([kind]), pa.array([tile], pa.binary()), *(batch.column(c).slice(i, 1) for c in lists)], ["a_block", "block", "a_n", "r_n", "kind", "tile", *lists])
-
-    tiles = both.mapInArrow(partial, "a_block int, block int, a_n int, r_n int, kind string, tile binary, " + ", ".join(f"{c} {kinds[c]}" for c in lists))
-
-    def reduce(table: pa.Table) -> pa.Table:
-        shape = (table.column("a_n")[0].as_py(), table.column("r_n")[0].as_py())
-        scores = None
-        for kind, tile in zip(table.column("kind").to_pylist(), table.column("tile"), strict=True):
-            part = _scores(kind, tile.as_py(), shape)
-            scores = part if scores is None else scores + part
-        first = int(np.flatnonzero(table.column("r_id").is_valid().to_numpy())[0])
-        if scores.dtype == object:
-            scores = np.array([min(LONG[1], max(LONG[0], int(x))) for x in scores.ravel()], np.int64).reshape(shape)
-        return pick(scores, {c: table.column(c)[first].as_py() for c in lists})
-
-    return tiles.groupBy("a_block", "block").applyInArrow(reduce, schema)
+                one = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                scores = None
+                for a, r in zip(one["a_parts"], one["r_parts"], strict=True):
+                    part = products(_numbers(a, one["a_n"], one["a_wide"]), _numbers(r, one["r_n"], one["r_wide"]))
+                    scores = part if scores is None else scores + part
+                if scores.dtype == object:
+                    scores = np.array([min(LONG[1], max(LONG[0], int(x))) for x in scores.ravel()], np.int64).reshape(scores.shape)
+                yield from pick(scores, {c: one[c] for c in lists}).to_batches()
+
+    return both.mapInArrow(run, schema)
 
 
 def _ranked(scores: np.ndarray, ids: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -75,6 +75,12 @@ def test_negatives_of_odd_rows(spark):
     assert mined(frame(spark, negative, "vec_id bigint, embedding array<double>, label int")) == []
 
 
+def test_negatives_blocks_meet_in_a_shuffle(spark):
+    """An anchor block is sent to each row block, so no side of that join goes through the driver, and no tile is shuffled."""
+    plan = negatives.mine(frame(spark, vectors(1, 200), "vec_id bigint, embedding array<double>, label int"), F.col("vec_id") % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [block" in plan and "BroadcastHashJoin [block" not in plan and "tile" not in plan
+
+
 def test_negatives_query(spark):
     assert registry.op11_hard_negatives(spark, SF).count() > 0
 
