@@ -1,6 +1,7 @@
-"""Which of many names a text contains: one automaton over all names, in shards of a bounded size.
+"""Which of many names a text contains: long names by their rarest gram, short ones by an automaton in shards of a bounded size.
 
-A text is read once for each shard and crosses no shuffle; what leaves a task is one row for each text and longest name that it contains.
+A name of GRAM letters or more is looked for only in the distinct texts that have the gram of it that fewest names share, so names and texts
+meet in a shuffle and no task holds all names. Shorter names make an automaton; a text is read once for each shard of it.
 """
 
 from __future__ import annotations
@@ -9,13 +10,19 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shipping import ship
+from ..sources.shipping import materialised, ship
 
 #: Characters of the names of a shard, about; what the driver and each worker hold.
 SHARD_CHARS = 8_000_000
+#: Letters of a gram.
+GRAM = 8
+
+
+def _grams(c: str) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substring(F.col(c), i, F.lit(GRAM))))
 
 
 def longest_contained(texts: DataFrame, names: DataFrame, id_col: str, text_col: str = "norm", name_col: str = "norm") -> DataFrame:
@@ -23,21 +30,26 @@ def longest_contained(texts: DataFrame, names: DataFrame, id_col: str, text_col:
 
     Null and empty texts and names contain and are contained in nothing; repeated names count once, repeated texts give a row each.
     """
-    ship(texts.sparkSession)
-    known = names.select(F.col(name_col).alias("name")).filter("name <> ''").distinct()
-    total = known.agg(F.sum(F.length("name"))).first()[0] or 0
+    spark = texts.sparkSession
+    ship(spark)
+    known = materialised(names.select(F.col(name_col).alias("name")).filter("name <> ''").distinct(), "names")
+    asked = materialised(texts.select(id_col, F.col(text_col).alias("text")).filter("text <> ''"), "texts")
+    whole = asked.select("text").distinct()
+
+    grams = known.filter(F.length("name") >= GRAM).select("name", F.explode(_grams("name")).alias("gram"))
+    rarity = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    keys = grams.join(rarity, "gram").groupBy("name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    out = whole.filter(F.length("text") >= GRAM).select("text", F.explode(_grams("text")).alias("gram")).join(keys.hint("merge"), "gram").filter(F.contains("text", "name")).select("text", "name")
+
+    short = known.filter(F.length("name") < GRAM)
+    total = short.agg(F.sum(F.length("name"))).first()[0] or 0
     shards = -(-total // SHARD_CHARS)
-    kind = dict(texts.dtypes)[id_col]
-    asked = texts.select(id_col, F.col(text_col).alias("text")).filter("text <> ''")
-    out = texts.sparkSession.createDataFrame([], f"{id_col} {kind}, name string")
     for shard in range(shards):
-        own = [r["name"] for r in known.filter(F.pmod(F.xxhash64("name"), F.lit(shards)) == shard).collect()]  # about SHARD_CHARS characters
+        own = [r["name"] for r in short.filter(F.pmod(F.xxhash64("name"), F.lit(shards)) == shard).collect()]  # about SHARD_CHARS characters
         if own:
-            out = out.unionByName(asked.mapInPandas(_finder(own, id_col), f"{id_col} {kind}, name string"))
-    if shards < 2:
-        return out
-    best = out.groupBy(id_col).agg(F.max(F.length("name")).alias("most"))  # at most a row for each text and shard
-    return out.join(best, id_col).filter(F.length("name") == F.col("most")).select(id_col, "name").distinct()
+            out = out.unionByName(whole.mapInPandas(_finder(own, "text"), "text string, name string"))
+    longest = F.rank().over(Window.partitionBy("text").orderBy(F.length("name").desc()))  # of the names that one text contains
+    return asked.join(out.withColumn("_at", longest).filter("_at = 1").select("text", "name").distinct(), "text").select(id_col, "name")
 
 
 def _finder(names: list[str], id_col: str):

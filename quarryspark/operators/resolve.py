@@ -30,7 +30,8 @@ def resolve_citations(cited: DataFrame, cases: DataFrame, id_col: str = "id", te
     but for punctuation count as the one that sorts first.
     """
     c = cases.groupBy(T.norm_alnum(F.col("case_no")).alias("norm")).agg(F.min("case_no").alias("case_no"), F.max("report_cite").alias("report_cite")).filter("norm <> ''")
-    asked = cited.select(id_col, F.col(text_col).alias("text"), T.norm_alnum(F.col(text_col)).alias("norm")).filter("norm <> ''")
+    c = materialised(c, "cases")
+    asked = materialised(cited.select(id_col, F.col(text_col).alias("text"), T.norm_alnum(F.col(text_col)).alias("norm")).filter("norm <> ''"), "cited")
     one = asked.join(c.select("norm", "case_no"), "norm").select(id_col, "case_no", F.lit(1).alias("step"))
 
     numbered = c.select("case_no", F.regexp_replace(F.lower("case_no"), "[^a-z]", "").alias("letters"), F.explode(F.array_distinct(T.case_signatures(F.col("case_no")))).alias("sign"))
@@ -39,14 +40,21 @@ def resolve_citations(cited: DataFrame, cases: DataFrame, id_col: str = "id", te
     two = named.join(several, "sign").filter((F.col("n") == 1) | ((F.col("letters") != "") & F.col("norm").contains(F.col("letters"))))
     two = two.groupBy(id_col).agg(F.min_by("case_no", F.struct("pos", "case_no")).alias("case_no")).withColumn("step", F.lit(2))
 
-    reported = c.filter("report_cite <> ''").select("case_no", F.col("report_cite").alias("report"), F.explode(T.party_tokens(F.col("case_no"))).alias("word"))
+    # cases, and citations, of a report that have the same party names are one class: classes meet, not their members
+    reported = c.filter("report_cite <> ''").select("case_no", F.col("report_cite").alias("report"), F.array_sort(T.party_tokens(F.col("case_no"))).alias("words"))
+    classes = reported.groupBy("report", "words").agg(F.count("*").alias("k"), F.min("case_no").alias("case_no"))
+    classes = materialised(classes.select(F.explode("words").alias("word"), "report", "words", "k", "case_no"), "report-words")
     by_report = asked.select(id_col, F.explode(F.array_distinct(T.report_keys(F.col("text")))).alias("report"), T.party_tokens(F.col("text")).alias("words")).select(id_col, "report", F.explode("words").alias("word"))
-    shared = by_report.join(reported, ["report", "word"]).groupBy(id_col, "report", "case_no").agg(F.count("*").alias("n"))
-    best = shared.groupBy(id_col, "report").agg(F.max("n").alias("n"))
-    top = shared.join(best, [id_col, "report", "n"]).groupBy(id_col, "report").agg(F.count("*").alias("k"), F.min("case_no").alias("case_no")).filter("k = 1")
+    told = by_report.join(classes.select("report", "word").distinct(), ["report", "word"]).groupBy(id_col, "report").agg(F.array_sort(F.collect_set("word")).alias("asked"))
+    told = materialised(told, "report-asked")
+    shared = told.select("report", "asked").distinct().select("report", "asked", F.explode("asked").alias("word")).join(classes, ["report", "word"])
+    shared = shared.groupBy("report", "asked", "words").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("case_no").alias("case_no"))
+    top = shared.groupBy("report", "asked", "n").agg(F.sum("k").alias("k"), F.min("case_no").alias("case_no"))
+    top = top.groupBy("report", "asked").agg(F.max_by(F.struct("k", "case_no"), "n").alias("_best")).filter("_best.k = 1")
+    top = told.join(top, ["report", "asked"]).select(id_col, "report", F.col("_best.case_no").alias("case_no"))
     three = top.groupBy(id_col).agg(F.min_by("case_no", "report").alias("case_no")).withColumn("step", F.lit(3))
 
-    found = one.unionByName(two).unionByName(three)
+    found = materialised(one.unionByName(two).unionByName(three), "found")
     left = asked.join(found.select(id_col), id_col, "left_anti")
     long = c.filter(F.length("norm") >= 9)
     four = longest_contained(left, long, id_col).withColumnRenamed("name", "norm").join(long, "norm")

@@ -1,9 +1,12 @@
 """Queries against their SQL twins on small tables with rows that the samples don't have."""
 
+import random
+
 import duckdb
 import pytest
 
 from quarryspark import catalog
+from quarryspark.operators import containment, resolve
 
 
 def both(spark, folder, name, **tables):
@@ -28,3 +31,25 @@ def test_expansion_hook_upper_cases_letter_by_letter(spark, tmp_path):
     texts = ["Erßi nada", "ßßßßß", "ŉab", "ﬁx", "ñandú", "ǆ", "", "ab"]
     got, want = both(spark, tmp_path, "q10_expansion_hook", benchmark=" UNION ALL ".join(f"SELECT {i}::BIGINT AS item_id, '{t}' AS text" for i, t in enumerate(texts)))
     assert got == want and got[0] == (0, "Erßi nada, ERẞI")
+
+
+def test_long_names_are_found_by_grams_without_an_automaton(spark, monkeypatch):
+    monkeypatch.setattr(containment, "GRAM", 3)
+    monkeypatch.setattr(containment, "_finder", None)  # names of GRAM letters or more never get there
+    rnd = random.Random(5)
+    names = ["".join(rnd.choices("abc", k=rnd.randrange(3, 8))) for _ in range(80)] + ["aaaa", "aaaa", None]
+    texts = [(i, "".join(rnd.choices("abcd", k=rnd.randrange(0, 40)))) for i in range(80)] + [(80, None), (81, "aa"), (82, "dddd"), (83, "aaaaa"), (84, "aaaaa")]
+    got = containment.longest_contained(spark.createDataFrame(texts, "id bigint, norm string"), spark.createDataFrame([(n,) for n in names], "norm string"), "id")
+    want = set()
+    for i, t in texts:
+        held = [n for n in names if n and t and n in t]
+        want |= {(i, n) for n in held if len(n) == max(map(len, held))}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_citations_of_a_report_meet_by_classes_of_parties(spark):
+    """Cases of one report with the same party names tie, however many they are; another is found beside them."""
+    cases = [(f"Nation v. Customer {i:05} (7 NLR)", "7 NLR") for i in range(4000)] + [("Nation v. Perera (7 NLR)", "7 NLR")]
+    asked = [(i, f"nation against customer, 7 NLR 1{i:04}") for i in range(4000)] + [(5000, "Nation and Perera, 7 NLR 3"), (5001, "Perera, 8 NLR 3")]
+    df = resolve.resolve_citations(spark.createDataFrame(asked, "id bigint, cited string"), spark.createDataFrame(cases, "case_no string, report_cite string"))
+    assert [tuple(r) for r in df.collect()] == [(5000, "Nation v. Perera (7 NLR)", 3)]
