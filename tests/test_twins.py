@@ -1,12 +1,14 @@
 """Queries against their SQL twins on small tables with rows that the samples don't have."""
 
 import random
+import time
 
 import duckdb
 import pytest
 
 from quarryspark import catalog
-from quarryspark.operators import containment, resolve
+from quarryspark.functions import names
+from quarryspark.operators import containment, extract, resolve
 
 
 def both(spark, folder, name, **tables):
@@ -53,3 +55,41 @@ def test_citations_of_a_report_meet_by_classes_of_parties(spark):
     asked = [(i, f"nation against customer, 7 NLR 1{i:04}") for i in range(4000)] + [(5000, "Nation and Perera, 7 NLR 3"), (5001, "Perera, 8 NLR 3")]
     df = resolve.resolve_citations(spark.createDataFrame(asked, "id bigint, cited string"), spark.createDataFrame(cases, "case_no string, report_cite string"))
     assert [tuple(r) for r in df.collect()] == [(5000, "Nation v. Perera (7 NLR)", 3)]
+
+
+def greedy(rows):
+    """The clusters of group_names, every name held against every member before it."""
+    clusters = []
+    for name, n in sorted(rows, key=lambda r: (-r[1], r[0])):
+        if p := names.Person.read(name):
+            home = next((c for c in clusters if any(p.same(q) for *_, q in c)), None)
+            if home is None:
+                clusters.append(home := [])
+            home.append((name, n, p))
+    return sorted((name, max(c, key=lambda x: (len(x[2].sounds[1]), x[1]))[2].shown()) for c in clusters for name, *_ in c)
+
+
+def test_names_are_grouped_as_by_brute_force(spark):
+    rnd = random.Random(11)
+
+    def word(low, high):
+        return "".join(rnd.choice("bkrnst") + rnd.choice("aiu") for _ in range(rnd.randrange(low, high))).title()
+
+    stems = [word(2, 10) for _ in range(25)]
+
+    def spelt():
+        s = list(rnd.choice(stems))
+        for _ in range(rnd.randrange(3)):
+            s[rnd.randrange(1, len(s))] = rnd.choice(["", "a", "k", "r", "st"])
+        given = rnd.choice(["", "A. ", "B. C. ", "Ranil ", "Ranal ", "Mary Ann ", "de "])
+        return f"Justice {given}{''.join(s)}, J."
+
+    rows = [(name, rnd.randrange(1, 4)) for name in sorted({spelt() for _ in range(500)})]
+    assert sorted(map(tuple, extract.group_names(spark.createDataFrame(rows, "name string, n bigint")).collect())) == greedy(rows)
+
+
+def test_many_names_are_grouped_in_time(spark):
+    rows = [(f"Justice Supplier {str(i).zfill(9).translate(str.maketrans('0123456789', 'abcdefghij'))}", 1) for i in range(0, 60_000, 7)]
+    begin = time.monotonic()
+    assert extract.group_names(spark.createDataFrame(rows, "name string, n bigint")).count() == len(rows)
+    assert time.monotonic() - begin < 90
