@@ -31,7 +31,7 @@ from .common import drop_path, fresh_path, shuffle_parts, text_batches, written
 
 ROUNDS = 6
 #: Sequences of a pack, and bytes of a shard that more shards are made for.
-PACK_ROWS, SHARD_BYTES = 8, 256 << 20
+PACK_ROWS, SHARD_BYTES = 128, 256 << 20
 HEAD, TAIL = 8, 1
 
 
@@ -142,7 +142,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, key:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first = TaskContext.get().partitionId(), 0
-        own, stream, squeeze = codec(vocabulary), _Stream(stride, end_id, unit), zstandard.ZstdCompressor(level=3).compress
+        own, stream, squeeze = codec(vocabulary), _Stream(stride, end_id, unit), zstandard.ZstdCompressor(level=9).compress
         id_type = None
 
         def packs(rows: np.ndarray, pieces: list[list]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, key:
         return [order.slots(shared.value[p] + f + np.arange(n)) for p, f, n in rows]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=5).compress
         size = stride * unit.itemsize
         for batch in batches:
             for at, payload in zip(slots(batch), batch.column("payload").to_pylist(), strict=True):
