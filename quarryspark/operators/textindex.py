@@ -1,6 +1,6 @@
 """A stored positional inverted index: immutable segments, tombstones, and manifests that name them.
 
-A segment's postings have a row for each term and block of documents (an Arrow batch of the scan): document numbers, lengths, frequencies
+A segment's postings have a row for each term and block of documents (about BLOCK tokens of a task's scan): document numbers, lengths, frequencies
 and positions as arrays, and the block's greatest frequency and least length, which bound what a document of it can score.
 Blocks are inverted in the scan's tasks, so what is shuffled is one packed row a term and block; rows are rebalanced by bucket: adaptive execution splits a large
 bucket into as many tasks as its bytes ask for, so that neither a word that all documents have nor a larger input makes a hot task. Buckets are hashes of a term's first letters, so words and prefixes of PREFIX letters or more read one
@@ -57,7 +57,9 @@ class Phrase:
 
 
 #: What stands for a null id among packed numbers; numbers that are packed together, and packed bytes that are unpacked together.
-NO_ID, PACK, UNPACK = np.iinfo(np.int64).min, 1 << 20, 1 << 20
+NO_ID, PACK, UNPACK = np.iinfo(np.int64).min, 1 << 18, 1 << 18
+#: Tokens of a block, about: what a task sorts at once. A longer document is a block of its own.
+BLOCK = 1 << 20
 
 
 def _lists(counts: np.ndarray, values) -> pa.ListArray:
@@ -124,20 +126,32 @@ def _packed(docs: np.ndarray, ids: np.ndarray, lens: np.ndarray, freqs: np.ndarr
     return pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches (id, tokens) of BLOCK tokens at most; a longer document is a slice of its own."""
+    for batch in batches:
+        ends = batch.column("tokens").offsets.to_numpy()
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + BLOCK, "right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting rows of each batch (id, tokens), packed some terms at a time."""
+    """Posting rows of each block of batches (id, tokens), packed some terms at a time."""
     part = TaskContext.get().partitionId() << 32
-    for number, batch in enumerate(batches):
+    for number, batch in enumerate(_blocks(batches)):
         tokens = batch.column("tokens")
         lens = np.diff(tokens.offsets.to_numpy())
         coded = tokens.flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
         if not len(codes):
             continue
-        doc = np.repeat(np.arange(len(lens)), lens)
-        pos = _within(lens)
+        doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+        pos = _within(lens).astype(np.int32)
         order = np.argsort(codes, kind="stable")  # by term, then document, then position
         codes, doc, pos = codes[order], doc[order], pos[order]
+        del order
         new = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])]))
         freq, code, own = np.diff(np.append(new, len(codes))), codes[new], doc[new]
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
@@ -148,7 +162,7 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             held = slice(ends[i], ends[j])
             docs, freqs, size, own_first = np.diff(ends[i : j + 1]), freq[held], lens[own[held]], ends[i:j] - ends[i]
-            steps = _steps(pos[places[i] : places[j]], new[held] - places[i])
+            steps = _steps(pos[places[i] : places[j]].astype(np.int64), new[held] - places[i])
             yield pa.RecordBatch.from_arrays(
                 [coded.dictionary.take(pa.array(code[first[i:j]])), pa.array(np.full(j - i, part + number)), pa.array(docs.astype(np.int32)), pa.array(np.maximum.reduceat(freqs, own_first).astype(np.int32)), pa.array(np.minimum.reduceat(size, own_first).astype(np.int32)), _packed(docs, ids[own[held]], size, freqs, steps)],
                 [c.split(" ")[0] for c in SENT.split(", ")],

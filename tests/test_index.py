@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import uuid
 
 import numpy as np
@@ -236,3 +237,22 @@ def test_areas(spark, library):
     area = cases.area_search(rows, index, ["C1", "c3"], ["road board"])
     assert [(r["case_no"], r["source"], r["page"]) for r in area.collect()] == [("c1", 0, None), ("c3", 0, None), ("c2", 1, 4)]
     assert cases.area_search(rows, index).count() == 0
+
+
+def test_large_batches_are_several_blocks_of_bounded_memory(monkeypatch):
+    """What a task holds to invert a batch doesn't grow with the batch, and no posting is lost between its blocks."""
+    monkeypatch.setattr(textindex, "TaskContext", type("At", (), {"get": staticmethod(lambda: type("Part", (), {"partitionId": lambda self: 0})())}))
+    rng = np.random.default_rng(7)
+    sizes = [1_500_000, *[300] * 10_000, 0]
+    words = pa.array([f"w{i}" for i in range(5000)]).take(pa.array(rng.integers(0, 5000, sum(sizes))))
+    tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), words)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64()), tokens], ["id", "tokens"])
+    tracemalloc.start()
+    blocks, docs, peak = set(), 0, 0
+    for b in textindex._inverted(iter([batch])):
+        blocks |= set(b.column("block").to_pylist())
+        docs += sum(b.column("n").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    flat = np.repeat(np.arange(len(sizes)), sizes) * 5000 + np.array([int(w[1:]) for w in words.to_pylist()])
+    assert len(blocks) == 4 and docs == len(np.unique(flat)) and peak < 150 << 20
