@@ -8,7 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from .tables import table
 Reader = Callable[[bytes], list[str]]
 #: A page with less text than this is to be read by OCR.
 OCR_BELOW = 200
+#: Bytes of files that a task reads at once, about.
+PART_BYTES = 1 << 20
 
 
 def decoded(raw: bytes) -> str:
@@ -67,21 +71,35 @@ def pages_of(name: str, raw: bytes, readers: dict[str, Reader], ocr: Reader | No
     return pages
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches (path, content) of PART_BYTES of content at most; a larger file is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("content")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + PART_BYTES, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def read_files(files: DataFrame, readers: dict[str, Reader] | None = None, ocr: Reader | None = None) -> DataFrame:
     """(path, page, text, error) of files (path, content), as spark.read.format("binaryFile") gives them. Errors stay with their file."""
     own = readers or {}
+    names = ["path", "page", "text", "error"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
             out = []
-            for path, raw in zip(b["path"], b["content"], strict=True):
+            for path, raw in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
                 try:
                     out += [(path, i, t, None) for i, t in enumerate(pages_of(path, bytes(raw), own, ocr), 1)]
                 except Exception as e:  # noqa: BLE001  a reader may raise anything
                     out.append((path, 0, "", str(e)))
-            yield pd.DataFrame(out, columns=["path", "page", "text", "error"]).astype({"page": "int32"})
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
-    return files.select("path", "content").mapInPandas(run, "path string, page int, text string, error string")
+    return files.select("path", "content").mapInArrow(run, "path string, page int, text string, error string")
 
 
 @operator("SELECT 'd' || doc_id || '.txt' AS path, length(text) AS size FROM documents")
