@@ -15,3 +15,18 @@ def test_files_are_read_some_bytes_at_a_time(spark):
     assert [r for p in told for r in p.column("path").to_pylist()] == [p for p, _ in rows + rows[19:]]
     got = files.read_files(spark.createDataFrame(rows, "path string, content binary")).collect()
     assert sorted((r["path"], r["page"], len(r["text"]), r["error"] is None) for r in got) == sorted((p, 1 if c is not None else 0, len(c or b""), c is not None) for p, c in rows)
+
+
+def test_repeated_captions_are_read_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def rows(t):
+        with open(calls, "a") as f:
+            f.write(f"{t}\n")
+        return [(t, i) for i in range(len(t))]
+
+    asked = [(i, "ab" if i % 2 else "c" if i % 4 else "") for i in range(200)]
+    df = spark.createDataFrame(asked, "id bigint, text string").coalesce(1)
+    got = extract.table_function(df, "id bigint, t string, n int", ["id", "text"], rows, once=True).collect()
+    assert sorted(map(tuple, got)) == sorted((i, t, n) for i, t in asked for n in range(len(t)))
+    assert sorted(open(calls).read().split("\n")) == sorted(["", "", "ab", "c"])
