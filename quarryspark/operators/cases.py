@@ -133,8 +133,9 @@ def with_snippets(rows: DataFrame, index: TextIndex, query: str, vocabulary: Voc
 
 def keyword_search(cases: DataFrame, index: TextIndex, query: str, vocabulary: Vocabulary = Vocabulary(), most: int = 60) -> DataFrame:  # noqa: B008
     """(case_no, date, why, hits, page, tier, score, snippet): the best cases for a query."""
-    shown = ranked(dated(case_hits(cases, index, query, vocabulary), cases), most)
-    return with_snippets(shown, index, query, vocabulary).select("case_no", "date", "why", "hits", "page", "tier", F.round("score", 6).alias("score"), "snippet")
+    shown = materialised(ranked(dated(case_hits(cases, index, query, vocabulary), cases), most), "shown")  # few rows, which are read twice
+    best = with_snippets(shown, index, query, vocabulary).orderBy("tier", F.desc(F.round("score", 6)), F.desc(T.date_key(F.col("date"))), "case_no")
+    return best.select("case_no", "date", "why", "hits", "page", "tier", F.round("score", 6).alias("score"), "snippet")
 
 
 def area_cases(cases: DataFrame, index: TextIndex, prefixes: list[str] = (), terms: list[str] = ()) -> DataFrame:

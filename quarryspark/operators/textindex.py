@@ -190,12 +190,47 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([held[c] if c in held else rows.column(c) for c in names], names)
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(F.left(term, F.lit(PREFIX))), F.lit(BUCKETS)).cast("int")
+def _counter(phrases: list[Phrase], slots: list[tuple[str, bool]]) -> Callable[[pa.Table], pa.Table]:
+    """A function from a block's posting rows to (segment, id, len, f0, f1, ...) of its documents that have one of the phrases.
 
+    A document's postings are all in its block, so what phrases need meets there: places are numbered by document and position, and a phrase
+    begins where its words' places, each moved back by the word's place in it, meet.
+    """
+    number = {s: i for i, s in enumerate(slots)}
+    told = [[number[s] for s in p.slots()] for p in phrases]
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.combine_chunks()
+        flat = {c: pc.list_flatten(rows.column(c)) for c in ("docs", "lens", "freqs")}
+        docs = flat["docs"].fill_null(NO_ID).to_numpy()
+        ids, first, at = np.unique(docs, return_index=True, return_inverse=True)
+        freqs, sizes = flat["freqs"].to_numpy(), pc.list_value_length(rows.column("docs")).to_numpy()
+        slotted = rows.column("slots").to_pylist()
+        has = [np.repeat(np.array([k in own for own in slotted], bool), sizes) for k in range(len(slots))]
+        counts = np.zeros((len(phrases), len(ids)), np.int64)
+        if any(len(own) > 1 for own in told):
+            inner = pc.list_flatten(rows.column("positions"))
+            lengths = pc.list_value_length(inner).to_numpy()
+            place = (np.repeat(at, lengths) << 32) + pc.list_flatten(inner).to_numpy().astype(np.int64) + (1 << 16)
+            places = {k: np.unique(place[np.repeat(has[k], lengths)]) for own in told if len(own) > 1 for k in own}
+        for i, own in enumerate(told):
+            if len(own) == 1:
+                counts[i] = np.bincount(at[has[own[0]]], weights=freqs[has[own[0]]], minlength=len(ids))
+            elif own:
+                met = places[own[0]]
+                for j, k in enumerate(own[1:], 1):
+                    met = np.intersect1d(met, places[k] - j, assume_unique=True)
+                counts[i] = np.bincount(met >> 32, minlength=len(ids))
+        found = np.flatnonzero(counts.any(0))
+        segment = np.full(len(found), rows.column("segment")[0].as_py(), np.int32)
+        held = [pa.array(segment), pa.array(ids[found], mask=ids[found] == NO_ID), pa.array(flat["lens"].to_numpy()[first[found]].astype(np.int32)), *(pa.array(c[found]) for c in counts)]
+        return pa.table(held, names=["segment", "id", "len", *(f"f{i}" for i in range(len(phrases)))])
 
-def _back(steps: int) -> Callable[[Column], Column]:
-    return lambda x: x - steps
+    return run
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(F.left(term, F.lit(PREFIX))), F.lit(BUCKETS)).cast("int")
 
 
 class TextIndex:
@@ -214,12 +249,12 @@ class TextIndex:
         """Write a segment of docs (id, owner, text) and describe it."""
         path = self.versions.fresh("segment")
         kept = docs.select(F.col("id").cast("bigint").alias("id"), F.col("owner").cast("string").alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
-        rows = kept.select("id", T.tokens(F.col("text")).alias("tokens")).mapInArrow(_inverted, SENT).withColumn("bucket", bucket(F.col("term")))
-        dealt = rows.hint("rebalance", "bucket").mapInArrow(_unpacked, POSTINGS + ", bucket int")
-        stored = dealt.sortWithinPartitions("bucket", "term", "block")
-        stored.write.partitionBy("bucket").option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
         told = kept.select("id", "owner", F.greatest(F.lit(1), F.size(T.tokens(F.col("text")))).alias("len"), "text")
         told.write.option("compression", "zstd").parquet(f"{path}/docs")
+        stored = self.spark.read.schema("id bigint, owner string, len int, text string").parquet(f"{path}/docs")  # what docs joins isn't done again
+        rows = stored.select("id", T.tokens(F.col("text")).alias("tokens")).mapInArrow(_inverted, SENT).withColumn("bucket", bucket(F.col("term")))
+        dealt = rows.hint("rebalance", "bucket").mapInArrow(_unpacked, POSTINGS + ", bucket int")
+        dealt.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("compression", "zstd").option("parquet.writer.version", "v2").option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
         whole = self.spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).first()
         return {"path": path, "n": whole["n"], "total": whole["total"], "words": whole["n"] > 0 and self._has_files(f"{path}/postings")}
 
@@ -323,34 +358,12 @@ class TextIndex:
         if not slots:
             none = ", ".join(f"f{i} bigint" for i in range(len(phrases)))
             return self.spark.createDataFrame([], f"id bigint, len int, {none}")
-        number = {s: i for i, s in enumerate(slots)}
-        long = any(len(p.words) > 1 for p in phrases)
         rows = self.postings(slots, state)
         if blocks is not None:
             rows = rows.join(F.broadcast(blocks), ["segment", "block"], "left_semi")  # FIRST_BLOCKS, or counted by the caller
-        arrays = ["docs", "lens", "freqs", *(["positions"] if long else [])]
-        each = rows.select("segment", "slots", F.explode(F.arrays_zip(*arrays)).alias("p")).select("segment", "slots", F.col("p.docs").alias("id"), F.col("p.lens").alias("len"), F.col("p.freqs").alias("freq"), *([F.col("p.positions").alias("positions")] if long else []))
-        each = self._live(each, state)
-        in_phrase = {number[s] for p in phrases if len(p.words) > 1 for s in p.slots()}
-        alone = {number[s] for p in phrases if len(p.words) == 1 for s in p.slots()}
-        has = lambda k: F.array_contains("slots", k)
-        sums = [F.sum(F.when(has(k), F.col("freq")).otherwise(0)).alias(f"_n{k}") for k in sorted(alone)]
-        lists = [F.flatten(F.collect_list(F.when(has(k), F.col("positions")))).alias(f"_p{k}") for k in sorted(in_phrase)]
-        docs = each.groupBy("segment", "id").agg(F.first("len").alias("len"), *sums, *lists)
-        counts = []
-        for i, p in enumerate(phrases):
-            own = [number[s] for s in p.slots()]
-            if len(own) == 1:
-                counts.append(F.col(f"_n{own[0]}").cast("bigint").alias(f"f{i}"))
-            elif not own:
-                counts.append(F.lit(0).cast("bigint").alias(f"f{i}"))
-            else:
-                at = F.col(f"_p{own[0]}")
-                for j, k in enumerate(own[1:], 1):
-                    at = F.array_intersect(at, F.transform(f"_p{k}", _back(j)))
-                counts.append(F.size(at).cast("bigint").alias(f"f{i}"))
-        found = docs.select("id", "len", *counts)
-        return found.filter(reduce(lambda a, b: a | b, (F.col(f"f{i}") > 0 for i in range(len(phrases)))))
+        arrays = ["docs", "lens", "freqs", *(["positions"] if any(len(p.words) > 1 for p in phrases) else [])]
+        counted = rows.select("segment", "block", "slots", *arrays).groupBy("segment", "block").applyInArrow(_counter(phrases, slots), "segment int, id bigint, len int, " + ", ".join(f"f{i} bigint" for i in range(len(phrases))))
+        return self._live(counted, state).drop("segment")
 
     def _idf(self, d: Column, n: int) -> Column:
         idf = F.log((F.lit(n) - d + 0.5) / (d + 0.5))
