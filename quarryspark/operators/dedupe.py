@@ -186,7 +186,7 @@ MERGE_SQL = (
 @operator(MERGE_SQL)
 def d7_merged_library(spark: SparkSession, sf: str) -> DataFrame:
     """A library of cases, passages and benches in which a fifth of the documents is merged into others: rows of each table by case."""
-    j = judgements(spark, sf)
+    j = materialised(judgements(spark, sf).select("seq", "filename", "case_no", "n_chunks", "judges"), "library-source")
     library = Library(spark, fresh_path(spark, "library"))
     passages = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "doc_id").join(j.select("seq", "case_no"), "seq").select("case_no", "doc_id")
     library.change({"judgements": j.select("filename", "case_no", "n_chunks"), "chunks": passages, "benches": j.select("case_no", F.explode(F.split("judges", "; ")).alias("display"))})

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shipping import materialised
 from .versions import Versions
 
 #: Rows of a map of keys that are broadcast at most.
@@ -34,7 +35,7 @@ class Library:
         paths = dict(self.tables(number))
         for name, df in tables.items():
             paths[name] = self.versions.fresh(name)
-            df.write.parquet(paths[name])
+            df.write.option("compression", "zstd").parquet(paths[name])
         return self.versions.commit({"tables": paths}, number)
 
     def _sized(self, df: DataFrame) -> DataFrame:
@@ -55,11 +56,27 @@ class Library:
         """
         held = {n: self.table(n) for n in self.tables()}
         j = held["judgements"]
-        own = pairs.join(j.select(F.col("filename").alias("dropped"), "case_no", "n_chunks"), "dropped").join(j.select(F.col("filename").alias("keeper"), F.col("case_no").alias("keeper_no"), F.col("n_chunks").alias("keeper_chunks")), "keeper")
-        left = j.join(self._sized(own.select(F.col("dropped").alias("filename"))), "filename", "left_anti")
-        marked = own.join(left.select("case_no", F.lit(True).alias("shared")).distinct(), "case_no", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+        named = pairs.filter("dropped IS NOT NULL AND keeper IS NOT NULL").select("dropped", "keeper")
+        few = named.count() <= BROADCAST_ROWS
+
+        def sized(df: DataFrame) -> DataFrame:
+            return F.broadcast(df) if few else df
+
+        # judgements meet the pairs in one shuffle by file name, and what comes of it is read by all that follows
+        going = named.select(F.col("dropped").alias("filename"), F.col("keeper").alias("_keeper"))
+        keeping = named.select(F.col("keeper").alias("filename"), F.lit(True).alias("_keeps")).distinct()
+        rows = materialised(j.join(sized(going), "filename", "left").join(sized(keeping), "filename", "left"), "library-rows")
+        kept = rows.filter("_keeps").select(F.col("filename").alias("keeper"), F.col("case_no").alias("keeper_no"), F.col("n_chunks").alias("keeper_chunks"), F.lit(True).alias("_found"))
+        own = rows.filter("_keeper IS NOT NULL").withColumnRenamed("_keeper", "keeper").drop("_keeps").join(sized(kept), "keeper", "left")
+        own = materialised(own, "library-pairs")
+        stay = own.filter("_found IS NULL").select(*j.columns)  # their keepers don't exist
+        left = rows.filter("_keeper IS NULL").select(*j.columns).unionByName(stay)
+        own = own.filter("_found").select(F.col("filename").alias("dropped"), "keeper", "case_no", "n_chunks", "keeper_no", "keeper_chunks")
+        alive = left.select("case_no", F.lit(True).alias("shared")).distinct()
+        marked = materialised(own.join(alive, "case_no", "left").withColumn("shared", F.coalesce("shared", F.lit(False))), "library-merged")
         log = marked.select(F.col("dropped").alias("filename"), "case_no", F.col("keeper").alias("keeper_filename"), F.col("keeper_no").alias("keeper_case_no"), "shared")
         moves = marked.filter(~F.col("shared")).groupBy("case_no").agg(F.min_by(F.struct("keeper_no", "keeper", "keeper_chunks", "dropped", "n_chunks"), "dropped").alias("m")).select("case_no", "m.*")
+        moves = materialised(moves, "library-moves")
         out: dict[str, DataFrame] = {}
         for name in (n for n in WHOLE if n in held):
             d = held[name]
@@ -67,12 +84,12 @@ class Library:
             known = moves.join(having, "keeper_no", "left").withColumn("_has", F.coalesce("_has", F.lit(False)) | ((F.col("keeper_chunks") > 0) if name == "chunks" else F.lit(False)))
             with_own = known.join(d.select("case_no").distinct(), "case_no", "left_semi")
             first = F.row_number().over(Window.partitionBy("keeper_no").orderBy("dropped"))
-            plan = with_own.withColumn("_to", F.when(~F.col("_has") & (first == 1), F.col("keeper_no")))
+            plan = materialised(with_own.withColumn("_to", F.when(~F.col("_has") & (first == 1), F.col("keeper_no"))), f"library-{name}")
             placed = d.join(self._sized(plan.select("case_no", "_to", F.lit(True).alias("_gone"))), "case_no", "left")
             out[name] = placed.filter(F.col("_gone").isNull() | F.col("_to").isNotNull()).withColumn("case_no", F.coalesce("_to", "case_no")).select(*d.columns)
             if name == "chunks":
                 took = plan.filter("_to IS NOT NULL").select(F.col("keeper").alias("filename"), F.col("n_chunks").alias("_took"))
-                left = left.join(took, "filename", "left").withColumn("n_chunks", F.coalesce("_took", "n_chunks")).select(*j.columns)
+                left = left.join(self._sized(took), "filename", "left").withColumn("n_chunks", F.coalesce("_took", "n_chunks")).select(*j.columns)
         for name in (n for n in SHARED if n in held):
             d = held[name]
             moved = d.join(self._sized(moves.select("case_no", "keeper_no", "dropped")), "case_no", "left")
